@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, sharding, simhash
+from . import langid, mixing, pii, sharding, simhash
 from .common import table
 from .sql import ORACLES
 
@@ -14,6 +14,7 @@ def _docs(spark, sf_dir):
 QUERIES = {
     "op3_sharding": lambda s, d: sharding.assign(_docs(s, d).select("doc_id", "text")).drop("text"),
     "op4_mixing": lambda s, d: mixing.report(_docs(s, d)),
+    "op8_langid": lambda s, d: langid.report(_docs(s, d)),
     "op10_simhash": lambda s, d: simhash.report(_docs(s, d)),
     "op6_pii": lambda s, d: pii.report(_docs(s, d)),
 }
