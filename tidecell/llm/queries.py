@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, sharding, simhash
+from . import decontam, langid, mixing, pii, sharding, simhash, vafile
 from .common import table
 from .sql import ORACLES
 
@@ -12,9 +12,11 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_decontam": lambda s, d: decontam.report(_docs(s, d), table(s, d, "benchmark")),
     "op3_sharding": lambda s, d: sharding.assign(_docs(s, d).select("doc_id", "text")).drop("text"),
     "op4_mixing": lambda s, d: mixing.report(_docs(s, d)),
     "op8_langid": lambda s, d: langid.report(_docs(s, d)),
+    "op9_vafile": lambda s, d: vafile.report(table(s, d, "embeddings")),
     "op10_simhash": lambda s, d: simhash.report(_docs(s, d)),
     "op6_pii": lambda s, d: pii.report(_docs(s, d)),
 }

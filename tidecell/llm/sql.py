@@ -42,4 +42,12 @@ select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coale
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join per using (rid)"""
 )
 
-ORACLES = {"op6_pii": OP6}
+OP9 = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+ORACLES = {"op6_pii": OP6, "op9_vafile": OP9}
