@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPEATS, SAMPLES, PICKS, STEPS, STRIDE, SEED = 2, 6, 10, 96, 4, 42
+REPEATS, SAMPLES, PICKS, STEPS, STRIDE, SEED = 3, 6, 12, 96, 4, 42
 SIMILARITY, MIN_CHARS, ITEM_BLOCK = 0.8, 16, 5_000
 _FILTER_BITS, _SLICE = 22, 1 << 20
 
@@ -113,6 +113,18 @@ def edits(item: str, text: str) -> int:
     return least
 
 
+def may_hold(item: str, text: str, room: int) -> bool:
+    """False only if the item surely needs more edits: text starts room characters before the item's place, so a piece
+    of the item lies within room of its own place, and the pieces' least edits add up to no more than the item's."""
+    need = 0
+    for i in range(0, len(item), 48):
+        piece = item[i : i + 48]
+        need += edits(piece, text[i : i + len(piece) + 2 * room])
+        if need > room:
+            return False
+    return True
+
+
 def candidates(texts: list[bytes], index: Index) -> list[set[tuple[int, int]]]:
     """For each text: (item, place of the item's first byte)."""
     out: list[set[tuple[int, int]]] = [set() for _ in texts]
@@ -124,9 +136,10 @@ def candidates(texts: list[bytes], index: Index) -> list[set[tuple[int, int]]]:
     nth = np.arange(len(every)) - np.searchsorted(every, begin[:-1])[owner]
     starts, owner = every[nth % STRIDE == 0], owner[nth % STRIDE == 0]
     for key, _ in window_keys(data, starts):
-        for w in np.flatnonzero(index.filter[key >> np.uint64(64 - _FILTER_BITS)]):
-            lo, hi = np.searchsorted(index.keys, key[w], "left"), np.searchsorted(index.keys, key[w], "right")
-            for i in range(lo, hi):
+        at = np.flatnonzero(index.filter[key >> np.uint64(64 - _FILTER_BITS)])
+        lo, hi = np.searchsorted(index.keys, key[at], "left"), np.searchsorted(index.keys, key[at], "right")
+        for w, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            for i in range(a, b):
                 out[owner[w]].add((int(index.item[i]), int(starts[w] - begin[owner[w]] - index.offset[i])))
     return out
 
@@ -144,8 +157,11 @@ def verify(text: bytes, found: set[tuple[int, int]], index: Index) -> dict[int,
         if text[max(place, 0) : max(place, 0) + len(raw)] == raw:
             best[item] = 0
             continue
-        width = len(raw) + 4 * room
-        near = text[max(0, place - 2 * room) : max(0, place - 2 * room + width)].decode("utf-8", "ignore")
+        # 2 bytes of slack for each character of room that may be longer than a byte
+        before = text[max(0, place - 2 * room) : max(0, place)].decode("utf-8", "ignore")[-room:] if room else ""
+        near = before.rjust(room, "\0") + text[max(0, place) : max(0, place) + len(raw) + 2 * room].decode("utf-8", "ignore")[: len(want) + room]
+        if not may_hold(want, near, room):
+            continue
         if (d := edits(want, near)) <= room:
             best[item] = min(d, best.get(item, d))
     return best
