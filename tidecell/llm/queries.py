@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, pii, sharding, simhash, vafile
+from . import decontam, langid, mixing, paragraphs, pii, sharding, simhash, vafile
 from .common import table
 from .sql import ORACLES
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_mixing": lambda s, d: mixing.report(_docs(s, d)),
     "op8_langid": lambda s, d: langid.report(_docs(s, d)),
     "op9_vafile": lambda s, d: vafile.report(table(s, d, "embeddings")),
+    "op5_paragraphs": lambda s, d: paragraphs.group(_docs(s, d)),
     "op10_simhash": lambda s, d: simhash.report(_docs(s, d)),
     "op6_pii": lambda s, d: pii.report(_docs(s, d)),
 }
