@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, paragraphs, pii, sharding, simhash, vafile
+from . import decontam, html, langid, mixing, paragraphs, pii, sharding, simhash, vafile
 from .common import table
 from .sql import ORACLES
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_decontam": lambda s, d: decontam.report(_docs(s, d), table(s, d, "benchmark")),
     "op3_sharding": lambda s, d: sharding.assign(_docs(s, d).select("doc_id", "text")).drop("text"),
     "op4_mixing": lambda s, d: mixing.report(_docs(s, d)),
+    "op7_html": lambda s, d: html.report(table(s, d, "pages")),
     "op8_langid": lambda s, d: langid.report(_docs(s, d)),
     "op9_vafile": lambda s, d: vafile.report(table(s, d, "embeddings")),
     "op5_paragraphs": lambda s, d: paragraphs.group(_docs(s, d)),
