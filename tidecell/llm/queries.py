@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, langid, mixing, paragraphs, pii, sharding, simhash, vafile
+from . import decontam, html, langid, mixing, paragraphs, pii, sharding, simhash, suffix, vafile
 from .common import table
 from .sql import ORACLES
 
@@ -12,6 +12,7 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix": lambda s, d: suffix.report(_docs(s, d)),
     "op2_decontam": lambda s, d: decontam.report(_docs(s, d), table(s, d, "benchmark")),
     "op3_sharding": lambda s, d: sharding.assign(_docs(s, d).select("doc_id", "text")).drop("text"),
     "op4_mixing": lambda s, d: mixing.report(_docs(s, d)),
