@@ -1,0 +1,36 @@
+"""Strings and dates that result tables need."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
+
+
+def valid_filename(name: Column) -> Column:
+    """Blanks to underscores, and only letters, digits, dots, dashes and underscores."""
+    return F.regexp_replace(F.regexp_replace(F.trim(name), " ", "_"), r"[^-\w.]", "")
+
+
+def scale_key(scale: Column) -> Column:
+    return F.concat(F.lit("d"), F.format_string("%.0f", (scale * 10).cast("double")))
+
+
+def day_stamp(when: Column) -> Column:
+    return F.date_format(when, "MMdd")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+
+
+def as_text(values: Column) -> Column:
+    """A map as lines of key: value."""
+    return F.array_join(F.transform(F.map_entries(values), lambda e: F.concat_ws(": ", e["key"], e["value"].cast("string"))), "\n")

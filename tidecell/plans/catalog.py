@@ -1,9 +1,467 @@
-"""Registered queries of the grid engine."""
+"""Registered queries of the grid engine: each applies operators to the bridge grids or to the tables themselves."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tidecell.operators import algebra, checks, methods, metrics, neighbourhood, resample, shaping, vector
+from tidecell.sources import synth
+from tidecell.streaming import hwm
+
+from . import bridge
+from .bridge import K, WIDTH, table
+from .oracle import ORACLES
+
+_Q: dict[str, Callable] = {}
+
+
+def query(f: Callable) -> Callable:
+    _Q[f.__name__] = f
+    return f
+
+
+def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Doubles rounded, as sums differ in their last bits by order."""
+    return df.withColumns({c: F.round(c, digits) for c in (columns or [c for c, t in df.dtypes if t == "double"])})
+
+
+def _wsh(s, d, a=7, b=3):
+    t = bridge.dem(s, d)
+    return algebra.depth(bridge.wse1(t, K, a, b), t)
+
+
+def _true(s, d):
+    return algebra.wet_of_wse(bridge.wse1(bridge.dem(s, d), K, 3, 7))
+
+
+def _pred(s, d):
+    return algebra.wet_of_wse(bridge.wse1(bridge.dem(s, d)))
+
+
+def _ring(s, d):
+    """A pentagon in cell units, y up."""
+    ring = "array(named_struct('x', 10.2D, 'y', -1.3D), named_struct('x', 70.7D, 'y', -2.1D), named_struct('x', 90.4D, 'y', -9.6D), named_struct('x', 40.1D, 'y', -13.9D), named_struct('x', 5.3D, 'y', -8.2D))"
+    return s.range(1).select(F.col("id").alias("poly_id"), F.expr(f"array({ring})").alias("rings"))
+
+
+# resampling
+
+
+@query
+def resample_nearest(s, d):
+    return _r(resample.nearest(bridge.wse2(bridge.dem(s, d)), K))
+
+
+@query
+def resample_bilinear(s, d):
+    return _r(resample.bilinear(bridge.wse2(bridge.dem(s, d)), K))
+
+
+@query
+def aggregate_mean(s, d):
+    return _r(resample.block_reduce(bridge.dem(s, d), K))
+
+
+@query
+def block_reduce_minmax(s, d):
+    return _r(resample.block_reduce(bridge.dem(s, d), K, {"low": F.min("value"), "high": F.max("value")}))
+
+
+@query
+def clip_window(s, d):
+    return _r(resample.clip(bridge.dem(s, d), 5, 15, 20, 80))
+
+
+@query
+def clip_pair_extent(s, d):
+    t = bridge.dem(s, d)
+    a, b = resample.clip_pair(bridge.wse2(t), t, K, 1, 3, 4, 16)
+    tag = lambda df, n: df.select(F.lit(n).alias("grid"), "row", "col", "value")
+    return _r(tag(a, "wse2").unionAll(tag(b, "dem")))
+
+
+@query
+def cell_centres(s, d):
+    return _r(resample.centres(bridge.dem(s, d), 100.0, 900.0, 4.0))
+
+
+@query
+def merge_grids(s, d):
+    t = bridge.dem(s, d)
+    return _r(resample.merge(bridge.wse1(t), bridge.wse1(t, K, 3, 7)))
+
+
+# cell algebra
+
+
+@query
+def terrain_filter(s, d):
+    t = bridge.dem(s, d)
+    return _r(algebra.terrain_filter(resample.nearest_onto(t, bridge.wse2(t), K), t))
+
+
+@query
+def terrain_violations(s, d):
+    t = bridge.dem(s, d)
+    return algebra.violations(resample.nearest_onto(t, bridge.wse2(t), K), t)
+
+
+@query
+def depth_from_wse(s, d):
+    return _r(_wsh(s, d))
+
+
+@query
+def wse_from_depth(s, d):
+    return _r(algebra.wse_from_depth(_wsh(s, d), bridge.dem(s, d)))
+
+
+@query
+def inundation_mask(s, d):
+    return algebra.wet_of_depth(_wsh(s, d))
+
+
+@query
+def clean_depth(s, d):
+    t = bridge.dem(s, d)
+    raw = algebra.pair(bridge.wse1(t), t).select("row", "col", (F.col("a") - F.col("b") - 30).alias("value"))
+    return _r(algebra.clean_depth(raw))
+
+
+@query
+def mask_apply(s, d):
+    mask = _true(s, d).select("row", "col", (~F.col("wet")).alias("masked"))
+    return _r(algebra.apply_mask(bridge.wse1(bridge.dem(s, d)), mask))
+
+
+@query
+def mosaic(s, d):
+    w = bridge.wse1(bridge.dem(s, d))
+    even, odd = (w.select("row", "col", F.when(F.col("col") % 2 == i, F.col("value")).alias("value")) for i in (0, 1))
+    return _r(algebra.mosaic(even, odd))
+
+
+@query
+def raster_calc(s, d):
+    return _r(algebra.calc(bridge.dem(s, d), "sqrt(value) * 2 - 1"))
+
+
+@query
+def confusion_grid(s, d):
+    return algebra.confusion_grid(_true(s, d), _pred(s, d))
+
+
+@query
+def element_bias(s, d):
+    p = algebra.pair(_wsh(s, d, 3, 7), _wsh(s, d), "t", "p")
+    return _r(p.select("row", "col", algebra.element_bias(F.col("t"), F.col("p")).alias("bias")))
+
+
+@query
+def threshold_mask(s, d):
+    return algebra.threshold(bridge.dem(s, d), 100.0, 200.0)
+
+
+@query
+def display_depths(s, d):
+    return _r(algebra.display(_wsh(s, d), "WSH"))
+
+
+@query
+def round_to_multiple(s, d):
+    return _r(algebra.round_to(bridge.dem(s, d), 5.0))
+
+
+@query
+def mask_invert(s, d):
+    return algebra.invert_mask(bridge.wse1(bridge.dem(s, d)))
+
+
+@query
+def boolean_select(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return algebra.select_where(o, {"o_orderstatus": "F", "o_orderpriority": ["1-URGENT", "2-HIGH"]})
+
+
+# neighbourhoods
+
+
+@query
+def buffer_d4(s, d):
+    return _r(neighbourhood.buffer_d4(bridge.wse1(bridge.dem(s, d))))
+
+
+@query
+def buffer_grow_3(s, d):
+    t = bridge.dem(s, d)
+    return _r(neighbourhood.buffer_rounds(bridge.wse1(t), t, 3))
+
+
+@query
+def clumps(s, d):
+    return neighbourhood.clumps(bridge.wse1(bridge.dem(s, d)), WIDTH)
+
+
+@query
+def largest_clump(s, d):
+    return _r(neighbourhood.largest_clump(bridge.wse1(bridge.dem(s, d)), WIDTH))
+
+
+@query
+def search_donut(s, d):
+    t = bridge.dem(s, d)
+    return neighbourhood.donut(resample.nearest_onto(t, bridge.wse2(t), K), 1.5 * K)
+
+
+@query
+def knn_fill(s, d):
+    t = bridge.dem(s, d)
+    coarse = bridge.wse2(t)
+    return _r(neighbourhood.knn_fill(neighbourhood.donut(resample.nearest_onto(t, coarse, K), 1.5 * K), coarse, K))
+
+
+@query
+def cost_allocation(s, d):
+    return _r(neighbourhood.cost_allocation(bridge.wse1(bridge.dem(s, d))))
+
+
+@query
+def focal_mean(s, d):
+    return _r(neighbourhood.focal(bridge.dem(s, d)))
+
+
+@query
+def pixels_to_points(s, d):
+    return _r(neighbourhood.to_points(bridge.wse1(bridge.dem(s, d))))
+
+
+@query
+def idw_interpolation(s, d):
+    q = resample.block_reduce(bridge.dem(s, d), K).select("row", "col", ((F.col("row") + 0.5) * K).alias("y"), ((F.col("col") + 0.5) * K).alias("x"))
+    p = bridge.marks(s, d).select("id", "x", (-F.col("y")).alias("y"), F.col("water_depth").alias("value"))
+    return _r(neighbourhood.idw(q, p, 6.0))
+
+
+# methods
+
+
+@query
+def method_basic(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.basic(t, bridge.wse2(t), K))
+
+
+@query
+def method_simple_filter(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.simple_filter(t, bridge.wse2(t), K))
+
+
+@query
+def method_buffer_grow(s, d):
+    t = bridge.dem(s, d)
+    return _r(neighbourhood.buffer_rounds(methods.simple_filter(t, bridge.wse2(t), K), t, 2))
+
+
+@query
+def method_buffer_grow_loop(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.buffer_grow_loop(t, bridge.wse2(t), K))
+
+
+@query
+def method_cost_grow(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.cost_grow(t, bridge.wse2(t), K, WIDTH, "nearest"))
+
+
+@query
+def method_schumann(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.schumann14(t, bridge.wse2(t), K))
+
+
+# points and polygons
+
+
+@query
+def sample_points(s, d):
+    p = vector.sample(bridge.marks(s, d), _wsh(s, d))
+    return _r(p.select("id", "water_depth", "value"))
+
+
+@query
+def sample_confusion(s, d):
+    codes = algebra.confusion_grid(_true(s, d), _pred(s, d)).withColumnRenamed("code", "value")
+    at = vector.sample(bridge.marks(s, d), codes).filter("value is not null").select(F.col("value").alias("code"))
+    return vector.confusion_labels(at)
+
+
+@query
+def rasterize_polygon(s, d):
+    return vector.rasterize(bridge.dem(s, d), _ring(s, d))
+
+
+@query
+def zonal_stats(s, d):
+    return _r(vector.zonal_stats(bridge.dem(s, d), _ring(s, d)))
+
+
+@query
+def polygon_areas(s, d):
+    """Areas of the polygons around each wet area."""
+    labels = neighbourhood.clumps(bridge.wse1(bridge.dem(s, d)), WIDTH)
+    return _r(vector.area_and_centroid(vector.polygonize(labels)).select("poly_id", "area"))
+
+
+@query
+def bbox_of_points(s, d):
+    return vector.bbox(bridge.marks(s, d))
+
+
+@query
+def bbox_overlap(s, d):
+    boxes = bridge.marks(s, d).withColumn("g", F.col("id") % 3).groupBy("g").agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+    return vector.bbox_intersection(boxes)
+
+
+# scores
+
+
+@query
+def inundation_metrics(s, d):
+    return _r(metrics.inundation_metrics(_true(s, d), _pred(s, d)))
+
+
+@query
+def confusion_selfcheck(s, d):
+    t, p = _true(s, d), _pred(s, d)
+    both = t.withColumnRenamed("wet", "t").join(p.withColumnRenamed("wet", "p"), ["row", "col"])
+    return metrics.confusion_selfcheck(algebra.confusion_grid(t, p), metrics.confusion_counts(both))
+
+
+@query
+def wsh_stats(s, d):
+    return _r(metrics.wsh_stats(_wsh(s, d), 4.0))
+
+
+@query
+def raster_stats(s, d):
+    return _r(metrics.raster_stats(bridge.wse1(bridge.dem(s, d))), digits=3)
+
+
+@query
+def unique_values(s, d):
+    return metrics.unique_values(bridge.dem(s, d))
+
+
+@query
+def grid_checks(s, d):
+    t = bridge.dem(s, d)
+    parts = [(n, checks.facts(g)) for n, g in (("dem", t), ("wse", bridge.wse1(t)), ("wsh", _wsh(s, d)))]
+    out = [f.select(F.lit(n).alias("grid"), "is_dem", "is_wse", "is_wsh") for n, f in parts]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query
+def partial_wet(s, d):
+    return checks.partial_wet(_pred(s, d))
+
+
+@query
+def error_metrics(s, d):
+    pairs = table(s, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("true"), (F.col("l_quantity") * F.col("l_tax") * 20 - 5).alias("pred"))
+    return _r(metrics.error_metrics(pairs))
+
+
+@query
+def hwm_validation(s, d):
+    return _r(methods.validate_points(bridge.marks(s, d), _wsh(s, d)))
+
+
+@query
+def label_confusion(s, d):
+    docs = table(s, d, "labels").select(F.col("quality").cast("string").alias("q"), F.col("toxic").cast("string").alias("t"))
+    m = metrics.label_confusion(docs, "q", "t", ["0", "1"])
+    return m.select("true", F.col("0").alias("pred_0"), F.col("1").alias("pred_1"))
+
+
+@query
+def linear_regression(s, d):
+    li = table(s, d, "lineitem").withColumns({"x": F.col("l_quantity").cast("double"), "y": F.col("l_extendedprice").cast("double") / 1000})
+    return _r(metrics.linear_regression(li, "x", "y", ["l_returnflag"]))
+
+
+@query
+def histogram_diff(s, d):
+    return metrics.histogram(table(s, d, "events"), F.col("value"), 2.0, 30)
+
+
+@query
+def quantile_range(s, d):
+    return _r(metrics.quantile_range(bridge.dem(s, d), "value"))
+
+
+@query
+def set_report(s, d):
+    keys = lambda t, c: table(s, d, t).select(F.col(c).alias("k"))
+    return metrics.set_report(keys("customer", "c_custkey"), keys("orders", "o_custkey"), "k")
+
+
+# results
+
+
+@query
+def multires_volume_pivot(s, d):
+    t = bridge.dem(s, d)
+    w = bridge.wse2(t)
+    runs = methods.run_multires(t, w, K, {"Basic": {}, "SimpleFilter": {}}, [1, K])
+    terrain = t.withColumn("dscale", F.lit(1)).unionByName(resample.block_reduce(t, K).withColumn("dscale", F.lit(K)))
+    both = runs.join(terrain.withColumnRenamed("value", "d"), ["dscale", "row", "col"])
+    depth = both.select("method", "dscale", F.greatest(F.coalesce(F.col("value") - F.col("d"), F.lit(0.0)), F.lit(0.0)).alias("h"))
+    vol = depth.groupBy(F.col("method").alias("sim"), "dscale").agg(F.sum(F.col("h") * F.col("dscale") * F.col("dscale")).alias("vol"))
+    m = shaping.multires(vol, [1, K])
+    return _r(m.select("sim", F.col("1").alias("d10"), F.col(str(K)).alias("d50")), digits=3)
+
+
+@query
+def results_long(s, d):
+    m = metrics.inundation_metrics(_true(s, d), _pred(s, d))
+    long = m.select(*[F.col(c).cast("double").alias(c) for c in m.columns]).unpivot([], m.columns, "var_name", "val")
+    return _r(shaping.with_level(long, analysis="inun", data_type="metric", sim_name="sim"))
+
+
+@query
+def sim_wide_points(s, d):
+    at = [vector.sample(bridge.marks(s, d), _wsh(s, d, a, b), name="pred").filter("pred is not null").select("id", F.lit(n).alias("sim"), F.col("water_depth").alias("true"), "pred") for n, a, b in (("one", 7, 3), ("two", 3, 7))]
+    return _r(shaping.sim_points(at[0].unionAll(at[1]), ["one", "two"]))
+
+
+# no SQL
+
+
+@query
+def random_analog(s, d):
+    return metrics.wsh_stats(synth.random_depths(bridge.dem(s, d)))
+
+
+@query
+def hwm_windowed(s, d):
+    e = table(s, d, "events").select("ts", (F.col("event_id") % WIDTH + 0.5).alias("x"), (-(F.floor(F.col("event_id") / WIDTH) % 15 + 0.5)).alias("y"), F.col("value").cast("double").alias("water_depth"))
+    return _r(hwm.scored(e, _wsh(s, d), window="1 day"))
+
+
+@query
+def regression_pvalue(s, d):
+    return metrics.with_pvalue(linear_regression(s, d))
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in ORACLES.items() if k in _Q}
