@@ -1,8 +1 @@
 """Training-data operators on Spark DataFrames: dedup, decontamination, mixing, sharding, PII, HTML, language, search."""
-
-import sys
-
-from pyspark.cloudpickle import register_pickle_by_value
-
-# Functions of this subpackage travel to the executors as code, so nothing need be installed there.
-register_pickle_by_value(sys.modules[__name__])

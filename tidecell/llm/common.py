@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import materialize, shared_dir
+
+__all__ = ["WORD", "materialize", "shared_dir", "slices", "table", "utf8_of", "word_count"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,27 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidecell-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once under the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidecell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(col) -> F.Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -49,7 +49,7 @@ _ENDS = {k: frozenset(v.split()) for k, v in ENDS.items()}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SEED, PAGES = 42, 500
+SEED, PAGES = 42, 1200
 
 
 class Node:
@@ -277,7 +277,7 @@ def model() -> boosting.Trees:
         for n in reversed(nodes):
             held[id(n)] = any(mark in p if isinstance(p, str) else held[id(p)] for p in n.parts)
         y += [held[id(n)] for n in nodes]
-    return boosting.train(np.array(x, float), np.array(y, float))
+    return boosting.train(np.array(x, float), np.array(y, float), 60, 5, .2)
 
 
 def extract(pages: list[str | None], trees: boosting.Trees) -> list[str]:

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.operators.components import connected_components
+
 from .common import materialize, slices, utf8_of
-from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, MIN_WORDS, BLOCK, SEED = 5, 0.8, 12, 4, 30, 1024, 42
 _U = np.uint64

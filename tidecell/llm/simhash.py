@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.operators.components import connected_components
+
 from .common import materialize
-from .components import connected_components
 
 SHINGLE, SEED, TAU, SEGMENTS, BLOCK = 3, 42, 3, 4, 8192
 _PIECE = 1 << 20
