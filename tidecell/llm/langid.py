@@ -28,6 +28,8 @@ from .common import slices, utf8_of
 DIM, CENTROIDS, SAMPLE, ROUNDS, SEED = 1 << 13, 3, 1600, 12, 42
 #: A text is rejected below this share of the lowest cosine of its language's training texts of its length class.
 REJECT_SHARE, REJECT_QUANTILE, LENGTHS = 0.3, 0.01, (4, 16, 64, 256)
+#: And below this cosine in any case, as no n-gram of weight is shared.
+LEAST_COSINE = 0.02
 _ROWS, _PIECE = 128, 1 << 18
 
 
@@ -147,7 +149,7 @@ def fit(docs: DataFrame) -> Model | None:
         v, kind = _vectors(tf, idf), _length_class(tf)
         c = _kmeans(v, CENTROIDS, rng)
         best = (v @ c.T).max(axis=1)
-        floor = [REJECT_SHARE * float(np.quantile(best[kind == k], REJECT_QUANTILE)) if (kind == k).sum() >= 20 else 0.0 for k in range(len(LENGTHS) + 1)]
+        floor = [max(LEAST_COSINE, REJECT_SHARE * float(np.quantile(best[kind == k], REJECT_QUANTILE)) if (kind == k).sum() >= 20 else 0.0) for k in range(len(LENGTHS) + 1)]
         centroids.append(c)
         langs += [lang] * len(c)
         floors += [floor] * len(c)

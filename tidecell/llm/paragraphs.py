@@ -139,7 +139,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def forest(digests: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what links of SIMILARITY connect: breadth-first, one set against all the rest at a time."""
+    """(first, member) for each set that links of SIMILARITY reach from a first one: breadth-first, one set against all the
+    rest at a time."""
     digests, keep = np.unique(digests, return_index=True)
     sets = [sets[i] for i in keep]
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)

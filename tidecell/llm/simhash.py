@@ -95,7 +95,8 @@ def within(diff: np.ndarray, masks: list[tuple[np.uint64, int]]) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, start_segment: int) -> list[tuple[int, int]]:
-    """Links that connect whatever links of this chain connect: breadth-first, each fingerprint is expanded once."""
+    """(first, member) for each fingerprint that links of this chain reach from a first one: breadth-first, each fingerprint
+    is expanded once."""
     masks, fps = chain_masks(start_segment), fps.view(np.uint64)  # counts of bits want them unsigned
     left, out = np.arange(len(fps)), []
     while len(left) > 1:
@@ -149,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> a forest of links (a, b) with the same components as all links."""
+    """Distinct fingerprints (fp) -> pairs (a, b) with the same components as all links."""
     width = 64 // SEGMENTS
     segment = lambda i: F.shiftrightunsigned("fp", width * (i % SEGMENTS)).bitwiseAND((1 << width) - 1)
     half = lambda i, h: F.shiftrightunsigned("fp", width * (i % SEGMENTS) + h * width // 2).bitwiseAND((1 << width // 2) - 1)
