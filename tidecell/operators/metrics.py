@@ -41,6 +41,11 @@ def confusion_selfcheck(codes: DataFrame, counts: DataFrame) -> DataFrame:
     return long.join(confusion_labels(codes), "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("by_grid"), "by_count", (F.coalesce("n", F.lit(0)) == F.col("by_count")).alias("equal"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r; NULL where either is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def error_metrics(df: DataFrame, true: str = "true", pred: str = "pred", by: list[str] | None = None, normed: bool = False) -> DataFrame:
     """Bias, its shift, errors, correlation and wet/dry counts (wet: above 0) of pairs; normed turns counts to shares."""
     t, p = F.col(true), F.col(pred)
@@ -48,7 +53,7 @@ def error_metrics(df: DataFrame, true: str = "true", pred: str = "pred", by: lis
     bias = F.try_divide(F.sum(p), F.sum(t))
     return df.groupBy(*(by or [])).agg(
         bias.alias("bias"), (bias - 1).alias("bias_shift"), F.avg(p - t).alias("meanError"), F.avg(F.abs(p - t)).alias("meanErrorAbs"),
-        F.sqrt(F.avg((p - t) * (p - t))).alias("RMSE"), F.corr(t, p).alias("pearson"),
+        F.sqrt(F.avg((p - t) * (p - t))).alias("RMSE"), correlation(t, p).alias("pearson"),
         count((t > 0) & (p > 0)).alias("TP"), count((t <= 0) & (p > 0)).alias("FP"), count((t <= 0) & (p <= 0)).alias("TN"), count((t > 0) & (p <= 0)).alias("FN"),
     )
 
@@ -60,7 +65,7 @@ RETRIEVE: dict = {
     "meanError": lambda t, p: F.avg(p - t),
     "meanErrorAbs": lambda t, p: F.avg(F.abs(p - t)),
     "RMSE": lambda t, p: F.sqrt(F.avg((p - t) * (p - t))),
-    "pearson": lambda t, p: F.corr(t, p),
+    "pearson": correlation,
 }
 
 
@@ -113,7 +118,7 @@ def linear_regression(df: DataFrame, x: str, y: str, by: list[str] | None = None
     X, Y = F.col(x), F.col(y)
     r2, n = F.regr_r2(Y, X), F.regr_count(Y, X)
     return df.groupBy(*(by or [])).agg(
-        F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"), F.corr(X, Y).alias("rvalue"),
+        F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"), correlation(X, Y).alias("rvalue"),
         F.sqrt(F.try_divide((1 - r2) * F.regr_syy(Y, X), F.regr_sxx(Y, X) * (n - 2))).alias("stderr"), n.alias("n"),
     )
 

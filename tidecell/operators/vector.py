@@ -42,9 +42,9 @@ def crossings(polygon_edges: DataFrame, y0: float = 0.0, res: float = 1.0) -> Da
 
 def inside(cells: DataFrame, polygons: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
     """The cells whose centre is in a polygon, once for each polygon."""
-    met = cells.join(crossings(edges(polygons), y0, res), "row")
-    cx = x0 + (F.col("col") + 0.5) * res
-    return met.filter(F.size(F.filter("xs", lambda x: x > cx)) % 2 == 1).drop("xs")
+    met = cells.withColumn("cx", x0 + (F.col("col") + 0.5) * res).join(crossings(edges(polygons), y0, res), "row")
+    right = met.withColumn("n", F.size(F.filter("xs", lambda x: x > F.col("cx"))))
+    return right.filter("n % 2 = 1").drop("xs", "cx", "n")
 
 
 def rasterize(cells: DataFrame, polygons: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
