@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import discard
+
 from . import bwt
 from .common import materialize, slices, utf8_of
 
@@ -149,9 +151,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reach = np.array([len(rows[i][4]) + rows[i][2] for i in own])[string] - place
             ok = reach >= np.array([rows[i][2] for i in own])[string]
             np.bitwise_or.at(masks, np.array(own)[string[ok]], np.int64(1) << reach[ok])
-        cols = list(zip(*[r[:6] for r in rows]))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types)], pa.array(masks)], ["m1", "m2", "lo", "hi", "l", "r", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array([r[7] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(masks)], ["eid", "m1", "mask"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -167,35 +167,41 @@ _ITEM = ["m1", "m2", "lo", "hi"]
 
 
 def _masks(contexts: DataFrame) -> DataFrame:
-    """Distinct contexts (cid, m1, m2, l, r, c) -> (cid, mask). l ends at the middle, r starts behind it."""
-    items, out, span = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(SPAN - 1)}), None, SPAN
+    """Distinct contexts (cid, m1, m2, l, r, c) -> (cid, root, mask), root the context's m1. l ends at the middle, r
+    starts behind it. eid names what is distinct at each level; at the first these are the contexts themselves."""
+    each = contexts.withColumnRenamed("cid", "eid").withColumns({"lo": F.lit(0), "hi": F.lit(SPAN - 1)})
+    items, out, span = None, None, SPAN
     while True:
-        each = materialize(items.groupBy(*_ITEM, "l", "r").agg(F.sum("c").alias("c")), "suffix-each")
         sizes = materialize(each.groupBy(*_ITEM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-sizes")
         several = each.join(sizes, _ITEM)
-        dealt = several.filter(f"n <= {GROUP}").select(*_ITEM, "l", "r", "c").repartition(*_ITEM).sortWithinPartitions(*_ITEM)
-        merged = dealt.mapInArrow(_merged, "m1 long, m2 long, lo int, hi int, l binary, r binary, mask long").filter("mask <> 0")
+        dealt = several.filter(f"n <= {GROUP}").select(*_ITEM, "l", "r", "c", "eid").repartition(*_ITEM).sortWithinPartitions(*_ITEM)
+        merged = dealt.mapInArrow(_merged, "eid long, m1 long, mask long").filter("mask <> 0")
         # a context that occurs twice is repeated wherever its bytes reach
         reach = F.expr("shiftleft(1L, least(hi, lo + length(l)) + 1) - shiftleft(1L, greatest(lo, hi - length(r)))")
-        twice = each.filter("c > 1").select(*_ITEM, "l", "r", reach.alias("mask"))
-        known = materialize(merged.unionByName(twice), "suffix-known")
-        part = materialize(items.join(known, [*_ITEM, "l", "r"]).select("cid", "mask"), "suffix-part")
+        known = merged.unionByName(each.filter("c > 1").select("eid", "m1", reach.alias("mask")))
+        if items is None:
+            part = known.select(F.col("eid").alias("cid"), F.col("m1").alias("root"), "mask")
+        else:
+            part = items.select("cid", "root", "eid", "m1").join(materialize(known, "suffix-known"), ["eid", "m1"]).select("cid", "root", "mask")
+        part = materialize(part, "suffix-part")
         out = part if out is None else out.unionAll(part)
-        large = sizes.filter(f"n > {GROUP}")
+        large = sizes.filter(f"n > {GROUP}").drop("n")
         if span == 1 or not large.limit(1).count():
-            return out.groupBy("cid").agg(F.bit_or("mask").alias("mask"))
+            return out.groupBy("cid", "root").agg(F.bit_or("mask").alias("mask"))
         span = -(-span // 2)
-        hot = items.join(large.drop("n"), _ITEM)
+        mine = each.select("*", F.col("eid").alias("cid"), F.col("m1").alias("root")) if items is None else items
         mid = F.expr("int((lo + hi) div 2)")
-        halves = hot.withColumn("__half", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b")))))
+        halves = mine.join(large, _ITEM).withColumn("__half", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b")))))
         # of l the bytes up to a go into the middle, those beyond b go; of r the other way round
         cut = halves.filter("__half.a <= __half.b and lo + length(l) >= __half.a and hi - length(r) <= __half.b").selectExpr(
-            "cid", "m1", "m2", "c", "__half.a as lo", "__half.b as hi",
+            "cid", "root", "m1", "m2", "c", "__half.a as lo", "__half.b as hi",
             "substring(l, greatest(length(l) - (__half.b - lo), 0) + 1, greatest(least(length(l), __half.b - lo) - (__half.a - lo), 0)) as l",
             "substring(l, length(l) - (__half.a - lo) + 1, __half.a - lo) as l_in",
             "substring(r, 1, hi - __half.b) as r_in",
             "substring(r, hi - __half.b + 1, __half.b - __half.a) as r")
-        items = materialize(cut.select("cid", F.xxhash64("m1", "l_in", "r_in").alias("m1"), F.xxhash64("m2", "r_in", "l_in", F.lit(1)).alias("m2"), "l", "r", "c", "lo", "hi"), "suffix-items")
+        longer = cut.select("cid", "root", F.xxhash64("m1", "l_in", "r_in").alias("m1"), F.xxhash64("m2", "r_in", "l_in", F.lit(1)).alias("m2"), "l", "r", "c", "lo", "hi")
+        items = materialize(longer.withColumn("eid", F.xxhash64("m2", "lo", "hi", "l", "r")), "suffix-items")
+        each = materialize(items.groupBy("eid", *_ITEM, "l", "r").agg(F.sum("c").alias("c")), "suffix-each")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -207,13 +213,16 @@ def removals(docs: DataFrame) -> DataFrame:
     runs = found.join(keys, "key").groupBy("tid").agg(F.collect_set(F.struct("lo", "more", "anchor")).alias("runs"))
     first = long.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     need = materialize(runs.join(first, "tid"), "suffix-need")
+    discard(found, keys)
     there = (long["tid"] == need["tid"]) & long["doc_id"].eqNullSafe(need["first_id"])
     texts = materialize(long.join(need, there).select(need["tid"], "text", "runs", "copies"), "suffix-texts")
+    discard(need)
     rows = texts.select("tid", "text", "runs").mapInArrow(_contexts, "m1 long, m2 long, tid long, middle int, l binary, r binary")
-    spans = materialize(rows.withColumn("cid", F.xxhash64("m1", "m2", "l", "r")), "suffix-spans")
-    contexts = materialize(spans.groupBy("m1", "m2", "l", "r").agg(F.first("cid").alias("cid"), F.count(F.lit(1)).alias("c")), "suffix-contexts")
+    spans = materialize(rows.withColumn("cid", F.xxhash64("m2", "l", "r")), "suffix-spans")
+    contexts = materialize(spans.groupBy("cid", "m1", "m2", "l", "r").agg(F.count(F.lit(1)).alias("c")), "suffix-contexts")
     masks = materialize(_masks(contexts), "suffix-masks")
-    hits = spans.select("tid", "middle", "cid").join(masks, "cid").groupBy("tid").agg(F.collect_list(F.struct("middle", "mask")).alias("hits"))
+    discard(contexts)
+    hits = spans.select("tid", "middle", "cid", F.col("m1").alias("root")).join(masks, ["cid", "root"]).groupBy("tid").agg(F.collect_list(F.struct("middle", "mask")).alias("hits"))
     return texts.filter("copies = 1").select("tid", "text").join(hits, "tid")
 
 
