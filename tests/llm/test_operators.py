@@ -309,7 +309,7 @@ def test_langid(spark):
     by = {x.doc_id: x for x in out}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 and by[i].rejected for i in (900, 901, 902))
     assert by[903].rejected and not by[None].held_out and all(0 <= x.score <= 1 for x in out)
-    kept = {x.doc_id for x in langid.keep_known(frame(spark, rows)).collect()}
+    kept = {x.doc_id for x in langid.keep_known(frame(spark, rows).withColumns({"score": F.lit(1), "rejected": F.lit(True)})).collect()}
     assert kept == {x.doc_id for x in out if not x.rejected}
     nothing = langid.report(frame(spark, [(1, "the and", None, None, None)])).collect()
     assert nothing[0].lang_pred == "und"

@@ -156,10 +156,10 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(idf, np.concatenate(centroids).astype(np.float32), langs, np.array(floors))
 
 
-def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """columns of docs, and lang_pred, score (the cosine), rejected."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", lang_pred string, score double, rejected boolean"
-    names = [*columns, "lang_pred", "score", "rejected"]
+def predict(docs: DataFrame, model: Model | None, columns: list[str], prefix: str = "") -> DataFrame:
+    """columns of docs, and lang_pred, score (the cosine), rejected, their names with the prefix."""
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + f", {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean"
+    names = [*columns, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
     full = docs.select(*columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"), F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +187,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected. Their texts stay in the JVM; only ids and verdicts come back from Python."""
-    out = predict(docs, fit(docs), docs.columns)
-    return out.filter("not rejected").select(*docs.columns)
+    """The documents that are not rejected, with all their columns; no shuffle."""
+    return predict(docs, fit(docs), docs.columns, "__").filter("not __rejected").select(*docs.columns)
