@@ -1,6 +1,8 @@
 """The corpus pipeline: language, near duplicates, benchmark leaks, source weights, shards.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and is written and read again.
+All but the last return the columns they were given, whatever those are called. An empty table stays empty, and a null
+in a column that a stage does not read plays no part.
 """
 
 from __future__ import annotations
@@ -12,22 +14,30 @@ from tidecell.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what is rejected: texts that are null, empty or without letters, and those far from every language. Rows that
+    repeat share their fate; a null lang or doc_id is only left out of the learning."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; rows that repeat that id stay together, null and empty
+    texts are one group, and null ids stay only where a whole group has none."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of benchmark; null and empty texts stay, rows that repeat share their fate."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents until each source has its share; a null text or one without words goes, a null
+    source is a source, and of rows that repeat (doc_id, source, text) one stands for all, as often as all are taken."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds slot and shard by doc_id; a null doc_id is placed by its text. Rows that repeat share a shard."""
     return sharding.assign(docs)
 
 

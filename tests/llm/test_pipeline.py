@@ -40,3 +40,30 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["mix"]) <= set(kept["decontaminate"]) and sorted(kept["shard"]) == sorted(kept["mix"])
     assert "shard" in at.columns and all(0 <= x.shard < sharding.SHARDS for x in at.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["shard"])
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, score double, rejected boolean, copies int, size int, m int, key string, value string"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """No rows; nulls everywhere, repeated rows, ties, and columns that are called like those of the operators."""
+    spark.createDataFrame([(0, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = spark.createDataFrame([], CLASH)
+    r = random.Random(1)
+    some = [(i, prose(r, "en", 40), "en", "s", 0, *[None] * 9) for i in range(30)]
+    some += [some[3], some[3], (None, None, None, None, None, *[None] * 9), (None, None, None, None, None, *[None] * 9), (None, prose(r, "en", 30), None, None, 1, *[None] * 9), (7, "", "de", "t", 0, *[None] * 9)]
+    odd = spark.createDataFrame(some, CLASH)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0
+        again = stage(spark, odd, str(tmp_path))
+        assert again.columns[: len(odd.columns)] == odd.columns
+        rows = [x.doc_id for x in again.collect()]
+        if name == "language":
+            assert sorted(map(str, rows)) == sorted([*map(str, range(30)), "3", "3", "None"])
+        elif name == "near_duplicates":
+            assert rows.count(3) == 3 and rows.count(0) == 1
+        elif name == "mix":
+            assert set(map(str, rows)) == {*map(str, range(30)), "None"}
+        else:
+            assert len(rows) == len(some)
