@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecell.llm import decontam, langid, mixing, sharding, simhash
+from tidecell.llm import decontam, langid, mixing, nearcopies, sharding
 from tidecell.llm.common import materialize, table
 
 
@@ -20,9 +20,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; rows that repeat that id stay together, null and empty
-    texts are one group, and null ids stay only where a whole group has none."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest doc_id of each group of texts that five-word similarities of 0.8 or more link;
+    rows that repeat that id stay together, null and empty texts are one group, and null ids stay only where a whole group
+    has none."""
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

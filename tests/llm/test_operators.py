@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidecell.llm import bwt, decontam, html, langid, mixing, paragraphs, pii, sharding, simhash, suffix, vafile
+from tidecell.llm import bwt, decontam, html, langid, mixing, nearcopies, paragraphs, pii, sharding, simhash, suffix, vafile
 
 WORDS = "der die und ist nicht eine von zu mit sich auf das the and of to in is that for with was".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -410,3 +410,57 @@ def test_long_words_in_pieces(monkeypatch):
     want = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "_PIECE", 300)
     assert simhash.fingerprint(text) == want == brute_fp(text)
+
+
+def words_of(text):
+    return tuple(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+
+
+def edited(r, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[r.randrange(len(words))] = prose(r, 1)
+    return " ".join(words)
+
+
+def test_near_copies_by_similarity(spark, corpus, monkeypatch):
+    """Groups are the components of five-word similarities of 0.8 or more, also where keys and groups span many blocks."""
+    r = random.Random(21)
+    base = [prose(r, n) for n in (5, 30, 60, 120, 300, 900)]
+    docs = [(1000 + i, edited(r, base[i % 6], r.randint(0, 1 + len(base[i % 6].split()) // 60)), "en", "s", 0) for i in range(90)]
+    docs += [(2000, "a b", None, None, None), (2001, "A  b", None, None, None), (2002, base[3].upper(), None, None, None)]
+    docs += [(None, base[4], "en", "s", 0), (None, "only nulls here", "en", "s", 0), (None, "only nulls here", "en", "s", 0), docs[0]]
+    rows = corpus + docs
+    texts = sorted({words_of(x[1]) for x in rows})
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for w in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    root = {t: comp[i] for i, t in enumerate(texts)}
+    first = {}
+    named = [(x[0], root[words_of(x[1])]) for x in rows]
+    for d, c in named:
+        if d is not None:
+            first[c] = min(d, first.get(c, d))
+    want = sorted((str(d), str(first.get(c))) for d, c in named)
+    assert len({c for _, c in named}) < len(texts) - 40
+    for block, members, words in ((1 << 15, 1024, 1 << 20), (4, 3, 2000)):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "SET_BLOCK", members)
+        monkeypatch.setattr(nearcopies, "SET_WORDS", words)
+        got = nearcopies.group(frame(spark, rows)).collect()
+        assert sorted((str(x.doc_id), str(x.component_id)) for x in got) == want
+    kept = nearcopies.keep_one(frame(spark, rows)).collect()
+    assert sorted({str(x.doc_id) for x in kept}) == sorted({str(first.get(c)) for _, c in named})
+    assert nearcopies.group(frame(spark, [])).count() == 0 == nearcopies.keep_one(frame(spark, [])).count()
+
+
+def test_pigeonring_keeps_what_is_within_its_distance():
+    r = np.random.default_rng(3)
+    diff = np.zeros((4000, 128), np.uint8)
+    for row, n in zip(diff, r.integers(0, 129, 4000)):
+        row[r.choice(128, n, replace=False)] = 1
+    words = np.packbits(diff, axis=1).view(np.uint64)
+    assert (nearcopies.pigeonring(words) == (diff.sum(axis=1) <= nearcopies.TAU)).all()

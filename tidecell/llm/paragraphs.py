@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidecell.operators.components import connected_components
 
 from .common import materialize, slices, utf8_of
+from .simhash import deal
 
 SHINGLE, SIMILARITY, BANDS, ROWS, MIN_WORDS, BLOCK, SEED = 5, 0.8, 12, 4, 30, 1024, 42
 _U = np.uint64
@@ -46,8 +47,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def hashed_lines(data: np.ndarray):
-    """Bytes of lines -> (line of each shingle, shingle hashes, words of each line, digest of each line)."""
+def hashed_words(data: np.ndarray):
+    """Bytes of lines -> (line of each word, word hashes, words of each line, digest of each line)."""
     blank = _BLANK[data]
     line = np.cumsum(data == 10)
     n_lines = int(line[-1]) + 1 if len(line) else 1
@@ -67,14 +68,25 @@ def hashed_lines(data: np.ndarray):
     nth = np.arange(len(of)) - np.repeat(head, np.diff(np.concatenate([head, [len(of)]])))
     digest = np.zeros(n_lines, np.uint64)
     digest[of[head]] = _mix(np.add.reduceat(words * _powers(0x9E3779B97F4A7C15, int(nth.max()) + 1)[nth], head) + n_words[of[head]].astype(np.uint64))
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), n_words, digest
-    n = len(words) - SHINGLE + 1
-    sums, factor = np.zeros(n, np.uint64), _powers(0xD6E8FEB86659FD93, SHINGLE)
-    for k in range(SHINGLE):
+    return of, words, n_words, digest
+
+
+def shingled(of: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each shingle, shingle hashes) of the words of lines."""
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(words) - size + 1
+    sums, factor = np.zeros(n, np.uint64), _powers(0xD6E8FEB86659FD93, size)
+    for k in range(size):
         sums += words[k : k + n] * factor[k]
-    whole = of[:n] == of[SHINGLE - 1 :]
-    return of[:n][whole], _mix(sums)[whole], n_words, digest
+    whole = of[:n] == of[size - 1 :]
+    return of[:n][whole], _mix(sums)[whole]
+
+
+def hashed_lines(data: np.ndarray):
+    """Bytes of lines -> (line of each shingle, shingle hashes, words of each line, digest of each line)."""
+    of, words, n_words, digest = hashed_words(data)
+    return *shingled(of, words), n_words, digest
 
 
 def _documents(data, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,7 +178,8 @@ def forest(digests: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (root, pair, digest, shingles) -> a spanning forest (a, b) of the links within each (root, pair)."""
     last, digests, sets = None, [], []
 
     def flush() -> pa.RecordBatch:
@@ -196,11 +209,8 @@ def group(docs: DataFrame) -> DataFrame:
     ids = materialize(near.join(sizes, "root").select(F.col("node").alias("digest"), "root", "blocks"), "para-near")
     wanted = distinct.select("digest", "first.doc_id").join(ids, "digest")
     sets = shingle_sets(docs, wanted)
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)))
-    dealt = sets.select("root", F.explode(pairs).alias("pair"), "digest", "shingles").repartition("root", "pair").sortWithinPartitions("root", "pair")
-    rooted = connected_components(dealt.mapInArrow(_links, "a long, b long"))
+    dealt = deal(sets, "digest", "root")
+    rooted = connected_components(dealt.mapInArrow(links_of_sets, "a long, b long"))
     labelled = materialize(distinct.join(rooted, distinct["digest"] == rooted["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "first", "n"), "para-roots")
     groups = materialize(labelled.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("copies")).filter("copies > 1"), "para-groups")
     labels = materialize(labelled.join(groups, "root").select("digest", "rep"), "para-labels")

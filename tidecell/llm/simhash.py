@@ -111,14 +111,15 @@ def forest(fps: np.ndarray, start_segment: int) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted rows (key, pair, fp) -> the key and the fingerprints of each (key, pair); runs may span batches."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted rows (key, pair, longs...) -> the key and the longs, a row each, of each (key, pair); runs may span batches."""
     held: list[np.ndarray] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, pair, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key, pair, *longs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        longs = np.column_stack(longs)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
         bounds = [0, *cut.tolist(), len(key)]
         for i, j in zip(bounds, bounds[1:]):
@@ -126,7 +127,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]
             if held and now != last:
                 yield int(last[0]), np.concatenate(held)
                 held = []
-            held.append(fp[i:j])
+            held.append(longs[i:j])
             last = now
     if held:
         yield int(last[0]), np.concatenate(held)
@@ -140,7 +141,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.clear(), b.clear()
         return out
 
-    for key, fps in _runs(batches):
+    for key, fps in runs(batches):
         fps = np.unique(fps)
         for i, j in forest(fps, key >> 25):
             a.append(int(fps[i])), b.append(int(fps[j]))
@@ -149,6 +150,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def deal(members: DataFrame, what: str, *by: str) -> DataFrame:
+    """Members of a group of several blocks go to every pair of blocks that has theirs: (by, pair, other columns), sorted."""
+    own = F.pmod(F.xxhash64(what), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)))
+    rest = [c for c in members.columns if c not in (*by, "blocks")]
+    return members.select(*by, F.explode(pairs).alias("pair"), *rest).repartition(*by, "pair").sortWithinPartitions(*by, "pair")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> pairs (a, b) with the same components as all links."""
     width = 64 // SEGMENTS
@@ -158,10 +168,7 @@ def links(fps: DataFrame) -> DataFrame:
     members = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
     met = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)))
-    dealt = met.select("key", F.explode(pairs).alias("pair"), "fp").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    dealt = deal(met.select("key", "blocks", "fp"), "fp", "key")
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
@@ -179,9 +186,3 @@ def group(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     out = group(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat that id, all stay."""
-    kept = group(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
