@@ -194,4 +194,4 @@ def hillshade(dem: DataFrame, res: float = 1.0, azimuth: float = 315.0, altitude
     dx, dy = (F.col("e") - F.col("w")) / (2 * res), (F.col("n") - F.col("s")) / (2 * res)
     z, a = radians(altitude), radians(360.0 - azimuth + 90.0)
     shade = (sin(z) - cos(z) * (dx * cos(a) + dy * sin(a))) / F.sqrt(1 + dx * dx + dy * dy)
-    return dem.select("row", "col").join(g, ["row", "col"], "left").select("row", "col", (255 * F.greatest(shade, F.lit(0.0))).alias("value"))
+    return dem.select("row", "col").join(g, ["row", "col"], "left").select("row", "col", F.when(shade.isNotNull(), 255 * F.greatest(shade, F.lit(0.0))).alias("value"))

@@ -233,6 +233,11 @@ def focal_mean(s, d):
     return _r(neighbourhood.focal(bridge.dem(s, d)))
 
 
+@query
+def hillshade(s, d):
+    return _r(neighbourhood.hillshade(bridge.dem(s, d), 10.0))
+
+
 @query
 def pixels_to_points(s, d):
     return _r(neighbourhood.to_points(bridge.wse1(bridge.dem(s, d))))
@@ -317,6 +322,11 @@ def polygon_areas(s, d):
     return _r(vector.area_and_centroid(vector.polygonize(labels)).select("poly_id", "area"))
 
 
+@query
+def points_in_polygon(s, d):
+    return vector.select_by_location(bridge.marks(s, d), _ring(s, d)).select("id")
+
+
 @query
 def bbox_of_points(s, d):
     return vector.bbox(bridge.marks(s, d))

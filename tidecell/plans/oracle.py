@@ -127,6 +127,11 @@ select t."row", t."col", round(case when l.root = {_TOP} then t.value end, 6) as
 select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value then coalesce(n.value, f.value) end, 6) as value from dem d join pn n using ("row", "col") left join fill f using ("row", "col")""",
     "sample_points": _b('select id, water_depth, round(h.value, 6) as value from (select id, round(water_depth, 6) as water_depth, "row", "col" from marks) m left join ph h using ("row", "col")'),
     "sample_confusion": _b("""select case code when 111 then 'TP' when 110 then 'TN' when 101 then 'FP' else 'FN' end as label, count(*) as n from marks join code using ("row", "col") group by 1"""),
+    "hillshade": _b("""select "row", "col", round(255 * case when shade < 0 then 0 else shade end, 6) as value from (
+  select "row", "col", (sin(pi() / 4) - cos(pi() / 4) * (dx * cos(pi() * 3 / 4) + dy * sin(pi() * 3 / 4))) / sqrt(1 + dx * dx + dy * dy) as shade from (
+  select "row", "col", (lead(value) over across - lag(value) over across) / 20 as dx, (lag(value) over down - lead(value) over down) / 20 as dy from dem
+  window across as (partition by "row" order by "col"), down as (partition by "col" order by "row")))"""),
+    "points_in_polygon": BASE + "," + _EDGES + '\nselect id from marks join hit using ("row", "col") where wet',
     "rasterize_polygon": BASE + "," + _EDGES + '\nselect "row", "col", wet from hit',
     "zonal_stats": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(value) as count, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(sum(value), 6) as sum,
   round(stddev_pop(value), 6) as std, round(median(value), 6) as median from hit where wet""",
