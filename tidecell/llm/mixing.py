@@ -79,7 +79,8 @@ def _fold(rows: DataFrame, level: int) -> DataFrame:
 
 
 def decide(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(decisions, targets). A decision: source, doc_id, th (the text's hash), size, m rows, and copies of all of them."""
+    """(decisions, targets). A decision: source, doc_id, th (the text's hash), size, m rows, and copies of all of them.
+    The targets are marked for broadcast if they are few enough."""
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(word_count("text")).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"), size.alias("size"))
     units = materialize(rows.groupBy("source", "doc_id", "th", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
@@ -109,7 +110,7 @@ def decide(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = (F.col("v.whole") + F.when(F.col("v.x") >= 1, 1).otherwise(0)).cast("long")
     out = rounded.select("source", "v.id.doc_id", "v.id.th", "v.size", "v.m", copies.alias("copies"))
     nothing = units.filter("size = 0").select("source", "doc_id", "th", "size", "m", F.lit(0).cast("long").alias("copies"))
-    return out.unionAll(nothing), targets
+    return out.unionAll(nothing), small(targets)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def report(docs: DataFrame) -> DataFrame:
     out, targets = decide(docs)
     rows = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     each = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("i") <= F.col("copies") % F.col("m"), 1).otherwise(0)
-    return rows.join(F.broadcast(targets), rows["source"].eqNullSafe(targets["source"])).select("doc_id", rows["source"], "size", "source_size", "target", (each * F.col("size")).cast("long").alias("taken"))
+    return rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", rows["source"], "size", "source_size", "target", (each * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
