@@ -287,11 +287,13 @@ def test_html_pages(spark):
     rows = [
         (1, "u", "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/a>menu</a></li></ul></nav><div class=ad>buy now</div><article><h1>A &amp; B</h1><p>one  two\n<b>three</b><br>four<p>caf&eacute; &#8212; five</article><aside class=sidebar><p>side words here</p></aside><div id=comments><p>first comment of a reader</p></div><footer>&copy; x</footer></body></html>"),
         (2, "v", None), (3, None, ""), (4, "w", "plain &lt;text&gt;"), (5, "x", "<article><p>cut <b off"), (6, "y", "<p>" * 2000 + "deep" + "<div>" * 3000 + "er"),
+        (7, "z", "<head><title>t</title><article><p>one two <svg class=x /> three <svg><path d=1/></svg>four</article>"),
     ]
     got = {x.page_id: x for x in html.report(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
     assert got[1].text == "A & B\none two three four\ncafé — five"
     assert got[2].text == got[3].text == "" and got[2].n_chars == 0
     assert got[4].text == "plain <text>" and got[5].text.startswith("cut") and "deep" in got[6].text
+    assert got[7].text == "one two three four"
 
 
 def lang_rows(n=260):

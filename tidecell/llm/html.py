@@ -104,7 +104,9 @@ def parse(page: str) -> list[Node]:
             continue
         if name in HIDDEN:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            # an svg or math element may end in its own tag, and head may lack its end tag
+            if not ((m[3] or m[6] or "").endswith("/") and name in ("svg", "math")) and not (name == "head" and not close):
+                at = close.end() if close else len(page)
             continue
         if name == "br":
             open_[-1][0].parts.append(" ")
