@@ -459,6 +459,44 @@ def test_near_copies_by_similarity(spark, corpus, monkeypatch):
     assert nearcopies.group(frame(spark, [])).count() == 0 == nearcopies.keep_one(frame(spark, [])).count()
 
 
+def test_near_copies_with_contiguous_changes(spark):
+    """Text appended, cut off, or one block replaced, just within the similarity: nearly all such pairs are grouped."""
+    r = random.Random(31)
+    rows, pairs = [], []
+    for i in range(180):
+        words = prose(r, 240).split()
+        at = r.randrange(200)
+        other = [words + prose(r, 58).split(), words[:194], words[:at] + prose(r, 21).split() + words[at + 21 :]][i % 3]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(other), "en", "s", 0)]
+        pairs.append((2 * i, 2 * i + 1))
+    group = {x.doc_id: x.component_id for x in nearcopies.group(frame(spark, rows)).collect()}
+    for kind in range(3):
+        assert sum(group[b] == a for a, b in pairs[kind::3]) >= 58
+    assert all(group[a] == a for a, _ in pairs)
+
+
+def test_forests_of_many_runs_have_the_components_of_each(monkeypatch):
+    r = np.random.default_rng(5)
+    sizes = [2, 40, 3, 300, 2]
+    base = r.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    fps = base[r.integers(0, 60, sum(sizes))] ^ (np.uint64(1) << r.integers(0, 64, (sum(sizes), 2), dtype=np.uint64))
+
+    def parts(links):
+        first = np.arange(len(fps))
+        for a, b in links:
+            first[first == first[b]] = first[a]
+        return [tuple(first == x) for x in first]
+
+    begin = np.cumsum([0, *sizes])
+    want = [(s + i, s + j) for s, e in zip(begin, begin[1:]) for i, j in nearcopies.forest(fps[s:e])]
+    for hits in (1 << 21, 10):
+        monkeypatch.setattr(nearcopies, "_HITS", hits)
+        got = list(zip(*nearcopies.forests(fps, sizes)))
+        assert len(got) == len(want) and parts(got) == parts(want)
+
+
 def test_pigeonring_keeps_what_is_within_its_distance():
     r = np.random.default_rng(3)
     diff = np.zeros((4000, 128), np.uint8)

@@ -2,13 +2,15 @@
 
 ``simhash`` links fingerprints within 3 bits. Texts of similarity 0.8 lie further apart, so here a fingerprint is wider
 and its pairs are verified. It is the majority of WORDS x 64 hash bits of a text's distinct two-word shingles: an edit
-touches fewer of these than of five-word ones, so near copies stay closer (about 9 % of the bits at similarity 0.8, while
-other texts differ in half). Candidates meet where one of 36 keys of 21 bits is equal, which happens with probability
-1 - (1 - 0.91^21)^36 = 0.995. Among those that meet, the pigeonring filter decides: the first 128 bits form a ring of
-eight segments, and some chain of consecutive segments must keep within TAU l / 8 differences after each l segments.
-
-Exact copies (equal word sequences without regard to case) are combined first. Within a key a breadth-first search gives
-a spanning forest, never all pairs. The components of these candidates get their sets of five-word shingles, and within
+touches no more of these than of five-word ones. At similarity 0.8 scattered single words change about 9 % of the bits,
+one block that is appended, cut off or replaced changes 15 %, as it touches both kinds alike; other texts differ in half.
+The keys are sized for the block: candidates meet where one of 48 keys of 14 bits is equal, which happens with
+probability 1 - (1 - 0.85^14)^48 = 0.994. Among those that meet, the pigeonring filter decides: the first 128 bits form a
+ring of eight segments, and some chain of consecutive segments must keep within TAU l / 8 differences after each l
+segments. That is so just where all segments together keep within TAU, which is tested first, over many keys at once.
+
+Exact copies (equal word sequences without regard to case) are combined first. Within a key only a spanning forest is kept,
+never all pairs. The components of these candidates get their sets of five-word shingles, and within
 each an exact Jaccard search keeps a spanning forest of the links. Large keys and components are dealt out over pairs of
 blocks, by number and by size, so every pair meets in some task.
 
@@ -35,8 +37,10 @@ from .simhash import deal, runs
 
 __all__ = ["SIMILARITY", "group", "keep_one"]
 
-WORDS, KEY_BITS, SEGMENTS, TAU = 12, 21, 8, 32
+WORDS, KEY_BITS, SEGMENTS, TAU = 12, 14, 8, 32
 BLOCK, SET_BLOCK, SET_WORDS = 1 << 15, 1024, 1 << 20
+#: Runs of up to _RUN rows are compared together, _CHUNK rows at a time, while they give no more than _HITS pairs.
+_RUN, _CHUNK, _HITS = 4096, 1 << 16, 1 << 21
 _FEATURE, _SEED, _ROWS = 2, 42, 255
 _LANES = [f"w{i}" for i in range(WORDS)]
 #: A byte's eight bits, one in each byte of a word: sums of up to 255 of them don't overflow.
@@ -107,6 +111,10 @@ def pigeonring(diff: np.ndarray) -> np.ndarray:
     return found
 
 
+def _bits(diff: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(diff[:, 0]) + np.bitwise_count(diff[:, 1])
+
+
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """(first, member) for each fingerprint that a first one reaches: breadth-first, each is expanded once."""
     left, out = np.arange(len(fps)), []
@@ -114,27 +122,65 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         front, left = [left[0]], left[1:]
         start = int(front[0])
         while front and len(left):
-            near = pigeonring(fps[left] ^ fps[front.pop()])
+            diff = fps[left] ^ fps[front.pop()]
+            near = _bits(diff) <= TAU
+            near[near] = pigeonring(diff[near])
             out += [(start, int(v)) for v in left[near]]
             front += left[near].tolist()
             left = left[~near]
     return out
 
 
+def forests(fps: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of fingerprints, one after the other -> places (first, member) of a spanning forest of each."""
+    end = np.repeat(np.cumsum(sizes), sizes)
+    a, b, n, at = [], [], 0, np.arange(len(fps))
+    for lag in range(1, max(sizes)):
+        at = at[at + lag < end[at]]
+        diff = fps[at] ^ fps[at + lag]
+        near = np.flatnonzero(_bits(diff) <= TAU)
+        near = near[pigeonring(diff[near])]
+        a.append(at[near]), b.append(at[near] + lag)
+        n += len(near)
+        if n > _HITS:  # large groups of near copies: one search for each run
+            begin = np.cumsum([0, *sizes])
+            found = [(s + i, s + j) for s, e in zip(begin, begin[1:]) for i, j in forest(fps[s:e])]
+            return tuple(np.array(found).T)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    first = np.arange(len(fps))
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, first[a], least), np.minimum.at(first, first[b], least)
+        first = first[first]
+    member = np.flatnonzero(first != np.arange(len(fps)))
+    return first[member], member
+
+
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b = [], []
+    held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a.clear(), b.clear()
-        return out
-
+        rows = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+        fps = rows[:, 1:].astype(np.int64).view(np.uint64)
+        if len(held) == 1:
+            a, b = np.array(forest(fps), np.int64).reshape(-1, 2).T
+        else:
+            a, b = forests(fps, [len(h) for h in held]) if held else (np.zeros(0, np.int64),) * 2
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 0], pa.int64()), pa.array(rows[b, 0], pa.int64())], ["a", "b"])
+
+    size = 0
     for _, rows in runs(batches):
-        if len(rows) > 1:
-            for i, j in forest(rows[:, 1:].astype(np.int64).view(np.uint64)):
-                a.append(int(rows[i, 0])), b.append(int(rows[j, 0]))
-        if len(a) > 50_000:
+        if len(rows) < 2:
+            continue
+        if held and (len(rows) > _RUN or size + len(rows) > _CHUNK):
+            yield flush()
+            size = 0
+        held.append(rows)
+        size += len(rows)
+        if len(rows) > _RUN:
             yield flush()
+            size = 0
     yield flush()
 
 
