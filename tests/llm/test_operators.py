@@ -119,6 +119,26 @@ def test_decontam_finds_items_across_pieces(monkeypatch):
     assert [bool(x) for x in decontam.matches(texts, index)] == [True] * (len(texts) - 3) + [False] * 3
 
 
+def test_decontam_finds_short_items():
+    """Verbatim copies of every length from MIN_CHARS up, and most short items with a word changed."""
+    r = random.Random(12)
+    for size in [*range(16, 50), 63, 64, 65, 100]:
+        items = [(i, "".join(r.choice("abcdefghij    ") for _ in range(3 * size))) for i in range(12)]
+        items = [(i, "q" + decontam.normal(t)[: size - 2] + "q") for i, t in items]
+        texts = [prose(r, r.randint(0, 30)) + "\n " * (i % 2) + " " + t.upper() + " " + prose(r, r.randint(0, 30)) for i, t in items]
+        got = list(decontam.matches(texts, decontam.build_index(items)))
+        assert all(g.get(n) == 0 for n, g in enumerate(got)), size
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(5 + i % 4))) for i in range(200)]
+    index, texts = decontam.build_index(items), []
+    for _, t in items:
+        words = t.split()
+        words[r.randrange(len(words))] = "other"
+        texts.append(prose(r, 20) + " " + " ".join(words) + " " + prose(r, 20))
+    got = [i in g for i, g in enumerate(decontam.matches(texts, index))]
+    assert sum(got) >= 0.98 * len(items)
+    assert list(decontam.matches(["", None, " "], index)) == [{}, {}, {}]
+
+
 def test_edits():
     def slow(a, b):
         row = [0] * (len(b) + 1)

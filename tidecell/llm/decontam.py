@@ -5,8 +5,11 @@ walks over strings a small edit distance apart soon meet again, so their copies
 becomes Hamming distance. REPEATS walks, with SAMPLES samples of PICKS places from each, give the keys of a window.
 
 A document's windows start at every STRIDE-th word; an item is indexed from every one of its words on, so an item
-anywhere in a document meets windows at several of its words, and each of them has REPEATS * SAMPLES chances. A hit
-places the item in the document, and the window of the item's size there, with room for edits, is verified by the exact
+anywhere in a document meets windows at several of its words, and each of them has REPEATS * SAMPLES chances. A walk
+reaches beyond a short item's end, so two look-ups stand beside it, both at every word of a document. Of each item the
+first MIN_CHARS bytes are looked up and compared in full: a verbatim copy that starts at a word is always found. Items
+under SHORT bytes are also looked up by the 8 or 12 bytes from each of their words on and before each of their words'
+ends, so one of them that edits have spared is enough. A hit places the item in the document, and the window of the item's size there, with room for edits, is verified by the exact
 edit distance. An item is found if the best stretch of the window is similar by SIMILARITY (1 - edits / item's length).
 
 Text is compared in lower case, with white space runs as one blank. Items are broadcast in blocks of ITEM_BLOCK; each
@@ -31,9 +34,20 @@ from pyspark.sql import functions as F
 
 REPEATS, SAMPLES, PICKS, STEPS, STRIDE, SEED = 3, 6, 12, 96, 4, 42
 SIMILARITY, MIN_CHARS, ITEM_BLOCK = 0.8, 16, 5_000
+SHORT, SHORTEST = 64, 32
 _FILTER_BITS, _SLICE = 22, 1 << 20
 
 
+class Lookup(NamedTuple):
+    width: int
+    before: bool  # the bytes before a word's end, else from its start on
+    whole: bool  # only where the item stands there in full
+    keys: np.ndarray  # sorted
+    item: np.ndarray
+    offset: np.ndarray
+    filter: np.ndarray
+
+
 class Index(NamedTuple):
     ids: list[int]
     items: list[str]
@@ -41,6 +55,7 @@ class Index(NamedTuple):
     item: np.ndarray
     offset: np.ndarray  # the window's first byte within the item
     filter: np.ndarray
+    lookups: list[Lookup]
 
 
 def normal(text: str | None) -> str:
@@ -73,6 +88,41 @@ def window_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None =
             yield key, np.logical_and.reduce([inside[p] for p in places[r][s]]) if ends is not None else np.ones(len(starts), bool)
 
 
+def _grams(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the width bytes from each place on."""
+    key = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+    for part in np.lib.stride_tricks.sliding_window_view(data, width)[at].view(np.uint32).T:
+        key = (key ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+    return key * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _lookups(raw: list[bytes]) -> list[Lookup]:
+    def one(width: int, before: bool, whole: bool, chosen: list[int]) -> Lookup:
+        data, places = [], []
+        for n in chosen:
+            t = raw[n]
+            if whole:
+                at = [0]
+            elif before:
+                at = [i - width for i in [*[i for i, b in enumerate(t) if b == 32], len(t)] if i >= width]
+            else:
+                at = [i for i in [0, *[i + 1 for i, b in enumerate(t) if b == 32]] if i + width <= len(t)]
+            data += [t[i : i + width] for i in at]
+            places += [(n, i) for i in at]
+        keys = _grams(np.frombuffer(b"".join(data), np.uint8), np.arange(len(data)) * width, width)
+        order = np.argsort(keys, kind="stable")
+        seen = np.zeros(1 << _FILTER_BITS, bool)
+        seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
+        item, offset = np.array(places, np.int64).T
+        return Lookup(width, before, whole, keys[order], item[order], offset[order], seen)
+
+    every = range(len(raw))
+    least, short = [n for n in every if len(raw[n]) < SHORTEST], [n for n in every if SHORTEST <= len(raw[n]) < SHORT]
+    wanted = [(MIN_CHARS, False, True, [*every]), *[(w, b, False, c) for w, c in ((8, least), (12, short)) for b in (False, True)]]
+    return [one(*x) for x in wanted if x[3]]
+
+
 def build_index(items: list[tuple[int, str | None]]) -> Index:
     kept = [(i, normal(t)) for i, t in items]
     kept = [(i, t) for i, t in kept if len(t) >= MIN_CHARS]
@@ -90,7 +140,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     order = np.argsort(keys, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
-    return Index([i for i, _ in kept], [t for _, t in kept], keys[order], item[order], offset[order], seen)
+    return Index([i for i, _ in kept], [t for _, t in kept], keys[order], item[order], offset[order], seen, _lookups(raw))
 
 
 def edits(item: str, text: str) -> int:
@@ -130,9 +180,23 @@ def candidates(texts: list[bytes], index: Index) -> list[set[tuple[int, int]]]:
     out: list[set[tuple[int, int]]] = [set() for _ in texts]
     data = np.frombuffer(b"\0".join(texts) + bytes(STEPS + 1), np.uint8)
     begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    raw = [t.encode() for t in index.items]
     blanks = np.flatnonzero((data == 32) | (data == 0)) + 1
     every = np.concatenate([[0], blanks[blanks < begin[-1] - 1]]).astype(np.int64)
     owner = np.searchsorted(begin, every, side="right") - 1
+    stops = blanks[blanks <= begin[-1]] - 1
+    for x in index.lookups:
+        places = stops[stops >= x.width] - x.width if x.before else every
+        of = np.searchsorted(begin, stops[stops >= x.width], side="right") - 1 if x.before else owner
+        key = _grams(data, places, x.width)
+        at = np.flatnonzero(x.filter[key >> np.uint64(64 - _FILTER_BITS)])
+        lo, hi = np.searchsorted(x.keys, key[at], "left"), np.searchsorted(x.keys, key[at], "right")
+        for w, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            n = of[w]
+            for i in range(a, b):
+                item, place = int(x.item[i]), int(places[w] - begin[n] - x.offset[i])
+                if not x.whole or texts[n].startswith(raw[item], place):
+                    out[n].add((item, place))
     nth = np.arange(len(every)) - np.searchsorted(every, begin[:-1])[owner]
     starts, owner = every[nth % STRIDE == 0], owner[nth % STRIDE == 0]
     for key, _ in window_keys(data, starts):
