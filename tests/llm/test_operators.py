@@ -366,6 +366,22 @@ def test_vafile(spark):
     assert vafile.report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vafile_ranks_repeated_rows(spark):
+    """The full list of rows of a join of the rows: repeated candidates, queries, and one id with two vectors."""
+    r = np.random.default_rng(9)
+    vec = [(i, [float(x) for x in r.normal(size=6)]) for i in range(120)]
+    vec += [vec[50]] * 5 + [(200 + 7 * i, vec[50][1]) for i in range(3)] + [vec[100]] + [(0, vec[7][1])]
+    best = max(range(1, 120), key=lambda i: sum(a * b for a, b in zip(vec[0][1], vec[i][1])))
+    vec += [vec[best]] * 2
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vec]
+    want = []
+    for q in (0, 50, 100):
+        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, v in good if j == q for i, w in good if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    got = sorted(map(tuple, vafile.report(spark.createDataFrame(vec, "vec_id long, embedding array<double>")).filter("query_id in (0, 50, 100)").collect()))
+    assert got == sorted(want)
+
+
 def brute_fp(text):
     w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
     sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])

@@ -10,8 +10,9 @@ before the shuffle, so a vector that many rows share costs no more than any othe
 each of which scans the file once; that block is all that is broadcast.
 
 Edge cases: a null vector, one with a null or non-finite component, and a null id take no part; a shorter vector is
-filled up with zeros; rows that repeat an id are excluded together when that id is the query; ties go to the smaller
-id; fewer than k candidates are all returned; an empty table gives an empty result.
+filled up with zeros; rows that repeat an id are excluded together when that id is the query; equal rows are searched
+as one, and ranked as often as they stand there, times the rows of the query, as a join of the rows would; ties go to the
+smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,26 +54,26 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def approximate(vectors: DataFrame, low: np.ndarray, width: np.ndarray) -> DataFrame:
-    """(vec_id, cells): the approximation file."""
+    """(row, vec_id, cells): the approximation file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = ((_matrix(batch.column(1), len(low)) - low) // width).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in cells], pa.binary())], ["vec_id", "cells"])
+            cells = ((_matrix(batch.column(2), len(low)) - low) // width).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in cells], pa.binary())], ["row", "vec_id", "cells"])
 
-    return vectors.mapInArrow(run, "vec_id long, cells binary")
+    return vectors.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, cells binary")
 
 
-def bounds(file: DataFrame, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, lb, ub) of all that one task can't rule out by what it has scanned."""
+def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
+    """(query, row, vec_id, lb, ub) of all that one task can't rule out by what it has scanned."""
     plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), k), -np.inf)
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False)
-            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(every), len(low))
+            place, every = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(every), len(low))
             for i in range(0, len(every), _SCAN):
                 vec, floor = every[i : i + _SCAN], (low + packed[i : i + _SCAN].astype(np.int64) * width).astype(np.float64)
                 ceil = floor + (width - 1)
@@ -81,27 +82,28 @@ def bounds(file: DataFrame, ids: np.ndarray, queries: np.ndarray, low: np.ndarra
                 lb[own] = ub[own] = -np.inf
                 best = -np.partition(-np.concatenate([best, lb], axis=1), k - 1, axis=1)[:, :k]
                 q, c = np.nonzero((ub >= best.min(axis=1)[:, None]) & ~own)
-                held.append((q, vec[c], lb[q, c], ub[q, c]))
+                held.append((q, place[i : i + _SCAN][c], vec[c], lb[q, c], ub[q, c]))
             if sum(len(h[0]) for h in held) > 1_000_000:  # what the later batches have ruled out goes
                 held = [_still(held, best)]
         if held:
-            q, vec, lb, ub = _still(held, best)
+            q, row, vec, lb, ub = _still(held, best)
             for i in range(0, len(q), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[s]]), pa.array(vec[s]), pa.array(lb[s]), pa.array(ub[s])], ["query_id", "vec_id", "lb", "ub"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[q[s]]), pa.array(row[s]), pa.array(vec[s]), pa.array(lb[s]), pa.array(ub[s])], ["query", "row", "vec_id", "lb", "ub"])
 
-    return file.mapInArrow(run, "query_id long, vec_id long, lb double, ub double")
+    return file.mapInArrow(run, "query long, row long, vec_id long, lb double, ub double")
 
 
 def _still(held: list, best: np.ndarray) -> tuple:
-    q, vec, lb, ub = (np.concatenate(x) for x in zip(*held))
+    q, row, vec, lb, ub = (np.concatenate(x) for x in zip(*held))
     ok = ub >= best.min(axis=1)[q]
-    return q[ok], vec[ok], lb[ok], ub[ok]
+    return q[ok], row[ok], vec[ok], lb[ok], ub[ok]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """vectors, queries (vec_id, v) -> (query_id, rank, vec_id, score): each query's k best other rows."""
-    vectors, queries = materialize(vectors, "va-exact"), materialize(queries, "va-queries")
+    equal = lambda rows: rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.monotonically_increasing_id())
+    vectors, queries = materialize(equal(vectors), "va-exact"), materialize(equal(queries), "va-queries")
     same = Window.partitionBy("v").orderBy("vec_id")
     pool = materialize(vectors.withColumn("__n", F.row_number().over(same)).filter(f"__n <= {k + 1}").drop("__n"), "va-pool")
     low, width = _cells(vectors)
@@ -114,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not rows:
             continue
         q = _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.int64())), len(low))
-        near = materialize(bounds(file, np.array([r["vec_id"] for r in rows]), q, low, width, k), "va-bounds")
+        near = materialize(bounds(file, np.array([r["row"] for r in rows]), np.array([r["vec_id"] for r in rows]), q, low, width, k), "va-bounds")
         part = _exact(near, pool, block, k)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -122,18 +124,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def _exact(near: DataFrame, pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def score(pairs: DataFrame) -> DataFrame:
-        q = queries.distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        both = pairs.join(pool, "vec_id").join(F.broadcast(q), "query_id")  # one block of queries
-        return both.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
-
-    per = lambda *order: Window.partitionBy("query_id").orderBy(*order)
-    sure = near.withColumn("n", F.row_number().over(per(F.desc("lb")))).filter(f"n <= {k}").groupBy("query_id").agg(F.min("lb").alias("least"))
-    order = near.join(sure, "query_id").filter("ub >= least").withColumn("n", F.row_number().over(per(F.desc("ub"), "vec_id")))
-    order = materialize(order.select("query_id", "vec_id", "ub", "n"), "va-order")
-    first = materialize(score(order.filter(f"n <= {2 * k}")), "va-first")
-    kth = first.withColumn("n", F.row_number().over(per(F.desc("score"), "vec_id"))).filter(f"n = {k}").select("query_id", F.col("score").alias("kth"))
-    rest = score(order.filter(f"n > {2 * k}").join(kth, "query_id").filter("ub >= kth"))
-    ranked = first.unionAll(rest).withColumn("rank", F.row_number().over(per(F.desc("score"), "vec_id"))).filter(f"rank <= {k}")
+        q = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("n").alias("m"))
+        both = pairs.select("query", "row").join(pool, "row").join(F.broadcast(q), "query")  # one block of queries
+        return both.select("query", "query_id", "vec_id", (F.col("n") * F.col("m")).alias("times"), F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+
+    per = lambda by, *order: Window.partitionBy(by).orderBy(*order)
+    sure = near.withColumn("n", F.row_number().over(per("query", F.desc("lb")))).filter(f"n <= {k}").groupBy("query").agg(F.min("lb").alias("least"))
+    order = near.join(sure, "query").filter("ub >= least").withColumn("n", F.row_number().over(per("query", F.desc("ub"), "vec_id")))
+    order = materialize(order.select("query", "row", "ub", F.col("n").alias("nth")), "va-order")
+    first = materialize(score(order.filter(f"nth <= {2 * k}")), "va-first")
+    kth = first.withColumn("n", F.row_number().over(per("query", F.desc("score"), "vec_id"))).filter(f"n = {k}").select("query", F.col("score").alias("kth"))
+    rest = score(order.filter(f"nth > {2 * k}").join(kth, "query").filter("ub >= kth"))
+    each = first.unionAll(rest).withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
+    ranked = each.withColumn("rank", F.row_number().over(per("query_id", F.desc("score"), "vec_id"))).filter(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
