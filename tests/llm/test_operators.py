@@ -249,6 +249,15 @@ def test_paragraphs(spark, corpus, block, monkeypatch):
     assert kept[703] == "short line" and kept[602] == dict((d, t) for d, t, *_ in rows)[602]
 
 
+def test_paragraphs_without_ids_link_to_near_copies(spark):
+    r = random.Random(18)
+    text, other = prose(r, 60), prose(r, 60)
+    near = lambda t: " ".join("zzz" if i == 30 else w for i, w in enumerate(t.split()))
+    rows = [(None, text, None, None, None), (1, text, None, None, None), (2, near(text), None, None, None), (None, other, None, None, None), (3, near(other), None, None, None)]
+    got = paragraphs.group(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.rep_doc_id) for x in got) == [("1", None), ("2", None), ("3", None), ("None", None), ("None", None)]
+
+
 def test_paragraphs_empty(spark):
     assert paragraphs.group(frame(spark, [])).count() == 0
 

@@ -10,7 +10,7 @@ SIMILARITY or more. Components with more than BLOCK members are dealt out over p
 verified links the first paragraph (least doc_id, then place) stays.
 
 Edge cases: a null or empty text has no paragraph; shorter paragraphs are never removed; rows that repeat an id count as
-separate copies; a null id sorts first; an empty table gives an empty result. Paragraphs are told apart by 64-bit hashes.
+separate copies; a null id sorts first, and is read by its text's hash; an empty table gives an empty result. Paragraphs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -111,11 +111,11 @@ def _signatures(of: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, para, n_words, digest, bands) of every paragraph of MIN_WORDS or more."""
+    """(doc_id, key, para, n_words, digest, bands) of every paragraph of MIN_WORDS or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, texts = batch.column(0), batch.column(2)
             for text, doc, para in _documents(*utf8_of(batch.column(1))):
                 of, shingles, n_words, digest = hashed_lines(text)
                 long = n_words[of] >= MIN_WORDS
@@ -125,15 +125,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = of[np.concatenate([[True], of[1:] != of[:-1]])]
                 keys = _signatures(of, shingles).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rows])), pa.array(para[rows], pa.int32()), pa.array(n_words[rows], pa.int32()), pa.array(digest[rows].view(np.int64)), bands], ["doc_id", "para", "n_words", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rows])), texts.take(pa.array(doc[rows])), pa.array(para[rows], pa.int32()), pa.array(n_words[rows], pa.int32()), pa.array(digest[rows].view(np.int64)), bands], ["doc_id", "key", "para", "n_words", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, para int, n_words int, digest long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(run, "doc_id long, key long, para int, n_words int, digest long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (doc_id, digest, root, blocks). -> (root, blocks, digest, shingles): each wanted paragraph's distinct shingles."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "root", "blocks")).alias("want"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(lists, "doc_id").select("text", "want")
+    """wanted: (doc_id, key, digest, root, blocks). -> (root, blocks, digest, shingles): each wanted paragraph's distinct shingles."""
+    lists = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "digest", "root", "blocks").groupBy("want_id", "want_key").agg(F.collect_list(F.struct("digest", "root", "blocks")).alias("want"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    joined = texts.join(lists, texts["doc_id"].eqNullSafe(F.col("want_id")) & (texts["key"] == F.col("want_key"))).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,14 +201,14 @@ def links_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def group(docs: DataFrame) -> DataFrame:
     """(doc_id, para, n_words, rep_doc_id, rep_para, removed) of every paragraph with a near or exact copy elsewhere."""
     known = materialize(sketches(docs), "para-sketches")
-    distinct = materialize(known.groupBy("digest").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "para-distinct")
+    distinct = materialize(known.groupBy("digest").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("read"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "para-distinct")
     keys = distinct.select("digest", F.explode("bands").alias("key"))
     stars = materialize(keys.groupBy("key").agg(F.min("digest").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "m"), "para-stars")
     ties = keys.join(stars, "key").filter("digest <> m").select(F.col("digest").alias("a"), F.col("m").alias("b"))
     near = connected_components(ties)
     sizes = materialize(near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "para-sizes")
     ids = materialize(near.join(sizes, "root").select(F.col("node").alias("digest"), "root", "blocks"), "para-near")
-    wanted = distinct.select("digest", "first.doc_id").join(ids, "digest")
+    wanted = distinct.select("digest", "read.doc_id", "read.key").join(ids, "digest")
     sets = shingle_sets(docs, wanted)
     dealt = deal(sets, "digest", "root")
     rooted = connected_components(dealt.mapInArrow(links_of_sets, "a long, b long"))
