@@ -303,6 +303,12 @@ def test_pii(spark):
     assert pii.report(frame(spark, [])).count() == 0
 
 
+def test_pii_iban_before_capitals(spark):
+    texts = ["DE89370400440532013000 The", "DE89 3704 0044 0532 0130 00 In", "pay DE89370400440532013000 GB82WEST12345698765432 42", "DE89370400440532013001 The", "NO93 8601 1117 947 A"]
+    clean = [x.text for x in pii.redact(pii.detect(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]))).orderBy("doc_id").collect()]
+    assert clean == ["[IBAN] The", "[IBAN] In", "pay [IBAN] [IBAN] 42", texts[3], "[IBAN] A"]
+
+
 def test_html_sample_pages():
     trees = html.model()
     wrong = 0
