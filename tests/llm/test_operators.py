@@ -258,6 +258,25 @@ def test_paragraphs_without_ids_link_to_near_copies(spark):
     assert sorted((str(x.doc_id), x.rep_doc_id) for x in got) == [("1", None), ("2", None), ("3", None), ("None", None), ("None", None)]
 
 
+def test_paragraphs_in_and_across_lines(spark):
+    """Passages of PASSAGE words within longer lines and over several lines, and short lines, by their exact copies."""
+    r = random.Random(28)
+    rows, want = [], set()
+    for i in range(20):
+        passage = prose(r, 50)
+        broken = passage.split()
+        broken = "\n".join(" ".join(broken[k : k + 7]) for k in range(0, 50, 7)).upper()
+        rows += [(2 * i, prose(r, r.randint(0, 90)) + " " + passage + " " + prose(r, 60), None, None, None), (2 * i + 1, prose(r, 70) + " " + (broken if i % 2 else passage) + " " + prose(r, r.randint(0, 90)), None, None, None)]
+        want.add((2 * i + 1, 2 * i))
+    rows += [(100 + i, prose(r, 40) + "\nsee the licence for further terms\n" + prose(r, 40), None, None, None) for i in range(3)]
+    rows += [(200, "ab " * 3000, None, None, None), (201, None, None, None, None), (202, "", None, None, None)]
+    got = paragraphs.report(frame(spark, rows)).collect()
+    assert {(x.doc_id, x.rep_doc_id) for x in got if x.unit == "passage" and x.removed} == want
+    assert sorted((x.doc_id, x.para, x.rep_doc_id, x.removed) for x in got if x.unit == "short") == [(100, 1, 100, False), (101, 1, 100, True), (102, 1, 100, True)]
+    assert [x.doc_id for x in paragraphs.remove(frame(spark, rows)).filter("text like '%licence%'").collect()] == [100]
+    assert paragraphs.report(frame(spark, [])).count() == 0
+
+
 def test_paragraphs_empty(spark):
     assert paragraphs.group(frame(spark, [])).count() == 0
 

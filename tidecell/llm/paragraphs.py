@@ -9,7 +9,12 @@ shingles built, once each, and within a component an exact Jaccard search keeps
 SIMILARITY or more. Components with more than BLOCK members are dealt out over pairs of blocks. Of each component of
 verified links the first paragraph (least doc_id, then place) stays.
 
-Edge cases: a null or empty text has no paragraph; shorter paragraphs are never removed; rows that repeat an id count as
+``report`` adds what such lines leave out, both by exact digests. Lines of SHINGLE to MIN_WORDS - 1 words are grouped
+with their copies. Passages are found wherever lines end: of each PASSAGE - WINDOW + 1 consecutive windows of WINDOW
+words in a document, the one with the least hash is taken, so any PASSAGE words that stand in two places give at least
+one window that both places take. Such windows are reported from WINDOW equal words on; ``remove`` cuts lines, not windows.
+
+Edge cases: a null or empty text has no paragraph; lines under SHINGLE words are never removed; rows that repeat an id count as
 separate copies; a null id sorts first, and is read by its text's hash; an empty table gives an empty result. Paragraphs are told apart by 64-bit hashes.
 """
 
@@ -28,6 +33,7 @@ from .common import materialize, slices, utf8_of
 from .simhash import deal
 
 SHINGLE, SIMILARITY, BANDS, ROWS, MIN_WORDS, BLOCK, SEED = 5, 0.8, 12, 4, 30, 1024, 42
+WINDOW, PASSAGE = 25, 50
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -220,9 +226,60 @@ def group(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "para", "n_words", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.para").alias("rep_para"), removed.alias("removed"))
 
 
+def windows(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash) of the windows that the documents' words give; doc ascends."""
+    size = PASSAGE - WINDOW + 1
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n, factor = len(words) - WINDOW + 1, _powers(0xD6E8FEB86659FD93, WINDOW)
+    sums = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        sums += words[k : k + n] * factor[k]
+    hashes = _mix(sums)
+    inside = np.flatnonzero(doc[: len(words) - PASSAGE + 1] == doc[PASSAGE - 1 :])
+    view = np.lib.stride_tricks.sliding_window_view(hashes, size)
+    at = np.unique(np.concatenate([part + view[part].argmin(axis=1) for i in range(0, max(len(inside), 1), 1 << 16) if len(part := inside[i : i + (1 << 16)])] or [inside]))
+    # of a run of equal windows, as one word over and over gives, the first stands for all
+    new = np.concatenate([[True], (hashes[at[1:]] != hashes[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])])[: len(at)]
+    return at[new], hashes[at[new]]
+
+
+def exact_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, para, word, n_words, unit, digest) of the short lines and the windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, doc, para in _documents(*utf8_of(batch.column(1))):
+                of, words, n_words, digest = hashed_words(text)
+                if not len(of):
+                    continue
+                at, hashes = windows(doc[of], words)
+                nth = np.arange(len(of)) - np.searchsorted(doc[of], doc[of])
+                short = np.flatnonzero((n_words >= SHINGLE) & (n_words < MIN_WORDS))
+                line = np.concatenate([short, of[at]])
+                columns = [
+                    batch.column(0).take(pa.array(doc[line])), pa.array(para[line], pa.int32()), pa.array([*[None] * len(short), *nth[at].tolist()], pa.int32()),
+                    pa.array(np.concatenate([n_words[short], np.full(len(at), WINDOW)]), pa.int32()), pa.array(["short"] * len(short) + ["passage"] * len(at), pa.string()),
+                    pa.array(np.concatenate([digest[short], hashes]).view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "para", "word", "n_words", "unit", "digest"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, para int, word int, n_words int, unit string, digest long")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The rows of ``group`` as unit line, and those of short lines and passages that stand in two places or more; word is
+    the place in the document of a passage's first word."""
+    known = materialize(exact_units(docs), "para-exact")
+    groups = materialize(known.groupBy("unit", "digest").agg(F.min(F.struct("doc_id", "para", "word")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "para-exact-groups")
+    same = F.struct("doc_id", "para", "word").eqNullSafe(F.col("rep"))
+    exact = known.join(groups, ["unit", "digest"]).select("doc_id", "para", "n_words", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.para").alias("rep_para"), (~same).alias("removed"), "unit", "word")
+    return group(docs).withColumns({"unit": F.lit("line"), "word": F.lit(None).cast("int")}).unionByName(exact)
+
+
 def remove(docs: DataFrame) -> DataFrame:
-    """The documents without the paragraphs that repeat an earlier one."""
-    gone = group(docs).filter("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    """The documents without the paragraphs and short lines that repeat an earlier one."""
+    gone = report(docs).filter("removed and unit <> 'passage'").groupBy("doc_id").agg(F.collect_set("para").alias("__gone")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     kept = F.filter(lines, lambda s: ~F.array_contains("__gone", s["i"]))

@@ -19,7 +19,7 @@ QUERIES = {
     "op7_html": lambda s, d: html.report(table(s, d, "pages")),
     "op8_langid": lambda s, d: langid.report(_docs(s, d)),
     "op9_vafile": lambda s, d: vafile.report(table(s, d, "embeddings")),
-    "op5_paragraphs": lambda s, d: paragraphs.group(_docs(s, d)),
+    "op5_paragraphs": lambda s, d: paragraphs.report(_docs(s, d)),
     "op10_simhash": lambda s, d: simhash.report(_docs(s, d)),
     "op6_pii": lambda s, d: pii.report(_docs(s, d)),
 }
