@@ -263,3 +263,73 @@ def test_growth_of_one_round_against_the_definition(spark):
         near = [v[k] for k in ((i, j + 1), (i, j - 1), (i + 1, j), (i - 1, j)) if v.get(k) is not None]
         want = v[(i, j)] if v[(i, j)] is not None else sum(near) / len(near) if near else None
         assert (x is None) == (want is None) and (x is None or abs(x - want) < 1e-9)
+
+
+def brute_areas(wet):
+    left, out = set(wet), {}
+    while left:
+        todo = [min(left)]
+        first, area = todo[0], set()
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in left:
+                left.remove((r, c))
+                area.add((r, c))
+                todo += [(r + i, c + j) for i, j in neighbourhood.D4]
+        out |= dict.fromkeys(area, first)
+    return out
+
+
+@pytest.mark.parametrize("tile", [512, 4, 1])
+def test_clumps_over_tiles_and_grids(spark, monkeypatch, tile):
+    import random
+
+    monkeypatch.setattr(neighbourhood, "TILE", tile)
+    r = random.Random(tile)
+    rows, want = [], set()
+    for g in ("a", "b", "c"):
+        wet = {(i, j) for i in range(11) for j in range(13) if r.random() < 0.6}
+        rows += [(g, i, j, 1.5 if (i, j) in wet else None) for i in range(11) for j in range(13)]
+        want |= {(g, i, j, 13 * a + b) for (i, j), (a, b) in brute_areas(wet).items()}
+    cells = spark.createDataFrame(rows, "grid_id string, row int, col int, value double")
+    assert {tuple(x) for x in neighbourhood.clumps(cells, 13).collect()} == want
+    one = cells.filter("grid_id = 'b'").drop("grid_id")
+    assert {tuple(x) for x in neighbourhood.clumps(one, 13).collect()} == {x[1:] for x in want if x[0] == "b"}
+    kept = {(x.grid_id, x.row, x.col) for x in neighbourhood.largest_clump(cells, 13).filter("value is not null").collect()}
+    for g in ("a", "b", "c"):
+        sizes = {}
+        for x in want:
+            if x[0] == g:
+                sizes.setdefault(x[3], []).append(x[:3])
+        best = min(sizes, key=lambda k: (-len(sizes[k]), k))
+        assert {x for x in kept if x[0] == g} == set(sizes[best])
+
+
+@pytest.mark.parametrize("metric", ["octile", "manhattan", "euclidean"])
+def test_nearest_cell_at_any_distance(spark, metric):
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    dist = lambda dy, dx: round(float(neighbourhood.METRICS[metric](np.float64(dy), np.float64(dx))), 9)
+    rows, want = [], set()
+    for g, share, h, w in (("a", 0.03, 40, 30), ("b", 0.5, 9, 7), ("c", 0.0, 3, 3), ("d", 1.0, 2, 2)):
+        src = {(i, j) for i in range(h) for j in range(w) if r.random() < share}
+        rows += [(g, i, j, 10.0 * i + j if (i, j) in src else None) for i in range(h) for j in range(w)]
+        for i in range(h):
+            for j in range(w):
+                if (i, j) not in src and src:
+                    d, a, b = min((dist(abs(i - a), abs(j - b)), a, b) for a, b in src)
+                    want.add((g, i, j, d, a, b, 10.0 * a + b))
+    cells = spark.createDataFrame(rows, "grid_id string, row int, col int, value double")
+    got = neighbourhood.nearest_cell(cells, F.col("value").isNotNull(), metric)
+    assert {tuple(x) for x in got.collect()} == want
+    near = neighbourhood.nearest_cell(cells, F.col("value").isNotNull(), metric, 4.0)
+    assert {tuple(x) for x in near.collect()} == {x for x in want if x[3] <= 4.0}
+
+
+def test_fill_nodata(spark):
+    rows = [(0, c, v) for c, v in enumerate([2.0, None, 6.0, None, None, None, None])]
+    got = neighbourhood.fill_nodata(spark.createDataFrame(rows, "row int, col int, value double"), 2.0).orderBy("col").collect()
+    assert [x.value for x in got] == [2.0, 4.0, 6.0, 6.0, 6.0, None, None]

@@ -15,6 +15,11 @@ def key(*grids: DataFrame) -> list[str]:
     return [c for c in ("grid_id", "row", "col") if all(c in g.columns for g in grids)]
 
 
+def grid_of(cells: DataFrame) -> list[str]:
+    """The column that tells grids apart, where a table holds several."""
+    return [c for c in ("grid_id",) if c in cells.columns]
+
+
 def pair(a: DataFrame, b: DataFrame, left: str = "a", right: str = "b", how: str = "inner") -> DataFrame:
     """Two grids side by side: one equi-join on the cell."""
     k = key(a, b)

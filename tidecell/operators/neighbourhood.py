@@ -1,168 +1,275 @@
-"""Neighbourhood, distance and connectivity on cell tables.
+"""Neighbourhood, distance and connectivity on cell tables, for one grid or, with grid_id, for many.
 
-Stencils scatter a cell's value to its neighbours and aggregate once. Distance searches are equi-joins on tiles: a
-source is dealt to the 3 x 3 tiles around its own, so a theta join is never needed.
+Stencils scatter a cell's value to its neighbours and aggregate once. The nearest source of each cell is found in two
+steps, whatever the distance: down the columns, the sources next above and next below each row (nothing farther in a
+column can be nearer); then along each row, outwards from the cell, until the columns passed are farther than the best
+source. That is two shuffles, one by column and one by row, and no group is larger than a row of the grid.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecell.functions.stage import materialize
 
+from .algebra import grid_of, key
 from .components import connected_components
 
 D4 = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
 
 def _shifted(cells: DataFrame, shifts) -> DataFrame:
+    g = grid_of(cells)
     s = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in shifts])).alias("s")
-    out = cells.select("row", "col", "value", s)
-    return out.select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "value")
+    out = cells.select(*g, "row", "col", "value", s)
+    return out.select(*g, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "value")
 
 
-def buffer_d4(cells: DataFrame) -> DataFrame:
-    """A dry cell takes the mean of its wet four neighbours; all cells read the old grid. One shuffle."""
-    wet = cells.filter("value is not null")
-    own = cells.select("row", "col", "value", F.lit(None).cast("double").alias("near"), F.lit(True).alias("here"))
-    sent = _shifted(wet, D4).select("row", "col", F.lit(None).cast("double").alias("value"), F.col("value").alias("near"), F.lit(None).cast("boolean").alias("here"))
-    out = own.unionAll(sent).groupBy("row", "col").agg(F.max("value").alias("value"), F.avg("near").alias("near"), F.max("here").alias("here"))
-    return out.filter("here").select("row", "col", F.coalesce("value", "near").alias("value"))
+def buffer_d4(cells: DataFrame, *carried: str) -> DataFrame:
+    """A dry cell takes the mean of its wet four neighbours; all cells read the old grid. One shuffle, which the carried
+    columns share."""
+    k = key(cells)
+    empty = {c: F.lit(None).cast(dict(cells.dtypes)[c]).alias(c) for c in ("value", *carried)}
+    own = cells.select(*k, "value", F.lit(None).cast("double").alias("near"), F.lit(True).alias("here"), *carried)
+    sent = _shifted(cells.filter("value is not null"), D4).select(*k, empty["value"], F.col("value").alias("near"), F.lit(None).cast("boolean").alias("here"), *[empty[c] for c in carried])
+    out = own.unionAll(sent).groupBy(*k).agg(F.max("value").alias("value"), F.avg("near").alias("near"), F.max("here").alias("here"), *[F.max(c).alias(c) for c in carried])
+    return out.filter("here").select(*k, F.coalesce("value", "near").alias("value"), *carried)
 
 
 def focal(cells: DataFrame, size: int = 3, how=F.avg) -> DataFrame:
     """An aggregate of the square around each cell, its own value included."""
-    r = size // 2
+    r, k = size // 2, key(cells)
     sent = _shifted(cells.filter("value is not null"), [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)])
-    return cells.select("row", "col").join(sent.groupBy("row", "col").agg(how("value").alias("value")), ["row", "col"], "left")
+    return cells.select(*k).join(sent.groupBy(*k).agg(how("value").alias("value")), k, "left")
+
+
+def _with_dem(cells: DataFrame, dem: DataFrame) -> DataFrame:
+    k = key(cells, dem)
+    return cells.join(dem.select(*k, F.col("value").alias("dem")), k)
+
+
+def _grown(grid: DataFrame) -> DataFrame:
+    return buffer_d4(grid, "dem").withColumn("value", F.when(F.col("value") > F.col("dem"), F.col("value")))
 
 
 def buffer_grow(cells: DataFrame, dem: DataFrame, rounds: int = 30, least_growth: float = 1.00001) -> tuple[DataFrame, list[dict]]:
-    """Buffer and terrain filter in turn until the nulls hardly shrink. -> (grid, what each round did)."""
+    """Buffer and terrain filter in turn until the nulls hardly shrink. -> (grid, what each round did). Of many grids all go
+    on until the last one is done, which changes none of those that are."""
     log: list[dict] = []
-    joined = cells.join(dem.select("row", "col", F.col("value").alias("dem")), ["row", "col"])
-    grid = materialize(joined, "grow")
-    shape = grid.agg(F.countDistinct("row"), F.countDistinct("col"), F.count_if(F.col("value").isNull())).first()
-    before = shape[2]
+    grid = materialize(_with_dem(cells, dem), "grow")
+    g = grid_of(grid)
+    shape = grid.groupBy(*g).agg(F.countDistinct("row").alias("h"), F.countDistinct("col").alias("w"), F.count_if(F.col("value").isNull()).alias("n"))
+    shape = shape.agg(F.max(F.least("h", "w")), F.sum("n")).first()
+    before = shape[1]
     for i in range(rounds):
-        if i > min(shape[0], shape[1]):
+        if i > (shape[0] or 0):
             break
-        grown = buffer_d4(grid).withColumnRenamed("value", "grown")
-        step = grid.join(grown, ["row", "col"]).select("row", "col", F.when(F.col("grown") > F.col("dem"), F.col("grown")).alias("value"), "dem")
-        grid = materialize(step, "grow")
+        grid = materialize(_grown(grid), "grow")
         after = grid.agg(F.count_if(F.col("value").isNull())).first()[0]
         log.append({"round": i, "pre_null": before, "post_null": after, "growth": before / after if after else None})
         if after == 0 or before / after < least_growth:
             break
         before = after
-    return grid.select("row", "col", "value"), log
+    return grid.select(*key(grid), "value"), log
 
 
 def buffer_rounds(cells: DataFrame, dem: DataFrame, rounds: int) -> DataFrame:
-    """A fixed small number of rounds as one lazy plan."""
+    """A fixed small number of rounds as one lazy plan, with one shuffle a round."""
+    grid = _with_dem(cells, dem)
     for _ in range(rounds):
-        grown = buffer_d4(cells).withColumnRenamed("value", "grown")
-        cells = dem.select("row", "col", F.col("value").alias("dem")).join(grown, ["row", "col"]).select("row", "col", F.when(F.col("grown") > F.col("dem"), F.col("grown")).alias("value"))
-    return cells
+        grid = _grown(grid)
+    return grid.select(*key(grid), "value")
+
+
+def fill_nodata(cells: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
+    """A cell without data takes the inverse-distance mean of the cells with data within the radius; NULL if there is none."""
+    k, g, r = key(cells), grid_of(cells), int(radius)
+    disc = [(i, j, (i * i + j * j) ** 0.5) for i in range(-r, r + 1) for j in range(-r, r + 1) if 0 < i * i + j * j <= radius * radius]
+    s = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(d**-power).alias("w")) for i, j, d in disc])).alias("s")
+    sent = cells.filter("value is not null").select(*g, "row", "col", "value", s)
+    sent = sent.select(*g, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "value", F.col("s.w").alias("w"))
+    near = sent.groupBy(*k).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("near"))
+    return cells.join(near, k, "left").select(*k, F.coalesce("value", "near").alias("value"))
 
 
 def cell_id(width: int) -> Column:
     return F.col("row").cast("long") * width + F.col("col")
 
 
+#: Side of the tiles whose areas are labelled at once; areas that leave a tile are joined by the graph of its borders.
+TILE = 512
+
+
+def _tile_labels(rows: pd.DataFrame, width: int, by_value: bool) -> pd.DataFrame:
+    """The 4-connected areas within one tile, labelled by their least cell id."""
+    r, c = rows["row"].to_numpy(np.int64), rows["col"].to_numpy(np.int64)
+    r0, c0 = r.min(), c.min()
+    at = np.full((r.max() - r0 + 3, c.max() - c0 + 3), -1, np.int64)  # a frame without data around it
+    at[r - r0 + 1, c - c0 + 1] = np.arange(len(r))
+    pairs = [(a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]) for a, b in ((at[:, :-1].ravel(), at[:, 1:].ravel()), (at[:-1].ravel(), at[1:].ravel()))]
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    if by_value:
+        value = rows["value"].to_numpy()
+        a, b = a[value[a] == value[b]], b[value[a] == value[b]]
+    least = np.argsort(np.argsort(r * width + c))  # ranks: the least id is the least rank
+    root = np.arange(len(r))[np.argsort(least)]  # cells by rank
+    rank = least.copy()
+    while True:
+        low = np.minimum(rank[a], rank[b])
+        new = rank.copy()
+        np.minimum.at(new, root[rank[a]], low), np.minimum.at(new, root[rank[b]], low)
+        np.minimum.at(new, a, low), np.minimum.at(new, b, low)
+        new = new[root[new]]
+        if (new == rank).all():
+            break
+        rank = new
+    ids = r * width + c
+    return rows.assign(label=ids[root[rank]])
+
+
 def clumps(cells: DataFrame, width: int, by_value: bool = False) -> DataFrame:
-    """(row, col, label) of cells with data: 4-connected areas, labelled by their least cell id (row * width + col).
-
-    Cells of a row are first joined into runs, so the graph has a node for each run and an edge where runs touch."""
-    data = cells.filter("value is not null")
-    w = Window.partitionBy("row").orderBy("col")
-    gap = (F.col("col") - F.lag("col").over(w) != 1) | F.lag("col").over(w).isNull()
-    gap = gap | (F.lag("value").over(w) != F.col("value")) if by_value else gap
-    starts = data.withColumn("start", F.when(gap, cell_id(width)))
-    runs = materialize(starts.select("row", "col", "value", F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")), "clump-runs")
-    up = runs.select((F.col("row") + 1).alias("row"), "col", F.col("run").alias("above"), F.col("value").alias("v"))
-    touch = runs.join(up, ["row", "col"])
-    touch = touch.filter("v = value") if by_value else touch
-    roots = connected_components(touch.select(F.col("run").alias("a"), F.col("above").alias("b")).distinct())
-    return runs.join(roots, runs["run"] == roots["node"], "left").select("row", "col", F.coalesce("root", "run").alias("label"))
+    """(row, col, label) of cells with data: 4-connected areas, labelled by their least cell id (row * width + col), within
+    each grid. Tiles of TILE x TILE cells are labelled each at once; the graph has a node only for areas at a tile's border."""
+    g = grid_of(cells)
+    data = cells.filter("value is not null").select(*g, "row", "col", "value").withColumns({"tr": F.floor(F.col("row") / TILE).cast("int"), "tc": F.floor(F.col("col") / TILE).cast("int")})
+    schema = ", ".join([*[f"{c} string" for c in g], "row int, col int, value double, label long"])
+    typed = data.select(*g, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"), "tr", "tc")
+    tiles = materialize(typed.groupBy(*g, "tr", "tc").applyInPandas(lambda rows: _tile_labels(rows, width, by_value).drop(columns=["tr", "tc"]), schema), "clump-tiles")
+    side = lambda c: (F.col(c) % TILE).isin(0, TILE - 1)
+    edge = tiles.filter(side("row") | side("col"))
+    met = []
+    for i, j in ((1, 0), (0, 1)):
+        last = edge.filter(F.col("row" if i else "col") % TILE == TILE - 1)
+        other = last.select(*g, (F.col("row") + i).alias("row"), (F.col("col") + j).alias("col"), F.col("label").alias("b"), F.col("value").alias("v"))
+        both = edge.join(other, [*g, "row", "col"])
+        met.append((both.filter("v = value") if by_value else both).select(*g, F.col("label").alias("a"), "b").distinct())
+    links = met[0].unionAll(met[1])
+    if not g:
+        roots = connected_components(links)
+        return tiles.join(roots, tiles["label"] == roots["node"], "left").select("row", "col", F.coalesce("root", "label").alias("label"))
+    # grids number their areas alike, so areas get numbers of their own for the graph
+    areas = materialize(tiles.select(*g, "label").distinct().withColumn("node", F.monotonically_increasing_id()), "clump-areas")
+    named = links.join(areas.withColumnsRenamed({"label": "a", "node": "na"}), [*g, "a"]).join(areas.withColumnsRenamed({"label": "b", "node": "nb"}), [*g, "b"])
+    roots = connected_components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    of = areas.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("label").alias("least"))
+    labels = of.join(least, "root").select(*g, "label", "least")
+    return tiles.join(labels, [*g, "label"]).select(*g, "row", "col", F.col("least").alias("label"))
 
 
 def largest_clump(cells: DataFrame, width: int) -> DataFrame:
-    """Values outside the largest area go; of equal areas the one with the least label stays."""
+    """Values outside the largest area of each grid go; of equal areas the one with the least label stays."""
+    g, k = grid_of(cells), key(cells)
     labels = clumps(cells, width)
-    top = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(1)
-    kept = labels.join(F.broadcast(top.select("label")), "label", "left_semi").select("row", "col", F.lit(True).alias("kept"))
-    return cells.join(kept, ["row", "col"], "left").select("row", "col", F.when(F.col("kept"), F.col("value")).alias("value"))
-
-
-def boundary(cells: DataFrame) -> DataFrame:
-    """Cells with data that have no data on some side: the nearest one to any other cell is always among them."""
-    data = cells.filter("value is not null")
-    inner = _shifted(data, D4).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).filter("n = 4")
-    return data.join(inner, ["row", "col"], "left_anti")
-
-
-def donut(cells: DataFrame, radius: float) -> DataFrame:
-    """(row, col) of dry cells of the grid within a Euclidean radius of a wet one."""
-    r = int(radius)
-    disc = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if 0 < i * i + j * j <= radius * radius]
-    reached = _shifted(boundary(cells), disc).select("row", "col").distinct()
-    return cells.filter("value is null").select("row", "col").join(reached, ["row", "col"], "left_semi")
+    sizes = labels.groupBy(*g, "label").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy(*g).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+    kept = labels.join(top, [*g, "label"], "left_semi").select(*k, F.lit(True).alias("kept"))
+    return cells.join(kept, k, "left").select(*k, F.when(F.col("kept"), F.col("value")).alias("value"))
 
 
 METRICS = {
-    "octile": lambda dy, dx: F.greatest(dy, dx) + (2**0.5 - 1) * F.least(dy, dx),
+    "octile": lambda dy, dx: np.maximum(dy, dx) + (2**0.5 - 1) * np.minimum(dy, dx),
     "manhattan": lambda dy, dx: dy + dx,
-    "euclidean": lambda dy, dx: F.sqrt(dy * dy + dx * dx),
+    "euclidean": lambda dy, dx: np.sqrt(dy * dy + dx * dx),
 }
 
 
-def nearest_within(queries: DataFrame, sources: DataFrame, radius: float, metric: str) -> DataFrame:
-    """queries (row, col, y, x), sources (srow, scol, y, x, value) -> (row, col, dist, srow, scol, value) of the nearest
-    source no further than radius; ties go to the least (srow, scol)."""
-    tile = lambda c: F.floor(F.col(c) / radius)
-    q = queries.withColumns({"ty": tile("y"), "tx": tile("x")})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    s = sources.select("srow", "scol", F.col("y").alias("sy"), F.col("x").alias("sx"), "value", F.explode(around).alias("n"))
-    s = s.select("srow", "scol", "sy", "sx", "value", (F.floor(F.col("sy") / radius) + F.col("n.i")).alias("ty"), (F.floor(F.col("sx") / radius) + F.col("n.j")).alias("tx"))
-    dist = F.round(METRICS[metric](F.abs(F.col("y") - F.col("sy")), F.abs(F.col("x") - F.col("sx"))), 9)
-    met = q.join(s, ["ty", "tx"]).withColumn("dist", dist).filter(F.col("dist") <= radius)
-    best = met.groupBy("row", "col").agg(F.min(F.struct("dist", "srow", "scol", "value")).alias("m"))
-    return best.select("row", "col", "m.dist", "m.srow", "m.scol", "m.value")
+def _along_row(rows: pd.DataFrame, metric: str, most: float) -> pd.DataFrame:
+    """The nearest source of each query of one row of cells. rows: queries (srow null) and the sources that columns offer.
+
+    Sources are sorted by x. A query looks at the next one on its left and on its right, further out each time, until
+    both are farther along the row than its best one."""
+    here = rows["srow"].isna().to_numpy()
+    q, s = rows[here], rows[~here].sort_values(["x", "srow"], kind="stable")
+    sx, dy = s["x"].to_numpy(float), np.abs(s["y"] - s["at"]).to_numpy(float)
+    order = s["srow"].to_numpy(np.int64), s["scol"].to_numpy(np.int64)
+    qx = q["x"].to_numpy(float)
+    best, place = np.full(len(q), np.inf), np.full(len(q), -1)
+    start, active, step = np.searchsorted(sx, qx), np.arange(len(q)), 0
+    while len(active) and len(s):
+        going = np.zeros(len(active), bool)
+        for at in (start[active] + step, start[active] - 1 - step):
+            there = (at >= 0) & (at < len(sx))
+            i, k = active[there], at[there]
+            dx = np.abs(qx[i] - sx[k])
+            d = np.round(METRICS[metric](dy[k], dx), 9)
+            old = place[i]
+            tie = (d == best[i]) & (old >= 0)
+            first = (order[0][k] < order[0][old]) | ((order[0][k] == order[0][old]) & (order[1][k] < order[1][old]))
+            better = (d <= most) & ((d < best[i]) | (tie & first))
+            best[i[better]], place[i[better]] = d[better], k[better]
+            going[there] |= dx <= np.minimum(best[i], most)
+        active, step = active[going], step + 1
+    found = place >= 0
+    got = s.iloc[place[found]]
+    return q[found].assign(dist=best[found], srow=got["srow"].to_numpy(), scol=got["scol"].to_numpy(), value=got["value"].to_numpy())
+
+
+def _row_search(queries: DataFrame, offers: DataFrame, metric: str, most: float) -> DataFrame:
+    """queries (row, col, x, at), offers (row, x, y, srow, scol, value) for each row -> (row, col, dist, srow, scol, value)."""
+    g = grid_of(queries)
+    columns = [*g, "row", "col", "x", "at", "y", "srow", "scol", "value"]
+    blank = {"col": "int", "at": "double", "y": "double", "srow": "long", "scol": "long", "value": "double"}
+    fill = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(blank[c]).alias(c) for c in columns])
+    every = fill(queries).unionAll(fill(offers))
+    schema = ", ".join([*[f"{c} string" for c in g], "row int, col int, dist double, srow int, scol int, value double"])
+    out = [*g, "row", "col", "dist", "srow", "scol", "value"]
+    return every.groupBy(*g, "row").applyInPandas(lambda rows: _along_row(rows, metric, most)[out], schema)
+
+
+def _next_sources(cells: DataFrame, is_source: Column) -> DataFrame:
+    """For each cell the struct (row, value) of the next source in its column: above (itself included) and below it."""
+    g = grid_of(cells)
+    here = F.when(is_source, F.struct("row", "value"))
+    seen = lambda order: F.last(here, ignorenulls=True).over(Window.partitionBy(*g, "col").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cells.withColumns({"above": seen("row"), "below": seen(F.desc("row"))})
+
+
+def nearest_cell(cells: DataFrame, is_source: Column, metric: str, most: float = float("inf")) -> DataFrame:
+    """(row, col, dist, srow, scol, value) for each cell that is no source: the nearest cell that is one, no further than
+    most; ties go to the least (srow, scol). Cells beyond most of any source are left out."""
+    g = grid_of(cells)
+    typed = cells.select(*g, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
+    near = _next_sources(typed, is_source)
+    x, at = F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("at")
+    queries = near.filter(~F.coalesce(is_source, F.lit(False))).select(*g, "row", "col", x, at)
+    offers = near.select(*g, "row", "col", x, at, F.explode(F.array_compact(F.array_distinct(F.array("above", "below")))).alias("s"))
+    offers = offers.filter(F.abs(F.col("at") - F.col("s.row")) <= most)
+    return _row_search(queries, offers.select(*g, "row", "x", "at", F.col("s.row").cast("double").alias("y"), F.col("s.row").cast("long").alias("srow"), F.col("col").cast("long").alias("scol"), F.col("s.value").alias("value")), metric, most)
 
 
-def nearest_source(queries: DataFrame, sources: DataFrame, metric: str, radius: float = 8.0, most: float = 1e9) -> DataFrame:
-    """The nearest source of every query, however far: what a radius leaves over is searched again with twice of it."""
-    left, out = queries, None
-    while True:
-        found = materialize(nearest_within(left, sources, radius, metric), "nearest")
-        out = found if out is None else out.unionAll(found)
-        left = left.join(found, ["row", "col"], "left_anti")
-        if radius >= most or not left.limit(1).count():
-            return out
-        radius *= 2
+def donut(cells: DataFrame, radius: float) -> DataFrame:
+    """(row, col) of dry cells of the grid within a Euclidean radius of a wet one."""
+    return nearest_cell(cells, F.col("value").isNotNull(), "euclidean", radius).select(*key(cells))
 
 
-def cost_allocation(cells: DataFrame, radius: float = 8.0) -> DataFrame:
+def cost_allocation(cells: DataFrame) -> DataFrame:
     """Each dry cell takes the value of the cell with data that a walk in eight directions reaches first.
 
     Sources at or below 0 are lost, as 0 marks the background; with no sources the grid stays as it is."""
-    src = cells.filter("value > 0")
-    size = cells.agg(F.max("row"), F.max("col"), F.count_if(F.col("value") > 0)).first()
-    if not size[2]:
-        return cells
-    edge = boundary(src).select(F.col("row").alias("srow"), F.col("col").alias("scol"), F.col("row").cast("double").alias("y"), F.col("col").cast("double").alias("x"), "value")
-    dry = cells.filter("value is null or value <= 0").select("row", "col", F.col("row").cast("double").alias("y"), F.col("col").cast("double").alias("x"))
-    found = nearest_source(dry, edge, "octile", radius, 2.0 * (size[0] + size[1] + 2))
-    return src.select("row", "col", "value").unionAll(found.select("row", "col", "value"))
-
-
-def knn_fill(queries: DataFrame, coarse_wet: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """(row, col) fine cells -> the value of the nearest coarse wet centre by Manhattan distance."""
-    q = queries.select("row", "col", (F.col("row") + 0.5).alias("y"), (F.col("col") + 0.5).alias("x"))
-    s = coarse_wet.filter("value is not null").select(F.col("row").alias("srow"), F.col("col").alias("scol"), ((F.col("row") + 0.5) * k).alias("y"), ((F.col("col") + 0.5) * k).alias("x"), "value")
-    return nearest_source(q, s, "manhattan", radius or 4.0 * k, 1e6).select("row", "col", "value")
+    k, src = key(cells), F.col("value") > 0
+    found = nearest_cell(cells, src, "octile").select(*k, F.col("value").alias("near"))
+    return cells.join(found, k, "left").select(*k, F.when(src, F.col("value")).otherwise(F.coalesce("near", "value")).alias("value"))
+
+
+def knn_fill(queries: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
+    """(row, col) fine cells -> the value of the nearest coarse wet centre by Manhattan distance; ties to the least coarse
+    (row, col). Each coarse column offers a fine row the wet cell it is in, and the next above and below that."""
+    g = grid_of(queries)
+    typed = coarse.select(*g, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
+    wet = F.when(F.col("value").isNotNull(), F.struct("row", "value"))
+    past = lambda order: F.last(wet, ignorenulls=True).over(Window.partitionBy(*g, "col").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    near = typed.withColumns({"above": past("row"), "own": wet, "below": past(F.desc("row"))})
+    near = near.select(*g, "row", "col", F.explode(F.array_compact(F.array("above", "own", "below"))).alias("s"))
+    rows = near.withColumn("row", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col("row") * k + i)))
+    centre = lambda c: (F.col(c) + 0.5) * k
+    offers = rows.select(*g, "row", centre("col").alias("x"), (F.col("row") + 0.5).cast("double").alias("at"), centre("s.row").cast("double").alias("y"), F.col("s.row").cast("long").alias("srow"), F.col("col").cast("long").alias("scol"), F.col("s.value").alias("value"))
+    wanted = queries.select(*g, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col("col") + 0.5).cast("double").alias("x"), (F.col("row") + 0.5).cast("double").alias("at"))
+    offers = offers.join(wanted.select(*g, "row").distinct(), [*g, "row"], "left_semi")
+    return _row_search(wanted, offers.withColumn("x", F.col("x").cast("double")), "manhattan", float("inf")).select(*g, "row", "col", "value")
 
 
 def idw(queries: DataFrame, points: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
@@ -188,10 +295,11 @@ def hillshade(dem: DataFrame, res: float = 1.0, azimuth: float = 315.0, altitude
 
     sent = [(i, j, n) for (i, j), n in zip(D4, "wens")]
     arr = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(n).alias("n")) for i, j, n in sent])).alias("s")
-    near = dem.select("row", "col", "value", arr).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "value", F.col("s.n").alias("n"))
+    k, grids = key(dem), grid_of(dem)
+    near = dem.select(*k, "value", arr).select(*grids, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "value", F.col("s.n").alias("n"))
     at = lambda n: F.max(F.when(F.col("n") == n, F.col("value")))
-    g = near.groupBy("row", "col").agg(*[at(n).alias(n) for n in "wens"])
+    g = near.groupBy(*k).agg(*[at(n).alias(n) for n in "wens"])
     dx, dy = (F.col("e") - F.col("w")) / (2 * res), (F.col("n") - F.col("s")) / (2 * res)
     z, a = radians(altitude), radians(360.0 - azimuth + 90.0)
     shade = (sin(z) - cos(z) * (dx * cos(a) + dy * sin(a))) / F.sqrt(1 + dx * dx + dy * dy)
-    return dem.select("row", "col").join(g, ["row", "col"], "left").select("row", "col", F.when(shade.isNotNull(), 255 * F.greatest(shade, F.lit(0.0))).alias("value"))
+    return dem.select(*k).join(g, k, "left").select(*k, F.when(shade.isNotNull(), 255 * F.greatest(shade, F.lit(0.0))).alias("value"))

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .algebra import key
-
-
-def _grid(df: DataFrame) -> list[str]:
-    return [c for c in ("grid_id",) if c in df.columns]
+from .algebra import grid_of, key
 
 
 def coarse(column: str, k: int) -> Column:
@@ -19,13 +15,13 @@ def coarse(column: str, k: int) -> Column:
 def nearest(cells: DataFrame, k: int) -> DataFrame:
     """Each coarse cell becomes k x k cells, without a shuffle."""
     i = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
-    out = cells.select(*_grid(cells), "row", "col", "value", i.alias("i"))
-    return out.select(*_grid(cells), (F.col("row") * k + F.floor(F.col("i") / k)).cast("int").alias("row"), (F.col("col") * k + F.col("i") % k).cast("int").alias("col"), "value")
+    out = cells.select(*grid_of(cells), "row", "col", "value", i.alias("i"))
+    return out.select(*grid_of(cells), (F.col("row") * k + F.floor(F.col("i") / k)).cast("int").alias("row"), (F.col("col") * k + F.col("i") % k).cast("int").alias("col"), "value")
 
 
 def nearest_onto(fine: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """The coarse value of each fine cell, by one equi-join on the computed key."""
-    g = _grid(fine)
+    g = grid_of(fine)
     side = cells.select(*g, F.col("row").alias("r2"), F.col("col").alias("c2"), "value")
     return fine.select(*key(fine), coarse("row", k).alias("r2"), coarse("col", k).alias("c2")).join(side, [*g, "r2", "c2"]).select(*key(fine), "value")
 
@@ -33,7 +29,7 @@ def nearest_onto(fine: DataFrame, cells: DataFrame, k: int) -> DataFrame:
 def bilinear(cells: DataFrame, k: int) -> DataFrame:
     """Weights fall off linearly between coarse centres, and are made up to 1 over what has data; no-data stays where
     the cell's own coarse cell has none. The 3 x 3 coarse neighbourhood is gathered once, at coarse size."""
-    g, near = _grid(cells), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    g, near = grid_of(cells), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     spread = cells.select(*g, "row", "col", "value", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])).alias("n"))
     to = spread.select(*g, (F.col("row") - F.col("n.i")).alias("row"), (F.col("col") - F.col("n.j")).alias("col"), "value", "n")
     at = lambda i, j: F.max(F.when((F.col("n.i") == i) & (F.col("n.j") == j), F.col("value")))
@@ -50,7 +46,7 @@ def block_reduce(cells: DataFrame, k: int, how: dict[str, Column] | None = None)
     """Blocks of k x k cells by any aggregates of value; the mean if none is given. Nulls don't count, and a block is
     null only if all of it is."""
     how = how or {"value": F.avg("value")}
-    return cells.groupBy(*_grid(cells), coarse("row", k).alias("row"), coarse("col", k).alias("col")).agg(*[v.alias(n) for n, v in how.items()])
+    return cells.groupBy(*grid_of(cells), coarse("row", k).alias("row"), coarse("col", k).alias("col")).agg(*[v.alias(n) for n, v in how.items()])
 
 
 def clip(cells: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
