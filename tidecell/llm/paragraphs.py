@@ -1,21 +1,27 @@
 """Substring dedup over paragraphs: MinHash banding, exact Jaccard, removal by connected components.
 
-A paragraph is a line. It takes part from MIN_WORDS words on, compared in lower case by its set of five-word shingles.
-BANDS bands of ROWS minima bring a pair with Jaccard 0.8 together with probability 1 - (1 - 0.8^4)^12 = 0.998.
+A paragraph is a line of MIN_WORDS words or more, or a block of shorter lines up to a blank or a longer line, if it has as
+many words together. It is compared in lower case by its set of five-word shingles. BANDS bands of ROWS minima bring a
+pair with Jaccard 0.8 together with probability 1 - (1 - 0.8^4)^12 = 0.998.
 
 Exact copies are combined first. In each band's bucket every paragraph is tied to the bucket's least one, so a bucket
 costs one row for each member; the components of these ties hold every colliding pair. Only for their members are the
 shingles built, once each, and within a component an exact Jaccard search keeps a spanning forest of the links of
 SIMILARITY or more. Components with more than BLOCK members are dealt out over pairs of blocks. Of each component of
-verified links the first paragraph (least doc_id, then place) stays.
-
-``report`` adds what such lines leave out, both by exact digests. Lines of SHINGLE to MIN_WORDS - 1 words are grouped
-with their copies. Passages are found wherever lines end: of each PASSAGE - WINDOW + 1 consecutive windows of WINDOW
-words in a document, the one with the least hash is taken, so any PASSAGE words that stand in two places give at least
-one window that both places take. Such windows are reported from WINDOW equal words on; ``remove`` cuts lines, not windows.
-
-Edge cases: a null or empty text has no paragraph; lines under SHINGLE words are never removed; rows that repeat an id count as
-separate copies; a null id sorts first, and is read by its text's hash; an empty table gives an empty result. Paragraphs are told apart by 64-bit hashes.
+verified links the first paragraph (least doc_id, then row and place) stays.
+
+Passages may begin and end anywhere, so every run of PASSAGE words is taken for a paragraph too, with one band of one
+minimum, over its shingles of WINDOW words: the run's key is the shingle with the least hash, and consecutive runs mostly
+share it, so a document has about one key for every thirteen words. Two runs that are equal have the same key. Where keys
+collide, the runs are verified: a run of PASSAGE words around its key goes so far to the left or to the right of it that
+one of three longer stretches (EXTENSIONS) lies inside, and one of these must be equal too. So any PASSAGE words that
+stand twice are found, and what is reported shares SURE words at least. Stretches of a document that touch are
+one passage; of equal stretches the one with the least (doc_id, row, place) stays. A passage's para is its key's line.
+
+Edge cases: a null or empty text has no paragraph; rows that repeat an id count as separate copies; a null id sorts first,
+and is read by its text's hash; one word over and over is no passage; an empty table gives an empty result; columns but
+doc_id and text play no part.
+Paragraphs and passages are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -24,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import discard
 from tidecell.operators.components import connected_components
 
 from .common import materialize, slices, utf8_of
@@ -34,6 +41,10 @@ from .simhash import deal
 
 SHINGLE, SIMILARITY, BANDS, ROWS, MIN_WORDS, BLOCK, SEED = 5, 0.8, 12, 4, 30, 1024, 42
 WINDOW, PASSAGE = 25, 50
+_SPARE = PASSAGE - WINDOW
+#: Words to the left and to the right of a key. However a run splits its spare words, one of the three fits.
+EXTENSIONS = ((-(-2 * _SPARE // 3), 0), (0, -(-2 * _SPARE // 3)), (_SPARE // 3, _SPARE // 3))
+SURE = WINDOW + min(a + b for a, b in EXTENSIONS)
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -89,10 +100,28 @@ def shingled(of: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np
     return of[:n][whole], _mix(sums)[whole]
 
 
-def hashed_lines(data: np.ndarray):
-    """Bytes of lines -> (line of each shingle, shingle hashes, words of each line, digest of each line)."""
-    of, words, n_words, digest = hashed_words(data)
-    return *shingled(of, words), n_words, digest
+def joined(doc: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Which paragraph each line belongs to: blocks of short lines are one, up to a blank or a long line or the text's end."""
+    alone = (n_words >= MIN_WORDS) | (n_words == 0)
+    new = np.ones(len(doc), bool)
+    new[1:] = alone[1:] | alone[:-1] | (doc[1:] != doc[:-1])
+    return np.cumsum(new) - 1
+
+
+def hashed_paragraphs(data: np.ndarray, doc: np.ndarray):
+    """Bytes of lines -> (paragraph of each shingle, shingle hashes, and of each paragraph: its first line, first word,
+    words, digest, second digest)."""
+    line, words, n_words, _ = hashed_words(data)
+    para = joined(doc, n_words)
+    n, of = int(para[-1]) + 1 if len(para) else 0, para[line]
+    size = np.bincount(of, minlength=n)
+    begin = np.cumsum(size) - size
+    nth = np.arange(len(of)) - begin[of]
+    full = np.flatnonzero(size)
+    digests = np.zeros((2, n), np.uint64)
+    for k, base in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93) if len(of) else ()):
+        digests[k, full] = _mix(np.add.reduceat(words * _powers(base, int(nth.max()) + 1)[nth], begin[full]) + size[full].astype(np.uint64))
+    return *shingled(of, words), np.searchsorted(para, np.arange(n)), begin, size, *digests.view(np.int64)
 
 
 def _documents(data, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -116,14 +145,19 @@ def _signatures(of: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, key, text): row tells rows apart within one reading, key is the text's hash."""
+    text = F.col("text").cast("string")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, para, n_words, digest, bands) of every paragraph of MIN_WORDS or more."""
+    """(row, doc_id, key, para, word, n_words, digest, digest2, bands) of every paragraph of MIN_WORDS or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(2)
-            for text, doc, para in _documents(*utf8_of(batch.column(1))):
-                of, shingles, n_words, digest = hashed_lines(text)
+            for text, doc, line in _documents(*utf8_of(batch.column(3))):
+                of, shingles, first, word, n_words, *digests = hashed_paragraphs(text, doc)
                 long = n_words[of] >= MIN_WORDS
                 of, shingles = of[long], shingles[long]
                 if not len(of):
@@ -131,30 +165,34 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = of[np.concatenate([[True], of[1:] != of[:-1]])]
                 keys = _signatures(of, shingles).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rows])), texts.take(pa.array(doc[rows])), pa.array(para[rows], pa.int32()), pa.array(n_words[rows], pa.int32()), pa.array(digest[rows].view(np.int64)), bands], ["doc_id", "key", "para", "n_words", "digest", "bands"])
+                own = doc[first]
+                nth = word - word[np.searchsorted(own, own)]
+                at = pa.array(own[rows])
+                columns = [*(batch.column(i).take(at) for i in range(3)), *(pa.array(x[rows], pa.int32()) for x in (line[first], nth, n_words)), *(pa.array(x[rows]) for x in digests), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "para", "word", "n_words", "digest", "digest2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(run, "doc_id long, key long, para int, n_words int, digest long, bands array<long>")
+    return _rows(docs).mapInArrow(run, "row long, doc_id long, key long, para int, word int, n_words int, digest long, digest2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (doc_id, key, digest, root, blocks). -> (root, blocks, digest, shingles): each wanted paragraph's distinct shingles."""
-    lists = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "digest", "root", "blocks").groupBy("want_id", "want_key").agg(F.collect_list(F.struct("digest", "root", "blocks")).alias("want"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    joined = texts.join(lists, texts["doc_id"].eqNullSafe(F.col("want_id")) & (texts["key"] == F.col("want_key"))).select("text", "want")
+    """wanted: (doc_id, key, digest, id, root, blocks). -> (root, blocks, id, shingles): each wanted paragraph's distinct shingles."""
+    lists = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "digest", "id", "root", "blocks").groupBy("want_id", "want_key").agg(F.collect_list(F.struct("digest", "id", "root", "blocks")).alias("want"))
+    texts = _rows(docs).drop("row")
+    met = texts.join(lists, texts["doc_id"].eqNullSafe(F.col("want_id")) & (texts["key"] == F.col("want_key"))).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(1).to_pylist()
             for text, doc, _ in _documents(*utf8_of(batch.column(0))):
-                of, shingles, n_words, digest = hashed_lines(text)
+                of, shingles, first, _, n_words, digest, _ = hashed_paragraphs(text, doc)
                 bound = np.searchsorted(of, np.arange(len(n_words) + 1))
-                at = {(int(d), int(x)): i for i, (d, x) in enumerate(zip(doc, digest.view(np.int64)))}
-                rows = [(w["root"], w["blocks"], w["digest"], np.unique(shingles[bound[i] : bound[i + 1]]).view(np.int64)) for d in np.unique(doc).tolist() for w in want[d] if (i := at.get((d, w["digest"]))) is not None]
+                at = {(int(d), int(x)): i for i, (d, x) in enumerate(zip(doc[first], digest))}
+                rows = [(w["root"], w["blocks"], w["id"], np.unique(shingles[bound[i] : bound[i + 1]]).view(np.int64)) for d in np.unique(doc).tolist() for w in want[d] if (i := at.get((d, w["digest"]))) is not None]
                 if rows:
-                    root, blocks, dig, sets = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(blocks, pa.int32()), pa.array(dig, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "blocks", "digest", "shingles"])
+                    root, blocks, ids, sets = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(blocks, pa.int32()), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "blocks", "id", "shingles"])
 
-    return joined.mapInArrow(run, "root long, blocks int, digest long, shingles array<long>")
+    return met.mapInArrow(run, "root long, blocks int, id long, shingles array<long>")
 
 
 def forest(digests: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -205,83 +243,133 @@ def links_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """(doc_id, para, n_words, rep_doc_id, rep_para, removed) of every paragraph with a near or exact copy elsewhere."""
+    """(doc_id, key, para, word, n_words, rep_doc_id, rep_para, removed) of every paragraph with a near or exact copy elsewhere."""
     known = materialize(sketches(docs), "para-sketches")
-    distinct = materialize(known.groupBy("digest").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("read"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "para-distinct")
-    keys = distinct.select("digest", F.explode("bands").alias("key"))
-    stars = materialize(keys.groupBy("key").agg(F.min("digest").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "m"), "para-stars")
-    ties = keys.join(stars, "key").filter("digest <> m").select(F.col("digest").alias("a"), F.col("m").alias("b"))
+    same = ["digest", "digest2"]
+    first, read = F.min(F.struct("doc_id", "row", "para")).alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("read")
+    distinct = materialize(known.groupBy(*same).agg(first, read, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "para-distinct")
+    keys = distinct.select("id", F.explode("bands").alias("key"))
+    stars = materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "m"), "para-stars")
+    ties = keys.join(stars, "key").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     near = connected_components(ties)
     sizes = materialize(near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "para-sizes")
-    ids = materialize(near.join(sizes, "root").select(F.col("node").alias("digest"), "root", "blocks"), "para-near")
-    wanted = distinct.select("digest", "read.doc_id", "read.key").join(ids, "digest")
-    sets = shingle_sets(docs, wanted)
-    dealt = deal(sets, "digest", "root")
+    ids = materialize(near.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks"), "para-near")
+    wanted = distinct.select("id", "digest", "read.doc_id", "read.key").join(ids, "id")
+    dealt = deal(shingle_sets(docs, wanted), "id", "root")
     rooted = connected_components(dealt.mapInArrow(links_of_sets, "a long, b long"))
-    labelled = materialize(distinct.join(rooted, distinct["digest"] == rooted["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "first", "n"), "para-roots")
+    labelled = materialize(distinct.join(rooted, distinct["id"] == rooted["node"], "left").select(*same, F.coalesce("root", "id").alias("root"), "first", "n"), "para-roots")
     groups = materialize(labelled.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("copies")).filter("copies > 1"), "para-groups")
-    labels = materialize(labelled.join(groups, "root").select("digest", "rep"), "para-labels")
-    out = known.select("doc_id", "para", "n_words", "digest").join(labels, "digest")
-    removed = ~(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("para") == F.col("rep.para")))
-    return out.select("doc_id", "para", "n_words", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.para").alias("rep_para"), removed.alias("removed"))
+    labels = materialize(labelled.join(groups, "root").select(*same, "rep"), "para-labels")
+    removed = (F.col("row") != F.col("rep.row")) | (F.col("para") != F.col("rep.para"))
+    return known.drop("bands").join(labels, same).select("doc_id", "key", "para", "word", "n_words", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.para").alias("rep_para"), removed.alias("removed"))
+
+
+class _Stretches:
+    """Hashes of stretches of words, by prefix sums modulo 2^64."""
+
+    BASE = 0x9E3779B97F4A7C15
 
+    def __init__(self, words: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(self.BASE, len(words))[: len(words)])])
+        self.inverse = _powers(pow(self.BASE, -1, 1 << 64), len(words) + 1)
 
-def windows(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first word, hash) of the windows that the documents' words give; doc ascends."""
-    size = PASSAGE - WINDOW + 1
+    def of(self, start: np.ndarray, size: int) -> np.ndarray:
+        return _mix((self.sums[start + size] - self.sums[start]) * self.inverse[start] + _U(size))
+
+
+def windows(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first word, hash, hashes of the extensions or 0) of the keys of the documents' words; doc ascends."""
+    size = _SPARE + 1
     if len(words) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n, factor = len(words) - WINDOW + 1, _powers(0xD6E8FEB86659FD93, WINDOW)
-    sums = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        sums += words[k : k + n] * factor[k]
-    hashes = _mix(sums)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(EXTENSIONS)), np.uint64)
+    all_of = _Stretches(words)
+    hashes = all_of.of(np.arange(len(words) - WINDOW + 1), WINDOW)
     inside = np.flatnonzero(doc[: len(words) - PASSAGE + 1] == doc[PASSAGE - 1 :])
     view = np.lib.stride_tricks.sliding_window_view(hashes, size)
     at = np.unique(np.concatenate([part + view[part].argmin(axis=1) for i in range(0, max(len(inside), 1), 1 << 16) if len(part := inside[i : i + (1 << 16)])] or [inside]))
     # of a run of equal windows, as one word over and over gives, the first stands for all
     new = np.concatenate([[True], (hashes[at[1:]] != hashes[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])])[: len(at)]
-    return at[new], hashes[at[new]]
+    at = at[new]
+    more = np.zeros((len(at), len(EXTENSIONS)), np.uint64)
+    for i, (left, right) in enumerate(EXTENSIONS):
+        start, stop = at - left, at + WINDOW + right - 1
+        ok = (start >= 0) & (stop < len(words))
+        ok[ok] = (doc[start[ok]] == doc[at[ok]]) & (doc[stop[ok]] == doc[at[ok]])
+        more[ok, i] = all_of.of(start[ok], left + WINDOW + right)
+    return at, hashes[at], more
 
 
-def exact_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, para, word, n_words, unit, digest) of the short lines and the windows."""
+def passage_keys(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, key, para, word, digest, more) of the documents' passage keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, doc, para in _documents(*utf8_of(batch.column(1))):
-                of, words, n_words, digest = hashed_words(text)
-                if not len(of):
+            for text, doc, line in _documents(*utf8_of(batch.column(3))):
+                of, words, _, _ = hashed_words(text)
+                at, hashes, more = windows(doc[of], words)
+                if not len(at):
                     continue
-                at, hashes = windows(doc[of], words)
-                nth = np.arange(len(of)) - np.searchsorted(doc[of], doc[of])
-                short = np.flatnonzero((n_words >= SHINGLE) & (n_words < MIN_WORDS))
-                line = np.concatenate([short, of[at]])
-                columns = [
-                    batch.column(0).take(pa.array(doc[line])), pa.array(para[line], pa.int32()), pa.array([*[None] * len(short), *nth[at].tolist()], pa.int32()),
-                    pa.array(np.concatenate([n_words[short], np.full(len(at), WINDOW)]), pa.int32()), pa.array(["short"] * len(short) + ["passage"] * len(at), pa.string()),
-                    pa.array(np.concatenate([digest[short], hashes]).view(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "para", "word", "n_words", "unit", "digest"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, para int, word int, n_words int, unit string, digest long")
+                nth = at - np.searchsorted(doc[of], doc[of[at]])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, more.size + 1, more.shape[1]), pa.int32()), pa.array(more.view(np.int64).ravel()))
+                columns = [*(batch.column(i).take(pa.array(doc[of[at]])) for i in range(3)), pa.array(line[of[at]], pa.int32()), pa.array(nth, pa.int32()), pa.array(hashes.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "para", "word", "digest", "more"])
+
+    return _rows(docs).mapInArrow(run, "row long, doc_id long, key long, para int, word int, digest long, more array<long>")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """The columns of ``group`` for every passage that stands elsewhere too."""
+    known = materialize(passage_keys(docs), "para-keys")
+    twice = materialize(known.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "para-twice")
+    met = materialize(known.join(twice, "digest"), "para-met")
+    discard(known, twice)
+    lefts, rights = ([F.lit(e[k]) for e in EXTENSIONS] for k in (0, 1))
+    parts = met.select("*", F.posexplode("more").alias("i", "one")).filter("one <> 0").drop("more")
+    parts = parts.withColumn("lo", F.col("word") - F.get(F.array(*lefts), F.col("i"))).withColumn("hi", F.col("word") + WINDOW + F.get(F.array(*rights), F.col("i")))
+    by = ["digest", "i", "one"]
+    groups = materialize(parts.groupBy(*by).agg(F.min(F.struct("doc_id", "row", "word", "para")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "para-passages")
+    sure = parts.join(groups, by).withColumn("removed", (F.col("rep.row") != F.col("row")) | (F.col("rep.word") != F.col("word")))
+    order = Window.partitionBy("row", "removed").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = sure.withColumn("new", (reach.isNull() | (F.col("lo") > reach)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("lo", "doc_id", "key", "para", "rep")).alias("f")
+    each = runs.groupBy("row", "removed", "run").agg(first, (F.max("hi") - F.min("lo")).cast("int").alias("n_words"))
+    return each.select("f.doc_id", "f.key", "f.para", F.col("f.lo").alias("word"), "n_words", F.col("f.rep.doc_id").alias("rep_doc_id"), F.col("f.rep.para").alias("rep_para"), "removed")
+
+
+def _both(docs: DataFrame) -> DataFrame:
+    return group(docs).withColumn("unit", F.lit("paragraph")).unionByName(passages(docs).withColumn("unit", F.lit("passage")))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The rows of ``group`` as unit line, and those of short lines and passages that stand in two places or more; word is
-    the place in the document of a passage's first word."""
-    known = materialize(exact_units(docs), "para-exact")
-    groups = materialize(known.groupBy("unit", "digest").agg(F.min(F.struct("doc_id", "para", "word")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "para-exact-groups")
-    same = F.struct("doc_id", "para", "word").eqNullSafe(F.col("rep"))
-    exact = known.join(groups, ["unit", "digest"]).select("doc_id", "para", "n_words", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.para").alias("rep_para"), (~same).alias("removed"), "unit", "word")
-    return group(docs).withColumns({"unit": F.lit("line"), "word": F.lit(None).cast("int")}).unionByName(exact)
+    """doc_id, para (its first line), word (its first word's place in the text), n_words, rep_doc_id, rep_para, removed, unit:
+    the paragraphs with a near or exact copy elsewhere, and the passages that stand elsewhere too."""
+    return _both(docs).drop("key")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, texts, gone = batch.schema.get_field_index("text"), [], batch.column(batch.num_columns - 1).to_pylist()
+        for text, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), gone):
+            if spans:
+                raw = text.encode()
+                data = np.frombuffer(raw, np.uint8)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_BLANK[data], [False]]).astype(np.int8)))
+                drop, edge = np.zeros(len(data) + 1, np.int32), np.append(edge[::2], len(data))
+                for s in spans:
+                    drop[edge[s["word"]]] += 1
+                    drop[edge[s["word"] + s["n_words"]]] -= 1
+                text = data[np.cumsum(drop[:-1]) == 0].tobytes().decode()
+            texts.append(text)
+        columns = batch.columns[:-1]
+        columns[at] = pa.array(texts, batch.column(at).type)
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """The documents without the paragraphs and short lines that repeat an earlier one."""
-    gone = report(docs).filter("removed and unit <> 'passage'").groupBy("doc_id").agg(F.collect_set("para").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    kept = F.filter(lines, lambda s: ~F.array_contains("__gone", s["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda s: s["x"])))
-    return joined.withColumn("text", text).select(*docs.columns)
+    """The documents without the words of paragraphs and passages that repeat an earlier one, and without the white space
+    behind these words."""
+    gone = _both(docs).filter("removed").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("word", "n_words")).alias("__gone"))
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    met = typed.join(gone, typed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(typed["text"]) == F.col("__key")), "left")
+    return met.select(*[typed[c] for c in docs.columns], "__gone").mapInArrow(_cut, typed.schema)
