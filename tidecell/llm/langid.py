@@ -4,9 +4,10 @@ A text becomes a TF-IDF vector of hashed byte bigrams and trigrams (letters lowe
 Each language has several centroids from spherical k-means, and the nearest by cosine names the language. Where even
 that one is further than any training text of its kind by a wide margin, the text is rejected.
 
-Document frequencies count every training text. The centroids are fitted on a sample of at most SAMPLE labelled texts in
-expectation, dealt evenly over the languages by a hash of the id, so what reaches the driver does not grow with the
-corpus: SAMPLE vectors of DIM floats, and the model of CENTROIDS vectors for each language.
+Document frequencies count every training text. The centroids are fitted on a sample of SAMPLE labelled texts in
+expectation, dealt evenly over the languages by a hash of the id, but of LEAST_TEXTS texts for each language at least. So
+what reaches the driver grows with the number of labels, never with the corpus: the sample's counts, and the model of
+CENTROIDS vectors for each language. A length class of which a language has too few texts takes the texts of all languages.
 
 Edge cases: a null text or one without letters is ``und`` with score 0, and rejected; a null id is never held out and
 never learned from; rows that repeat get the same answer; if there is nothing to learn from, all texts are ``und``; an
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8_of
 
-DIM, CENTROIDS, SAMPLE, ROUNDS, SEED = 1 << 13, 3, 1600, 12, 42
+DIM, CENTROIDS, SAMPLE, LEAST_TEXTS, ROUNDS, SEED = 1 << 13, 3, 1600, 50, 12, 42
 #: A text is rejected below this share of the lowest cosine of its language's training texts of its length class.
 REJECT_SHARE, REJECT_QUANTILE, LENGTHS = 0.3, 0.01, (4, 16, 64, 256)
 #: And below this cosine in any case, as no n-gram of weight is shared.
-LEAST_COSINE = 0.02
+LEAST_COSINE, _CLASS_TEXTS = 0.02, 20
 _ROWS, _PIECE = 128, 1 << 18
 
 
@@ -128,31 +129,36 @@ def _kmeans(v: np.ndarray, k: int, rng) -> np.ndarray:
 def fit(docs: DataFrame) -> Model | None:
     """Learns from text and lang of documents whose crc32 leaves no 2; None if there are none."""
     known = _learned(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     found = known.select("text").mapInArrow(_frequencies, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(DIM)
     df[[r["slot"] for r in found]] = [r["df"] for r in found]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + 1
-    share = max(1, SAMPLE // len(sizes))
-    bound = F.lit(0)
-    for lang, n in sizes.items():
-        bound = F.when(F.col("lang") == lang, int(min(1.0, share / n) * (1 << 30))).otherwise(bound)
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < bound)
+    share = max(LEAST_TEXTS, SAMPLE // len(sizes))
+    bounds = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, share / n) * (1 << 30)))])
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < F.element_at(bounds, F.col("lang")))
     rows = sorted((r["lang"], bytes(r["tf"])) for r in sample.select("lang", "text").mapInArrow(_raw, "lang string, tf binary").collect())
     if not rows:
         return None
-    rng, centroids, langs, floors = np.random.default_rng(SEED), [], [], []
+    rng, centroids, langs, cosines = np.random.default_rng(SEED), [], [], []
     for lang in sorted({r[0] for r in rows}):
         tf = np.array([np.frombuffer(t, "<u2") for x, t in rows if x == lang], np.float32)
-        v, kind = _vectors(tf, idf), _length_class(tf)
+        v = _vectors(tf, idf)
         c = _kmeans(v, CENTROIDS, rng)
-        best = (v @ c.T).max(axis=1)
-        floor = [max(LEAST_COSINE, REJECT_SHARE * float(np.quantile(best[kind == k], REJECT_QUANTILE)) if (kind == k).sum() >= 20 else 0.0) for k in range(len(LENGTHS) + 1)]
         centroids.append(c)
         langs += [lang] * len(c)
-        floors += [floor] * len(c)
+        cosines.append(((v @ c.T).max(axis=1), _length_class(tf)))
+    every = tuple(np.concatenate(x) for x in zip(*cosines))
+
+    def floor(k: int, own: tuple) -> float:
+        for best, kind in (own, every):
+            if (kind == k).sum() >= _CLASS_TEXTS:
+                return max(LEAST_COSINE, REJECT_SHARE * float(np.quantile(best[kind == k], REJECT_QUANTILE)))
+        return LEAST_COSINE
+
+    floors = [[floor(k, own) for k in range(len(LENGTHS) + 1)] for own, c in zip(cosines, centroids) for _ in c]
     return Model(idf, np.concatenate(centroids).astype(np.float32), langs, np.array(floors))
 
 

@@ -27,24 +27,34 @@ WEIGHTS, CAP, BLOCK, FAN, SEED = (5.0, 2.0, 1.0), 3.0, 48, 48, 42
 BROADCAST_SOURCES = 100_000
 
 
+def _weighted(sums: DataFrame) -> DataFrame:
+    """Adds w: sources in order take the weights in turn. They are sorted in ranges, so a source's place is its place in
+    its range and the sizes of the ranges before, of which the driver gets one number each."""
+    order = F.col("source").asc_nulls_last()
+    ranged = sums.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)}), "mix-sources")
+    sizes = sorted(tuple(r) for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = F.create_map(*[F.lit(x) for i, (r, _) in enumerate(sizes) for x in (int(r), sum(n for _, n in sizes[:i]))]) if sizes else F.create_map().cast("map<bigint,int>")
+    place = ((F.col("__at") + F.element_at(before, F.col("__range").cast("int" if sizes else "bigint"))) % len(WEIGHTS)).cast("int")
+    return ranged.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1)).drop("__at", "__range")
+
+
 def source_targets(units: DataFrame) -> DataFrame:
-    """(source, source_size, target). One row per source, so the windows see the sources, never the documents.
+    """(source, source_size, target, n_units), one row per source.
 
-    Water filling: in the order of cap over weight, a source is capped if its cap is below the level that the sources
-    before it leave to the rest.
+    Water filling: a source is capped if its cap is below its weight times the level; what that leaves goes to the others
+    and raises the level, until no further source is capped. Each round is one aggregate over the sources.
     """
-    weights = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS) + 1)
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
-    w = sums.withColumn("w", weights).withColumn("cap", CAP * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    sum0 = lambda c, win: F.coalesce(F.sum(c).over(win), F.lit(0.0))
-    level = (F.sum("source_size").over(every) - sum0("cap", before)) / (F.sum("w").over(every) - sum0("w", before))
-    capped = w.withColumn("capped", F.col("cap") / F.col("w") <= level)
-    kept = lambda c: F.sum(F.when(F.col("capped"), F.col(c)).otherwise(0.0)).over(every)
-    rest = F.try_divide(F.sum("source_size").over(every) - kept("cap"), F.sum("w").over(every) - kept("w"))
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("w") * rest, F.col("cap")))
-    return capped.select("source", "source_size", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"), "n_units")
+    w = materialize(_weighted(sums).withColumn("cap", CAP * F.col("source_size")), "mix-weights")
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") / F.col("w") <= level
+        got = w.agg(F.sum("source_size").cast("double"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count_if(full)).first()
+        if got[3] == capped or not got[2]:
+            break
+        level, capped = (got[0] - got[1]) / got[2], got[3]
+    return w.select("source", "source_size", F.least(F.col("w") * level, F.col("cap")).cast("double").alias("target"), "n_units")
 
 
 _UNIT = "struct<id:struct<doc_id:bigint,th:bigint>,size:bigint,m:bigint,whole:bigint,x:double>"
@@ -84,7 +94,7 @@ def decide(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(word_count("text")).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"), size.alias("size"))
     units = materialize(rows.groupBy("source", "doc_id", "th", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
-    targets = materialize(source_targets(units).coalesce(1), "mix-targets")
+    targets = materialize(source_targets(units), "mix-targets")
     known = targets.agg(F.count(F.lit(1)), F.max("n_units")).first()
     small = F.broadcast if known[0] <= BROADCAST_SOURCES else lambda df: df
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))

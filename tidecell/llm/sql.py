@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .sharding import SHARDS, TABLE_SIZE, fill_table
+
 _CTX = "regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, e + 1, 40)), '{w}')"
 
 
@@ -50,4 +52,9 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
-ORACLES = {"op6_pii": OP6, "op9_vafile": OP9}
+#: The table's filling is a loop over turns, so the table comes as a list; placing a key in it is SQL.
+OP3 = f"""
+with placed as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 15) as bigint) % {TABLE_SIZE} as slot from documents)
+select doc_id, slot, cast((select {fill_table([f"shard-{i:05d}" for i in range(SHARDS)])})[slot + 1] as int) as shard from placed"""
+
+ORACLES = {"op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9}

@@ -10,7 +10,8 @@ before the shuffle, so a vector that many rows share costs no more than any othe
 each of which scans the file once; that block is all that is broadcast.
 
 Edge cases: a null vector, one with a null or non-finite component, and a null id take no part; a shorter vector is
-filled up with zeros; rows that repeat an id are excluded together when that id is the query; equal rows are searched
+filled up with zeros; a component beyond +-MOST (2^50, after scaling) counts as that, and scores, which are then summed in
+decimals, saturate at the ends of long in the result, but not in the ranking; rows that repeat an id are excluded together when that id is the query; equal rows are searched
 as one, and ranked as often as they stand there, times the rows of the query, as a join of the rows would; ties go to the
 smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
 """
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, CELLS, SCALE, QUERY_BLOCK, QUERY_EVERY, _SCAN = 5, 64, 256, 2048, 50, 2048
+MOST, _LONG = 1 << 50, (1 << 63) - 1
 
 
 def integers(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): v the components times SCALE, rounded down."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return embeddings.filter(ok).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+    return embeddings.filter(ok).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long")).alias("v"))
 
 
 def _cells(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +69,10 @@ def approximate(vectors: DataFrame, low: np.ndarray, width: np.ndarray) -> DataF
 def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
     """(query, row, vec_id, lb, ub) of all that one task can't rule out by what it has scanned."""
     plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    reach = np.maximum(np.abs(low), np.abs(low + width * CELLS)).astype(np.float64)
+    sums = np.abs(queries).astype(np.float64) @ reach
+    # sums below 2^53 are exact; beyond, the bounds give way by what float sums can be off
+    slack = np.where(sums < 2.0**53, 0.0, sums * (len(low) + 2) * 2.0**-52)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), k), -np.inf)
@@ -77,7 +83,7 @@ def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarr
             for i in range(0, len(every), _SCAN):
                 vec, floor = every[i : i + _SCAN], (low + packed[i : i + _SCAN].astype(np.int64) * width).astype(np.float64)
                 ceil = floor + (width - 1)
-                lb, ub = plus @ floor.T + minus @ ceil.T, plus @ ceil.T + minus @ floor.T
+                lb, ub = plus @ floor.T + minus @ ceil.T - slack, plus @ ceil.T + minus @ floor.T + slack
                 own = ids[:, None] == vec[None, :]
                 lb[own] = ub[own] = -np.inf
                 best = -np.partition(-np.concatenate([best, lb], axis=1), k - 1, axis=1)[:, :k]
@@ -107,6 +113,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     same = Window.partitionBy("v").orderBy("vec_id")
     pool = materialize(vectors.withColumn("__n", F.row_number().over(same)).filter(f"__n <= {k + 1}").drop("__n"), "va-pool")
     low, width = _cells(vectors)
+    exact = "long" if float(np.square(np.maximum(np.abs(low), np.abs(low + width * CELLS)).astype(float)).sum()) < 2.0**62 else "decimal(38,0)"
     file = materialize(approximate(pool, low, width), "va-file")
     blocks = math.ceil(queries.count() / QUERY_BLOCK)
     found = None
@@ -117,16 +124,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             continue
         q = _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.int64())), len(low))
         near = materialize(bounds(file, np.array([r["row"] for r in rows]), np.array([r["vec_id"] for r in rows]), q, low, width, k), "va-bounds")
-        part = _exact(near, pool, block, k)
+        part = _exact(near, pool, block, k, exact)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _exact(near: DataFrame, pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _exact(near: DataFrame, pool: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
+    """kind: a type that holds every product and sum."""
+
+    # two factors of 51 bits and a sign make 31 digits, and decimal(19,0) holds each: no sum of up to 10^7 products is rounded
+    wide = lambda x: x if kind == "long" else x.cast("decimal(19,0)")
+    product = lambda a, b: F.coalesce((wide(a) * wide(b)).cast(kind), F.lit(0).cast(kind))
+
     def score(pairs: DataFrame) -> DataFrame:
         q = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("n").alias("m"))
         both = pairs.select("query", "row").join(pool, "row").join(F.broadcast(q), "query")  # one block of queries
-        return both.select("query", "query_id", "vec_id", (F.col("n") * F.col("m")).alias("times"), F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+        return both.select("query", "query_id", "vec_id", (F.col("n") * F.col("m")).alias("times"), F.aggregate(F.zip_with("q", "v", product), F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind)).alias("score"))
 
     per = lambda by, *order: Window.partitionBy(by).orderBy(*order)
     sure = near.withColumn("n", F.row_number().over(per("query", F.desc("lb")))).filter(f"n <= {k}").groupBy("query").agg(F.min("lb").alias("least"))
@@ -137,7 +150,8 @@ def _exact(near: DataFrame, pool: DataFrame, queries: DataFrame, k: int) -> Data
     rest = score(order.filter(f"nth > {2 * k}").join(kth, "query").filter("ub >= kth"))
     each = first.unionAll(rest).withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
     ranked = each.withColumn("rank", F.row_number().over(per("query_id", F.desc("score"), "vec_id"))).filter(f"rank <= {k}")
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    value = F.col("score") if kind == "long" else F.greatest(F.least("score", F.lit(_LONG)), F.lit(-_LONG - 1)).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", value.alias("score"))
 
 
 def report(embeddings: DataFrame) -> DataFrame:
