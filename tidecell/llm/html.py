@@ -4,10 +4,11 @@ A page becomes a tree of block elements; inline markup belongs to its block. Tre
 words of its class and id, those of its ancestors, text, link and tag density of its subtree, depth, and its share among
 its siblings) give the log-odds that it belongs to the article. Decoding picks the best labelling in which nothing is
 kept below a dropped node: the value of keeping a node is its own log-odds and, for each child, the better of keeping
-and dropping it. The trees are trained when first used, on pages that ``sample_pages`` composes from made-up words.
+and dropping it. The trees are trained once in a session, on pages that ``sample_page`` composes from made-up words: Spark composes and reads
+them, and the driver gets the features of the nodes of PAGES pages, a constant.
 
 Edge cases: a null or empty page has empty text; markup that is cut off or badly nested is read as far as it goes; text
-outside any element is kept; repeated rows give repeated results; an empty table gives an empty result. Pages are dealt
+outside any element is kept; formulas in MathML belong to their block; repeated rows give repeated results; an empty table gives an empty result. Pages are dealt
 with one by one, whatever their length.
 """
 
@@ -15,21 +16,22 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object textarea select head title math canvas".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+HIDDEN = frozenset("script style noscript template svg iframe object textarea select head title canvas annotation annotation-xml".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd".split())
 TAGS = "nav header footer aside article main section form ul li p h1 h2 table blockquote figure button".split()
 #: Words of class, id and role that speak for the article, and against it.
 FOR = frozenset("article articlebody content post entry story main text body prose page".split())
@@ -77,6 +79,14 @@ def parse(page: str) -> list[Node]:
     """All nodes, parents first; the first is the root."""
     root = Node("#root", None, frozenset())
     nodes, open_, links, at = [root], [(root, "#root")], 0, 0
+    held: Counter = Counter()  # open elements by name
+
+    def close(i: int) -> int:
+        """Ends the open elements from the i-th on; how many links that ends."""
+        names = [t for _, t in open_[i:]]
+        held.subtract(names)
+        del open_[i:]
+        return names.count("a")
 
     def text(s: str) -> None:
         if s:
@@ -96,17 +106,14 @@ def parse(page: str) -> list[Node]:
         if not name:
             continue
         if m[1] or m[4]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][1] == name:
-                    links -= sum(t == "a" for _, t in open_[i:])
-                    del open_[i:]
-                    break
+            if held[name] > 0:
+                links -= close(next(i for i in range(len(open_) - 1, 0, -1) if open_[i][1] == name))
             continue
         if name in HIDDEN:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            # an svg or math element may end in its own tag, and head may lack its end tag
-            if not ((m[3] or m[6] or "").endswith("/") and name in ("svg", "math")) and not (name == "head" and not close):
-                at = close.end() if close else len(page)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            # an svg element may end in its own tag, and head may lack its end tag
+            if not ((m[3] or m[6] or "").endswith("/") and name == "svg") and not (name == "head" and not end):
+                at = end.end() if end else len(page)
             continue
         if name == "br":
             open_[-1][0].parts.append(" ")
@@ -117,20 +124,23 @@ def parse(page: str) -> list[Node]:
         for i in range(len(open_) - 1, 0, -1):
             tag = open_[i][1]
             if name in _ENDS.get(tag, ()):
-                links -= sum(t == "a" for _, t in open_[i:])
-                del open_[i:]
+                links -= close(i)
                 break
             if tag not in INLINE:
                 break
         attrs = m[3] or m[6] or ""
         words = _attr_words(attrs)
         if name in INLINE and not (name == "span" and any(w in _WORDS for w in words)):
+            if (m[3] or m[6] or "").endswith("/") and name[0] == "m":  # as <mspace/>
+                continue
             open_.append((open_[-1][0], name))
+            held[name] += 1
             links += name == "a"
         else:
             node = Node(name, open_[-1][0], words)
             nodes.append(node)
             open_.append((node, name))
+            held[name] += 1
     text(page[at:])
     return nodes
 
@@ -211,8 +221,12 @@ def assemble(nodes: list[Node], kept: list[bool]) -> str:
 
 
 def sample_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, str]]:
-    """Made-up pages; the article's text carries the mark §, whatever else holds text does not."""
-    r = random.Random(seed)
+    return (sample_page(i, seed) for i in range(n))
+
+
+def sample_page(number: int, seed: int = SEED) -> tuple[str, str]:
+    """A made-up page and the mark § that the article's text carries, and whatever else holds text does not."""
+    r = random.Random(seed * 1_000_003 + number)
     syl = "an ber co da en fi ga hor in ja ko lu mi no or pa qui re sta tu ve wo xa yi zo".split()
     word = lambda: "".join(r.choices(syl, k=r.randint(1, 4)))
     prose = lambda k, m="": " ".join(m + word() + r.choice(["", "", "", ",", "."]) for _ in range(k))
@@ -235,51 +249,76 @@ def sample_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, str]]:
         return f"<{tag}{'' if bare else cls(kind)}>{body}</{tag}>"
 
     def frame(tag: str) -> str:
-        t, attr = r.choice([(tag, ""), (tag, cls("frame")), ("div", f' class="{tag}"'), ("div", f' id="site-{tag}"')])
+        t, attr = r.choice([*[(tag, "")] * 3, (tag, cls("frame")), ("div", f' class="{tag}"'), ("div", f' id="site-{tag}"')])
         return f"<{t}{attr}>{r.choice(['&copy; ', ''])}{prose(r.randint(2, 20))}{r.choice(['', menu(), f'<p>{prose(8)}</p>'])}</{t}>"
 
-    for _ in range(n):
-        m = "§"
-        body = []
-        for _ in range(r.choice([1, 2, 3, 5, 9, 15])):
-            kind = r.random()
-            if kind < 0.75:
-                p = prose(r.choice([1, 5, 20, 60, 150]), m)
-                body.append(f"<p>{p}</p>" if r.random() < 0.7 else f"<p><b>{p}<br>" if r.random() < 0.5 else f"<p>{p} {link(m)} {prose(5, m)}")
-            elif kind < 0.82:
-                body.append(f"<ul>{''.join(f'<li>{prose(6, m)}</li>' for _ in range(4))}</ul>")
-            elif kind < 0.88:
-                body.append(f"<h2>{prose(4, m)}</h2>")
-            elif kind < 0.92:
-                body.append(f"<blockquote>{prose(20, m)}</blockquote>")
-            elif kind < 0.94:
-                body.append(f"<table><tr><td>{prose(3, m)}</td><td>{prose(2, m)}</td></tr></table>")
-            else:
-                body.append(side(r.choice(["advert", "advert", "reader", "side", "notice", "form"])))
-        head = r.choice(["", f"<h1>{prose(6, m)}</h1>", f"<h1>{prose(8, m)}</h1>", f"<header><h1>{prose(6, m)}</h1></header>"])
-        good = r.choice(sorted(FOR))
-        wrap = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (f'<div class="{good}">', "</div>"), (f'<div id="{good}-{word()}">', "</div>"), (f'<section class="{good}">', "</section>"), ("<div>", "</div>"), (f'<article class="{good}">', "</article>")])
-        main = wrap[0] + head + "".join(body) + wrap[1]
-        before = [x for x in (frame("header"), menu(), side("advert"), side("notice")) if r.random() < 0.5]
-        after = [x for x in (side("side"), side("reader"), side("advert"), side("form"), side("notice"), frame("footer")) if r.random() < 0.5]
-        inner = "".join([*before, main, *after])
-        if r.random() < 0.3:
-            inner = f'<div class="{r.choice(["page", "wrapper", "container", word()])}">{inner}</div>'
-        yield f"<!DOCTYPE html><html><head><title>{prose(4)}</title></head><body>{inner}</body></html>", m
+    m = "§"
+    body = []
+    for _ in range(r.choice([1, 1, 2, 3, 5, 9, 15])):
+        kind = r.random()
+        if kind < 0.75:
+            p = prose(r.choice([1, 5, 8, 20, 60, 150]), m)
+            body.append(f"<p>{p}</p>" if r.random() < 0.7 else f"<p><b>{p}<br>" if r.random() < 0.5 else f"<p>{p} {link(m)} {prose(5, m)}")
+        elif kind < 0.82:
+            body.append(f"<ul>{''.join(f'<li>{prose(6, m)}</li>' for _ in range(4))}</ul>")
+        elif kind < 0.88:
+            body.append(f"<h2>{prose(4, m)}</h2>")
+        elif kind < 0.92:
+            body.append(f"<blockquote>{prose(20, m)}</blockquote>")
+        elif kind < 0.94:
+            body.append(f"<table><tr><td>{prose(3, m)}</td><td>{prose(2, m)}</td></tr></table>")
+        else:
+            body.append(side(r.choice(["advert", "advert", "reader", "side", "notice", "form"])))
+    head = r.choice(["", f"<h1>{prose(6, m)}</h1>", f"<h1>{prose(8, m)}</h1>", f"<header><h1>{prose(6, m)}</h1></header>"])
+    good = r.choice(sorted(FOR))
+    wrap = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (f'<div class="{good}">', "</div>"), (f'<div id="{good}-{word()}">', "</div>"), (f'<section class="{good}">', "</section>"), ("<div>", "</div>"), (f'<article class="{good}">', "</article>")])
+    main = wrap[0] + head + "".join(body) + wrap[1]
+    before = [x for x in (frame("header"), menu(), side("advert"), side("notice")) if r.random() < 0.5]
+    after = [x for x in (side("side"), side("reader"), side("advert"), side("form"), side("notice"), frame("footer")) if r.random() < 0.5]
+    for _ in range(r.choice([0, 0, 1, 2, 4])):
+        main = f'<div{r.choice(["", f" class={word()}"])}>{main}</div>'
+    bare = lambda: r.choice([lambda: "<ul>" + f"<li>{link()}</li>" * r.randint(2, 6) + "</ul>", lambda: f"<div{r.choice(['', f' class={word()}'])}>" + f"{link()} " * r.randint(2, 8) + "</div>"])()
+    if r.random() < 0.15:
+        before.insert(0, bare())
+    if r.random() < 0.15:
+        after.append(bare())
+    inner = "".join([*before, main, *after])
+    if r.random() < 0.06:
+        inner = f"<table><tr><td>{'<br>'.join(link() for _ in range(r.randint(2, 6)))}</td><td>{main}</td></tr></table>"
+    if r.random() < 0.3:
+        inner = f'<div class="{r.choice(["page", "wrapper", "container", word()])}">{inner}</div>'
+    return f"<!DOCTYPE html><html><head><title>{prose(4)}</title></head><body>{inner}</body></html>", m
+
+
+def labelled_nodes(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """A made-up page's nodes: their features, and whether they hold any of the article's text."""
+    page, mark = sample_page(number)
+    nodes = parse(page)
+    x, held = features(nodes), {}
+    for n in reversed(nodes):
+        held[id(n)] = any(mark in p if isinstance(p, str) else held[id(p)] for p in n.parts)
+    return np.array(x, np.float64), np.array([held[id(n)] for n in nodes], np.float64)
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = zip(*map(labelled_nodes, batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in y], pa.binary())], ["id", "x", "y"])
 
 
 @lru_cache(maxsize=1)
-def model() -> boosting.Trees:
-    x, y = [], []
-    for page, mark in sample_pages(PAGES):
-        nodes = parse(page)
-        x += features(nodes)
-        # a node is part of the article if it holds any of its text
-        held = {}
-        for n in reversed(nodes):
-            held[id(n)] = any(mark in p if isinstance(p, str) else held[id(p)] for p in n.parts)
-        y += [held[id(n)] for n in nodes]
-    return boosting.train(np.array(x, float), np.array(y, float), 60, 5, .2)
+def _trained(spark: SparkSession | None) -> boosting.Trees:
+    if spark is None:
+        parts = [labelled_nodes(i) for i in range(PAGES)]
+    else:
+        rows = sorted(spark.range(0, PAGES, 1, 24).mapInArrow(_samples, "id long, x binary, y binary").collect())
+        parts = [(np.frombuffer(r["x"]).reshape(-1, len(r["x"]) // len(r["y"])), np.frombuffer(r["y"])) for r in rows]
+    x, y = (np.concatenate(p) for p in zip(*parts))
+    return boosting.train(x, y, 60, 5, .2)
+
+
+def model(spark: SparkSession | None = None) -> boosting.Trees:
+    return _trained(spark)
 
 
 def extract(pages: list[str | None], trees: boosting.Trees) -> list[str]:
@@ -294,7 +333,7 @@ def extract(pages: list[str | None], trees: boosting.Trees) -> list[str]:
 
 def report(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    trees = model()
+    trees = model(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
