@@ -9,7 +9,8 @@ transforms, which are merged by interleave refinement (``bwt``); after SPAN symb
 the repeated 200-byte strings. A middle with more than GROUP contexts is refined first: halves of the span have longer
 middles, down to a single start, where equal contexts are equal strings. So no group grows with the corpus.
 
-Copies of a whole text are one text. Grams and middles are compared by 64 and 128-bit hashes, texts by 64 bits.
+Copies of a whole text are one text. Texts and middles are compared by 128-bit hashes; grams, by 64, only lead strings
+together.
 
 Edge cases: a null text is empty; a text under 200 bytes loses nothing; rows that repeat are removed wholly, as each
 has the other; overlaps within a text count; an empty table gives an empty result; long texts are read in pieces.
@@ -34,7 +35,8 @@ LENGTH, GRAM, SPAN, GROUP, SEED = 200, 40, 41, 1024, 42
 WINDOW = LENGTH - GRAM + 1
 MIDDLE = LENGTH - SPAN + 1
 _U, _PLACE = np.uint64, 24
-_PIECE, _BATCH = 1 << 22, 4096
+_PIECE, _BATCH, _TASK = 1 << 22, 4096, 8192
+_TEXT = ["tid", "tid2"]
 
 
 class Hasher:
@@ -88,8 +90,8 @@ def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(SEED)
     for batch in batches:
-        tids = batch.column(0).to_numpy(zero_copy_only=False)
-        for data, i, j, begin, skip in _stretches(*utf8_of(batch.column(1))):
+        tids, more_tids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for data, i, j, begin, skip in _stretches(*utf8_of(batch.column(2))):
             if len(data) < LENGTH:
                 continue
             at, gram, first, last = anchors(data, hasher)
@@ -106,21 +108,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = np.concatenate([first[ok], [e[1] for e in extra]]).astype(np.int64), np.concatenate([after[ok], [e[2] for e in extra]]).astype(np.int64)
             r = np.concatenate([row[ok], [e[3] for e in extra]]).astype(np.int64)
             shift = skip[r] - begin[r]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tids[i + r]), pa.array((lo + shift).astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array((a - lo).astype(np.int16))], ["key", "tid", "lo", "more", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tids[i + r]), pa.array(more_tids[i + r]), pa.array((lo + shift) << 32 | (hi - lo) << 16 | (a - lo))], ["key", "tid", "tid2", "run"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, anchors) -> a row for each span of starts: its middle's hashes and place, left and right bytes."""
+    """(uid, text, runs of starts) -> a row for each span of starts: its middle's hashes and place, left and right bytes. A run
+    is packed: its first start, and 16 bits each for how many more there are and how far the anchor is."""
     one, two = Hasher(SEED + 1), Hasher(SEED + 2)
     for batch in batches:
         tids = batch.column(0).to_pylist()
         for tid, text, runs in zip(tids, batch.column(1), batch.column(2)):
             raw = text.as_py().encode()
             data = np.frombuffer(raw, np.uint8)
-            runs = runs.values
-            lo = runs.field("lo").to_numpy().astype(np.int64)
-            hi = lo + runs.field("more").to_numpy()
-            at = lo + runs.field("anchor").to_numpy()
+            runs = runs.values.to_numpy()
+            lo = runs >> 32
+            hi, at = lo + (runs >> 16 & 0xFFFF), lo + (runs & 0xFFFF)
             out = []
             for k in range(-(-WINDOW // SPAN)):
                 middle = at - k * SPAN
@@ -131,7 +133,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one.load(data), two.load(data)
             left = [raw[a:b] for a, b in zip(x.tolist(), middle.tolist())]
             right = [raw[m + MIDDLE : b + LENGTH] for m, b in zip(middle.tolist(), y.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(one.of(middle, MIDDLE).view(np.int64)), pa.array(two.of(middle, MIDDLE).view(np.int64)), pa.array(np.full(len(x), tid)), pa.array(middle.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["m1", "m2", "tid", "middle", "l", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.of(middle, MIDDLE).view(np.int64)), pa.array(two.of(middle, MIDDLE).view(np.int64)), pa.array(np.full(len(x), tid)), pa.array(middle.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["m1", "m2", "uid", "middle", "l", "r"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,9 @@ def _masks(contexts: DataFrame) -> DataFrame:
     while True:
         sizes = materialize(each.groupBy(*_ITEM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-sizes")
         several = each.join(sizes, _ITEM)
-        dealt = several.filter(f"n <= {GROUP}").select(*_ITEM, "l", "r", "c", "eid").repartition(*_ITEM).sortWithinPartitions(*_ITEM)
+        # so many tasks that none merges much more than _TASK contexts, whatever they weigh
+        tasks = 1 + (sizes.filter(f"n <= {GROUP}").agg(F.sum("n")).first()[0] or 0) // _TASK
+        dealt = several.filter(f"n <= {GROUP}").select(*_ITEM, "l", "r", "c", "eid").repartition(tasks, *_ITEM).sortWithinPartitions(*_ITEM)
         merged = dealt.mapInArrow(_merged, "eid long, m1 long, mask long").filter("mask <> 0")
         # a context that occurs twice is repeated wherever its bytes reach
         reach = F.expr("shiftleft(1L, least(hi, lo + length(l)) + 1) - shiftleft(1L, greatest(lo, hi - length(r)))")
@@ -204,26 +208,32 @@ def _masks(contexts: DataFrame) -> DataFrame:
         each = materialize(items.groupBy("eid", *_ITEM, "l", "r").agg(F.sum("c").alias("c")), "suffix-each")
 
 
+def _hashes(text) -> list:
+    """The 128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("tid"), F.xxhash64(F.lit(1), text).alias("tid2")]
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (tid, text, runs): of each text with repeated strings, its (middle, mask) runs; texts that occur once only."""
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    long = units.filter(f"octet_length(text) >= {LENGTH}")
-    found = materialize(long.select("tid", "text").mapInArrow(_anchor_rows, "key long, tid long, lo int, more short, anchor short"), "suffix-anchors")
+    """docs (doc_id, text) -> (tid, tid2, text, hits): of each text with repeated strings, its (middle, mask) runs; texts that
+    occur once only."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_hashes(text)).filter(f"octet_length(text) >= {LENGTH}")
+    found = materialize(long.select(*_TEXT, "text").mapInArrow(_anchor_rows, "key long, tid long, tid2 long, run long"), "suffix-anchors")
     keys = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-keys")
-    runs = found.join(keys, "key").groupBy("tid").agg(F.collect_set(F.struct("lo", "more", "anchor")).alias("runs"))
-    first = long.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    need = materialize(runs.join(first, "tid"), "suffix-need")
+    runs = found.join(keys, "key").groupBy(*_TEXT).agg(F.collect_set("run").alias("runs"))
+    first = long.groupBy(*_TEXT).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    need = materialize(runs.join(first, _TEXT), "suffix-need")
     discard(found, keys)
-    there = (long["tid"] == need["tid"]) & long["doc_id"].eqNullSafe(need["first_id"])
-    texts = materialize(long.join(need, there).select(need["tid"], "text", "runs", "copies"), "suffix-texts")
+    there = (long["tid"] == need["tid"]) & (long["tid2"] == need["tid2"]) & long["doc_id"].eqNullSafe(need["first_id"])
+    texts = materialize(long.join(need, there).select(need["tid"], need["tid2"], "text", "runs", "copies").withColumn("uid", F.monotonically_increasing_id()), "suffix-texts")
     discard(need)
-    rows = texts.select("tid", "text", "runs").mapInArrow(_contexts, "m1 long, m2 long, tid long, middle int, l binary, r binary")
+    rows = texts.select("uid", "text", "runs").mapInArrow(_contexts, "m1 long, m2 long, uid long, middle int, l binary, r binary")
     spans = materialize(rows.withColumn("cid", F.xxhash64("m2", "l", "r")), "suffix-spans")
     contexts = materialize(spans.groupBy("cid", "m1", "m2", "l", "r").agg(F.count(F.lit(1)).alias("c")), "suffix-contexts")
     masks = materialize(_masks(contexts), "suffix-masks")
     discard(contexts)
-    hits = spans.select("tid", "middle", "cid", F.col("m1").alias("root")).join(masks, ["cid", "root"]).groupBy("tid").agg(F.collect_list(F.struct("middle", "mask")).alias("hits"))
-    return texts.filter("copies = 1").select("tid", "text").join(hits, "tid")
+    hits = spans.select("uid", "middle", "cid", F.col("m1").alias("root")).join(masks, ["cid", "root"]).groupBy("uid").agg(F.collect_list(F.struct("middle", "mask")).alias("hits"))
+    return texts.filter("copies = 1").select("uid", *_TEXT, "text").join(hits, "uid").drop("uid")
 
 
 def keep(raw: bytes, hits) -> list[tuple[int, int]]:
@@ -242,34 +252,34 @@ def keep(raw: bytes, hits) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for tid, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for tid, tid2, text, hits in zip(*(batch.column(i).to_pylist() for i in (0, 1)), *(batch.column(i) for i in (2, 3))):
             raw = text.as_py().encode()
             gone = keep(raw, zip(hits.values.field("middle").to_pylist(), hits.values.field("mask").to_pylist()))
             bounds = [0, *[x for span in gone for x in span], len(raw)]
             rest = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
-            rows.append((tid, sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"), gone))
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-        cols[5] = [[{"start": a, "end": b} for a, b in g] for g in cols[5]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["tid", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+            rows.append((tid, tid2, sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"), gone))
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        cols[6] = [[{"start": a, "end": b} for a, b in g] for g in cols[6]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["tid", "tid2", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """tid (xxhash64 of the text), n_removed, n_spans, kept_sha256, kept (text), spans: of texts that occur once and lose bytes."""
-    return removals(docs).select("tid", "text", "hits").mapInArrow(_cut, "tid long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>")
+    """tid, tid2 (hashes of the text), n_removed, n_spans, kept_sha256, kept (text), spans: of texts that occur once and lose bytes."""
+    return removals(docs).select(*_TEXT, "text", "hits").mapInArrow(_cut, "tid long, tid2 long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("tid"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("sha")), "suffix-docs")
-    lost = dedup(docs).select("tid", "n_removed", "n_spans", "kept_sha256")
-    copies = every.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"))
-    facts = materialize(copies.join(lost, "tid", "left"), "suffix-facts")
+    every = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(whole), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("sha")), "suffix-docs")
+    lost = dedup(docs).select(*_TEXT, "n_removed", "n_spans", "kept_sha256")
+    copies = every.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("copies"))
+    facts = materialize(copies.join(lost, _TEXT, "left"), "suffix-facts")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     pick = lambda all_, some, none: F.when(copied, all_).otherwise(F.coalesce(some, none))
     zero = F.lit(0).cast("long")
-    return every.join(facts, "tid").select(
+    return every.join(facts, _TEXT).select(
         "doc_id",
         "n_bytes",
         pick(F.col("n_bytes"), F.col("n_removed"), zero).alias("n_removed"),
