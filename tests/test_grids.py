@@ -95,7 +95,7 @@ def test_cost_allocation_against_all_pairs(spark):
     rows = [[r.choice([N, N, N, N, N, round(r.uniform(1, 9), 3)]) for _ in range(17)] for _ in range(13)]
     rows[0][0] = 4.5
     src = {k: v for k, v in dense(rows).items() if v is not None}
-    got = values(neighbourhood.cost_allocation(grid(spark, rows), radius=2.0))
+    got = values(neighbourhood.cost_allocation(grid(spark, rows)))
     for (i, j), v in got.items():
         best = min((round(max(abs(i - a), abs(j - b)) + (2**0.5 - 1) * min(abs(i - a), abs(j - b)), 9), a, b) for a, b in src)
         assert v == src[best[1:]]
@@ -333,3 +333,156 @@ def test_fill_nodata(spark):
     rows = [(0, c, v) for c, v in enumerate([2.0, None, 6.0, None, None, None, None])]
     got = neighbourhood.fill_nodata(spark.createDataFrame(rows, "row int, col int, value double"), 2.0).orderBy("col").collect()
     assert [x.value for x in got] == [2.0, 4.0, 6.0, 6.0, 6.0, None, None]
+
+
+def wide(spark, text):
+    return spark.createDataFrame([(i, j, None if v == "." else float(v)) for i, row in enumerate(text.split("/")) for j, v in enumerate(row.split())], "row int, col int, value double")
+
+
+GRID = {"crs_epsg": 3857, "x0": 0.0, "y0": 9.0, "res": 1.0, "height": 9, "width": 6}
+
+
+def test_many_polygons_over_one_row(spark):
+    """Every cell meets the polygon of its own column only, and a polygon with a hole counts each crossing."""
+    boxes = [(i, [[{"x": i + 0.1, "y": 0.0}, {"x": i + 0.9, "y": 0.0}, {"x": i + 0.9, "y": -2.0}, {"x": i + 0.1, "y": -2.0}]]) for i in range(1000)]
+    cells = spark.createDataFrame([(r, c, float(c)) for r in range(3) for c in range(1000)], "row int, col int, value double")
+    kind = "poly_id long, rings array<array<struct<x:double,y:double>>>"
+    got = vector.inside(cells, spark.createDataFrame(boxes, kind))
+    assert {tuple(x) for x in got.select("row", "col", "poly_id").collect()} == {(r, c, c) for r in range(2) for c in range(1000)}
+    points = spark.createDataFrame([(i, i + 0.5, -0.5) for i in range(1000)] + [(2000, 5.95, -0.5), (2001, 5.5, 3.0)], "id long, x double, y double")
+    assert {x.id for x in vector.select_by_location(points, spark.createDataFrame(boxes, kind)).collect()} == set(range(1000))
+    assert {x.id for x in vector.select_by_location(points, spark.createDataFrame(boxes, kind), "disjoint").collect()} == {2000, 2001}
+    joined = vector.join_by_location(points.withColumn("v", F.col("x")), spark.createDataFrame([*boxes, (5000, [[{"x": -9.0, "y": 0.0}, {"x": -8.0, "y": 0.0}, {"x": -8.0, "y": 1.0}]])], kind), "v").collect()
+    assert {(x.poly_id, x["count"], x["mean"]) for x in joined} == {(i, 1, i + 0.5) for i in range(1000)} | {(5000, 0, None)}
+
+
+def test_polygons_cut_at_tiles_keep_their_area(spark):
+    labels = spark.createDataFrame([(r, c, 1 if r < 7 else 2) for r in range(10) for c in range(9)], "row int, col int, label long")
+    whole = {x.poly_id: x.area for x in vector.area_and_centroid(vector.polygonize(labels)).collect()}
+    parts = vector.polygonize(labels, 4)
+    assert parts.count() == 12 and whole == {1: 63.0, 2: 27.0}
+    tiles = vector.area_and_centroid(parts.withColumnRenamed("poly_id", "area_of").withColumn("poly_id", F.monotonically_increasing_id())).agg(F.sum("area")).first()[0]
+    assert tiles == 90.0
+    assert {x.label: (x.area, x.x, x.y) for x in vector.areas_of(labels).collect()} == {1: (63.0, 4.5, -3.5), 2: (27.0, 4.5, -8.5)}
+
+
+def test_windows_must_lie_in_the_grid(spark):
+    cells = grid(spark, DEM1)
+    out, where = resample.clip_bbox(cells, GRID, (1.2, 2.0, 4.0, 7.4))
+    assert where == GRID | {"x0": 1.0, "y0": 7.0, "height": 5, "width": 3} and out.count() == 15
+    for bbox in ((-1.0, 0.0, 3.0, 3.0), (0.0, 0.0, 7.0, 3.0), (2.0, 2.0, 2.2, 2.2)):
+        with pytest.raises(ValueError):
+            resample.clip_bbox(cells, GRID, bbox)
+    low, high = resample.clip_pair_bbox(grid(spark, WSE2), GRID | {"height": 3, "width": 2, "res": 3.0}, cells, GRID, (0.4, 2.9, 3.3, 9.0))
+    assert low[1]["height"] == 2 and high[1] == GRID | {"height": 6, "width": 3} and high[0].count() == 18
+
+
+def test_ratio_where_none_is_given(spark):
+    dem, wse = grid(spark, DEM1), grid(spark, WSE2)
+    want = values(methods.run(dem, wse, "SimpleFilter", 3))
+    assert values(methods.run(dem, wse, "SimpleFilter")) == want
+    assert values(methods.run(dem, wse, "rsmpF", grids=({"res": 1.0}, {"res": 3.0}))) == want
+    for bad in (({"res": 2.0}, {"res": 3.0}), ({"res": 3.0}, {"res": 1.0})):
+        with pytest.raises(ValueError):
+            methods.run(dem, wse, "Basic", grids=bad)
+
+
+def test_grids_that_overlap_are_no_mosaic(spark):
+    with pytest.raises(Exception, match="the grids overlap"):
+        algebra.mosaic(grid(spark, WSE13), grid(spark, WSE1V)).collect()
+
+
+def test_observed_extent_and_area_of_interest(spark):
+    dem = grid(spark, DEM1)
+    ring = spark.createDataFrame([(1, [[{"x": 0.0, "y": 9.0}, {"x": 3.0, "y": 9.0}, {"x": 3.0, "y": 0.0}, {"x": 0.0, "y": 0.0}]])], "poly_id long, rings array<array<struct<x:double,y:double>>>")
+    cache = {}
+    wet = methods.observed_extent(ring, dem, GRID, cache)
+    assert wet.filter("wet").count() == 27 and methods.observed_extent(ring.limit(0), dem, GRID, cache) is wet
+    with pytest.raises(ValueError):
+        methods.observed_extent(ring.limit(0), dem, GRID)
+    assert methods.observed_extent(wet, dem, GRID).filter("wet").count() == 27
+    with pytest.raises(ValueError):
+        methods.observed_extent(wet.filter("row > 2"), dem, GRID)
+    true = algebra.wet_of_wse(grid(spark, WSE1V))
+    with pytest.raises(ValueError):
+        methods.validate_inundation(true, true, reject_identical=True)
+    sims = {"a": grid(spark, WSE13), "b": grid(spark, WSE1V)}
+    points = spark.createDataFrame([(1, 0.5, 8.5, 2.0), (2, 4.5, 0.5, 1.0)], "id long, x double, y double, water_depth double")
+    every = methods.validate_downscaled(sims, dem, GRID, true, points).collect()
+    assert {(x.analysis, x.sim_name) for x in every} == {(a, s) for a in ("hwm", "inun") for s in "ab"}
+    got = {(x.sim_name, x.var_name): x.val for x in every if x.analysis == "inun"}
+    assert got["a", "TP"] == "33" and got["a", "FP"] == "1" and got["b", "FP"] == "0"
+    cut = methods.validate_downscaled(sims, dem, GRID, true, points, (0.0, 3.0, 6.0, 9.0)).collect()
+    assert {(x.analysis, x.sim_name) for x in cut} == {("inun", "a"), ("inun", "b")}
+    assert {(x.sim_name, x.var_name): x.val for x in cut}["a", "FP"] == "0"
+
+
+def test_methods_keep_grids_apart(spark):
+    """Two grids in one table give what each gives alone."""
+    one, two = (grid(spark, WSE2), grid(spark, DEM1)), (grid(spark, [[N, 4], [N, N], [6, N]]), grid(spark, [list(reversed(r)) for r in DEM1]))
+    tag = lambda pair, n: [df.select(F.lit(n).alias("grid_id"), "*") for df in pair]
+    wse, dem = (a.unionAll(b) for a, b in zip(tag(one, "one"), tag(two, "two")))
+    for name, pars in (("Basic", {}), ("SimpleFilter", {}), ("BufferGrowLoop", {}), ("CostGrow", {"width": 6}), ("Schumann14", {})):
+        both = methods.run(dem, wse, name, 3, validate=False, **pars)
+        for n, (w, d) in (("one", one), ("two", two)):
+            alone = values(methods.run(d, w, name, 3, validate=False, **pars))
+            assert values(both.filter(F.col("grid_id") == n)) == alone, (name, n)
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tidecell.functions import stage
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        _jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isDefined": lambda s: False})()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": Conf()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_dir(session)
+
+
+def test_checks_of_metadata(spark):
+    row = lambda n, w, res: (n, 3857, 9, w, 0.0, 9.0, res, -9999.0)
+    grids = lambda *rows: spark.createDataFrame(rows, "grid_id string, crs_epsg int, height int, width int, x0 double, y0 double, res double, nodata double")
+    assert checks.same(grids(row("a", 6, 1.0), row("b", 6, 1.0))).first()["same"]
+    assert not checks.same(grids(row("a", 6, 1.0), row("b", 5, 1.0))).first()["same"]
+    assert [x.simple for x in checks.simple_pixels(grids(row("a", 6, 1.0), row("b", 6, 0.5))).orderBy("grid_id").collect()] == [True, False]
+    assert resample.divisible((9, 6), 3) and not resample.divisible((9, 6), 2)
+
+
+def test_quantiles_without_sorting_all(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(metrics, "SORTED", 20)
+    monkeypatch.setattr(metrics, "BINS", 7)
+    r = random.Random(4)
+    values_ = [r.choice([1.0, 2.0, r.gauss(0, 50)]) for _ in range(999)]
+    df = spark.createDataFrame([(v,) for v in [*values_, None]], "v double")
+    probs = [0.0, 0.02, 0.333, 0.5, 0.98, 1.0]
+    assert np.allclose(metrics.quantiles(df, "v", probs), np.quantile(values_, probs))
+    assert metrics.quantiles(df.filter("v > 1e9"), "v", [0.5]) == [None]
+
+
+def test_ols_intervals_hold_the_coefficients(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(x := r.uniform(0, 10), y := r.uniform(0, 5), 3 + 2 * x - y + r.gauss(0, 0.5)) for _ in range(300)]
+    got = metrics.ols_intervals(metrics.ols(spark.createDataFrame(rows, "x double, y double, z double"), "z", ["x", "y"]), ["x", "y"])
+    assert [g["name"] for g in got] == ["x", "y", "intercept"]
+    assert all(g["low"] < want < g["high"] and g["high"] - g["low"] < 0.5 and g["p"] < 1e-6 for g, want in zip(got, (2, -1, 3)))
+    assert abs(metrics.student_quantile(0.95, 10) - 2.2281) < 1e-3
+
+
+def test_multinomial(spark):
+    rows = [(k, 3.0 * "abc".index(k) + d / 10) for k in "abc" for d in range(-8, 9)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    out = metrics.multinomial(df, "k", ["x"]).transform(df)
+    assert out.filter("prediction = label_i").count() == len(rows)

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session whose executors are
+    threads of the driver gets a folder of its own; on a cluster there is none that all could read."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
+    if not named and not sc.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="tidecell-")
         sc.setCheckpointDir(named)
@@ -34,6 +37,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*stages: DataFrame) -> None:
     """Delete the files of stages that nothing will read again: what is built on them must be written by now."""
     for df in stages:
+        if not hasattr(df, "stage_path"):
+            continue
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(df.stage_path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

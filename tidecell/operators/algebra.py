@@ -75,8 +75,9 @@ def apply_mask(cells: DataFrame, mask: DataFrame, replace: bool = False, fill: f
 
 
 def mosaic(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of two rasters that don't overlap; see ``overlap``."""
-    return _of(pair(a, b, how="full"), F.coalesce("a", "b"))
+    """Of two rasters that don't overlap; a cell with data in both is an error (see ``overlap``)."""
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return _of(pair(a, b, how="full"), F.when(both, F.raise_error(F.lit("the grids overlap")).cast("double")).otherwise(F.coalesce("a", "b")))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is one minimum per node and one join; hubs are combined before the shuffle, and the join's sides are tables,
-so Spark can split a hub's rows. Edges are cut to the shared folder after each step. Nothing is collected but counts.
+so Spark can split a hub's rows. Edges are cut to the shared folder after each step, and what a step no longer needs is
+deleted. Nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecell.functions.stage import materialize
+from tidecell.functions.stage import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,10 +25,14 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        edges = materialize(large.distinct(), "cc-large")
+        larger = materialize(large.distinct(), "cc-large")
+        discard(edges, least)
+        edges = larger
         least = materialize(edges.groupBy("hi").agg(F.min("lo").alias("m")), "cc-min")
         small = edges.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = materialize(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "cc-small")
+        smaller = materialize(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "cc-small")
+        discard(edges, least)
+        edges = smaller
         before, now = now, _state(edges)
     roots = edges.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)

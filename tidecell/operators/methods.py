@@ -8,17 +8,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import materialize
+
 from . import algebra, checks, metrics, neighbourhood, resample, vector
 
 
 def basic(dem: DataFrame, wse2: DataFrame, k: int) -> DataFrame:
-    return resample.bilinear(wse2, k).join(dem.select("row", "col"), ["row", "col"], "right").select("row", "col", "value")
+    at = algebra.key(dem, wse2)
+    return resample.bilinear(wse2, k).join(dem.select(*at), at, "right").select(*at, "value")
 
 
 def simple_filter(dem: DataFrame, wse2: DataFrame, k: int, resampling: str = "bilinear") -> DataFrame:
     fine = resample.bilinear(wse2, k) if resampling == "bilinear" else resample.nearest(wse2, k)
-    p = dem.select("row", "col", F.col("value").alias("d")).join(fine, ["row", "col"], "left")
-    return p.select("row", "col", F.when(F.col("value") > F.col("d"), F.col("value")).alias("value"))
+    at = algebra.key(dem, fine)
+    p = dem.select(*at, F.col("value").alias("d")).join(fine, at, "left")
+    return p.select(*at, F.when(F.col("value") > F.col("d"), F.col("value")).alias("value"))
 
 
 def buffer_grow_loop(dem: DataFrame, wse2: DataFrame, k: int, rounds: int = 30, resampling: str = "bilinear") -> DataFrame:
@@ -37,7 +41,7 @@ def schumann14(dem: DataFrame, wse2: DataFrame, k: int, buffer_size: float = 1.5
     start = resample.nearest_onto(dem, wse2, k)
     ring = neighbourhood.donut(start, buffer_size * k)
     filled = neighbourhood.knn_fill(ring, wse2, k)
-    p = algebra.pair(dem, filled, "d", "w").filter("w > d").select("row", "col", F.col("w").alias("value"))
+    p = algebra.pair(dem, filled, "d", "w").filter("w > d").select(*algebra.key(dem, filled), F.col("w").alias("value"))
     return algebra.terrain_filter(algebra.mosaic(start, p), dem)
 
 
@@ -45,11 +49,20 @@ METHODS: dict[str, Callable[..., DataFrame]] = {"Basic": basic, "SimpleFilter":
 NICKNAMES = {"rsmp": "Basic", "rsmpF": "SimpleFilter", "bgl": "BufferGrowLoop", "cgs": "CostGrow", "s14": "Schumann14"}
 
 
-def run(dem: DataFrame, wse2: DataFrame, method: str = "CostGrow", k: int = 2, validate: bool = True, **pars) -> DataFrame:
-    """One method by name or nickname, with the kinds of its inputs checked before."""
+def _shape(cells: DataFrame) -> tuple[int, int]:
+    return tuple(n + 1 for n in cells.agg(F.max("row"), F.max("col")).first())
+
+
+def run(dem: DataFrame, wse2: DataFrame, method: str = "CostGrow", k: int | None = None, validate: bool = True, grids: tuple[dict, dict] | None = None, **pars) -> DataFrame:
+    """One method by name or nickname, with the kinds of its inputs checked before. Where k isn't given it is the ratio of the
+    resolutions of grids (the terrain's, the water's), or else of the two tables' shapes; it must be whole."""
+    if k is None:
+        k = resample.resolution_ratio(grids[1], grids[0]) if grids else resample.support_ratio(_shape(dem), _shape(wse2))
+        if k != int(k):
+            raise ValueError(f"the ratio of the grids is {k}, not a whole number")
     if validate:
         checks.require(dem, "DEM"), checks.require(wse2, "WSE")
-    return METHODS[NICKNAMES.get(method, method)](dem, wse2, k, **pars)
+    return METHODS[NICKNAMES.get(method, method)](dem, wse2, int(k), **pars)
 
 
 def run_many(dem: DataFrame, wse2: DataFrame, k: int, method_pars: dict[str, dict]) -> DataFrame:
@@ -77,7 +90,32 @@ def run_multires(dem: DataFrame, wse2: DataFrame, k: int, method_pars: dict[str,
     return reduce(DataFrame.unionByName, out)
 
 
-def validate_inundation(true_wet: DataFrame, pred_wet: DataFrame) -> dict[str, DataFrame]:
+def observed_extent(observed: DataFrame, cells: DataFrame, grid: dict, cache: dict | None = None) -> DataFrame:
+    """(row, col, wet) of the observed inundation on a grid: what the cache has for a grid of the same description, else
+    polygons (poly_id, rings) rasterised onto the cells, or a raster (row, col, wet) of these very cells. It must be partly
+    wet. What is built is written once and goes into the cache."""
+    profile = tuple(grid.get(c) for c in ("crs_epsg", "height", "width", "x0", "y0", "res"))
+    cache = {} if cache is None else cache
+    if profile not in cache:
+        if "rings" in observed.columns:
+            wet = vector.rasterize(cells, observed, grid["x0"], grid["y0"], grid["res"])
+        else:
+            k = algebra.key(cells, observed)
+            other = cells.select(*k).join(observed.select(*k), k, "left_anti").limit(1).count()
+            if other or observed.select(*k).join(cells.select(*k), k, "left_anti").limit(1).count():
+                raise ValueError("the observed raster isn't on the cells of the grid")
+            wet = observed.select(*k, "wet")
+        wet = materialize(wet, "observed")
+        if not checks.partial_wet(wet).first()["partial"]:
+            raise ValueError("the observed inundation is all wet or all dry")
+        cache[profile] = wet
+    return cache[profile]
+
+
+def validate_inundation(true_wet: DataFrame, pred_wet: DataFrame, reject_identical: bool = False) -> dict[str, DataFrame]:
+    """Scores and confusion grid. A prediction that equals the observation says nothing, and can be rejected."""
+    if reject_identical and checks.identical(true_wet, pred_wet, algebra.key(true_wet, pred_wet)).first()["identical"]:
+        raise ValueError("the prediction is identical to the observation")
     codes = algebra.confusion_grid(true_wet, pred_wet)
     return {"metrics": metrics.inundation_metrics(true_wet, pred_wet), "confusion": codes}
 
@@ -98,3 +136,24 @@ def validate_many(preds: dict[str, DataFrame], true_wet: DataFrame | None = None
             out.append(("inun", sim, validate_inundation(true_wet, algebra.wet_of_depth(wsh))["metrics"]))
     rows = [m.select(F.lit(a).alias("analysis"), F.lit("metric").alias("data_type"), F.lit(s).alias("sim_name"), F.explode(F.map_entries(F.create_map(*[x for c in m.columns for x in (F.lit(c), F.col(c).cast("string"))]))).alias("e")).select("analysis", "data_type", "sim_name", F.col("e.key").alias("var_name"), F.col("e.value").alias("val")) for a, s, m in out]
     return reduce(DataFrame.unionByName, rows)
+
+
+def validate_downscaled(sims: dict[str, DataFrame], dem: DataFrame, grid: dict, true_wet: DataFrame | None = None, points: DataFrame | None = None, aoi: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Water surfaces of several methods, as ``run`` gives them -> the rows of ``validate_many``. With an area of interest
+    (xmin, ymin, xmax, ymax) all grids are cut to it first, and the points, which it leaves out, are not scored."""
+    depths = {sim: algebra.depth(wse, dem) for sim, wse in sims.items()}
+    if not aoi:
+        return validate_many(depths, true_wet, points, x0=grid["x0"], y0=grid["y0"], res=grid["res"])
+    depths = {sim: resample.clip_bbox(d, grid, aoi)[0] for sim, d in depths.items()}
+    return validate_many(depths, None if true_wet is None else resample.clip_bbox(true_wet, grid, aoi)[0])
+
+
+def depth_stats(dem: DataFrame, wse2: DataFrame, k: int, method_pars: dict[str, dict], scales: list[int], res: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The depth grids (method, dscale, row, col, value) of each method at each scale, and their statistics (method, dscale,
+    mean, posi_area, vol) over cells of that scale's size."""
+    levels = run_multires(dem, wse2, k, method_pars, scales)
+    terrain = reduce(DataFrame.unionByName, [(dem if s == 1 else resample.block_reduce(dem, s)).select("row", "col", F.col("value").alias("d"), F.lit(s).alias("dscale")) for s in scales])
+    depth = F.greatest(F.coalesce(F.col("value") - F.col("d"), F.lit(0.0)), F.lit(0.0))
+    depths = levels.join(terrain, ["dscale", "row", "col"]).select("method", "dscale", "row", "col", depth.alias("value"))
+    pixel = F.pow(F.col("dscale") * F.lit(res), 2)
+    return depths, depths.groupBy("method", "dscale").agg(F.avg("value").alias("mean"), F.sum(F.when(F.col("value") > 0, pixel).otherwise(F.lit(0.0))).alias("posi_area"), F.sum(F.col("value") * pixel).alias("vol"))

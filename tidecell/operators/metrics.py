@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import materialize
+
 from .algebra import key, pair
 
 
@@ -163,10 +167,67 @@ def histogram(df: DataFrame, value: Column, width: float, bins: int, low: float
     return df.filter(value.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantile_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    q = lambda x: F.percentile(column, F.lit(x))
-    return df.agg(q(low).alias("low"), q(high).alias("high"), (q(high) - q(low)).alias("spread"))
+#: Values that are sorted at once, and bins that a wider range is cut into.
+SORTED, BINS = 100_000, 1024
+
+
+def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between ranks. A histogram tells which bin holds a rank, and that bin is cut again until
+    few enough values are left to sort: no task or buffer holds all distinct values."""
+    values = materialize(df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "quantiles")
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(probs)
+
+    def at(rank: int, a: float, b: float, before: int, inside: int) -> float:
+        while True:
+            part = values.filter(F.col("v").between(a, b))
+            if a == b:
+                return a
+            if inside <= SORTED:
+                return sorted(r["v"] for r in part.collect())[rank - before]
+            bin_ = F.least(F.floor((F.col("v") - a) / ((b - a) / BINS)), F.lit(BINS - 1)).alias("bin")
+            for r in sorted(part.groupBy(bin_).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()):
+                if rank < before + r["n"]:
+                    a, b, inside = r["a"], r["b"], r["n"]
+                    break
+                before += r["n"]
+
+    known: dict[int, float] = {}
+    out = []
+    for p in probs:
+        place = p * (n - 1)
+        first, last = (known.setdefault(r, at(r, low, high, 0, n)) if r not in known else known[r] for r in (math.floor(place), math.ceil(place)))
+        out.append(first + (place - math.floor(place)) * (last - first))
+    return out
 
 
-def paired(true: DataFrame, pred: DataFrame) -> DataFrame:
-    return pair(true, pred, "true", "pred")
+def quantile_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    a, b = quantiles(df, column, [low, high])
+    return df.sparkSession.createDataFrame([(a, b, None if a is None else b - a)], "low double, high double, spread double")
+
+
+def kde(df: DataFrame, column: str, at: list[float], bandwidth: float, by: list[str] | None = None) -> DataFrame:
+    """(.., x, density): a Gaussian kernel density at a few places, as violins draw it; partial sums before the shuffle."""
+    x = F.explode(F.array(*[F.lit(float(v)) for v in at])).alias("x")
+    each = df.filter(F.col(column).isNotNull()).select(*(by or []), F.col(column).cast("double").alias("v"), x)
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / bandwidth, F.lit(2.0))) / (bandwidth * math.sqrt(2 * math.pi))
+    return each.groupBy(*(by or []), "x").agg(F.avg(kernel).alias("density"))
+
+
+def student_quantile(level: float, dof: float) -> float:
+    """The t that a share level of Student's distribution lies within, on both sides together."""
+    low, high = 0.0, 1e3
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _student_p(mid, dof) > 1 - level else (low, mid)
+    return low
+
+
+def ols_intervals(model, names: list[str], level: float = 0.95) -> list[dict]:
+    """A row for each coefficient of a fitted ``ols``, the intercept last: coef, stderr, t, p, and the confidence interval."""
+    s = model.stages[-1].summary
+    coefs = [*model.stages[-1].coefficients, *([model.stages[-1].intercept] if len(s.tValues) > len(model.stages[-1].coefficients) else [])]
+    reach = student_quantile(level, s.degreesOfFreedom)
+    rows = zip([*names, "intercept"], coefs, s.coefficientStandardErrors, s.tValues, s.pValues)
+    return [{"name": n, "coef": c, "stderr": e, "t": t, "p": p, "low": c - reach * e, "high": c + reach * e} for n, c, e, t, p in rows]

@@ -49,8 +49,11 @@ def block_reduce(cells: DataFrame, k: int, how: dict[str, Column] | None = None)
     return cells.groupBy(*grid_of(cells), coarse("row", k).alias("row"), coarse("col", k).alias("col")).agg(*[v.alias(n) for n, v in how.items()])
 
 
-def clip(cells: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
-    """Rows and columns from the first up to but not the last, numbered anew; the filter reaches the scan."""
+def clip(cells: DataFrame, row0: int, row1: int, col0: int, col1: int, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Rows and columns from the first up to but not the last, numbered anew; the filter reaches the scan. With the grid's
+    shape, a window that is empty or not wholly inside is an error."""
+    if shape and not (0 <= row0 < row1 <= shape[0] and 0 <= col0 < col1 <= shape[1]):
+        raise ValueError(f"the window {(row0, row1, col0, col1)} is not inside a grid of {shape}")
     inside = F.col("row").between(row0, row1 - 1) & F.col("col").between(col0, col1 - 1)
     return cells.filter(inside).withColumns({"row": F.col("row") - row0, "col": F.col("col") - col0})
 
@@ -61,11 +64,42 @@ def window_of(bbox: tuple[float, float, float, float], x0: float, y0: float, res
     return put((y0 - bbox[3]) / res), put((y0 - bbox[1]) / res), put((bbox[0] - x0) / res), put((bbox[2] - x0) / res)
 
 
+def clip_bbox(cells: DataFrame, grid: dict, bbox: tuple[float, float, float, float]) -> tuple[DataFrame, dict]:
+    """A grid (height, width, x0, y0, res and what else describes it) cut to a box whose sides snap to cells
+    -> its cells and its new description."""
+    row0, row1, col0, col1 = window_of(bbox, grid["x0"], grid["y0"], grid["res"])
+    out = clip(cells, row0, row1, col0, col1, (grid["height"], grid["width"]))
+    return out, grid | {"height": row1 - row0, "width": col1 - col0, "x0": grid["x0"] + col0 * grid["res"], "y0": grid["y0"] - row0 * grid["res"]}
+
+
+def extent(grid: dict) -> tuple[float, float, float, float]:
+    """(xmin, ymin, xmax, ymax)."""
+    return grid["x0"], grid["y0"] - grid["height"] * grid["res"], grid["x0"] + grid["width"] * grid["res"], grid["y0"]
+
+
+def clip_pair_bbox(coarse_cells: DataFrame, coarse_grid: dict, fine_cells: DataFrame, fine_grid: dict, bbox: tuple[float, float, float, float]):
+    """The coarse grid by a box that snaps to its cells, the fine one by the extent that this gives; the two then cover the
+    same ground, or it is an error -> ((cells, grid), (cells, grid))."""
+    low, low_grid = clip_bbox(coarse_cells, coarse_grid, bbox)
+    high, high_grid = clip_bbox(fine_cells, fine_grid, extent(low_grid))
+    if any(abs(a - b) > 1e-9 for a, b in zip(extent(low_grid), extent(high_grid))):
+        raise ValueError("the grids don't line up at the clipped extent")
+    return (low, low_grid), (high, high_grid)
+
+
 def clip_pair(coarse_cells: DataFrame, fine_cells: DataFrame, k: int, row0: int, row1: int, col0: int, col1: int) -> tuple[DataFrame, DataFrame]:
     """A coarse grid by a coarse window, and the fine grid by the same extent."""
     return clip(coarse_cells, row0, row1, col0, col1), clip(fine_cells, row0 * k, row1 * k, col0 * k, col1 * k)
 
 
+def resolution_ratio(coarse_grid: dict, fine_grid: dict) -> float:
+    """How many fine cells a coarse one is wide; less than 1 is an error."""
+    ratio = coarse_grid["res"] / fine_grid["res"]
+    if ratio < 1:
+        raise ValueError(f"the coarse grid is finer than the fine one: {ratio}")
+    return ratio
+
+
 def support_ratio(fine: tuple[int, int], rough: tuple[int, int]) -> float:
     """Heights' ratio, which must be the widths' as well, and no less than 1."""
     h, w = fine[0] / rough[0], fine[1] / rough[1]

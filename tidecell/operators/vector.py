@@ -1,5 +1,6 @@
-"""Points, polygons and rasters. Polygons meet cells along rows: an edge is dealt to the rows it crosses, and a cell is
-inside if an odd number of crossings lie to its right. That is an equi-join on the row, never a theta join."""
+"""Points, polygons and rasters. Polygons meet cells along rows: an edge is dealt to the rows it crosses, the crossings of a
+row are paired to runs of columns, and runs are dealt to blocks of columns. So a cell meets, by an equi-join on its row and
+block, only what passes through its block, however many polygons cross its row."""
 
 from __future__ import annotations
 
@@ -40,11 +41,25 @@ def crossings(polygon_edges: DataFrame, y0: float = 0.0, res: float = 1.0) -> Da
     return e.select("poly_id", "row", x.alias("x")).groupBy("poly_id", "row").agg(F.collect_list("x").alias("xs"))
 
 
+#: Columns of a block in which cells meet runs, and widths of the tiles in which points meet polygons.
+BLOCK = 64
+
+
+def runs(polygons: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
+    """(poly_id, row, first, last): the columns whose centres the polygon holds in each row."""
+    xs = F.sort_array("xs")
+    column = lambda x: F.ceil((x - x0) / res - 0.5).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(column(F.get(xs, i)).alias("first"), (column(F.get(xs, i + 1)) - 1).alias("last")))
+    run = crossings(edges(polygons), y0, res).filter("size(xs) > 1").select("poly_id", "row", F.explode(pairs).alias("r"))
+    return run.select("poly_id", "row", "r.first", "r.last").filter("first <= last")
+
+
 def inside(cells: DataFrame, polygons: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
     """The cells whose centre is in a polygon, once for each polygon."""
-    met = cells.withColumn("cx", x0 + (F.col("col") + 0.5) * res).join(crossings(edges(polygons), y0, res), "row")
-    right = met.withColumn("n", F.size(F.filter("xs", lambda x: x > F.col("cx"))))
-    return right.filter("n % 2 = 1").drop("xs", "cx", "n")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    dealt = runs(polygons, x0, y0, res).withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
+    met = cells.withColumn("block", block("col")).join(dealt, ["row", "block"]).filter("col between first and last")
+    return met.select(*cells.columns, "poly_id")
 
 
 def rasterize(cells: DataFrame, polygons: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
@@ -92,16 +107,24 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"poly_id": [int(pdf.label.iloc[0])], "rings": [rings]})
 
 
-def polygonize(labels: DataFrame) -> DataFrame:
+def polygonize(labels: DataFrame, tile: int | None = None) -> DataFrame:
     """(row, col, label) areas -> polygons (poly_id, rings) in cell units, y up. Edges between cells of one area cancel,
-    so only an area's outline is chained, not its cells."""
+    so only an area's outline is chained, not its cells. With a tile, areas are cut at the borders of tiles of so many cells,
+    one polygon for each (poly_id, tile), so that no task gets the whole outline of a large one."""
     sides = {(0, 1): (1, 1, 0, 1), (0, -1): (0, 0, 1, 0), (1, 0): (1, 0, 1, 1), (-1, 0): (0, 1, 0, 0)}
     s = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "j", "a", "b", "c", "d"), (*d, *e))]) for d, e in sides.items()])).alias("s")
     each = labels.select("row", "col", "label", s).withColumns({"nr": F.col("row") + F.col("s.i"), "nc": F.col("col") + F.col("s.j")})
     other = labels.select(F.col("row").alias("nr"), F.col("col").alias("nc"), "label")
-    out = each.join(other, ["nr", "nc", "label"], "left_anti")
+    part = lambda r, c: F.struct(F.floor(F.col(r) / (tile or 1 << 31)), F.floor(F.col(c) / (tile or 1 << 31)))
+    other, each = other.withColumn("part", part("nr", "nc")), each.withColumn("part", part("row", "col"))
+    out = each.join(other, ["nr", "nc", "label", "part"], "left_anti")
     ring = "poly_id long, rings array<array<struct<x:double,y:double>>>"
-    return out.select("label", (F.col("row") + F.col("s.a")).alias("r1"), (F.col("col") + F.col("s.b")).alias("c1"), (F.col("row") + F.col("s.c")).alias("r2"), (F.col("col") + F.col("s.d")).alias("c2")).groupBy("label").applyInPandas(_chain, ring)
+    return out.select("label", "part", (F.col("row") + F.col("s.a")).alias("r1"), (F.col("col") + F.col("s.b")).alias("c1"), (F.col("row") + F.col("s.c")).alias("r2"), (F.col("col") + F.col("s.d")).alias("c2")).groupBy("label", "part").applyInPandas(_chain, ring)
+
+
+def areas_of(labels: DataFrame) -> DataFrame:
+    """(label, area, x, y) in cell units, y up: what ``area_and_centroid`` gives for the polygons, without building them."""
+    return labels.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg(F.col("col") + 0.5).alias("x"), F.avg(-(F.col("row") + 0.5)).alias("y"))
 
 
 def area_and_centroid(polygons: DataFrame) -> DataFrame:
@@ -135,14 +158,52 @@ def drop_nodata_points(points: DataFrame, column: str = "value", nodata: float =
     return points.filter(F.col(column) != nodata).drop("z")
 
 
-def select_by_location(points: DataFrame, polygons: DataFrame, res: float = 1.0) -> DataFrame:
-    """Points within any polygon; a scan line for each point's own y stands for the row."""
+def _point_pairs(points: DataFrame, polygons: DataFrame, res: float) -> DataFrame:
+    """(id, poly_id) of points within polygons. A polygon is dealt to bands of y, there to the tiles of its own extent, and a
+    point counts the edges to its right of the polygons in its tile."""
     e = edges(polygons)
     rows = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / res), F.floor(F.greatest("y1", "y2") / res))))
-    met = points.withColumn("band", F.floor(F.col("y") / res)).join(rows, "band")
+    tile = lambda x: F.floor(x / (BLOCK * res))
+    extent = rows.groupBy("poly_id", "band").agg(tile(F.min(F.least("x1", "x2"))).alias("first"), tile(F.max(F.greatest("x1", "x2"))).alias("last"))
+    dealt = extent.withColumn("tile", F.explode(F.sequence("first", "last"))).select("poly_id", "band", "tile")
+    near = points.select("id", "x", "y").withColumns({"band": F.floor(F.col("y") / res), "tile": tile(F.col("x"))}).join(dealt, ["band", "tile"])
     cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    ids = met.groupBy("id", "poly_id").agg(F.count_if(cross).alias("n")).filter("n % 2 = 1").select("id").distinct()
-    return points.join(ids, "id", "left_semi")
+    met = near.join(rows, ["poly_id", "band"]).filter(cross)
+    return met.groupBy("id", "poly_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("id", "poly_id")
+
+
+def select_by_location(points: DataFrame, polygons: DataFrame, predicate: str = "within", res: float = 1.0) -> DataFrame:
+    """Points (id, x, y) that are within any polygon, or, by the predicate disjoint, within none."""
+    how = {"within": "left_semi", "intersects": "left_semi", "disjoint": "left_anti"}[predicate]
+    return points.join(_point_pairs(points, polygons, res).select("id").distinct(), "id", how)
+
+
+def join_by_location(points: DataFrame, polygons: DataFrame, value: str, res: float = 1.0) -> DataFrame:
+    """(poly_id, count, sum, mean, min, max) of a column of the points within each polygon; polygons without any have count 0."""
+    at = _point_pairs(points, polygons, res).join(points.select("id", F.col(value).alias("v")), "id")
+    got = at.groupBy("poly_id").agg(F.count(F.lit(1)).alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return polygons.select("poly_id").join(got, "poly_id", "left").fillna(0, ["count"])
+
+
+def clip_polygons(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Each ring cut to a box, side by side: what of it lies inside, with the box's sides where it was cut (for rings that the
+    box cuts into several parts these touch along its sides). Polygons outside the box go. Column functions only."""
+
+    def cut(ring, axis: str, bound: float, keep_above: bool):
+        other = "y" if axis == "x" else "x"
+        ok = lambda p: p[axis] >= bound if keep_above else p[axis] <= bound
+        def meet(a, b):
+            t = (F.lit(bound) - a[axis]) / (b[axis] - a[axis])
+            at = {axis: F.lit(float(bound)), other: a[other] + t * (b[other] - a[other])}
+            return F.struct(at["x"].alias("x"), at["y"].alias("y"))
+        follow = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        none = F.filter(ring, lambda p: F.lit(False))
+        return F.flatten(F.zip_with(ring, follow, lambda a, b: F.when(ok(a) & ok(b), F.array(b)).when(ok(a), F.array(meet(a, b))).when(ok(b), F.array(meet(a, b), b)).otherwise(none)))
+
+    for axis, bound, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
+        side = (lambda a, b, k: lambda ring: cut(ring, a, b, k))(axis, bound, above)
+        polygons = polygons.withColumn("rings", F.transform("rings", side))
+    return polygons.withColumn("rings", F.filter("rings", lambda r: F.size(r) > 2)).filter(F.size("rings") > 0)
 
 
 def confusion_labels(codes: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -283,6 +283,12 @@ def method_cost_grow(s, d):
     return _r(methods.cost_grow(t, bridge.wse2(t), K, WIDTH, "nearest"))
 
 
+@query
+def method_cost_grow_bilinear(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.cost_grow(t, bridge.wse2(t), K, WIDTH))
+
+
 @query
 def method_schumann(s, d):
     t = bridge.dem(s, d)
@@ -322,6 +328,36 @@ def polygon_areas(s, d):
     return _r(vector.area_and_centroid(vector.polygonize(labels)).select("poly_id", "area"))
 
 
+@query
+def area_of_clumps(s, d):
+    return _r(vector.areas_of(neighbourhood.clumps(bridge.wse1(bridge.dem(s, d)), WIDTH)))
+
+
+@query
+def observed_extent(s, d):
+    """The second time from the cache."""
+    t, cache = bridge.dem(s, d), {}
+    grid = {"crs_epsg": 3857, "height": None, "width": WIDTH, "x0": 0.0, "y0": 0.0, "res": 1.0}
+    methods.observed_extent(_ring(s, d), t, grid, cache)
+    return methods.observed_extent(_ring(s, d).limit(0), t, grid, cache)
+
+
+@query
+def points_outside_polygon(s, d):
+    return vector.select_by_location(bridge.marks(s, d), _ring(s, d), "disjoint").select("id")
+
+
+@query
+def join_by_location(s, d):
+    return _r(vector.join_by_location(bridge.marks(s, d), _ring(s, d), "water_depth"))
+
+
+@query
+def polygon_clip_area(s, d):
+    """The area of a pentagon cut to a box."""
+    return _r(vector.area_and_centroid(vector.clip_polygons(_ring(s, d), 8.0, -12.0, 60.0, -1.5)).select("poly_id", "area"))
+
+
 @query
 def points_in_polygon(s, d):
     return vector.select_by_location(bridge.marks(s, d), _ring(s, d)).select("id")
@@ -415,15 +451,49 @@ def quantile_range(s, d):
     return _r(metrics.quantile_range(bridge.dem(s, d), "value"))
 
 
+@query
+def density_of_values(s, d):
+    return _r(metrics.kde(table(s, d, "events"), "value", [1.0, 5.0, 20.0], 2.5, ["event_type"]))
+
+
 @query
 def set_report(s, d):
     keys = lambda t, c: table(s, d, t).select(F.col(c).alias("k"))
     return metrics.set_report(keys("customer", "c_custkey"), keys("orders", "o_custkey"), "k")
 
 
+@query
+def fill_nodata(s, d):
+    return _r(neighbourhood.fill_nodata(bridge.wse1(bridge.dem(s, d)), 3.0))
+
+
 # results
 
 
+@query
+def validation_in_aoi(s, d):
+    """Two methods scored within a box; the rows of results as numbers."""
+    t = bridge.dem(s, d)
+    w = bridge.wse2(t)
+    grid = {"x0": 0.0, "y0": 0.0, "res": 1.0, "height": 1 << 30, "width": WIDTH}
+    sims = {"Basic": methods.run(t, w, "Basic", K, validate=False), "SimpleFilter": methods.run(t, w, "SimpleFilter", K, validate=False)}
+    rows = methods.validate_downscaled(sims, t, grid, _true(s, d), bridge.marks(s, d), (20.0, -12.0, 80.0, -2.0))
+    return _r(rows.select("analysis", "sim_name", "var_name", F.col("val").cast("double").alias("val")))
+
+
+@query
+def depth_stats(s, d):
+    t = bridge.dem(s, d)
+    return _r(methods.depth_stats(t, bridge.wse2(t), K, {"Basic": {}, "SimpleFilter": {}}, [1, K])[1], digits=3)
+
+
+@query
+def resolution_ratio(s, d):
+    """The ratio that methods use where none is given, from the sizes of the cells."""
+    fine, low = ({"res": float(n)} for n in (1, K))
+    return s.range(1).select(F.lit(resample.resolution_ratio(low, fine)).alias("ratio"))
+
+
 @query
 def multires_volume_pivot(s, d):
     t = bridge.dem(s, d)

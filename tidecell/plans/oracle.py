@@ -79,6 +79,19 @@ _ERRORS = """round(sum(p) / nullif(sum(t), 0), 6) as bias, round(sum(p) / nullif
 _EDGES = """ ring(n, x, y) as (values (0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),
  seg as (select cast(a.x as double) as x1, cast(a.y as double) as y1, cast(b.x as double) as x2, cast(b.y as double) as y2 from ring a join ring b on b.n = (a.n + 1) % 5),
  hit as (select d."row", d."col", d.value, count(*) filter ((y1 > -(d."row" + 0.5)) <> (y2 > -(d."row" + 0.5)) and d."col" + 0.5 < x1 + (-(d."row" + 0.5) - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 as wet from dem d, seg group by 1, 2, 3)"""
+#: Sides of a box one after the other: what lies inside, and where the outline meets the side.
+_CLIPPED = (
+    "with r0(n, x, y) as (values (0.0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),"
+    + ",".join(
+        f""" s{i} as (select row_number() over (order by n) as n, cast(x as double) as x, cast(y as double) as y from r{i - 1}),
+ e{i} as (select a.n, a.x as px, a.y as py, b.x as qx, b.y as qy, a.{c} {o} {v} as ia, b.{c} {o} {v} as ib from s{i} a join s{i} b on b.n = a.n % (select count(*) from s{i}) + 1),
+ r{i} as (select n, qx as x, qy as y from e{i} where ib union all
+   select n - 0.5, px + ({v} - p{c}) / (q{c} - p{c}) * (qx - px), py + ({v} - p{c}) / (q{c} - p{c}) * (qy - py) from e{i} where ia <> ib)"""
+        for i, (c, o, v) in enumerate((("x", ">=", 8), ("x", "<=", 60), ("y", ">=", -12), ("y", "<=", -1.5)), 1)
+    )
+    + """, z as (select row_number() over (order by n) as n, x, y from r4)
+select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
+)
 
 ORACLES = {
     "resample_nearest": _cells("pn"),
@@ -123,6 +136,18 @@ ORACLES = {
     "method_cost_grow": BASE + "," + _OCTILE.format(src="p1") + """,
  top as (select d."row", d."col", case when a.value > d.value then a.value end as value from dem d join alloc a using ("row", "col")),""" + _clumps("top") + f"""
 select t."row", t."col", round(case when l.root = {_TOP} then t.value end, 6) as value from top t left join lab l on l.id = t."row" * 100 + t."col" """,
+    "method_cost_grow_bilinear": BASE + "," + _OCTILE.format(src="sf").replace("/ 16", "/ 32").replace("<= 16", "<= 32") + """,
+ top as (select d."row", d."col", case when a.value > d.value then a.value end as value from dem d join alloc a using ("row", "col")),""" + _clumps("top") + f"""
+select t."row", t."col", round(case when l.root = {_TOP} then t.value end, 6) as value from top t left join lab l on l.id = t."row" * 100 + t."col" """,
+    "method_buffer_grow_loop": BASE + """,
+ grow as (select 0 as n, "row", "col", value from sf union all
+   select s.n + 1, s."row", s."col", case when coalesce(s.value, m.near) > d.value then coalesce(s.value, m.near) end from grow s join dem d using ("row", "col")
+   left join (select w."row" + i as "row", w."col" + j as "col", avg(value) as near from grow w, sh where value is not null group by 1, 2) m using ("row", "col") where s.n < 30)
+select "row", "col", round(value, 6) as value from grow where n = 30""",
+    "fill_nodata": _b("""select p."row", p."col", round(coalesce(p.value, n.near), 6) as value from p1 p left join (
+      select a."row", a."col", sum(b.value / (pow(a."row" - b."row", 2) + pow(a."col" - b."col", 2))) / sum(1 / (pow(a."row" - b."row", 2) + pow(a."col" - b."col", 2))) as near
+      from p1 a join p1 b on b."row" between a."row" - 3 and a."row" + 3 and b."col" between a."col" - 3 and a."col" + 3
+      where a.value is null and b.value is not null and pow(a."row" - b."row", 2) + pow(a."col" - b."col", 2) <= 9 group by 1, 2) n using ("row", "col")"""),
     "method_schumann": BASE + "," + _DONUT + """
 select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value then coalesce(n.value, f.value) end, 6) as value from dem d join pn n using ("row", "col") left join fill f using ("row", "col")""",
     "sample_points": _b('select id, water_depth, round(h.value, 6) as value from (select id, round(water_depth, 6) as water_depth, "row", "col" from marks) m left join ph h using ("row", "col")'),
@@ -136,6 +161,12 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "zonal_stats": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(value) as count, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(sum(value), 6) as sum,
   round(stddev_pop(value), 6) as std, round(median(value), 6) as median from hit where wet""",
     "polygon_areas": BASE + "," + _clumps("p1") + "\nselect cast(root as bigint) as poly_id, cast(count(*) as double) as area from lab group by root",
+    "area_of_clumps": BASE + "," + _clumps("p1") + """\nselect cast(l.root as bigint) as label, cast(count(*) as double) as area, round(avg(n."col" + 0.5), 6) as x, round(avg(-(n."row" + 0.5)), 6) as y from lab l join node n using (id) group by 1""",
+    "observed_extent": BASE + "," + _EDGES + '\nselect "row", "col", wet from hit',
+    "points_outside_polygon": BASE + "," + _EDGES + '\nselect m.id from marks m left join hit h using ("row", "col") where not coalesce(h.wet, false)',
+    "join_by_location": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(*) as count, round(sum(water_depth), 6) as sum, round(avg(water_depth), 6) as mean, round(min(water_depth), 6) as min, round(max(water_depth), 6) as max
+      from marks join hit using ("row", "col") where wet""",
+    "polygon_clip_area": _CLIPPED,
     "bbox_of_points": _b("select cast(min(x) as double) as xmin, min(y) as ymin, cast(max(x) as double) as xmax, max(y) as ymax from marks"),
     "bbox_overlap": _b("""select cast(max(a) as double) as xmin, max(b) as ymin, cast(min(c) as double) as xmax, min(d) as ymax from (select min(x) as a, min(y) as b, max(x) as c, max(y) as d from marks group by id % 3) having min(c) > max(a) and min(d) > max(b)"""),
     "inundation_metrics": BASE + f", counts as (select {_SCORES})\n{_RATIOS}",
@@ -153,12 +184,24 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
       round(sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / (regr_sxx(y, x) * (regr_count(y, x) - 2))), 6) as stderr, cast(regr_count(y, x) as bigint) as n from (select l_returnflag, l_quantity as x, l_extendedprice / 1000 as y from lineitem) group by 1""",
     "histogram_diff": "select cast(greatest(least(floor(value / 2.0), 29), 0) as int) as bin, count(*) as n from events where value is not null group by 1",
     "quantile_range": _b("select round(quantile_cont(value, 0.02), 6) as low, round(quantile_cont(value, 0.98), 6) as high, round(quantile_cont(value, 0.98) - quantile_cont(value, 0.02), 6) as spread from dem"),
+    "density_of_values": "select event_type, x, round(avg(exp(-0.5 * pow((x - value) / 2.5, 2)) / (2.5 * sqrt(2 * pi()))), 6) as density from events, (select unnest([cast(1 as double), 5, 20]) as x) where value is not null group by 1, 2",
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (
       select 'Basic' as sim, 1 as dscale, greatest(coalesce(lin.value - dem.value, 0), 0) as h from dem left join lin using ("row", "col")
       union all select 'SimpleFilter', 1, greatest(coalesce(sf.value - dem.value, 0), 0) from dem join sf using ("row", "col")
       union all select m, 5, greatest(coalesce(p2.value - blk.value, 0), 0) * 25 from blk join p2 using ("row", "col"), (values ('Basic'), ('SimpleFilter')) t(m)) group by sim"""),
+    "validation_in_aoi": BASE + """, sims as (select 'Basic' as sim_name, lin."row", lin."col", lin.value from dem join lin using ("row", "col") union all select 'SimpleFilter', "row", "col", value from sf),
+ cmp as (select k.sim_name, d."row", d."col", coalesce(s.value > d.value, false) as p, q.value is not null as t from (select distinct sim_name from sims) k cross join dem d join q1 q using ("row", "col") left join sims s on s.sim_name = k.sim_name and s."row" = d."row" and s."col" = d."col"
+   where d."row" between 2 and 11 and d."col" between 20 and 79),
+ counts as (select sim_name, cast(count(*) filter (t and p) as double) as "TP", cast(count(*) filter (not t and not p) as double) as "TN", cast(count(*) filter (not t and p) as double) as "FP", cast(count(*) filter (t and not p) as double) as "FN" from cmp group by 1),
+ scores as (select *, round("TP" / nullif("TP" + "FN", 0), 6) as "hitRate", round("FP" / nullif("TP" + "FP", 0), 6) as "falseAlarms", round("TP" / nullif("TP" + "FP" + "FN", 0), 6) as "criticalSuccessIndex", round("FP" / nullif("FN", 0), 6) as "errorBias" from counts)
+select 'inun' as analysis, sim_name, var_name, val from (unpivot scores on "TP", "TN", "FP", "FN", "hitRate", "falseAlarms", "criticalSuccessIndex", "errorBias" into name var_name value val)""",
+    "depth_stats": _b("""select method, dscale, round(avg(h), 3) as mean, round(sum(case when h > 0 then dscale * dscale else 0 end), 3) as posi_area, round(sum(h * dscale * dscale), 3) as vol from (
+      select 'Basic' as method, 1 as dscale, greatest(coalesce(lin.value - dem.value, 0), 0) as h from dem left join lin using ("row", "col")
+      union all select 'SimpleFilter', 1, greatest(coalesce(sf.value - dem.value, 0), 0) from dem join sf using ("row", "col")
+      union all select m, 5, greatest(coalesce(p2.value - blk.value, 0), 0) from blk join p2 using ("row", "col"), (values ('Basic'), ('SimpleFilter')) t(m)) group by 1, 2"""),
+    "resolution_ratio": "select cast(5 as double) as ratio",
     "results_long": BASE + f", counts as (select {_SCORES}), scores as ({_RATIOS})" + """
 select 'inun' as analysis, 'metric' as data_type, 'sim' as sim_name, var_name, val from (unpivot (select cast("TP" as double) as "TP", cast("TN" as double) as "TN", cast("FP" as double) as "FP", cast("FN" as double) as "FN", "hitRate", "falseAlarms", "criticalSuccessIndex", "errorBias" from scores) on columns(*) into name var_name value val)""",
     "sim_wide_points": _b('select id, round(p.value, 6) as one, round(q.value, 6) as two, round(water_depth, 6) as "true", true as agree from marks m join ph p using ("row", "col") join qh q using ("row", "col")'),
