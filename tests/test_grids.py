@@ -486,3 +486,19 @@ def test_multinomial(spark):
     df = spark.createDataFrame(rows, "k string, x double")
     out = metrics.multinomial(df, "k", ["x"]).transform(df)
     assert out.filter("prediction = label_i").count() == len(rows)
+
+
+def test_result_libraries(spark):
+    nested = {"Basic": {"inun": {"metric": {"TP": 3}, "fp": {"a.tif": "/old/a.tif", "b.tif": "/old/b.tif"}}, "raw": {"meta": {"x": 1}}}, "Schumann14": {"inun": {"fp": {"a.tif": "/else/a.tif"}}}}
+    long = shaping.library(spark, nested)
+    out = shaping.load(long, moved=("/old", "/new/place"))
+    assert {(x.sim_name, x.var_name, x.val) for x in out.collect()} == {("Basic", "TP", "3"), ("Basic", "a.tif", "/new/place/a.tif"), ("Basic", "b.tif", "/new/place/b.tif"), ("Schumann14", "a.tif", "/else/a.tif")}
+    assert [x.sim_name for x in shaping.inundation_files(out.filter("data_type = 'fp'"), ["a.tif", "b.tif"]).collect()] == ["Basic"]
+    for bad in ({"Basic": {"other": {"fp": {"a": 1}}}}, {"Basic": {"inun": {"kind": {"a": 1}}}}):
+        with pytest.raises(Exception, match="not a result"):
+            shaping.load(shaping.library(spark, bad)).collect()
+    named = shaping.renamed(long, "sim_name", {"Basic": "rsmp"})
+    assert {x.sim_name for x in named.collect()} == {"rsmp", "Schumann14"}
+    assert [x.sim_name for x in shaping.in_order(named.select("sim_name").distinct(), "sim_name", ["Schumann14", "rsmp"]).collect()] == ["Schumann14", "rsmp"]
+    table = shaping.grid_table(grid(spark, [[1.23, 4], [N, 5]]), [0, 1]).orderBy("row").collect()
+    assert [(x.row, x["0"], x["1"]) for x in table] == [(0, 1.2, 4.0), (1, None, 5.0)]

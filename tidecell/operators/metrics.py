@@ -171,19 +171,16 @@ def histogram(df: DataFrame, value: Column, width: float, bins: int, low: float
 SORTED, BINS = 100_000, 1024
 
 
-def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """Exact quantiles, interpolated between ranks. A histogram tells which bin holds a rank, and that bin is cut again until
-    few enough values are left to sort: no task or buffer holds all distinct values."""
-    values = materialize(df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "quantiles")
+def ranked(df: DataFrame, column: str, ranks: list[int]) -> list[float | None]:
+    """The values of ranks 0, 1, ... in order. A histogram tells which bin holds a rank, and that bin is cut again until few
+    enough values are left to sort: no task or buffer holds all distinct values. Nulls and NaN have no rank."""
+    values = materialize(df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "ranked")
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(probs)
 
-    def at(rank: int, a: float, b: float, before: int, inside: int) -> float:
-        while True:
+    def at(rank: int) -> float:
+        a, b, before, inside = low, high, 0, n
+        while a < b:
             part = values.filter(F.col("v").between(a, b))
-            if a == b:
-                return a
             if inside <= SORTED:
                 return sorted(r["v"] for r in part.collect())[rank - before]
             bin_ = F.least(F.floor((F.col("v") - a) / ((b - a) / BINS)), F.lit(BINS - 1)).alias("bin")
@@ -192,14 +189,20 @@ def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | No
                     a, b, inside = r["a"], r["b"], r["n"]
                     break
                 before += r["n"]
+        return a
+
+    known = {rank: at(rank) for rank in {*ranks} if 0 <= rank < n}
+    return [known.get(rank) for rank in ranks]
 
-    known: dict[int, float] = {}
-    out = []
-    for p in probs:
-        place = p * (n - 1)
-        first, last = (known.setdefault(r, at(r, low, high, 0, n)) if r not in known else known[r] for r in (math.floor(place), math.ceil(place)))
-        out.append(first + (place - math.floor(place)) * (last - first))
-    return out
+
+def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between ranks; None if there is no value."""
+    n = df.agg(F.count_if(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))).first()[0]
+    if not n:
+        return [None] * len(probs)
+    places = [p * (n - 1) for p in probs]
+    got = ranked(df, column, [r for x in places for r in (math.floor(x), math.ceil(x))])
+    return [a + (x - math.floor(x)) * (b - a) for x, a, b in zip(places, got[::2], got[1::2])]
 
 
 def quantile_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:

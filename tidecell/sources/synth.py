@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecell.operators import metrics
+
 
 def uniform(*keys, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
@@ -22,18 +26,16 @@ def random_grid(spark: SparkSession, height: int, width: int, null_share: float
 
 def random_depths(reference: DataFrame, zero_share: float = 0.5, seed: int = 42) -> DataFrame:
     """Depths like the reference's: scaled by the range of its 2nd to 98th percentile, the ceil(n * share) least set to
-    0. The bound comes from an exact count over hashes, not from a sort of the grid into one task."""
-    spread = reference.agg((F.percentile("value", F.lit(0.98)) - F.percentile("value", F.lit(0.02))).alias("spread"), F.count(F.lit(1)).alias("n"))
+    0. The bound is the value of that rank, found by histograms; of values equal to it the first cells are set to 0."""
+    low, high = metrics.quantiles(reference, "value", [0.02, 0.98])
     rows = reference.select("row", "col", uniform("row", "col", seed=seed).alias("u"))
-    bins = 4096
-    binned = rows.withColumn("bin", F.floor(F.col("u") * bins))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_bin"))
-    from pyspark.sql import Window
-
-    before = counts.withColumn("before", F.coalesce(F.sum("n_bin").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("u", "row", "col"))
-    ranked = binned.join(F.broadcast(before), "bin").withColumn("rank", F.col("before") + rank)
-    return ranked.crossJoin(F.broadcast(spread)).select("row", "col", F.when(F.col("rank") <= F.ceil(F.col("n") * zero_share), F.lit(0.0)).otherwise(F.col("u") * F.col("spread")).alias("value"))
+    n = reference.count()
+    zeros = ceil(n * zero_share)
+    bound = metrics.ranked(rows, "u", [zeros - 1])[0] if zeros else -1.0
+    below = rows.filter(F.col("u") < bound).count() if zeros else 0
+    ties = rows.filter(F.col("u") == bound).orderBy("row", "col").limit(zeros - below).select("row", "col", F.lit(True).alias("tie"))
+    zero = (F.col("u") < bound) | F.coalesce("tie", F.lit(False))
+    return rows.join(ties, ["row", "col"], "left").select("row", "col", F.when(zero, F.lit(0.0)).otherwise(F.col("u") * ((high or 0.0) - (low or 0.0))).alias("value"))
 
 
 def random_points(spark: SparkSession, bbox: tuple[float, float, float, float], n: int, depth: float = 2.0, seed: int = 42) -> DataFrame:
