@@ -502,3 +502,25 @@ def test_result_libraries(spark):
     assert [x.sim_name for x in shaping.in_order(named.select("sim_name").distinct(), "sim_name", ["Schumann14", "rsmp"]).collect()] == ["Schumann14", "rsmp"]
     table = shaping.grid_table(grid(spark, [[1.23, 4], [N, 5]]), [0, 1]).orderBy("row").collect()
     assert [(x.row, x["0"], x["1"]) for x in table] == [(0, 1.2, 4.0), (1, None, 5.0)]
+
+
+def test_normal_grids_and_clusters(spark):
+    v = [x.value for x in synth.normal_grid(spark, 60, 60, 5.0, 2.0).collect()]
+    mean = sum(v) / len(v)
+    assert abs(mean - 5) < 0.15 and abs((sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5 - 2) < 0.15
+    points = spark.createDataFrame([(i, 10.0 * (i % 3) + i / 100, 0.0) for i in range(30)], "id long, x double, y double")
+    assert len({(x.id % 3, x.cluster) for x in vector.clusters(points, 3).collect()}) == 3
+
+
+def test_stages_are_deleted_when_spent(spark):
+    import os
+
+    from tidecell.functions import stage
+
+    here = lambda df: os.path.exists(df.stage_path.removeprefix("file://").removeprefix("file:"))
+    place = stage.mark()
+    a, b, c = (stage.materialize(spark.range(n), "t") for n in (1, 2, 3))
+    stage.discard(a, spark.range(1))
+    assert not here(a) and here(b) and here(c)
+    stage.discard_since(place, c)
+    assert not here(b) and here(c) and c.count() == 3

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of stages that this process has written and not deleted, in order.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session whose executors are
     threads of the driver gets a folder of its own; on a cluster there is none that all could read."""
@@ -31,14 +35,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
+    _written.append(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(*stages: DataFrame) -> None:
     """Delete the files of stages that nothing will read again: what is built on them must be written by now."""
     for df in stages:
-        if not hasattr(df, "stage_path"):
-            continue
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df.stage_path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if hasattr(df, "stage_path"):
+            _delete(df.sparkSession, df.stage_path)
+
+
+def mark() -> int:
+    """The place in the order of stages from which ``discard_since`` deletes."""
+    return len(_written)
+
+
+def discard_since(place: int, kept: DataFrame) -> None:
+    """Delete every stage written since mark() but the one that is kept."""
+    for path in _written[place:]:
+        if path != kept.stage_path:
+            _delete(kept.sparkSession, path)

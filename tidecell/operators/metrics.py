@@ -127,6 +127,13 @@ def linear_regression(df: DataFrame, x: str, y: str, by: list[str] | None = None
     )
 
 
+def through_origin(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """slope, n of the least-squares line through the origin that doesn't fall."""
+    X, Y = F.col(x), F.col(y)
+    both = df.filter(X.isNotNull() & Y.isNotNull())
+    return both.groupBy(*(by or [])).agg(F.greatest(F.try_divide(F.sum(X * Y), F.sum(X * X)), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n"))
+
+
 def with_pvalue(regression: DataFrame) -> DataFrame:
     """Adds pvalue: the chance of such a slope if there were none."""
     @F.pandas_udf("double")

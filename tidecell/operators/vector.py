@@ -154,6 +154,27 @@ def bbox_intersection(boxes: DataFrame) -> DataFrame:
     return both.filter("xmax > xmin and ymax > ymin")
 
 
+def distance_matrix(points: DataFrame, radius: float) -> DataFrame:
+    """(a, b, distance) of the points (id, x, y) within the radius of each other, each pair once. A point meets its own tile and
+    half of those around it, so nothing beyond two tiles is compared."""
+    tile = lambda c: F.floor(F.col(c) / radius)
+    at = points.select("id", "x", "y", tile("x").alias("tx"), tile("y").alias("ty"))
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))])).alias("n")
+    sent = at.select("id", "x", "y", "tx", "ty", near).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("tx") + F.col("n.i")).alias("tx"), (F.col("ty") + F.col("n.j")).alias("ty"), ((F.col("n.i") == 0) & (F.col("n.j") == 0)).alias("own"))
+    met = at.join(sent, ["tx", "ty"]).filter(~F.col("own") | (F.col("a") < F.col("id")))
+    d = F.sqrt((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2)
+    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), d.alias("distance")).filter(F.col("distance") <= radius)
+
+
+def clusters(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """The points (.., x, y) with the number of their cluster by k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    at = VectorAssembler(inputCols=["x", "y"], outputCol="__at").transform(points)
+    return KMeans(k=k, seed=seed, featuresCol="__at", predictionCol="cluster").fit(at).transform(at).drop("__at")
+
+
 def drop_nodata_points(points: DataFrame, column: str = "value", nodata: float = -9999.0) -> DataFrame:
     return points.filter(F.col(column) != nodata).drop("z")
 

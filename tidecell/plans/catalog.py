@@ -451,6 +451,29 @@ def quantile_range(s, d):
     return _r(metrics.quantile_range(bridge.dem(s, d), "value"))
 
 
+@query
+def histogram_of_errors(s, d):
+    """Predicted minus observed depths in 30 bins, without the points where nothing is predicted."""
+    at = vector.sample(bridge.marks(s, d), _wsh(s, d), name="pred").filter("pred > 0")
+    return metrics.histogram(at, F.col("pred") - F.col("water_depth"), 10.0, 30, -150.0)
+
+
+@query
+def line_through_origin(s, d):
+    li = table(s, d, "lineitem").withColumns({"x": F.col("l_quantity").cast("double"), "y": F.col("l_extendedprice").cast("double") / 1000})
+    return _r(metrics.through_origin(li, "x", "y", ["l_returnflag"]))
+
+
+@query
+def distance_pairs(s, d):
+    return _r(vector.distance_matrix(bridge.marks(s, d), 1.5))
+
+
+@query
+def polygon_centroid(s, d):
+    return _r(vector.area_and_centroid(_ring(s, d)))
+
+
 @query
 def density_of_values(s, d):
     return _r(metrics.kde(table(s, d, "events"), "value", [1.0, 5.0, 20.0], 2.5, ["event_type"]))

@@ -186,6 +186,11 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "quantile_range": _b("select round(quantile_cont(value, 0.02), 6) as low, round(quantile_cont(value, 0.98), 6) as high, round(quantile_cont(value, 0.98) - quantile_cont(value, 0.02), 6) as spread from dem"),
     "density_of_values": "select event_type, x, round(avg(exp(-0.5 * pow((x - value) / 2.5, 2)) / (2.5 * sqrt(2 * pi()))), 6) as density from events, (select unnest([cast(1 as double), 5, 20]) as x) where value is not null group by 1, 2",
     "random_analog_share": _b("select count(*) as n, cast(ceil(count(*) * 0.37) as bigint) as dry, true as within from dem"),
+    "histogram_of_errors": _b('select cast(greatest(least(floor((h.value - water_depth + 150) / 10), 29), 0) as int) as bin, count(*) as n from marks join ph h using ("row", "col") where h.value > 0 group by 1'),
+    "line_through_origin": "select l_returnflag, round(greatest(sum(x * y) / sum(x * x), 0), 6) as slope, count(*) as n from (select l_returnflag, cast(l_quantity as double) as x, cast(l_extendedprice as double) / 1000 as y from lineitem) group by 1",
+    "distance_pairs": _b("select a.id as a, b.id as b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) as distance from marks a join marks b on a.id < b.id and abs(a.x - b.x) <= 1.5 and abs(a.y - b.y) <= 1.5 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2.25"),
+    "polygon_centroid": BASE + "," + _EDGES + """, sums as (select sum(x1 * y2 - x2 * y1) as s, sum((x1 + x2) * (x1 * y2 - x2 * y1)) as sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) as sy from seg)
+select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3 * s), 6) as x, round(sy / (3 * s), 6) as y from sums""",
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (

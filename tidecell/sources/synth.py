@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, pi
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,12 @@ def random_grid(spark: SparkSession, height: int, width: int, null_share: float
     return constant_grid(spark, height, width).select("row", "col", v.alias("value"))
 
 
+def normal_grid(spark: SparkSession, height: int, width: int, mean: float = 0.0, sd: float = 1.0, seed: int = 42) -> DataFrame:
+    """Normal values, from two hashes of the cell each."""
+    v = F.sqrt(-2 * F.log(F.greatest(uniform("row", "col", seed=seed), F.lit(1e-12)))) * F.cos(2 * pi * uniform("row", "col", seed=seed + 1))
+    return constant_grid(spark, height, width).select("row", "col", (mean + sd * v).alias("value"))
+
+
 def random_depths(reference: DataFrame, zero_share: float = 0.5, seed: int = 42) -> DataFrame:
     """Depths like the reference's: scaled by the range of its 2nd to 98th percentile, the ceil(n * share) least set to
     0. The bound is the value of that rank, found by histograms; of values equal to it the first cells are set to 0."""
