@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecell.operators import algebra, checks, methods, metrics, neighbourhood, resample, shaping, vector
-from tidecell.sources import synth
+from tidecell.functions import stage
+from tidecell.schemas import GRIDS
+from tidecell.sources import asc, geojson, synth, tables
 from tidecell.streaming import hwm
 
 from . import bridge
@@ -543,6 +546,133 @@ def sim_wide_points(s, d):
     return _r(shaping.sim_points(at[0].unionAll(at[1]), ["one", "two"]))
 
 
+# sources, masks and checks
+
+
+def _folder(s):
+    return f"{stage.shared_dir(s)}/tidecell/out-{uuid.uuid4().hex}"
+
+
+def _whole(s, d):
+    """The terrain over its whole rectangle, NULL where orders leave gaps."""
+    t = bridge.dem(s, d)
+    h, w = (n + 1 for n in t.agg(F.max("row"), F.max("col")).first())
+    return synth.constant_grid(s, h, w, None).drop("value").join(t, ["row", "col"], "left").select("row", "col", "value")
+
+
+@query
+def asc_write_read(s, d):
+    """Written as one ASCII grid and read again."""
+    path = _folder(s)
+    asc.asc_lines(_whole(s, d)).orderBy("n").select("line").coalesce(1).write.text(path)
+    return _r(asc.read_asc(s, path)[0].drop("grid_id"))
+
+
+@query
+def grid_write_read(s, d):
+    """Written as parquet by grid, and a window read again."""
+    path = _folder(s)
+    tables.write_grid(bridge.wse1(bridge.dem(s, d)).select(F.lit("one").alias("grid_id"), "*"), path)
+    return _r(tables.read_grid(s, path, (2, 9, 10, 60)).drop("grid_id"))
+
+
+@query
+def points_write_read(s, d):
+    """Written as GeoJSON features and read again within a box."""
+    path = _folder(s)
+    features = geojson.point_features(bridge.marks(s, d), ["id", "water_depth"])
+    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")).write.text(path)
+    lines = s.read.text(path).select(F.from_json("value", "features array<struct<properties:struct<id:long,water_depth:double>,geometry:struct<type:string,coordinates:array<double>>>>").alias("j"))
+    at = lines.select(F.explode("j.features").alias("f")).select("f.properties.id", F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"), "f.properties.water_depth")
+    return _r(at.filter(F.col("x").between(10, 40)))
+
+
+@query
+def mask_kinds(s, d):
+    """The binary and the native mask of a grid, each read back as which cells are masked."""
+    m = tables.extract_mask(bridge.wse1(bridge.dem(s, d)))
+    kinds = [tables.read_mask(tables.mask_values(m, k), k).withColumnRenamed("masked", k) for k in ("binary", "native")]
+    return kinds[0].join(kinds[1], ["row", "col"])
+
+
+@query
+def inundation_raster(s, d):
+    """As files hold it: 0 is wet."""
+    return tables.inundation_values(_pred(s, d))
+
+
+@query
+def sentinel_values(s, d):
+    return tables.filled(bridge.wse1(bridge.dem(s, d))).select("row", "col", F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+@query
+def dry_cells(s, d):
+    return algebra.dry_of_depth(_wsh(s, d))
+
+
+@query
+def mask_replace(s, d):
+    mask = _true(s, d).select("row", "col", (~F.col("wet")).alias("masked"))
+    return _r(algebra.apply_mask(bridge.wse1(bridge.dem(s, d)), mask, True, -1.0))
+
+
+@query
+def mask_multiply(s, d):
+    t = bridge.dem(s, d)
+    return _r(algebra.masked_by(t, algebra.threshold(t, 100.0, 200.0)))
+
+
+@query
+def basic_stats(s, d):
+    return _r(metrics.basic_stats(bridge.wse1(bridge.dem(s, d))))
+
+
+@query
+def error_metrics_normed(s, d):
+    pairs = table(s, d, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("true"), (F.col("l_quantity") * F.col("l_tax") * 20 - 5).alias("pred"))
+    return _r(metrics.error_metrics(pairs, by=["l_returnflag"], normed=True))
+
+
+@query
+def mask_checks(s, d):
+    """Which kinds of grid an inundation raster, a native mask and a depth grid may be."""
+    t = bridge.dem(s, d)
+    grids = (("inun", tables.inundation_values(_pred(s, d))), ("native", algebra.threshold(t, 100.0, 200.0)), ("wsh", _wsh(s, d)))
+    out = [checks.facts(g).select(F.lit(n).alias("grid"), "is_inun", "is_binary_mask", "is_native_mask") for n, g in grids]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query
+def identical_pair(s, d):
+    return checks.identical(_true(s, d), _pred(s, d), ["row", "col"]).unionAll(checks.identical(_true(s, d), _true(s, d), ["row", "col"]))
+
+
+@query
+def nodata_points(s, d):
+    p = bridge.marks(s, d).withColumns({"z": F.lit(1.0), "value": F.when(F.col("id") % 7 == 0, -9999.0).otherwise(F.col("water_depth"))})
+    return _r(vector.drop_nodata_points(p).select("id", "value"))
+
+
+@query
+def unknown_words(s, d):
+    return checks.vocabulary(table(s, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+
+@query
+def grid_extents(s, d):
+    """The boxes of two grids, whether they agree, and whether their pixels have whole sizes."""
+    g = s.createDataFrame([("a", 3857, 9, 6, 0.0, 9.0, 1.0, -9999.0), ("b", 3857, 3, 2, 0.0, 9.0, 3.0, -9999.0)], GRIDS)
+    same = checks.same(g, checks.EXTENT).first()["same"]
+    return checks.bounds(g).join(checks.simple_pixels(g), "grid_id").select("grid_id", "xmin", "ymin", "xmax", "ymax", "simple", F.lit(same).alias("same_extent"))
+
+
+@query
+def random_points_in_box(s, d):
+    p = synth.random_points(s, (10.0, 20.0, 30.0, 60.0), 500)
+    return p.agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= 10).alias("left"), (F.max("x") <= 30).alias("right"), (F.min("y") >= 20).alias("low"), (F.max("y") <= 60).alias("high"), (F.countDistinct("x") > 490).alias("spread"))
+
+
 # no SQL
 
 

@@ -191,6 +191,27 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "distance_pairs": _b("select a.id as a, b.id as b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) as distance from marks a join marks b on a.id < b.id and abs(a.x - b.x) <= 1.5 and abs(a.y - b.y) <= 1.5 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2.25"),
     "polygon_centroid": BASE + "," + _EDGES + """, sums as (select sum(x1 * y2 - x2 * y1) as s, sum((x1 + x2) * (x1 * y2 - x2 * y1)) as sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) as sy from seg)
 select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3 * s), 6) as x, round(sy / (3 * s), 6) as y from sums""",
+    "asc_write_read": _b("""select r."row", c."col", round(dem.value, 6) as value from (select cast(unnest(range((select max("row") + 1 from dem))) as int) as "row") r
+      cross join (select cast(unnest(range((select max("col") + 1 from dem))) as int) as "col") c left join dem using ("row", "col")"""),
+    "grid_write_read": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
+    "points_write_read": _b("select id, cast(x as double) as x, cast(y as double) as y, round(water_depth, 6) as water_depth from marks where x between 10 and 40"),
+    "mask_kinds": _b('select "row", "col", value is null as binary, value is null as native from p1'),
+    "inundation_raster": _b('select "row", "col", cast(case when p then 0 else 1 end as double) as value from pair'),
+    "sentinel_values": _b('select "row", "col", round(cast(cast(coalesce(value, -9999) as float) as double), 2) as value from p1'),
+    "dry_cells": _b('select "row", "col", value = 0 as dry from ph'),
+    "mask_replace": _b('select "row", "col", round(case when q.value is not null then coalesce(p.value, -1) end, 6) as value from p1 p join q1 q using ("row", "col")'),
+    "mask_multiply": _cells("dem", "case when value >= 100 - 0.001 and value <= 200 + 0.001 then round(value, 6) end"),
+    "basic_stats": _b("select round(min(value), 6) as min, round(avg(value), 6) as mean, round(max(value), 6) as max from p1"),
+    "error_metrics_normed": f"""select l_returnflag, bias, bias_shift, "meanError", "meanErrorAbs", "RMSE", pearson, round("TP" / n, 6) as "TP", round("FP" / n, 6) as "FP", round("TN" / n, 6) as "TN", round("FN" / n, 6) as "FN"
+      from (select l_returnflag, count(*) as n, {_ERRORS} from (select l_returnflag, l_extendedprice / 1000 as t, l_quantity * l_tax * 20 - 5 as p from lineitem) group by 1)""",
+    "mask_checks": _b("""select grid, count(value) = count(*) and count(*) filter (value not in (0, 1)) = 0 and count(*) filter (value = 0) > 0 as is_inun,
+      count(value) = count(*) and count(*) filter (value not in (0, 1)) = 0 as is_binary_mask, count(*) filter (value <> 1) = 0 as is_native_mask from (
+      select 'inun' as grid, case when p then 0 else 1 end as value from pair union all select 'native', case when value between 100 - 0.001 and 200 + 0.001 then 1 end from dem union all select 'wsh', value from ph) group by 1"""),
+    "identical_pair": _b("select count(*) filter (t <> p) = 0 as identical from pair union all select true"),
+    "nodata_points": _b("select id, round(water_depth, 6) as value from marks where id % 7 <> 0"),
+    "unknown_words": "select distinct o_orderpriority from orders where o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')",
+    "grid_extents": "select unnest(['a', 'b']) as grid_id, cast(0 as double) as xmin, cast(0 as double) as ymin, cast(6 as double) as xmax, cast(9 as double) as ymax, true as simple, true as same_extent",
+    "random_points_in_box": 'select cast(500 as bigint) as n, true as "left", true as "right", true as low, true as high, true as spread',
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (
