@@ -524,3 +524,16 @@ def test_stages_are_deleted_when_spent(spark):
     assert not here(a) and here(b) and here(c)
     stage.discard_since(place, c)
     assert not here(b) and here(c) and c.count() == 3
+
+
+@pytest.mark.parametrize("together", [1, 50])
+def test_nearest_cell_in_small_portions(spark, monkeypatch, together):
+    """Rows that come in several portions, one row alone or a few together."""
+    import random
+
+    monkeypatch.setattr(neighbourhood, "_TOGETHER", together)
+    r = random.Random(13)
+    src = {(i, j) for i in range(12) for j in range(9) if r.random() < 0.1}
+    cells = spark.createDataFrame([(i, j, 1.0 if (i, j) in src else None) for i in range(12) for j in range(9)], "row int, col int, value double")
+    got = {(x.row, x.col): (x.dist, x.srow, x.scol) for x in neighbourhood.nearest_cell(cells, F.col("value").isNotNull(), "manhattan").collect()}
+    assert got == {(i, j): min((float(abs(i - a) + abs(j - b)), a, b) for a, b in src) for i in range(12) for j in range(9) if (i, j) not in src}

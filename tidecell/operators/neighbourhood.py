@@ -8,6 +8,8 @@ source. That is two shuffles, one by column and one by row, and no group is larg
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -177,47 +179,78 @@ METRICS = {
 }
 
 
-def _along_row(rows: pd.DataFrame, metric: str, most: float) -> pd.DataFrame:
-    """The nearest source of each query of one row of cells. rows: queries (srow null) and the sources that columns offer.
+#: Queries and offers that are searched at once: whole rows of cells, so many together or one alone.
+_TOGETHER = 1 << 17
+
 
-    Sources are sorted by x. A query looks at the next one on its left and on its right, further out each time, until
+def _along_rows(rows: pd.DataFrame, metric: str, most: float) -> pd.DataFrame:
+    """The nearest source of each query. rows: queries (srow null) and the sources that columns offer; of gives their row.
+
+    Sources are sorted by row and x. A query looks at the next one on its left and on its right, further out each time, until
     both are farther along the row than its best one."""
     here = rows["srow"].isna().to_numpy()
-    q, s = rows[here], rows[~here].sort_values(["x", "srow"], kind="stable")
-    sx, dy = s["x"].to_numpy(float), np.abs(s["y"] - s["at"]).to_numpy(float)
-    order = s["srow"].to_numpy(np.int64), s["scol"].to_numpy(np.int64)
-    qx = q["x"].to_numpy(float)
+    q, s = rows[here], rows[~here]
+    order = np.lexsort((s["srow"], s["x"], s["of"]))
+    column = lambda df, c, at=slice(None): df[c].to_numpy()[at]
+    sof, sx, srow, scol, value = (column(s, c, order) for c in ("of", "x", "srow", "scol", "value"))
+    dy = np.abs(column(s, "y", order) - column(s, "at", order))
+    qof, qx = column(q, "of"), column(q, "x")
+    low = rows["x"].min() if len(rows) else 0.0
+    span = (rows["x"].max() - low + 1.0) if len(rows) else 1.0
+    start = np.searchsorted(sof * span + (sx - low), qof * span + (qx - low))
     best, place = np.full(len(q), np.inf), np.full(len(q), -1)
-    start, active, step = np.searchsorted(sx, qx), np.arange(len(q)), 0
+    active, step = np.arange(len(q)), 0
     while len(active) and len(s):
         going = np.zeros(len(active), bool)
         for at in (start[active] + step, start[active] - 1 - step):
-            there = (at >= 0) & (at < len(sx))
-            i, k = active[there], at[there]
+            k = np.clip(at, 0, len(sx) - 1)
+            there = (at == k) & (sof[k] == qof[active])
+            i, k = active[there], k[there]
             dx = np.abs(qx[i] - sx[k])
             d = np.round(METRICS[metric](dy[k], dx), 9)
             old = place[i]
-            tie = (d == best[i]) & (old >= 0)
-            first = (order[0][k] < order[0][old]) | ((order[0][k] == order[0][old]) & (order[1][k] < order[1][old]))
-            better = (d <= most) & ((d < best[i]) | (tie & first))
+            first = (srow[k] < srow[old]) | ((srow[k] == srow[old]) & (scol[k] < scol[old]))
+            better = (d <= most) & ((d < best[i]) | ((d == best[i]) & (old >= 0) & first))
             best[i[better]], place[i[better]] = d[better], k[better]
             going[there] |= dx <= np.minimum(best[i], most)
         active, step = active[going], step + 1
     found = place >= 0
-    got = s.iloc[place[found]]
-    return q[found].assign(dist=best[found], srow=got["srow"].to_numpy(), scol=got["scol"].to_numpy(), value=got["value"].to_numpy())
+    k = place[found]
+    return q[found].assign(dist=best[found], srow=srow[k].astype(np.int64), scol=scol[k].astype(np.int64), value=value[k])
 
 
 def _row_search(queries: DataFrame, offers: DataFrame, metric: str, most: float) -> DataFrame:
     """queries (row, col, x, at), offers (row, x, y, srow, scol, value) for each row -> (row, col, dist, srow, scol, value)."""
     g = grid_of(queries)
     columns = [*g, "row", "col", "x", "at", "y", "srow", "scol", "value"]
-    blank = {"col": "int", "at": "double", "y": "double", "srow": "long", "scol": "long", "value": "double"}
-    fill = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(blank[c]).alias(c) for c in columns])
-    every = fill(queries).unionAll(fill(offers))
+    blank = {"col": "int", "at": "double", "y": "double", "srow": "double", "scol": "double", "value": "double"}
+    fill = lambda df: df.select(*[F.col(c).cast(blank.get(c, dict(df.dtypes)[c])).alias(c) if c in df.columns else F.lit(None).cast(blank[c]).alias(c) for c in columns])
+    every = fill(queries).unionAll(fill(offers)).repartition(*g, "row").sortWithinPartitions(*g, "row")
     schema = ", ".join([*[f"{c} string" for c in g], "row int, col int, dist double, srow int, scol int, value double"])
     out = [*g, "row", "col", "dist", "srow", "scol", "value"]
-    return every.groupBy(*g, "row").applyInPandas(lambda rows: _along_row(rows, metric, most)[out], schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            new = (rows[[*g, "row"]] != rows[[*g, "row"]].shift()).any(axis=1)
+            return _along_rows(rows.assign(of=new.cumsum()), metric, most)[out].astype({"col": "int32", "srow": "int32", "scol": "int32"})
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < _TOGETHER:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = (rows[[*g, "row"]] == rows[[*g, "row"]].iloc[-1]).all(axis=1).to_numpy()
+            if not last.all():  # the last row may go on in the next batch
+                cut = int(np.flatnonzero(~last)[-1]) + 1
+                yield done(rows.iloc[:cut])
+                rows = rows.iloc[cut:]
+            held = [rows]
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return every.mapInPandas(run, schema)
 
 
 def _next_sources(cells: DataFrame, is_source: Column) -> DataFrame:
