@@ -698,7 +698,15 @@ def hwm_windowed(s, d):
 
 @query
 def regression_pvalue(s, d):
-    return metrics.with_pvalue(linear_regression(s, d))
+    li = table(s, d, "lineitem").withColumns({"x": F.col("l_quantity").cast("double"), "y": F.col("l_extendedprice").cast("double") / 1000})
+    return _r(metrics.with_pvalue(metrics.linear_regression(li, "x", "y", ["l_returnflag"])))
+
+
+@query
+def regression_weak(s, d):
+    """Two columns that have nothing to do with each other, so the chance is not next to 0."""
+    li = table(s, d, "lineitem").withColumns({"x": F.col("l_tax").cast("double") * 100, "y": F.col("l_quantity").cast("double")})
+    return _r(metrics.with_pvalue(metrics.linear_regression(li, "x", "y", ["l_returnflag"])))
 
 
 def queries() -> dict[str, Callable]:

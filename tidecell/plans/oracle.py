@@ -93,6 +93,17 @@ _CLIPPED = (
 select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
 )
 
+def _pvalue(pairs: str) -> str:
+    """A line for each flag of (l_returnflag, x, y), and the two-sided tail of Student's t by Simpson's rule."""
+    return f"""with r as (select l_returnflag, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(x, y) as rvalue, cast(regr_count(y, x) as bigint) as n,
+   sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / (regr_sxx(y, x) * (regr_count(y, x) - 2))) as stderr from ({pairs}) group by 1),
+ a as (select *, n - 2 as dof, atan(abs(slope / stderr) / sqrt(n - 2)) as low from r),
+ area as (select l_returnflag, (pi() / 2 - any_value(low)) / 6000 * sum(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * pow(cos(low + i * (pi() / 2 - low) / 2000), dof - 1)) as v
+   from a, range(2001) t(i) group by 1)
+select l_returnflag, round(slope, 6) as slope, round(intercept, 6) as intercept, round(rvalue, 6) as rvalue, round(stderr, 6) as stderr, n,
+  round(least(1, 2 * v * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi())), 6) as pvalue from a join area using (l_returnflag)"""
+
+
 ORACLES = {
     "resample_nearest": _cells("pn"),
     "resample_bilinear": _cells("lin"),
@@ -212,6 +223,8 @@ select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3
     "unknown_words": "select distinct o_orderpriority from orders where o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')",
     "grid_extents": "select unnest(['a', 'b']) as grid_id, cast(0 as double) as xmin, cast(0 as double) as ymin, cast(6 as double) as xmax, cast(9 as double) as ymax, true as simple, true as same_extent",
     "random_points_in_box": 'select cast(500 as bigint) as n, true as "left", true as "right", true as low, true as high, true as spread',
+    "regression_pvalue": _pvalue("select l_returnflag, l_quantity as x, l_extendedprice / 1000 as y from lineitem"),
+    "regression_weak": _pvalue("select l_returnflag, cast(l_tax as double) * 100 as x, l_quantity as y from lineitem"),
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (
