@@ -537,3 +537,21 @@ def test_nearest_cell_in_small_portions(spark, monkeypatch, together):
     cells = spark.createDataFrame([(i, j, 1.0 if (i, j) in src else None) for i in range(12) for j in range(9)], "row int, col int, value double")
     got = {(x.row, x.col): (x.dist, x.srow, x.scol) for x in neighbourhood.nearest_cell(cells, F.col("value").isNotNull(), "manhattan").collect()}
     assert got == {(i, j): min((float(abs(i - a) + abs(j - b)), a, b) for a, b in src) for i in range(12) for j in range(9) if (i, j) not in src}
+
+
+def test_kinds_and_masks_that_are_refused(spark):
+    poly = "poly_id long, rings array<array<struct<x:double,y:double>>>"
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}]
+    checks.require(spark.createDataFrame([(1, [ring])], poly), "INUN_POLY")
+    for bad in ([], [(1, [ring[:2]])], [(1, [])], [(1, None)]):
+        with pytest.raises(ValueError):
+            checks.require(spark.createDataFrame(bad, poly), "INUN_POLY")
+    with pytest.raises(ValueError):
+        tables.extract_mask(grid(spark, DEM1), require_some=True)
+    assert tables.extract_mask(grid(spark, WSE13), require_some=True).filter("masked").count() == 20
+    with pytest.raises(KeyError):
+        algebra.convert(grid(spark, DEM1), "DEM", "WSH")
+    grids = tables.profile(grid(spark, DEM1), crs_epsg=3857)
+    assert checks.attributes_match(grids, height=9, width=6).first()["match"] and not checks.attributes_match(grids, crs_epsg=4326).first()["match"]
+    away = vector.clip_polygons(spark.createDataFrame([(1, [ring]), (2, [[{"x": 5.0, "y": 5.0}, {"x": 6.0, "y": 5.0}, {"x": 6.0, "y": 6.0}]])], poly), 0.0, 0.0, 2.0, 0.5)
+    assert [(x.poly_id, x.area) for x in vector.area_and_centroid(away).collect()] == [(1, 0.375)]

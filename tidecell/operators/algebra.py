@@ -147,3 +147,20 @@ def select_where(df: DataFrame, conditions: dict, any_of: bool = False) -> DataF
     """Rows by column: value, or list of values; all conditions, or any."""
     terms = [F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c).eqNullSafe(v) for c, v in conditions.items()]
     return df.filter(reduce(lambda x, y: x | y if any_of else x & y, terms)) if terms else df
+
+
+#: How one kind of grid becomes another: (from, to) -> function of the grid and the terrain.
+CONVERSIONS = {
+    ("WSE", "WSH"): lambda cells, dem: depth(cells, dem),
+    ("WSH", "WSE"): lambda cells, dem: wse_from_depth(cells, dem),
+    ("WSE", "INUN"): lambda cells, dem: wet_of_wse(cells),
+    ("WSH", "INUN"): lambda cells, dem: wet_of_depth(cells),
+}
+
+
+def convert(cells: DataFrame, kind: str, to: str, dem: DataFrame | None = None) -> DataFrame:
+    if kind == to:
+        return cells
+    if (kind, to) not in CONVERSIONS:
+        raise KeyError(f"no conversion from {kind} to {to}")
+    return CONVERSIONS[kind, to](cells, dem)

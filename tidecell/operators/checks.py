@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,17 @@ def facts(cells: DataFrame) -> DataFrame:
     )
 
 
+def polygon_facts(polygons: DataFrame) -> DataFrame:
+    """One row of truths: whether there are polygons, each with rings, and each ring with three points or more."""
+    ok = (F.size("rings") > 0) & F.forall("rings", lambda r: F.size(r) > 2)
+    return polygons.agg(((F.count(F.lit(1)) > 0) & (F.count_if(~F.coalesce(ok, F.lit(False))) == 0)).alias("is_poly"))
+
+
 KINDS = {"DEM": "is_dem", "WSE": "is_wse", "WSH": "is_wsh", "INUN_RLAY": "is_inun"}
 
 
 def require(cells: DataFrame, kind: str) -> DataFrame:
-    if not facts(cells).first()[KINDS[kind]]:
+    if not (polygon_facts(cells).first()["is_poly"] if kind == "INUN_POLY" else facts(cells).first()[KINDS[kind]]):
         raise ValueError(f"not a {kind}")
     return cells
 
@@ -38,6 +46,11 @@ def identical(true_wet: DataFrame, pred_wet: DataFrame, keys: list[str]) -> Data
     return both.agg((F.count_if(F.col("wet") != F.col("other")) == 0).alias("identical"))
 
 
+def attributes_match(grids: DataFrame, **wanted) -> DataFrame:
+    """Whether all grids have the wanted attributes."""
+    return grids.agg((F.count_if(~F.coalesce(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in wanted.items()], F.lit(True)), F.lit(False))) == 0).alias("match"))
+
+
 SPATIAL = ("crs_epsg", "height", "width", "xmin", "ymin", "xmax", "ymax", "res")
 EXTENT = ("crs_epsg", "xmin", "ymin", "xmax", "ymax")
 

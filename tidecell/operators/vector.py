@@ -206,27 +206,38 @@ def join_by_location(points: DataFrame, polygons: DataFrame, value: str, res: fl
     return polygons.select("poly_id").join(got, "poly_id", "left").fillna(0, ["count"])
 
 
-def clip_polygons(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Each ring cut to a box, side by side: what of it lies inside, with the box's sides where it was cut (for rings that the
-    box cuts into several parts these touch along its sides). Polygons outside the box go. Column functions only."""
-
-    def cut(ring, axis: str, bound: float, keep_above: bool):
-        other = "y" if axis == "x" else "x"
-        ok = lambda p: p[axis] >= bound if keep_above else p[axis] <= bound
-        def meet(a, b):
-            t = (F.lit(bound) - a[axis]) / (b[axis] - a[axis])
-            at = {axis: F.lit(float(bound)), other: a[other] + t * (b[other] - a[other])}
-            return F.struct(at["x"].alias("x"), at["y"].alias("y"))
-        follow = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        none = F.filter(ring, lambda p: F.lit(False))
-        return F.flatten(F.zip_with(ring, follow, lambda a, b: F.when(ok(a) & ok(b), F.array(b)).when(ok(a), F.array(meet(a, b))).when(ok(b), F.array(meet(a, b), b)).otherwise(none)))
-
-    for axis, bound, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
-        side = (lambda a, b, k: lambda ring: cut(ring, a, b, k))(axis, bound, above)
-        polygons = polygons.withColumn("rings", F.transform("rings", side))
+def clip_convex(polygons: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    """Each ring cut to a convex polygon, counter-clockwise, side by side: what of it lies inside, with the sides where it was
+    cut (parts into which a ring that isn't convex falls touch along these). Polygons wholly outside go. Column functions
+    only: no shuffle."""
+
+    def cut(x1: float, y1: float, x2: float, y2: float):
+        side = lambda p: (p["y"] - y1) * (x2 - x1) - (p["x"] - x1) * (y2 - y1)
+
+        def step(a, b):
+            t = side(a) / (side(a) - side(b))
+            at = F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+            return F.when((side(a) >= 0) & (side(b) >= 0), F.array(b)).when(side(a) >= 0, F.array(at)).when(side(b) >= 0, F.array(at, b)).otherwise(F.slice(F.array(b), 1, 0))
+
+        return lambda ring: F.flatten(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), step))
+
+    for (x1, y1), (x2, y2) in zip(corners, [*corners[1:], corners[0]]):
+        polygons = polygons.withColumn("rings", F.transform("rings", cut(x1, y1, x2, y2)))
     return polygons.withColumn("rings", F.filter("rings", lambda r: F.size(r) > 2)).filter(F.size("rings") > 0)
 
 
+def clip_polygons(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Polygons cut to a box."""
+    return clip_convex(polygons, [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)])
+
+
+def intersection_of(polygons: DataFrame, others: list[list[tuple[float, float]]]) -> DataFrame:
+    """What polygons share with each of several convex ones; those that share no area go."""
+    for corners in others:
+        polygons = clip_convex(polygons, corners)
+    return polygons.join(area_and_centroid(polygons).filter("area > 0").select("poly_id"), "poly_id", "left_semi")
+
+
 def confusion_labels(codes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of each label of the confusion codes."""
     from tidecell.schemas import CONFUSION

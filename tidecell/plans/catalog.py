@@ -361,6 +361,29 @@ def polygon_clip_area(s, d):
     return _r(vector.area_and_centroid(vector.clip_polygons(_ring(s, d), 8.0, -12.0, 60.0, -1.5)).select("poly_id", "area"))
 
 
+@query
+def polygon_intersection(s, d):
+    """What a pentagon shares with a triangle."""
+    return _r(vector.area_and_centroid(vector.intersection_of(_ring(s, d), [[(0.0, -14.0), (80.0, -6.0), (30.0, 2.0)]])).select("poly_id", "area"))
+
+
+@query
+def grid_profiles(s, d):
+    t = bridge.dem(s, d)
+    both = t.select(F.lit("dem").alias("grid_id"), "*").unionByName(bridge.wse2(t).select(F.lit("wse2").alias("grid_id"), "*"))
+    return tables.profile(both, 2.0, 100.0, 900.0, 3857)
+
+
+@query
+def converted_grids(s, d):
+    """Levels to depths, depths back to levels, and both to what is wet."""
+    t = bridge.dem(s, d)
+    w = bridge.wse1(t)
+    h = algebra.convert(w, "WSE", "WSH", t)
+    wet = algebra.convert(h, "WSH", "INUN").join(algebra.convert(w, "WSE", "INUN").withColumnRenamed("wet", "also"), ["row", "col"])
+    return _r(algebra.convert(h, "WSH", "WSE", t).join(wet, ["row", "col"]))
+
+
 @query
 def points_in_polygon(s, d):
     return vector.select_by_location(bridge.marks(s, d), _ring(s, d)).select("id")

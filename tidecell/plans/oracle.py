@@ -93,6 +93,21 @@ _CLIPPED = (
 select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
 )
 
+#: The same for the sides of a triangle.
+_SHARED = (
+    "with r0(n, x, y) as (values (0.0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),"
+    + ",".join(
+        f""" s{i} as (select row_number() over (order by n) as n, cast(x as double) as x, cast(y as double) as y, (cast(y as double) - {b}) * ({c} - {a}) - (cast(x as double) - {a}) * ({d} - {b}) as f from r{i - 1}),
+ e{i} as (select a.n, a.x as px, a.y as py, a.f as pf, b.x as qx, b.y as qy, b.f as qf from s{i} a join s{i} b on b.n = a.n % (select count(*) from s{i}) + 1),
+ r{i} as (select n, qx as x, qy as y from e{i} where qf >= 0 union all
+   select n - 0.5, px + pf / (pf - qf) * (qx - px), py + pf / (pf - qf) * (qy - py) from e{i} where (pf >= 0) <> (qf >= 0))"""
+        for i, (a, b, c, d) in enumerate(((0, -14, 80, -6), (80, -6, 30, 2), (30, 2, 0, -14)), 1)
+    )
+    + """, z as (select row_number() over (order by n) as n, x, y from r3)
+select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
+)
+
+
 def _pvalue(pairs: str) -> str:
     """A line for each flag of (l_returnflag, x, y), and the two-sided tail of Student's t by Simpson's rule."""
     return f"""with r as (select l_returnflag, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(x, y) as rvalue, cast(regr_count(y, x) as bigint) as n,
@@ -225,6 +240,10 @@ select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3
     "random_points_in_box": 'select cast(500 as bigint) as n, true as "left", true as "right", true as low, true as high, true as spread',
     "regression_pvalue": _pvalue("select l_returnflag, l_quantity as x, l_extendedprice / 1000 as y from lineitem"),
     "regression_weak": _pvalue("select l_returnflag, cast(l_tax as double) * 100 as x, l_quantity as y from lineitem"),
+    "polygon_intersection": _SHARED,
+    "grid_profiles": _b("""select grid_id, 3857 as crs_epsg, cast(max("row") + 1 as int) as height, cast(max("col") + 1 as int) as width, cast(100 as double) as x0, cast(900 as double) as y0, cast(2 as double) as res, cast(-9999 as double) as nodata
+      from (select 'dem' as grid_id, "row", "col" from dem union all select 'wse2', "row", "col" from p2) group by 1"""),
+    "converted_grids": _b('select "row", "col", round(case when h.value > 0 then h.value + d.value end, 6) as value, h.value > 0 as wet, w.value is not null as also from ph h join dem d using ("row", "col") join p1 w using ("row", "col")'),
     "set_report": """select count(*) filter (s = 1) as diff_left, count(*) filter (s = 2) as diff_right, count(*) as "union", count(*) filter (s = 3) as intersection, count(*) filter (s < 3) as symdiff
       from (select k, bit_or(s) as s from (select c_custkey as k, 1 as s from customer union all select o_custkey, 2 from orders) group by k)""",
     "multires_volume_pivot": _b("""select sim, round(sum(h) filter (dscale = 1), 3) as d10, round(sum(h) filter (dscale = 5), 3) as d50 from (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecell.operators.algebra import grid_of
 from tidecell.schemas import NODATA
 
 
@@ -38,8 +39,11 @@ def read_mask(cells: DataFrame, kind: str = "binary") -> DataFrame:
     return cells.select(*[c for c in cells.columns if c != "value"], masked.alias("masked"))
 
 
-def extract_mask(cells: DataFrame, invert: bool = False) -> DataFrame:
+def extract_mask(cells: DataFrame, invert: bool = False, require_some: bool = False) -> DataFrame:
+    """(.., masked): cells without data, or with invert those with data. A grid without any masked cell can be an error."""
     masked = F.col("value").isNull()
+    if require_some and not cells.filter(masked).limit(1).count():
+        raise ValueError("no cell is masked")
     return cells.select(*[c for c in cells.columns if c != "value"], (~masked if invert else masked).alias("masked"))
 
 
@@ -48,6 +52,14 @@ def inundation_values(wet: DataFrame) -> DataFrame:
     return wet.select(*[c for c in wet.columns if c != "wet"], F.when(F.col("wet"), 0.0).otherwise(1.0).alias("value"))
 
 
+def profile(cells: DataFrame, res: float = 1.0, x0: float = 0.0, y0: float = 0.0, crs_epsg: int | None = None, nodata: float = NODATA) -> DataFrame:
+    """A row of GRIDS for each grid of a table of cells."""
+    by = grid_of(cells)
+    size = cells.groupBy(*by).agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
+    name = F.col("grid_id") if by else F.lit(None).cast("string").alias("grid_id")
+    return size.select(name, F.lit(crs_epsg).cast("int").alias("crs_epsg"), "height", "width", F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(res).alias("res"), F.lit(nodata).alias("nodata"))
+
+
 def write_meta(meta: DataFrame, path: str) -> None:
     meta.write.partitionBy("tab").parquet(path)
 
