@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,13 @@ def discard(*stages: DataFrame) -> None:
             _delete(df.sparkSession, df.stage_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects its
+    garbage, which a driver with little to do may put off until long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     """The place in the order of stages from which ``discard_since`` deletes."""
     return len(_written)
