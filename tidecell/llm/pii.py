@@ -21,7 +21,8 @@ _IBAN_LENGTHS = {
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _IBAN_KNOWN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
-_IBAN = rf"(?:{_IBAN_KNOWN})(?![A-Z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20[A-Z]{{2}}[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}"
+#: The look ahead spares most places in a text the countries one by one.
+_IBAN = rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_IBAN_KNOWN})(?![A-Z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20[A-Z]{{2}}[0-9]{{2}})\x20?[A-Z0-9]){{11,30}})"
 #: kind -> (pattern, score of a confirmed match, context words). Base kinds come first and always stay.
 PATTERNS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|write"),
@@ -34,11 +35,12 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS, CONTEXT_BONUS, KEEP_SCORE = 40, 0.2, 0.5
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_SPAN = "array<struct<start:int,end:int,hit:string>>"
+_SPAN, _CHUNK = "array<struct<start:int,end:int,hit:string>>", 128
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit): the text between matches gives the offsets."""
+    """Array of (start, end, hit): the text between matches gives the offsets. Matches are added up in chunks of _CHUNK, as an
+    array that grows by one costs its whole length each time."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
 
@@ -47,8 +49,13 @@ def _located(text: Column, pattern: str) -> Column:
         end = start + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
     whole = F.filter(pairs, lambda x: x["hit"].isNotNull())
-    return F.aggregate(whole, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+    parts = F.transform(F.array(whole), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(_CHUNK)), lambda i: F.slice(w, i + 1, _CHUNK)))[0]
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), chunk, lambda acc: F.flatten(acc["out"]))
 
 
 def _digits(hit: Column) -> Column:
