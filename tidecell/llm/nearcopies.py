@@ -40,7 +40,7 @@ __all__ = ["SIMILARITY", "group", "keep_one"]
 WORDS, KEY_BITS, SEGMENTS, TAU = 12, 14, 8, 32
 BLOCK, SET_BLOCK, SET_WORDS = 1 << 15, 1024, 1 << 20
 #: Runs of up to _RUN rows are compared together, _CHUNK rows at a time, while they give no more than _HITS pairs.
-_RUN, _CHUNK, _HITS = 4096, 1 << 16, 1 << 21
+_RUN, _CHUNK, _HITS = 4096, 1 << 15, 1 << 18
 _FEATURE, _SEED, _ROWS = 2, 42, 255
 _LANES = [f"w{i}" for i in range(WORDS)]
 #: A byte's eight bits, one in each byte of a word: sums of up to 255 of them don't overflow.
