@@ -57,4 +57,15 @@ OP3 = f"""
 with placed as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 15) as bigint) % {TABLE_SIZE} as slot from documents)
 select doc_id, slot, cast((select {fill_table([f"shard-{i:05d}" for i in range(SHARDS)])})[slot + 1] as int) as shard from placed"""
 
-ORACLES = {"op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9}
+#: Cuts by lengths and code points, where the operator joins units; the text itself stands for the restored one.
+OP12 = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, list_transform(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) as sizes, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) as bigint)) as hs from d),
+c as (select *, cast(len(sizes) as bigint) as n, least(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) as lo, greatest(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) as hi,
+   t = '' or regexp_matches(t, '<[PSM]>') or hs[3] % 100 >= 90 as whole, hs[4] % 100 < 20 as turned from u),
+p as (select *, cast(coalesce(list_sum(sizes[1:lo]), 0) as bigint) as pc, cast(coalesce(list_sum(sizes[lo + 1:hi]), 0) as bigint) as mc from c),
+o as (select *, substr(t, 1, pc) as pre, substr(t, pc + 1, mc) as mid, substr(t, pc + mc + 1) as suf from p)
+select doc_id, n, case when whole then 'plain' when turned then 'spm' else 'psm' end as form, case when not whole then pc end as prefix_chars, case when not whole then mc end as middle_chars,
+  sha256(case when whole then t when turned then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from o"""
+
+ORACLES = {"op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9, "op12_infill": OP12}
