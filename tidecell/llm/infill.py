@@ -77,7 +77,7 @@ def through_duckdb(rows: DataFrame, text: str, sql: str, schema: str) -> DataFra
                 _, starts, ends = utf8_of(batch.column(at))
                 for i, j in slices(starts, ends):
                     db.register("batch", pa.Table.from_batches([batch.slice(i, j - i)]))
-                    found = db.execute(sql).to_arrow_table()
+                    found = db.sql(sql).to_arrow_table()
                     db.unregister("batch")
                     yield from found.select(names).cast(arrow).to_batches()
 
