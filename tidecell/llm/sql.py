@@ -68,4 +68,49 @@ o as (select *, substr(t, 1, pc) as pre, substr(t, pc + 1, mc) as mid, substr(t,
 select doc_id, n, case when whole then 'plain' when turned then 'spm' else 'psm' end as form, case when not whole then pc end as prefix_chars, case when not whole then mc end as middle_chars,
   sha256(case when whole then t when turned then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from o"""
 
-ORACLES = {"op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9, "op12_infill": OP12}
+
+
+def _levels(name: str, by: str, deep: int) -> str:
+    """Tables {name}0, {name}1, ... of the nodes of each level with what stands left and right in their runs, from a table
+    {name} (by, r, n, node); a level of one node passes it on."""
+    run = f"over (partition by {by}, r // 16 order by r rows between"
+    out = [f"{name}_0 as (select {by}, r, n, node from {name})"]
+    for i in range(deep):
+        out.append(f"""{name}{i} as (select *, case when n > 1 then coalesce(string_agg(node, '') {run} unbounded preceding and 1 preceding), '') else '' end as l,
+          case when n > 1 then coalesce(string_agg(node, '') {run} 1 following and unbounded following), '') else '' end as g from {name}_{i})""")
+        out.append(f"""{name}_{i + 1} as (select {by}, r // 16 as r, (any_value(n) + 15) // 16 as n, case when any_value(n) > 1 then sha256(string_agg(node, '' order by r)) else any_value(node) end as node from {name}_{i} group by {by}, r // 16)""")
+    return ",\n".join(out)
+
+
+def _path(name: str, by: str, at: str, deep: int, first: str) -> str:
+    """Joins a row's levels one by one: rows {name}_p{deep} with the siblings so far and the folded node."""
+    out, last = [], first
+    for i in range(deep):
+        fold = "case when s.n > 1 then sha256(s.l || p.folded || s.g) else p.folded end"
+        out.append(f"{name}_p{i + 1} as (select p.* exclude (siblings, folded), p.siblings || s.l || s.g as siblings, {fold} as folded from {last} p join {name}{i} s on p.{by} is not distinct from s.{by} and p.{at} // {16**i} = s.r)")
+        last = f"{name}_p{i + 1}"
+    return ",\n".join(out)
+
+
+_FIELD = "case when {c} is null then '-' else strlen({c}) || ':' || {c} end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("k", "source", "lang", "cast(n_chars as varchar)", "{t}")) + ")"
+#: DuckDB has no crc32, so its 8 steps a byte are spelt out.
+_CRC = "xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(k, ''), lambda c: cast(ascii(c) as bigint))), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: cast(i as bigint))), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+#: Levels of a source's tree and of the tree of sources that the SQL spells out: 16^6 documents a source, 16^4 sources.
+_DEEP, _TOP = 6, 4
+
+OP11 = f"""
+with d as (select *, cast(doc_id as varchar) as k from documents),
+e as (select doc_id, source, {_LEAF.format(t="text")} as leaf, {_LEAF.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as low, k is not null and {_CRC} % 5 = 0 as touched from d),
+f as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by source) as n from e),
+a as (select source, r, n, leaf as node from f),
+{_levels("a", "source", _DEEP)},
+t as (select 0 as z, source, row_number() over (order by source nulls first) - 1 as r, count(*) over () as n, node from a_{_DEEP}),
+{_levels("t", "z", _TOP)},
+s_p0 as (select *, '' as siblings, case when touched then low else leaf end as folded from f),
+{_path("a", "source", "r", _DEEP, "s_p0")},
+x as (select p.doc_id, p.leaf, p.siblings, p.folded, t.node as subroot, t.r, t.z from a_p{_DEEP} p join t on p.source is not distinct from t.source),
+{_path("t", "z", "r", _TOP, "x")}
+select p.doc_id, p.leaf, p.subroot, root.node as root, sha256(p.siblings) as proof_sha256, p.folded as folded_root, p.folded = root.node as verified from t_p{_TOP} p, t_{_TOP} root"""
+
+ORACLES = {"op11_merkle": OP11, "op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9, "op12_infill": OP12}
