@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, infill, langid, merkle, mixing, paragraphs, pii, sharding, simhash, suffix, vafile
+from . import bottomk, decontam, html, infill, langid, merkle, mixing, paragraphs, pii, sharding, simhash, suffix, vafile
 from .common import table
 from .sql import ORACLES
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op5_paragraphs": lambda s, d: paragraphs.report(_docs(s, d)),
     "op10_simhash": lambda s, d: simhash.report(_docs(s, d)),
     "op6_pii": lambda s, d: pii.report(_docs(s, d)),
+    "op13_bottomk": lambda s, d: bottomk.report(_docs(s, d)),
     "op11_merkle": lambda s, d: merkle.report(_docs(s, d)),
     "op12_infill": lambda s, d: infill.report(_docs(s, d)),
 }

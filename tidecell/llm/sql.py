@@ -113,4 +113,15 @@ x as (select p.doc_id, p.leaf, p.siblings, p.folded, t.node as subroot, t.r, t.z
 {_path("t", "z", "r", _TOP, "x")}
 select p.doc_id, p.leaf, p.subroot, root.node as root, sha256(p.siblings) as proof_sha256, p.folded as folded_root, p.folded = root.node as verified from t_p{_TOP} p, t_{_TOP} root"""
 
-ORACLES = {"op11_merkle": OP11, "op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9, "op12_infill": OP12}
+OP13 = r"""
+with recursive d as (select row_number() over () as i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct i, doc_id, sh from (select i, doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) end) as sh from d)),
+n as materialized (select i, count(*) as n from s group by i),
+met as (select a.i as a, b.i as b, count(*) as c from s a join s b on a.sh = b.sh and a.i < b.i group by a.i, b.i),
+links as materialized (select a, b from met join n x on x.i = a join n y on y.i = b where 100 * c >= 80 * (x.n + y.n - c)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach(i, o) as (select i, i from d union select r.i, e.b from reach r join edges e on r.o = e.a),
+least as (select r.i, min(d.doc_id) as component_id from reach r join d on d.i = r.o group by r.i)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, l.component_id, d.doc_id is not distinct from l.component_id as kept from d left join n using (i) join least l using (i)"""
+
+ORACLES = {"op13_bottomk": OP13, "op11_merkle": OP11, "op3_sharding": OP3, "op6_pii": OP6, "op9_vafile": OP9, "op12_infill": OP12}
