@@ -20,14 +20,19 @@ def grid_of(cells: DataFrame) -> list[str]:
     return [c for c in ("grid_id",) if c in cells.columns]
 
 
+def place(*grids: DataFrame) -> list[str]:
+    """The columns of the layout that grids stored by tile share."""
+    return ["part", "tile"] if all({"part", "tile"} <= {*g.columns} for g in grids) else []
+
+
 def pair(a: DataFrame, b: DataFrame, left: str = "a", right: str = "b", how: str = "inner") -> DataFrame:
-    """Two grids side by side: one equi-join on the cell."""
-    k = key(a, b)
+    """Two grids side by side: one equi-join on the cell, bucket by bucket if both are stored by tile."""
+    k = [*place(a, b), *key(a, b)]
     return a.select(*k, F.col("value").alias(left)).join(b.select(*k, F.col("value").alias(right)), k, how)
 
 
 def _of(pairs: DataFrame, value: Column) -> DataFrame:
-    return pairs.select(*key(pairs), value.alias("value"))
+    return pairs.select(*place(pairs), *key(pairs), value.alias("value"))
 
 
 def terrain_filter(wse: DataFrame, dem: DataFrame) -> DataFrame:

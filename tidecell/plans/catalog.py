@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidecell.operators import algebra, checks, methods, metrics, neighbourhood, resample, shaping, vector
 from tidecell.functions import stage
 from tidecell.schemas import GRIDS
-from tidecell.sources import asc, geojson, synth, tables
+from tidecell.sources import asc, geojson, synth, tables, tiles
 from tidecell.streaming import hwm
 
 from . import bridge
@@ -591,6 +591,30 @@ def asc_write_read(s, d):
     return _r(asc.read_asc(s, path)[0].drop("grid_id"))
 
 
+def _tiled(s, cells, name):
+    """Written by tile in the shared folder; small tiles, as the grids here are narrow."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{_folder(s)}-{name}"
+    tiles.write_tiled(cells, name, path, 16, 16, 8)
+    return name, path
+
+
+@query
+def tiled_depth(s, d):
+    """Depths of two grids stored by tile: terrain filter and depth without an exchange."""
+    t = bridge.dem(s, d)
+    near = resample.nearest_onto(t, bridge.wse2(t), K)
+    w, h = (tiles.read_tiled(s, _tiled(s, g, n)[0]) for g, n in ((near, "wse"), (t, "dem")))
+    return _r(algebra.depth(algebra.terrain_filter(w, h), h).drop("part", "tile"))
+
+
+@query
+def tiled_window(s, d):
+    """A window of a grid stored by tile."""
+    name, path = _tiled(s, bridge.wse1(bridge.dem(s, d)), "wse")
+    return _r(tiles.read_tiled(s, name, (2, 9, 10, 60), tiles.layout(s, path)).drop("part", "tile"))
+
+
 @query
 def grid_write_read(s, d):
     """Written as parquet by grid, and a window read again."""

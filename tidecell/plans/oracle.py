@@ -219,6 +219,8 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
 select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3 * s), 6) as x, round(sy / (3 * s), 6) as y from sums""",
     "asc_write_read": _b("""select r."row", c."col", round(dem.value, 6) as value from (select cast(unnest(range((select max("row") + 1 from dem))) as int) as "row") r
       cross join (select cast(unnest(range((select max("col") + 1 from dem))) as int) as "col") c left join dem using ("row", "col")"""),
+    "tiled_depth": _cells("ph"),
+    "tiled_window": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
     "grid_write_read": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
     "points_write_read": _b("select id, cast(x as double) as x, cast(y as double) as y, round(water_depth, 6) as water_depth from marks where x between 10 and 40"),
     "mask_kinds": _b('select "row", "col", value is null as binary, value is null as native from p1'),
