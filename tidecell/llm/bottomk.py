@@ -227,7 +227,8 @@ def candidates(known: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: (doc_id, key, d1, d2, id, root, blocks). -> (root, blocks, id, shingles). Of rows that repeat, those that a
     task reads give one set."""
-    want = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "d1", "d2", "id", "root", "blocks")
+    # by shuffle at every size: what is wanted grows with the documents
+    want = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "d1", "d2", "id", "root", "blocks").hint("merge")
     texts = _rows(docs)
     met = texts.join(want, texts["doc_id"].eqNullSafe(F.col("want_id")) & (texts["key"] == F.col("want_key"))).select("text", "d1", "d2", "id", "root", "blocks")
 
