@@ -52,7 +52,7 @@ def test_tiled_grids(spark, tmp_path):
         got = tiles.read_tiled(spark, "tiled_a", window, spec)
         assert values_of(got) == want
     few = tiles.read_tiled(spark, "tiled_a", (0, 8, 0, 8), spec)
-    assert "SelectedBucketsCount: 1 out of 6" in plan_of(few)
+    assert "(part" in plan_of(few).split("PushedFilters")[1]
     tiles.open_tiled(spark, "tiled_again", str(tmp_path / "a"))
     again = algebra.pair(tiles.read_tiled(spark, "tiled_again"), tb)
     assert again.count() == len(other) and "Exchange" not in plan_of(again.select("a", "b"))
