@@ -1,12 +1,13 @@
 """Grids stored by tile, rasters and features read by parts and written by tasks."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidecell.operators import algebra
-from tidecell.sources import tiles
+from tidecell.sources import asc, tiles
 
 
 def cells_of(spark, values, **more):
@@ -72,3 +73,79 @@ def test_tiled_edges(spark, tmp_path):
         tiles.placed(spark.createDataFrame([(-1, 0, 1.0)], "row int, col int, value double")).collect()
     for name in ("tiled_many", "tiled_none"):
         spark.sql(f"drop table {name}")
+
+
+def asc_file(path, grid, nodata=-9999, end="\n", blank=False, head=True):
+    lines = [f"ncols {len(grid[0])}", f"NROWS {len(grid)}", "xllcorner 10", "yllcorner 20", "cellsize 2", f"NODATA_value {nodata}"] if head else []
+    lines += [" " + " ".join(str(nodata) if v is None else repr(v) for v in row) + " " for row in grid]
+    if blank:
+        lines.insert(8, "   ")
+    path.write_bytes((end.join(lines) + (end if blank else "")).encode())
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 500, 1 << 20])
+def test_asc_by_ranges(spark, tmp_path, split):
+    r = random.Random(split)
+    grid = [[r.choice([None, 0.0, -1.5, r.uniform(0, 1e6)]) for _ in range(7)] for _ in range(12)]
+    asc_file(tmp_path / "one.asc", grid, -9999, "\n")
+    asc_file(tmp_path / "two.asc", grid[:5], -1, "\r\n", True)
+    want = {(i, j): v for i, row in enumerate(grid) for j, v in enumerate(row)}
+    every = asc.scan_asc(spark, str(tmp_path / "*.asc"), split) if split > 1 else asc.scan_asc(spark, f"file://{tmp_path}", 3)
+    assert values_of(every.filter("grid_id = 'one'")) == want
+    assert values_of(every.filter("grid_id = 'two'")) == {k: v for k, v in want.items() if k[0] < 5}
+    got = every.filter("grid_id in ('one') and row between 3 and 7 and col > 1 and col < 5")
+    assert values_of(got) == {k: v for k, v in want.items() if 3 <= k[0] <= 7 and 1 < k[1] < 5}
+    assert values_of(every.filter("grid_id = 'one' and row in (2, 9) and value is not null")) == {k: v for k, v in want.items() if k[0] in (2, 9) and v is not None}
+    assert every.filter("row > 5 and row < 3").count() == 0 and every.filter("col = 99").count() == 0
+
+
+def test_asc_ranges_that_are_read(tmp_path):
+    """A window opens the ranges that hold its rows, and no other."""
+    index = {"grids": {"g": {"nodata_value": -1}}, "ranges": [["g.asc", "g", 100 * i, 100 * i + 100, 10 * i, 10] for i in range(50)]}
+    (tmp_path / "i.json").write_text(json.dumps(index))
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    def read(*filters):
+        reader = asc._Reader({"path": str(tmp_path), "index": str(tmp_path / "i.json")})
+        left = list(reader.pushFilters(list(filters)))
+        return left, [p.first for p in reader.partitions()]
+
+    assert read(GreaterThanOrEqual(("row",), 95), LessThan(("row",), 121)) == ([], [90, 100, 110, 120])
+    assert read(EqualTo(("row",), 9))[1] == [0] and read(EqualTo(("grid_id",), "h"))[1] == []
+    some, value = In(("row",), (5, 22)), EqualTo(("value",), 3.0)
+    assert read(some, value) == ([some, value], [0, 10, 20])
+
+
+def test_asc_written_by_tasks(spark, tmp_path):
+    r = random.Random(9)
+    at = {(i, j): r.choice([None, r.uniform(-5, 5)]) for i in range(40) for j in range(11) if r.random() < 0.8 and i not in (0, 17, 18)}
+    at[(39, 10)] = 1.0
+    path = tmp_path / "out"
+    asc.write_asc(cells_of(spark, at).repartition(5), str(path), 2.0, 10.0, 100.0, split=200)
+    whole = {(i, j): at.get((i, j)) for i in range(40) for j in range(11)}
+    back = spark.read.format("asc").load(str(path))
+    assert values_of(back) == whole and back.first().grid_id == "grid"
+    assert values_of(back.filter("row >= 30 and col = 4")) == {k: v for k, v in whole.items() if k[0] >= 30 and k[1] == 4}
+    text = b"".join(f.read_bytes() for f in sorted((path / "grid").iterdir()))  # the files one after the other
+    (tmp_path / "joined.asc").write_bytes(text)
+    cells, grids = asc.read_asc(spark, str(tmp_path / "joined.asc"))
+    assert values_of(cells) == whole
+    assert (grids.first().height, grids.first().width, grids.first().y0) == (40, 11, 100.0)
+    with pytest.raises(Exception, match="out"):
+        asc.write_asc(cells_of(spark, at), str(path))
+    asc.write_asc(cells_of(spark, {(0, 0): 7.0}).selectExpr("'a b' as grid_id", "*").unionByName(cells_of(spark, {(1, 1): 8.0}).selectExpr("'c' as grid_id", "*")), str(path), mode="overwrite")
+    assert sorted(map(tuple, spark.read.format("asc").load(str(path)).filter("value is not null").collect())) == [("a b", 0, 0, 7.0), ("c", 1, 1, 8.0)]
+
+
+def test_asc_failed_write_leaves_nothing(spark, tmp_path):
+    bad = spark.range(100).selectExpr("'g' as grid_id", "cast(id as int) as row", "0 as col", "if(id = 77, double(raise_error('no')), 1D) as value")
+    asc.register(spark)
+    sorted_ = bad.repartitionByRange(4, "row").sortWithinPartitions("row")
+    head = json.dumps({"g": {"ncols": 1, "nrows": 100, "cellsize": 1.0, "nodata_value": -9999.0}})
+    with pytest.raises(Exception, match="no"):
+        sorted_.write.format("asc").option("grids", head).mode("append").save(str(tmp_path / "bad"))
+    assert list(tmp_path.iterdir()) == []
+    gap = spark.range(100).filter("id <> 50").selectExpr("'g' as grid_id", "cast(id as int) as row", "0 as col", "1D as value").repartition(7, "row").sortWithinPartitions("row")
+    with pytest.raises(Exception, match="missing or repeated"):
+        gap.write.format("asc").option("grids", head).mode("append").save(str(tmp_path / "gap"))
+    assert list(tmp_path.iterdir()) == []
