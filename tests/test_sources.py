@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecell.operators import algebra
-from tidecell.sources import asc, tiles
+from tidecell.sources import asc, geojson, tiles
 
 
 def cells_of(spark, values, **more):
@@ -149,3 +149,42 @@ def test_asc_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="missing or repeated"):
         gap.write.format("asc").option("grids", head).mode("append").save(str(tmp_path / "gap"))
     assert list(tmp_path.iterdir()) == []
+
+
+def test_features_written_by_tasks(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, r.uniform(-50, 50), r.uniform(-50, 50), r.choice([None, r.uniform(0, 3)]), f'name "{i}"') for i in range(500)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, water_depth double, label string")
+    path = str(tmp_path / "points")
+    geojson.write_points(points, path, "EPSG:3857", most=40)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = sorted(x[:4] for x in rows)
+    assert plain(geojson.read_points(spark, path)) == want
+    box = (-50, -50, -30, -35)
+    assert plain(geojson.read_points(spark, path, bbox=box)) == [w for w in want if box[0] <= w[1] <= box[2] and box[1] <= w[2] <= box[3]]
+    every, few = geojson._files(path, None), geojson._files(path, box)
+    assert 0 < len(few) < len(every)
+    for f in every:  # each is a whole document
+        got = json.loads(open(f).read())
+        assert got["type"] == "FeatureCollection" and got["crs"]["properties"]["name"] == "EPSG:3857" and {"id", "label"} <= set(got["features"][0]["properties"])
+    assert geojson.read_points(spark, path, bbox=(900, 900, 901, 901)).count() == 0
+    with pytest.raises(Exception, match="points"):
+        geojson.write_points(points, path)
+    geojson.write_points(points.limit(0), path, mode="overwrite")
+    assert geojson.read_points(spark, path).count() == 0
+    bad = points.select(F.when(F.col("id") == 250, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id"), "x", "y")
+    with pytest.raises(Exception, match="stop"):
+        geojson.write_points(bad, str(tmp_path / "bad"))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("bad")]
+
+
+def test_polygons_keep_their_properties(spark, tmp_path):
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rows = [(i, [[{"x": float(a), "y": float(b)} for a, b in ring] for ring in ([square(10 * i, 0, 8), square(10 * i + 2, 2, 3)] if i % 2 else [square(10 * i, 0, 8)])], f"p{i}", i / 2) for i in range(8)]
+    polygons = spark.createDataFrame(rows, "poly_id long, rings array<array<struct<x:double,y:double>>>, name string, level double")
+    path = str(tmp_path / "polygons")
+    geojson.write_polygons(polygons, path)
+    got = geojson.read_polygons(spark, path, properties=True)
+    back = got.select("poly_id", "rings", got["properties"]["name"].alias("name"), got["properties"]["level"].cast("double").alias("level"))
+    assert sorted(back.collect()) == sorted(polygons.collect())
+    assert sorted(x.poly_id for x in geojson.read_polygons(spark, path, bbox=(12, 1, 31, 2)).collect()) == [1, 2, 3]

@@ -9,6 +9,7 @@ source. That is two shuffles, one by column and one by row, and no group is larg
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,13 +106,13 @@ def cell_id(width: int) -> Column:
 TILE = 512
 
 
-def _tile_labels(rows: pd.DataFrame, width: int, by_value: bool) -> pd.DataFrame:
-    """The 4-connected areas within one tile, labelled by their least cell id."""
+def _tile_labels(rows: pd.DataFrame, width: int, by_value: bool, connect: int = 4) -> pd.DataFrame:
+    """The connected areas within one tile, labelled by their least cell id."""
     r, c = rows["row"].to_numpy(np.int64), rows["col"].to_numpy(np.int64)
     r0, c0 = r.min(), c.min()
     at = np.full((r.max() - r0 + 3, c.max() - c0 + 3), -1, np.int64)  # a frame without data around it
     at[r - r0 + 1, c - c0 + 1] = np.arange(len(r))
-    pairs = [(a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]) for a, b in ((at[:, :-1].ravel(), at[:, 1:].ravel()), (at[:-1].ravel(), at[1:].ravel()))]
+    pairs = [(a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]) for a, b in ((at[:, :-1].ravel(), at[:, 1:].ravel()), (at[:-1].ravel(), at[1:].ravel()), (at[:-1, :-1].ravel(), at[1:, 1:].ravel()), (at[:-1, 1:].ravel(), at[1:, :-1].ravel()))[: connect // 2]]
     a, b = (np.concatenate(x) for x in zip(*pairs))
     if by_value:
         value = rows["value"].to_numpy()
@@ -132,23 +133,24 @@ def _tile_labels(rows: pd.DataFrame, width: int, by_value: bool) -> pd.DataFrame
     return rows.assign(label=ids[root[rank]])
 
 
-def clumps(cells: DataFrame, width: int, by_value: bool = False) -> DataFrame:
-    """(row, col, label) of cells with data: 4-connected areas, labelled by their least cell id (row * width + col), within
+def clumps(cells: DataFrame, width: int, by_value: bool = False, connect: int = 4) -> DataFrame:
+    """(row, col, label) of cells with data: areas connected by 4 or 8 neighbours, labelled by their least cell id (row * width + col), within
     each grid. Tiles of TILE x TILE cells are labelled each at once; the graph has a node only for areas at a tile's border."""
     g = grid_of(cells)
     data = cells.filter("value is not null").select(*g, "row", "col", "value").withColumns({"tr": F.floor(F.col("row") / TILE).cast("int"), "tc": F.floor(F.col("col") / TILE).cast("int")})
     schema = ", ".join([*[f"{c} string" for c in g], "row int, col int, value double, label long"])
     typed = data.select(*g, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"), "tr", "tc")
-    tiles = materialize(typed.groupBy(*g, "tr", "tc").applyInPandas(lambda rows: _tile_labels(rows, width, by_value).drop(columns=["tr", "tc"]), schema), "clump-tiles")
+    tiles = materialize(typed.groupBy(*g, "tr", "tc").applyInPandas(lambda rows: _tile_labels(rows, width, by_value, connect).drop(columns=["tr", "tc"]), schema), "clump-tiles")
     side = lambda c: (F.col(c) % TILE).isin(0, TILE - 1)
     edge = tiles.filter(side("row") | side("col"))
     met = []
-    for i, j in ((1, 0), (0, 1)):
-        last = edge.filter(F.col("row" if i else "col") % TILE == TILE - 1)
+    for i, j in ((1, 0), (0, 1), (1, 1), (1, -1))[: connect // 2]:
+        beyond = lambda c, k: F.floor((F.col(c) + k) / TILE) != F.floor(F.col(c) / TILE)
+        last = edge.filter(beyond("row", i) | beyond("col", j))
         other = last.select(*g, (F.col("row") + i).alias("row"), (F.col("col") + j).alias("col"), F.col("label").alias("b"), F.col("value").alias("v"))
         both = edge.join(other, [*g, "row", "col"])
         met.append((both.filter("v = value") if by_value else both).select(*g, F.col("label").alias("a"), "b").distinct())
-    links = met[0].unionAll(met[1])
+    links = reduce(DataFrame.unionAll, met)
     if not g:
         roots = connected_components(links)
         return tiles.join(roots, tiles["label"] == roots["node"], "left").select("row", "col", F.coalesce("root", "label").alias("label"))

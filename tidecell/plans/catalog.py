@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecell.operators import algebra, checks, methods, metrics, neighbourhood, resample, shaping, vector
+from tidecell.operators import algebra, checks, drainage, methods, metrics, neighbourhood, outlines, resample, shaping, vector
 from tidecell.functions import stage
 from tidecell.schemas import GRIDS
 from tidecell.sources import asc, geojson, synth, tables, tiles
@@ -328,7 +328,29 @@ def zonal_stats(s, d):
 def polygon_areas(s, d):
     """Areas of the polygons around each wet area."""
     labels = neighbourhood.clumps(bridge.wse1(bridge.dem(s, d)), WIDTH)
-    return _r(vector.area_and_centroid(vector.polygonize(labels)).select("poly_id", "area"))
+    return _r(outlines.summary(outlines.outlines(labels, 4)).select("poly_id", "area"))
+
+
+@query
+def outlines_with_holes(s, d):
+    """Of the polygons around eight-connected wet areas: area, length of the outline, corners, holes."""
+    labels = neighbourhood.clumps(bridge.wse1(bridge.dem(s, d)), WIDTH, connect=8)
+    return outlines.summary(outlines.outlines(labels, 8, 64))
+
+
+@query
+def filled_terrain(s, d):
+    """The terrain with its depressions filled."""
+    return _r(drainage.filled(bridge.dem(s, d), 64))
+
+
+@query
+def breached_terrain(s, d):
+    """Of the breached terrain: that nothing is left to fill, how many cells were lowered, none was lifted, and the least value."""
+    t = bridge.dem(s, d)
+    low = drainage.breached(t, 64)
+    both = algebra.pair(t, low).join(drainage.filled(low, 64).withColumnRenamed("value", "full"), ["row", "col"])
+    return _r(both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("full") > F.col("b")).alias("to_fill"), F.count_if(F.col("b") > F.col("a")).alias("lifted"), (F.count_if(F.col("b") < F.col("a")) > 0).alias("lowered"), F.min("b").alias("least")))
 
 
 @query
@@ -585,18 +607,18 @@ def _whole(s, d):
 
 @query
 def asc_write_read(s, d):
-    """Written as one ASCII grid and read again."""
+    """Written as an ASCII grid by many tasks and read again by ranges."""
     path = _folder(s)
-    asc.asc_lines(_whole(s, d)).orderBy("n").select("line").coalesce(1).write.text(path)
-    return _r(asc.read_asc(s, path)[0].drop("grid_id"))
+    asc.write_asc(bridge.dem(s, d), path)
+    return _r(s.read.format("asc").load(path).drop("grid_id"))
 
 
-def _tiled(s, cells, name):
-    """Written by tile in the shared folder; small tiles, as the grids here are narrow."""
-    name = f"{name}_{uuid.uuid4().hex}"
-    path = f"{_folder(s)}-{name}"
-    tiles.write_tiled(cells, name, path, 16, 16, 8)
-    return name, path
+@query
+def asc_window(s, d):
+    """A window of an ASCII grid: only the ranges of bytes that hold its rows are read."""
+    path = _folder(s)
+    asc.write_asc(bridge.wse1(bridge.dem(s, d)), path, split=1 << 14)
+    return _r(s.read.format("asc").load(path).filter("row between 2 and 8 and col between 10 and 59").drop("grid_id"))
 
 
 @query
@@ -625,13 +647,10 @@ def grid_write_read(s, d):
 
 @query
 def points_write_read(s, d):
-    """Written as GeoJSON features and read again within a box."""
+    """Written as GeoJSON by many tasks and read again within a box, from the files that meet it."""
     path = _folder(s)
-    features = geojson.point_features(bridge.marks(s, d), ["id", "water_depth"])
-    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")).write.text(path)
-    lines = s.read.text(path).select(F.from_json("value", "features array<struct<properties:struct<id:long,water_depth:double>,geometry:struct<type:string,coordinates:array<double>>>>").alias("j"))
-    at = lines.select(F.explode("j.features").alias("f")).select("f.properties.id", F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"), "f.properties.water_depth")
-    return _r(at.filter(F.col("x").between(10, 40)))
+    geojson.write_points(bridge.marks(s, d), path)
+    return _r(geojson.read_points(s, path, bbox=(10.0, -1e9, 40.0, 1e9)))
 
 
 @query

@@ -56,6 +56,9 @@ def _clumps(source: str) -> str:
    select e.b, min(lab.root) from lab join edge e on e.a = lab.id join recurring.lab cur on cur.id = e.b group by e.b, cur.root having min(lab.root) < cur.root)"""
 
 
+#: The same with eight neighbours.
+_EIGHT = _clumps("p1").replace("node a, sh, node b", "node a, sh8, node b")
+_SH8 = " sh8(i, j) as (select i, j from range(-1, 2) a(i), range(-1, 2) b(j) where i <> 0 or j <> 0),"
 _TOP = "(select root from lab group by root order by count(*) desc, root limit 1)"
 #: Pairs of a dry cell and a source within 16 cells, by tiles of 16.
 _OCTILE = """ edgec as (select s.* from {src} s where value > 0),
@@ -187,6 +190,22 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "zonal_stats": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(value) as count, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(sum(value), 6) as sum,
   round(stddev_pop(value), 6) as std, round(median(value), 6) as median from hit where wet""",
     "polygon_areas": BASE + "," + _clumps("p1") + "\nselect cast(root as bigint) as poly_id, cast(count(*) as double) as area from lab group by root",
+    # corners and holes from the 2 x 2 squares that an area's cells are in, by how many and which of the four they are
+    "outlines_with_holes": BASE + "," + _SH8 + _EIGHT + """,
+ spot as (select l.root, n."row", n."col" from lab l join node n using (id)),
+ quad as (select root, "row" + i as r, "col" + j as c, count(*) as n, sum(1 << (2 * i + j)) as b from spot, range(2) s(i), range(2) t(j) group by 1, 2, 3),
+ quads as (select root, sum(case when n % 2 = 1 then 1 when n = 2 and b in (6, 9) then 2 else 0 end) as corners, sum(case when n = 1 then 1 when n = 3 then -1 when n = 2 and b in (6, 9) then -2 else 0 end) / 4 as euler from quad group by 1),
+ sides as (select a.root, count(b.root) as met from spot a cross join sh left join spot b on b.root = a.root and b."row" = a."row" + i and b."col" = a."col" + j group by 1)
+select cast(root as bigint) as poly_id, cast(count(*) as double) as area, cast(4 * count(*) - any_value(met) as bigint) as perimeter, cast(any_value(corners) as bigint) as corners, cast(1 - any_value(euler) as bigint) as holes
+  from spot join quads using (root) join sides using (root) group by root""",
+    "filled_terrain": BASE + "," + _SH8 + """
+ cell as (select "row" * 100 + "col" as id, d.* from dem d),
+ nxt as (select a.id as a, b.id as b, b.value from cell a, sh8, cell b where b."row" = a."row" + i and b."col" = a."col" + j),
+ rim as (select a as id from nxt group by a having count(*) < 8),
+ lev(id, level) using key (id) as (select id, case when id in (select id from rim) then value else 1e300 end from cell union
+   select n.b, min(greatest(lev.level, n.value)) from lev join nxt n on n.a = lev.id join recurring.lev cur on cur.id = n.b where lev.level < 1e300 group by n.b, cur.level having min(greatest(lev.level, n.value)) < cur.level)
+select c."row", c."col", round(l.level, 6) as value from lev l join cell c using (id)""",
+    "breached_terrain": _b("select count(*) as n, cast(0 as bigint) as to_fill, cast(0 as bigint) as lifted, true as lowered, round(min(value), 6) as least from dem"),
     "area_of_clumps": BASE + "," + _clumps("p1") + """\nselect cast(l.root as bigint) as label, cast(count(*) as double) as area, round(avg(n."col" + 0.5), 6) as x, round(avg(-(n."row" + 0.5)), 6) as y from lab l join node n using (id) group by 1""",
     "observed_extent": BASE + "," + _EDGES + '\nselect "row", "col", wet from hit',
     "points_outside_polygon": BASE + "," + _EDGES + '\nselect m.id from marks m left join hit h using ("row", "col") where not coalesce(h.wet, false)',
@@ -219,6 +238,7 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
 select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3 * s), 6) as x, round(sy / (3 * s), 6) as y from sums""",
     "asc_write_read": _b("""select r."row", c."col", round(dem.value, 6) as value from (select cast(unnest(range((select max("row") + 1 from dem))) as int) as "row") r
       cross join (select cast(unnest(range((select max("col") + 1 from dem))) as int) as "col") c left join dem using ("row", "col")"""),
+    "asc_window": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
     "tiled_depth": _cells("ph"),
     "tiled_window": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
     "grid_write_read": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),

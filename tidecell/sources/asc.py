@@ -31,7 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tidecell.functions.stage import shared_dir
 from tidecell.schemas import CELLS, NODATA
 
-from .store import listed, opened, read_text, write_text
+from .store import drop, exists, listed, opened, read_text, write_text
 
 _HEADER = r"^\s*(ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|nodata_value)\s+(\S+)"
 
@@ -305,32 +305,22 @@ class _Writer(DataSourceArrowWriter):
             if next_row != int(head["nrows"]):
                 self.abort(messages)
                 raise ValueError(f"{grid} has {next_row} rows, not {int(head['nrows'])}")
-        for info in fs.get_file_info(_below(top)):
+        from pyarrow.fs import FileSelector
+
+        for info in fs.get_file_info(FileSelector(top)):
             if info.path.endswith(".part"):  # of an attempt that failed
                 fs.delete_file(info.path)
         with fs.open_output_stream(f"{top}/{INDEX}") as out:
             out.write(json.dumps(index).encode())
-        from pyarrow.fs import FileType
-
-        if fs.get_file_info(final).type != FileType.NotFound:
+        if exists(self.path):
             if not self.overwrite:
                 self.abort(messages)
                 raise FileExistsError(self.path)
-            fs.delete_dir(final)
+            drop(self.path)
         fs.move(top, final)
 
     def abort(self, messages: list) -> None:
-        from pyarrow.fs import FileType
-
-        fs, top = opened(self.hidden)
-        if fs.get_file_info(top).type != FileType.NotFound:
-            fs.delete_dir(top)
-
-
-def _below(top: str):
-    from pyarrow.fs import FileSelector
-
-    return FileSelector(top)
+        drop(self.hidden)
 
 
 def write_asc(cells: DataFrame, path: str, res: float = 1.0, x0: float = 0.0, y0: float = 0.0, nodata: float = NODATA, mode: str = "append", split: int = SPLIT) -> None:

@@ -43,3 +43,17 @@ def write_text(path: str, text: str) -> None:
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(at) as out:
         out.write(text.encode())
+
+
+def exists(path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    fs, at = opened(path)
+    return fs.get_file_info(at).type != FileType.NotFound
+
+
+def drop(path: str) -> None:
+    """Deletes a folder, if it is there."""
+    if exists(path):
+        fs, at = opened(path)
+        fs.delete_dir(at)
