@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -530,11 +531,15 @@ def test_vafile_ranks_repeated_rows(spark):
 
 
 def test_vafile_of_large_components(spark):
-    """Whole numbers beyond what a float holds exactly are ranked right; what lies beyond the limit counts as the limit."""
+    """Components of any size: whole numbers without a limit rank the rows, and only the score saturates at the ends of long."""
     r = np.random.default_rng(19)
-    for size in (1e9, 1e13):
-        vec = [(i, [float(x) for x in r.normal(size=4) * size]) for i in range(120)] + [(200, [1e300, -1e300, 1e300, 1e300]), (201, [-1e308, 0.0, 1.0, 0.0])]
-        good = [(i, [int(np.floor(min(max(256 * x, -vafile.MOST), vafile.MOST))) for x in v]) for i, v in vec]
+    exact = lambda x: Fraction(x) * 256 // 1
+    normal = lambda size: [(i, [float(x) for x in r.normal(size=4) * size]) for i in range(120)]
+    mixed = [(i, [float(x) for x in r.normal(size=4) * 10.0 ** r.integers(-3, 16)]) for i in range(130)]
+    tables = [normal(1e9), normal(1e13), normal(1e15), mixed, normal(1.0) + [(200, [1e300, -1e300, 1e300, 1e300]), (201, [-1.7e308, 0.0, 1.0, 0.0]), (250, [1e-3, 1e-3, 2.0, 2.0])]]
+    tables += [[(0, [1.0]), (1, [1e13]), (2, [2e13]), (3, [3e13]), (4, [3e13 + 1])], [(50, [2.0**52, 1.0]), (1, [2.0**53, 3.0]), (2, [2.0**53, 4.0]), (3, [2.0**53]), (4, []), (5, [5.0, 5.0, 9e20])]]
+    for vec in tables:
+        good = [(i, [exact(x) for x in v]) for i, v in vec]
         want = []
         for q, v in good:
             if q % 50 == 0:

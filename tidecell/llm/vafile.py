@@ -10,8 +10,8 @@ before the shuffle, so a vector that many rows share costs no more than any othe
 each of which scans the file once; that block is all that is broadcast.
 
 Edge cases: a null vector, one with a null or non-finite component, and a null id take no part; a shorter vector is
-filled up with zeros; a component beyond +-MOST (2^50, after scaling) counts as that, and scores, which are then summed in
-decimals, saturate at the ends of long in the result, but not in the ranking; rows that repeat an id are excluded together when that id is the query; equal rows are searched
+filled up with zeros; where components reach 2^50 after scaling, or more, the search is the one of ``vawide``, whose scores
+are whole numbers of any size, which rank as they are and saturate at the ends of long in the result; rows that repeat an id are excluded together when that id is the query; equal rows are searched
 as one, and ranked as often as they stand there, times the rows of the query, as a join of the rows would; ties go to the
 smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
 """
@@ -29,14 +29,20 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, CELLS, SCALE, QUERY_BLOCK, QUERY_EVERY, _SCAN = 5, 64, 256, 2048, 50, 2048
+#: From here on, after scaling, components are no longer held as longs.
 MOST, _LONG = 1 << 50, (1 << 63) - 1
 
 
-def integers(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): v the components times SCALE, rounded down."""
+def numbers(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, v): the components as doubles, of rows that take part."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return embeddings.filter(ok).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long")).alias("v"))
+    return embeddings.filter(ok).select(F.col("vec_id").cast("long"), x.alias("v"))
+
+
+def integers(rows: DataFrame) -> DataFrame:
+    """(vec_id, v): v the components times SCALE, rounded down; all within +-MOST."""
+    return rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
 def _cells(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +72,15 @@ def approximate(vectors: DataFrame, low: np.ndarray, width: np.ndarray) -> DataF
     return vectors.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, cells binary")
 
 
-def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
-    """(query, row, vec_id, lb, ub) of all that one task can't rule out by what it has scanned."""
+def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int, loose: np.ndarray | None = None) -> DataFrame:
+    """(query, row, vec_id, lb, ub) of all that one task can't rule out by what it has scanned. loose: what each query's
+    bounds give way by where vectors aren't whole numbers."""
     plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     reach = np.maximum(np.abs(low), np.abs(low + width * CELLS)).astype(np.float64)
     sums = np.abs(queries).astype(np.float64) @ reach
     # sums below 2^53 are exact; beyond, the bounds give way by what float sums can be off
-    slack = np.where(sums < 2.0**53, 0.0, sums * (len(low) + 2) * 2.0**-52)[:, None]
+    slack = (np.where(sums < 2.0**53, 0.0, sums * (len(low) + 2) * 2.0**-52) if loose is None else loose)[:, None]
+    reaches = width - 1 if loose is None else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), k), -np.inf)
@@ -82,7 +90,7 @@ def bounds(file: DataFrame, keys: np.ndarray, ids: np.ndarray, queries: np.ndarr
             packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(every), len(low))
             for i in range(0, len(every), _SCAN):
                 vec, floor = every[i : i + _SCAN], (low + packed[i : i + _SCAN].astype(np.int64) * width).astype(np.float64)
-                ceil = floor + (width - 1)
+                ceil = floor + reaches
                 lb, ub = plus @ floor.T + minus @ ceil.T - slack, plus @ ceil.T + minus @ floor.T + slack
                 own = ids[:, None] == vec[None, :]
                 lb[own] = ub[own] = -np.inf
@@ -155,5 +163,11 @@ def _exact(near: DataFrame, pool: DataFrame, queries: DataFrame, k: int, kind: s
 
 
 def report(embeddings: DataFrame) -> DataFrame:
-    vectors = integers(embeddings)
-    return search(vectors, vectors.filter(f"vec_id % {QUERY_EVERY} = 0"))
+    from . import vawide
+
+    rows = numbers(embeddings)
+    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    wide = most * SCALE >= MOST
+    vectors = rows if wide else integers(rows)
+    queries = vectors.filter(f"vec_id % {QUERY_EVERY} = 0")
+    return vawide.search(vectors, queries, most) if wide else search(vectors, queries)
