@@ -392,6 +392,44 @@ def test_passages_in_and_across_lines(spark):
     assert len(texts) == len(rows) and paragraphs.report(frame(spark, [])).count() == 0
 
 
+def least_cover(rows, got, size=50):
+    """Of all runs of size words, two different ones among them, that stand twice: the least share of words reported."""
+    where, words = defaultdict(list), {}
+    for d, t, *_ in rows:
+        w = words[d] = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        for i in range(len(w) - size + 1):
+            where[tuple(w[i : i + size])].append((d, i))
+    cover = {d: np.zeros(len(w) + 1, int) for d, w in words.items()}
+    for x in got:
+        cover[x.doc_id][x.word] += 1
+        cover[x.doc_id][x.word + x.n_words] -= 1
+    cover = {d: np.concatenate([[0], np.cumsum(np.cumsum(c) > 0)]) for d, c in cover.items()}
+    return min((int(cover[d][i + size] - cover[d][i]) for run, at in where.items() if len(at) > 1 and len(set(run)) > 1 for d, i in at), default=size)
+
+
+def test_passages_of_repeated_phrases(spark):
+    """A phrase over and over, of 2 to 40 words, as often in one document as in another or not, also after one word over and
+    over: every 50 words that stand twice are reported, and removal leaves a stretch of the first copy."""
+    r = random.Random(31)
+    rows, phrases = [], []
+    for k, period in enumerate((2, 3, 12, 24, 25, 26, 27, 40)):
+        phrase = prose(r, period)
+        phrases.append(phrase)
+        rows += [(10 * k + i, " ".join([prose(r, r.randint(5, 60)), *[phrase] * n, prose(r, r.randint(5, 60))]), None, None, None) for i, n in enumerate((max(20, 90 // period), max(20, 90 // period), 15))]
+    tail = prose(r, 30)
+    rows += [(200 + i, " ".join([prose(r, 20), "again " * 60, tail, prose(r, 20)]), None, None, None) for i in range(2)] + [(300, "alone " * 500, None, None, None), (301, "alone " * 400, None, None, None)]
+    got = paragraphs.report(frame(spark, rows)).filter("unit = 'passage'").collect()
+    assert least_cover(rows, got) >= paragraphs.SURE and not {x.doc_id for x in got} & {300, 301}
+    left = {x.doc_id: " ".join((x.text or "").split()) for x in paragraphs.remove(frame(spark, rows)).collect()}
+    for k, phrase in enumerate(phrases):
+        size = paragraphs.WINDOW
+        some = ((phrase + " ") * (size // len(phrase.split()) + 2)).split()
+        whole = {" ".join(some[i : i + size]) for i in range(len(phrase.split()))}
+        assert any(w in left[10 * k] for w in whole)  # the first document keeps a stretch of it
+        assert sum(len(left[10 * k + i].split()) for i in (1, 2)) < 2 * 120 + 2 * len(phrase.split()) + 60
+    assert tail in left[200] and tail not in left[201]
+
+
 def test_paragraphs_empty(spark):
     assert paragraphs.group(frame(spark, [])).count() == 0
 

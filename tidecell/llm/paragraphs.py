@@ -19,7 +19,8 @@ stand twice are found, and what is reported shares SURE words at least. Stretche
 one passage; of equal stretches the one with the least (doc_id, row, place) stays. A passage's para is its key's line.
 
 Edge cases: a null or empty text has no paragraph; rows that repeat an id count as separate copies; a null id sorts first,
-and is read by its text's hash; one word over and over is no passage; an empty table gives an empty result; columns but
+and is read by its text's hash; 50 times the same word is no passage; where a phrase is repeated so that copies of a
+passage overlap, WINDOW words of the first stay at least; an empty table gives an empty result; columns but
 doc_id and text play no part.
 Paragraphs and passages are told apart by 128 bits.
 """
@@ -108,10 +109,10 @@ def joined(doc: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def hashed_paragraphs(data: np.ndarray, doc: np.ndarray):
-    """Bytes of lines -> (paragraph of each shingle, shingle hashes, and of each paragraph: its first line, first word,
-    words, digest, second digest)."""
-    line, words, n_words, _ = hashed_words(data)
+def hashed_paragraphs(hashed: tuple, doc: np.ndarray):
+    """What ``hashed_words`` gives, and the document of each line -> (paragraph of each shingle, shingle hashes, and of each
+    paragraph: its first line, first word, words, digest, second digest)."""
+    line, words, n_words, _ = hashed
     para = joined(doc, n_words)
     n, of = int(para[-1]) + 1 if len(para) else 0, para[line]
     size = np.bincount(of, minlength=n)
@@ -151,27 +152,42 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, para, word, n_words, digest, digest2, bands) of every paragraph of MIN_WORDS or more."""
+_SCAN = "unit int, row long, doc_id long, key long, para int, word int, n_words int, digest long, digest2 long, lists array<long>"
+_PARAGRAPH, _PASSAGE_KEY = 0, 1
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """One reading of the texts: every paragraph of MIN_WORDS or more, with its band keys, and every passage key, whose digest
+    is its window's and whose lists are its extensions."""
+    names = [x.split()[0] for x in _SCAN.split(", ")]
+
+    def listed(keys: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+
+    def rows(batch: pa.RecordBatch, unit: int, own: np.ndarray, ints: tuple, digests: tuple, keys: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(own)
+        columns = [pa.array(np.full(len(own), unit, np.int32)), *(batch.column(i).take(at) for i in range(3)), *(pa.array(x, pa.int32()) for x in ints), *(pa.array(x) for x in digests), listed(keys)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, doc, line in _documents(*utf8_of(batch.column(3))):
-                of, shingles, first, word, n_words, *digests = hashed_paragraphs(text, doc)
+                hashed = hashed_words(text)
+                of, shingles, first, word, n_words, *digests = hashed_paragraphs(hashed, doc)
                 long = n_words[of] >= MIN_WORDS
                 of, shingles = of[long], shingles[long]
-                if not len(of):
-                    continue
-                rows = of[np.concatenate([[True], of[1:] != of[:-1]])]
-                keys = _signatures(of, shingles).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                own = doc[first]
-                nth = word - word[np.searchsorted(own, own)]
-                at = pa.array(own[rows])
-                columns = [*(batch.column(i).take(at) for i in range(3)), *(pa.array(x[rows], pa.int32()) for x in (line[first], nth, n_words)), *(pa.array(x[rows]) for x in digests), bands]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "para", "word", "n_words", "digest", "digest2", "bands"])
+                if len(of):
+                    some = of[np.concatenate([[True], of[1:] != of[:-1]])]
+                    own = doc[first]
+                    nth = word - word[np.searchsorted(own, own)]
+                    yield rows(batch, _PARAGRAPH, own[some], (line[first][some], nth[some], n_words[some]), (digests[0][some], digests[1][some]), _signatures(of, shingles))
+                place, words, _, _ = hashed
+                at, hashes, more = windows(doc[place], words)
+                if len(at):
+                    nth = at - np.searchsorted(doc[place], doc[place[at]])
+                    yield rows(batch, _PASSAGE_KEY, doc[place[at]], (line[place[at]], nth, np.full(len(at), WINDOW)), (hashes.view(np.int64), np.zeros(len(at), np.int64)), more)
 
-    return _rows(docs).mapInArrow(run, "row long, doc_id long, key long, para int, word int, n_words int, digest long, digest2 long, bands array<long>")
+    return _rows(docs).mapInArrow(run, _SCAN)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -184,7 +200,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             want = batch.column(1).to_pylist()
             for text, doc, _ in _documents(*utf8_of(batch.column(0))):
-                of, shingles, first, _, n_words, digest, _ = hashed_paragraphs(text, doc)
+                of, shingles, first, _, n_words, digest, _ = hashed_paragraphs(hashed_words(text), doc)
                 bound = np.searchsorted(of, np.arange(len(n_words) + 1))
                 at = {(int(d), int(x)): i for i, (d, x) in enumerate(zip(doc[first], digest))}
                 rows = [(w["root"], w["blocks"], w["id"], np.unique(shingles[bound[i] : bound[i + 1]]).view(np.int64)) for d in np.unique(doc).tolist() for w in want[d] if (i := at.get((d, w["digest"]))) is not None]
@@ -242,9 +258,10 @@ def links_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, para, word, n_words, rep_doc_id, rep_para, removed) of every paragraph with a near or exact copy elsewhere."""
-    known = materialize(sketches(docs), "para-sketches")
+    scan = scan or materialize(scanned(docs), "para-scan")
+    known = scan.filter(F.col("unit") == _PARAGRAPH).drop("unit").withColumnRenamed("lists", "bands")
     same = ["digest", "digest2"]
     first, read = F.min(F.struct("doc_id", "row", "para")).alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("read")
     distinct = materialize(known.groupBy(*same).agg(first, read, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "para-distinct")
@@ -285,11 +302,10 @@ def windows(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     all_of = _Stretches(words)
     hashes = all_of.of(np.arange(len(words) - WINDOW + 1), WINDOW)
     inside = np.flatnonzero(doc[: len(words) - PASSAGE + 1] == doc[PASSAGE - 1 :])
+    change = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])
+    inside = inside[change[inside + PASSAGE - 1] != change[inside]]  # one word over and over is no passage
     view = np.lib.stride_tricks.sliding_window_view(hashes, size)
     at = np.unique(np.concatenate([part + view[part].argmin(axis=1) for i in range(0, max(len(inside), 1), 1 << 16) if len(part := inside[i : i + (1 << 16)])] or [inside]))
-    # of a run of equal windows, as one word over and over gives, the first stands for all
-    new = np.concatenate([[True], (hashes[at[1:]] != hashes[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])])[: len(at)]
-    at = at[new]
     more = np.zeros((len(at), len(EXTENSIONS)), np.uint64)
     for i, (left, right) in enumerate(EXTENSIONS):
         start, stop = at - left, at + WINDOW + right - 1
@@ -299,36 +315,21 @@ def windows(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, hashes[at], more
 
 
-def passage_keys(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, para, word, digest, more) of the documents' passage keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, doc, line in _documents(*utf8_of(batch.column(3))):
-                of, words, _, _ = hashed_words(text)
-                at, hashes, more = windows(doc[of], words)
-                if not len(at):
-                    continue
-                nth = at - np.searchsorted(doc[of], doc[of[at]])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, more.size + 1, more.shape[1]), pa.int32()), pa.array(more.view(np.int64).ravel()))
-                columns = [*(batch.column(i).take(pa.array(doc[of[at]])) for i in range(3)), pa.array(line[of[at]], pa.int32()), pa.array(nth, pa.int32()), pa.array(hashes.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "para", "word", "digest", "more"])
-
-    return _rows(docs).mapInArrow(run, "row long, doc_id long, key long, para int, word int, digest long, more array<long>")
-
-
-def passages(docs: DataFrame) -> DataFrame:
+def passages(scan: DataFrame) -> DataFrame:
     """The columns of ``group`` for every passage that stands elsewhere too."""
-    known = materialize(passage_keys(docs), "para-keys")
+    known = scan.filter(F.col("unit") == _PASSAGE_KEY).select("row", "doc_id", "key", "para", "word", "digest", F.col("lists").alias("more"))
     twice = materialize(known.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "para-twice")
     met = materialize(known.join(twice, "digest"), "para-met")
-    discard(known, twice)
+    discard(twice)
     lefts, rights = ([F.lit(e[k]) for e in EXTENSIONS] for k in (0, 1))
     parts = met.select("*", F.posexplode("more").alias("i", "one")).filter("one <> 0").drop("more")
     parts = parts.withColumn("lo", F.col("word") - F.get(F.array(*lefts), F.col("i"))).withColumn("hi", F.col("word") + WINDOW + F.get(F.array(*rights), F.col("i")))
     by = ["digest", "i", "one"]
     groups = materialize(parts.groupBy(*by).agg(F.min(F.struct("doc_id", "row", "word", "para")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "para-passages")
     sure = parts.join(groups, by).withColumn("removed", (F.col("rep.row") != F.col("row")) | (F.col("rep.word") != F.col("word")))
+    # a phrase over and over overlaps its own copies, of which the first one stays
+    stays = F.col("rep.word") + F.col("hi") - F.col("word")
+    sure = sure.withColumn("lo", F.when(F.col("removed") & (F.col("rep.row") == F.col("row")), F.greatest("lo", stays)).otherwise(F.col("lo"))).filter("lo < hi")
     order = Window.partitionBy("row", "removed").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = sure.withColumn("new", (reach.isNull() | (F.col("lo") > reach)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -338,7 +339,8 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def _both(docs: DataFrame) -> DataFrame:
-    return group(docs).withColumn("unit", F.lit("paragraph")).unionByName(passages(docs).withColumn("unit", F.lit("passage")))
+    scan = materialize(scanned(docs), "para-scan")
+    return group(docs, scan).withColumn("unit", F.lit("paragraph")).unionByName(passages(scan).withColumn("unit", F.lit("passage")))
 
 
 def report(docs: DataFrame) -> DataFrame:
