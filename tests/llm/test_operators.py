@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidecell.llm import bwt, decontam, html, langid, mixing, nearcopies, paragraphs, pii, sharding, simhash, suffix, vafile
+from tidecell.llm import bwt, decontam, html, langid, mixing, nearcopies, paragraphs, pii, sharding, simhash, suffix, vafile, verify
 
 WORDS = "der die und ist nicht eine von zu mit sich auf das the and of to in is that for with was".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -691,15 +691,28 @@ def test_near_copies_by_similarity(spark, corpus, monkeypatch):
     assert len({c for _, c in named}) < len(texts) - 40
     for block, members, words in ((1 << 15, 1024, 1 << 20), (4, 3, 2000)):
         monkeypatch.setattr(nearcopies, "BLOCK", block)
-        monkeypatch.setattr(nearcopies, "SET_BLOCK", members)
-        monkeypatch.setattr(nearcopies, "SET_WORDS", words)
+        monkeypatch.setattr(verify, "SETS", members)
+        monkeypatch.setattr(verify, "SET_WORDS", words)
         got = nearcopies.group(frame(spark, rows)).collect()
         assert sorted((str(x.doc_id), str(x.component_id)) for x in got) == want
     kept = nearcopies.keep_one(frame(spark, rows)).collect()
     assert sorted({str(x.doc_id) for x in kept}) == sorted({str(first.get(c)) for _, c in named})
+    by = Counter(root[words_of(x.text)] for x in kept)
+    assert set(by) == set(root.values()) and all(n == sum(x[0] == first.get(c) and x[1] == next(k.text for k in kept if root[words_of(k.text)] == c) for x in rows) for c, n in by.items())
+    nulls = [(None, base[4], "en", "s", 0), (7, edited(r, base[4], 2), "en", "s", 0), (None, base[5], "en", "s", 0), (None, edited(r, base[5], 2), "en", "s", 0)]
+    assert sorted(str(x.doc_id) for x in nearcopies.keep_one(frame(spark, nulls)).collect()) == ["7", "None"]
     assert nearcopies.group(frame(spark, [])).count() == 0 == nearcopies.keep_one(frame(spark, [])).count()
 
 
+def test_keys_grow_with_the_texts():
+    for n in (1, 1000, 1 << 20, 1 << 26, 10**10):
+        plan = nearcopies.key_plan(n)
+        keys, bits = plan.shape
+        assert bits == max(14, int(np.ceil(np.log2(max(n, 2)))) - 6) and 1 - (1 - 0.85**bits) ** keys >= 0.994
+        assert np.ptp(np.bincount(plan.ravel(), minlength=768)) <= 1 and all(len(set(row)) >= bits - 2 for row in plan.tolist())
+    assert nearcopies.key_plan(1000).shape == (48, 14)
+
+
 def test_near_copies_with_contiguous_changes(spark):
     """Text appended, cut off, or one block replaced, just within the similarity: nearly all such pairs are grouped."""
     r = random.Random(31)

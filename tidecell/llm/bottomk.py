@@ -13,10 +13,7 @@ deviations below 0.8 (3e-6 of such pairs do not pass); where both sets lie withi
 similarity itself and must reach 0.8. A list gives a spanning forest of the pairs that pass, never all pairs.
 
 The components of these get their full sets, read again from the documents, and the exact similarity decides: 100 times
-the shared shingles must reach 80 times those of the union. A component of up to SETS sets is searched by one task. In a
-larger one all sets are first held against one hub, the set with the most common values, as copies of one text link
-to it; only those that do not are then held against the whole component, by pairs of blocks. So a group of near copies of
-one text costs as many comparisons as it has members, and no link is lost.
+the shared shingles must reach 80 times those of the union (``verify``).
 
 Edge cases: a null or empty text and one without words has an empty set and is linked with nothing, so its component_id
 is its doc_id; fewer than four words are one shingle; null ids do not count as a component's least id unless all are null,
@@ -26,67 +23,37 @@ columns but doc_id and text play no part. Sets are told apart by 128 bits, shing
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecell.functions.stage import discard
 from tidecell.operators.components import connected_components
 
 from .common import materialize, utf8_of
-from .nearcopies import _texts
-from .paragraphs import _mix, hashed_words, shingled
+from .paragraphs import hashed_words
 from .simhash import deal
+from .verify import OF, SHARED, digests, edges_of, groups_of, rows_of, sets_of, spanning, texts_of, verified
 
-SHINGLE, SHARED, OF = 4, 80, 100
-SKETCH, LISTED, PASS = 64, 8, 36
-#: Sets of a list, and sets and shingles of a component, that one task compares.
-BLOCK, SETS, SET_WORDS = 1024, 1024, 1 << 21
+SHINGLE, SKETCH, LISTED, PASS = 4, 64, 8, 36
+#: Sets of a list that one task compares.
+BLOCK = 1024
 #: A little over 100 / 80, so that rounded logarithms lose nothing.
 _CLASS = 1.2501
 _PAD = np.uint32(0xFFFFFFFF)
 _U = np.uint64
 
 
-def sets_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bytes of texts, one to a line -> (line of each distinct shingle, its hash), by line and hash, and the lines."""
-    of, words, n_words, digest = hashed_words(text)
-    line, hashes = shingled(of, words, SHINGLE)
-    few = np.flatnonzero((n_words > 0) & (n_words < SHINGLE))
-    line, hashes = np.concatenate([line, few]), np.concatenate([hashes, digest[few]])
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])])[: len(line)]
-    return line[new], hashes[new], len(n_words)
-
-
-def _digests(line: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """128 bits of each line's set, as two rows of longs."""
-    out = np.zeros((2, n), np.uint64)
-    if len(line):
-        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        for k, seed in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-            out[k, line[head]] = np.add.reduceat(_mix(hashes * _U(2 * k + 1) + _U(seed)), head)
-    return out.view(np.int64)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text): key is the text's hash."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, d1, d2, n, low, sketch): n the set's size, low its LISTED least values, sketch the upper halves of the
     SKETCH least ones in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, text in _texts(*utf8_of(batch.column(2))):
-                line, hashes, n = sets_of(text)
+            for i, j, text in texts_of(*utf8_of(batch.column(2))):
+                line, hashes, n = sets_of(hashed_words(text), SHINGLE)
                 bound = np.searchsorted(line, np.arange(n + 1))
                 size = np.diff(bound)
                 rank = np.arange(len(line)) - bound[line]
@@ -96,27 +63,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 half = (top >> _U(32)).astype("<u4").tobytes()
                 binary = pa.array([half[4 * a : 4 * b] for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(low.view(np.int64)))
-                d1, d2 = _digests(line, hashes, n)
+                d1, d2 = digests(line, hashes, n)
                 columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int64)), lists, binary]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "d1", "d2", "n", "low", "sketch"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, key long, d1 long, d2 long, n long, low array<long>, sketch binary")
-
-
-def spanning(order: np.ndarray, n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links of the places in order with any of n places; near tells which of others link to i.
-    What is connected already is not compared again."""
-    label, out = np.arange(n), []
-    for i in order:
-        others = np.flatnonzero(label != label[i])
-        if not len(others):
-            break
-        hit = others[near(i, others)]
-        if len(hit):
-            met, at = np.unique(label[hit], return_index=True)
-            out += [(int(i), int(k)) for k in hit[at]]
-            label[np.isin(label, met)] = label[i]
-    return out
+    return rows_of(docs).mapInArrow(run, "doc_id long, key long, d1 long, d2 long, n long, low array<long>, sketch binary")
 
 
 def union_share(a: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,60 +102,8 @@ def candidates_of(sketch: list[bytes], size: np.ndarray) -> list[tuple[int, int]
     return spanning(np.argsort(-often[ids].sum(axis=1), kind="stable"), len(rows), near)
 
 
-def links_of(sets: list[np.ndarray], first: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the sets of the exact similarity; first: the places that are held against all, or all."""
-    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    size = np.array([len(s) for s in sets])
-    stop = np.cumsum(size)
-    mark = np.zeros(len(often), bool)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        own = ids[stop[i] - size[i] : stop[i]]
-        mark[own] = True
-        hit = np.concatenate([[0], np.cumsum(mark[ids])])
-        mark[own] = False
-        both = hit[stop[others]] - hit[stop[others] - size[others]]
-        return OF * both >= SHARED * (size[others] + size[i] - both)
-
-    order = np.argsort(-np.add.reduceat(often[ids], stop - size) / size, kind="stable") if first is None else np.flatnonzero(first)
-    return spanning(order, len(sets), near)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Sorted rows (key, pair, columns...) -> the columns, as lists, of the rows of each (key, pair)."""
-    held, last = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, pair = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        rest = [c.to_pylist() if not pa.types.is_list(c.type) else [x.values.to_numpy() for x in c] for c in batch.columns[2:]]
-        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(key)]
-        for i, j in zip(bounds, bounds[1:]):
-            if held and (key[i], pair[i]) == last:
-                for h, c in zip(held, rest):
-                    h.extend(c[i:j])
-                continue
-            if held:
-                yield held
-            held, last = [c[i:j] for c in rest], (key[i], pair[i])
-    if held:
-        yield held
-
-
-def _edges(found: Iterator[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
-    """(ids, pairs of places) of each group -> rows (a, b)."""
-    a, b = [], []
-    for ids, pairs in found:
-        a += [ids[i] for i, _ in pairs]
-        b += [ids[j] for _, j in pairs]
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _edges((ids, candidates_of(sketch, np.array(n))) for ids, n, sketch in _groups(batches) if len(ids) > 1)
+    yield from edges_of((ids, candidates_of(sketch, np.array(n))) for ids, n, sketch in groups_of(batches) if len(ids) > 1)
 
 
 def candidates(known: DataFrame) -> DataFrame:
@@ -224,86 +123,16 @@ def candidates(known: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_passing, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (doc_id, key, d1, d2, id, root, blocks). -> (root, blocks, id, shingles). Of rows that repeat, those that a
-    task reads give one set."""
-    # by shuffle at every size: what is wanted grows with the documents
-    want = wanted.select(F.col("doc_id").alias("want_id"), F.col("key").alias("want_key"), "d1", "d2", "id", "root", "blocks").hint("merge")
-    texts = _rows(docs)
-    met = texts.join(want, texts["doc_id"].eqNullSafe(F.col("want_id")) & (texts["key"] == F.col("want_key"))).select("text", "d1", "d2", "id", "root", "blocks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            d1, d2, ids = (batch.column(k).to_numpy() for k in (1, 2, 3))
-            for i, j, text in _texts(*utf8_of(batch.column(0))):
-                line, hashes, n = sets_of(text)
-                bound = np.searchsorted(line, np.arange(n + 1))
-                own = _digests(line, hashes, n)
-                rows = [r for r in np.flatnonzero((own[0] == d1[i:j]) & (own[1] == d2[i:j])).tolist() if ids[i + r] not in seen and not seen.add(ids[i + r])]
-                at = pa.array([i + r for r in rows], pa.int64())
-                sets = pa.array([hashes[bound[r] : bound[r + 1]].view(np.int64) for r in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at), batch.column(3).take(at), sets], ["root", "blocks", "id", "shingles"])
-
-    return met.mapInArrow(run, "root long, blocks int, id long, shingles array<long>")
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _edges((ids, links_of(sets)) for ids, sets in _groups(batches) if len(ids) > 1)
-
-
-def _held_against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _edges((ids, links_of(sets, np.array(rest))) for ids, rest, sets in _groups(batches) if len(ids) > 1)
-
-
-def _tasks() -> Column:
-    """Into how many blocks sets of sizes n go."""
-    return F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / SET_WORDS)).cast("int")
-
-
-def _large(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """sets: (root, blocks, id, shingles) of components of several blocks -> links (a, b): hubs first, then the rest."""
-    low = sets.select("root", "id").join(known.select("id", F.explode("low").alias("v")), "id")
-    often = materialize(low.groupBy("root", "v").agg(F.count(F.lit(1)).alias("often")), "bottomk-often")
-    score = low.join(often, ["root", "v"]).groupBy("root", "id").agg(F.sum("often").alias("score"))
-    hubs = score.groupBy("root").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
-    hubs = materialize(hubs.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub"), "bottomk-hubs")
-    both = F.size(F.array_intersect("shingles", "of_hub"))
-    held = sets.join(hubs, "root").select("root", "id", "hub", F.size("shingles").alias("n"), (OF * both >= SHARED * (F.size("shingles") + F.size("of_hub") - both)).alias("linked"))
-    held = materialize(held, "bottomk-held")
-    rest = held.filter(~F.col("linked"))
-    parts = materialize(rest.groupBy("root").agg(_tasks().alias("parts")), "bottomk-rest")
-    # block i of all sets meets part j of the rest in group i * parts + j
-    block, part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    sided = sets.join(parts, "root").join(rest.select("id", F.lit(True).alias("rest")), "id", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
-    all_of = sided.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: block * F.col("parts") + j)).alias("pair"), "id", F.lit(False).alias("rest"), "shingles")
-    these = sided.filter("rest").select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i * F.col("parts") + part)).alias("pair"), "id", "rest", "shingles")
-    dealt = all_of.unionByName(these).repartition("root", "pair").sortWithinPartitions("root", "pair")
-    found = dealt.mapInArrow(_held_against_all, "a long, b long")
-    return held.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionAll(found)
-
-
 def group(docs: DataFrame) -> DataFrame:
     """(doc_id, n, component_id) of every row; n is the set's size."""
     rows = materialize(sketches(docs), "bottomk-sketches")
     read = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("read")
     known = rows.filter("n > 0").groupBy("d1", "d2").agg(read, *(F.first(c).alias(c) for c in ("n", "low", "sketch")))
     known = materialize(known.withColumn("id", F.monotonically_increasing_id()), "bottomk-sets")
-    met = connected_components(candidates(known))
-    sized = known.select("d1", "d2", "read", "n", "id").join(met, known["id"] == met["node"])
-    sizes = materialize(sized.groupBy("root").agg(_tasks().alias("blocks")), "bottomk-sizes")
-    wanted = materialize(sized.join(sizes, "root").select("read.doc_id", "read.key", "d1", "d2", "id", "root", "blocks"), "bottomk-wanted")
-    sets = materialize(shingle_sets(docs, wanted), "bottomk-read")
-    small = sets.filter("blocks = 1").select("root", F.lit(0).alias("pair"), "id", "shingles").repartition("root").sortWithinPartitions("root")
-    links = small.mapInArrow(_linked, "a long, b long")
-    large = sets.filter("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionAll(_large(large, known))
-    rooted = connected_components(links)
+    rooted = verified(docs, known, connected_components(candidates(known)), SHINGLE)
     labels = materialize(known.join(rooted, known["id"] == rooted["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("root"), "read.doc_id"), "bottomk-roots")
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = materialize(labels.join(least, "root").select("d1", "d2", "component_id"), "bottomk-labels")
-    discard(sets, wanted, sizes)
     some = rows.filter("n > 0").join(labels, ["d1", "d2"]).select("doc_id", "n", "component_id")
     return some.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 

@@ -4,24 +4,25 @@
 and its pairs are verified. It is the majority of WORDS x 64 hash bits of a text's distinct two-word shingles: an edit
 touches no more of these than of five-word ones. At similarity 0.8 scattered single words change about 9 % of the bits,
 one block that is appended, cut off or replaced changes 15 %, as it touches both kinds alike; other texts differ in half.
-The keys are sized for the block: candidates meet where one of 48 keys of 14 bits is equal, which happens with
-probability 1 - (1 - 0.85^14)^48 = 0.994. Among those that meet, the pigeonring filter decides: the first 128 bits form a
-ring of eight segments, and some chain of consecutive segments must keep within TAU l / 8 differences after each l
-segments. That is so just where all segments together keep within TAU, which is tested first, over many keys at once.
+The keys are sized for the block: candidates meet where one of some keys of bits is equal. 14 bits and 48 keys do so with
+probability 1 - (1 - 0.85^14)^48 = 0.994; of more than 2^20 texts keys have as many bits as leave some 64 texts to a value
+of evenly spread keys, and there are so many keys that this probability stays (``key_plan``). Among those that meet, the
+pigeonring filter decides: the first 128 bits form a ring of eight segments, and some chain of consecutive segments must
+keep within TAU l / 8 differences after each l segments. That is so just where all segments together keep within TAU, which
+is tested first, over many keys at once.
 
-Exact copies (equal word sequences without regard to case) are combined first. Within a key only a spanning forest is kept,
-never all pairs. The components of these candidates get their sets of five-word shingles, and within
-each an exact Jaccard search keeps a spanning forest of the links. Large keys and components are dealt out over pairs of
-blocks, by number and by size, so every pair meets in some task.
+Texts with equal sets of five-word shingles are combined first. Within a key only a spanning forest is kept, never all
+pairs; a key with more than BLOCK texts is dealt out over pairs of blocks. Within the components of these candidates the
+exact similarity decides (``verify``).
 
 Edge cases: null texts and texts without words are one group; with fewer than five words a text equals only its copies;
-rows that repeat share a group; null ids don't count as a group's smallest id unless all are null, and a text whose ids
-are all null is compared with its exact copies only; an empty table gives an empty result. Texts are told apart by
-64-bit hashes.
+rows that repeat share a group; null ids don't count as a group's smallest id unless all are null, and of such a group the
+text with the least hash stays; an empty table gives an empty result. Texts are told apart by 128 bits of their sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 
 from tidecell.operators.components import connected_components
 
-from .common import materialize, slices, utf8_of
-from .paragraphs import SHINGLE, SIMILARITY, hashed_words, links_of_sets, shingled
+from .common import materialize, utf8_of
+from .paragraphs import SHINGLE, hashed_words, shingled
 from .simhash import deal, runs
+from .verify import digests, rows_of, sets_of, texts_of, verified
 
-__all__ = ["SIMILARITY", "group", "keep_one"]
-
-WORDS, KEY_BITS, SEGMENTS, TAU = 12, 14, 8, 32
-BLOCK, SET_BLOCK, SET_WORDS = 1 << 15, 1024, 1 << 20
+WORDS, KEY_BITS, SEGMENTS, TAU, BLOCK = 12, 14, 8, 32, 1 << 15
+#: The share of bits that near copies have in common, and the share of them that is to meet in some key.
+SAME, MET = 0.85, 0.994
 #: Runs of up to _RUN rows are compared together, _CHUNK rows at a time, while they give no more than _HITS pairs.
 _RUN, _CHUNK, _HITS = 4096, 1 << 15, 1 << 18
 _FEATURE, _SEED, _ROWS = 2, 42, 255
@@ -74,26 +75,22 @@ def fingerprints_of(of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)
 
 
-def _texts(data, starts, ends) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Slices (i, j, bytes) of texts, one to a line."""
-    for i, j in slices(starts, ends):
-        parts = [x for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist()) for x in (np.where(data[s:e] == 10, np.uint8(32), data[s:e]), np.array([10], np.uint8))]
-        yield i, j, np.concatenate(parts)[:-1]
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_words, w0, w1, ...): the fingerprint's words."""
+    """(doc_id, key, d1, d2, n, n_words, w0, w1, ...): the set's digest and size, and the fingerprint's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, text in _texts(*utf8_of(batch.column(1))):
-                of, words, n_words, digest = hashed_words(text)
-                fps = fingerprints_of(*shingled(of, words, _FEATURE), j - i).view(np.int64)
-                columns = [batch.column(0).slice(i, j - i), pa.array(digest[: j - i].view(np.int64)), pa.array(n_words[: j - i], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_words", *_LANES])
+            for i, j, text in texts_of(*utf8_of(batch.column(2))):
+                hashed = hashed_words(text)
+                of, words, n_words, _ = hashed
+                line, hashes, n = sets_of(hashed, SHINGLE)
+                fps = fingerprints_of(*shingled(of, words, _FEATURE), n).view(np.int64)
+                size = np.bincount(line, minlength=n)
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(x) for x in digests(line, hashes, n)), pa.array(size, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "d1", "d2", "n", "n_words", *_LANES])
 
-    schema = "doc_id long, digest long, n_words long, " + ", ".join(f"{c} long" for c in _LANES)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "doc_id long, key long, d1 long, d2 long, n long, n_words long, " + ", ".join(f"{c} long" for c in _LANES)
+    return rows_of(docs).mapInArrow(run, schema)
 
 
 def pigeonring(diff: np.ndarray) -> np.ndarray:
@@ -184,57 +181,62 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct texts (digest, w0, w1, ...) -> pairs (a, b) of digests with the same components as all candidates."""
-    per_lane = 64 // KEY_BITS
-    part = lambda c, k: F.shiftrightunsigned(c, k * KEY_BITS).bitwiseAND((1 << KEY_BITS) - 1)
-    keys = [F.lit((i * per_lane + k) << KEY_BITS) + part(c, k) for i, c in enumerate(_LANES) for k in range(per_lane)]
-    members = texts.select(F.explode(F.array(*keys)).alias("key"), "digest", "w0", "w1")
-    large = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-large")
-    met = members.join(large, "key", "left").select("key", F.coalesce("blocks", F.lit(1)).alias("blocks"), "digest", "w0", "w1")
-    return deal(met, "digest", "key").mapInArrow(_ties, "a long, b long").distinct()
+def key_plan(n: int) -> np.ndarray:
+    """For n texts: which bits of the fingerprint each key takes, a row for each key. Every bit is taken before any is taken
+    again."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(n, 2))) - 6)
+    keys = math.ceil(math.log(1 - MET) / math.log(1 - SAME**bits))
+    r = np.random.default_rng(_SEED)
+    rounds = -(-keys * bits // (WORDS * 64))
+    return np.concatenate([r.permutation(WORDS * 64) for _ in range(rounds)])[: keys * bits].reshape(keys, bits)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (id, want, root, blocks). -> (root, blocks, digest, shingles): the distinct shingles of each wanted text."""
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id").select("text", "want", "root", "blocks")
+def keyed(texts: DataFrame, plan: np.ndarray) -> DataFrame:
+    """(key, id, w0, w1): a row for each text and key."""
+    keys, bits = plan.shape
+    power, step = 1 << np.arange(bits, dtype=np.int64), max(1, (1 << 21) // plan.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column(1).to_numpy()
-            for i, j, text in _texts(*utf8_of(batch.column(0))):
-                of, words, _, digest = hashed_words(text)
-                line, hashes = shingled(of, words)
-                bound = np.searchsorted(line, np.arange(j - i + 1))
-                rows = np.flatnonzero(digest[: j - i].view(np.int64) == want[i:j])
-                sets = [np.unique(hashes[bound[r] : bound[r + 1]]).view(np.int64) for r in rows]
-                at = pa.array(rows + i)
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), batch.column(1).take(at), pa.array(sets, pa.list_(pa.int64()))], ["root", "blocks", "digest", "shingles"])
+            lanes = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+            for i in range(0, len(lanes), step):
+                part = np.unpackbits(np.ascontiguousarray(lanes[i : i + step]).view(np.uint8), axis=1, bitorder="little")
+                key = part[:, plan.ravel()].reshape(-1, keys, bits) @ power + (np.arange(keys, dtype=np.int64) << bits)
+                same = pa.array(np.repeat(np.arange(i, i + len(part)), keys))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(batch.column(k).take(same) for k in (0, 1, 2))], ["key", "id", "w0", "w1"])
 
-    return joined.mapInArrow(run, "root long, blocks int, digest long, shingles array<long>")
+    return texts.select("id", *_LANES).mapInArrow(run, "key long, id long, w0 long, w1 long")
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """Distinct texts (id, w0, w1, ...) -> pairs (a, b) of ids with the same components as all candidates."""
+    members = keyed(texts, key_plan(texts.count()))
+    large = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-large")
+    met = members.join(large, "key", "left").select("key", F.coalesce("blocks", F.lit(1)).alias("blocks"), "id", "w0", "w1")
+    return deal(met, "id", "key").mapInArrow(_ties, "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, digest) of every row, (digest, root) of every text, and (root, component_id) of every group."""
-    known = materialize(sketches(docs), "near-sketches")
-    texts = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), *(F.first(c).alias(c) for c in _LANES)), "near-texts")
-    met = connected_components(candidates(texts.filter((F.col("n_words") >= SHINGLE) & F.col("first_id").isNotNull())))
-    sized = texts.select("digest", "first_id", "n_words").join(met, texts["digest"] == met["node"]).select("digest", "first_id", "n_words", "root")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n_words") / SET_WORDS)).cast("int")
-    sizes = materialize(sized.groupBy("root").agg(blocks.alias("blocks")), "near-sizes")
-    wanted = materialize(sized.join(sizes, "root").select(F.col("first_id").alias("id"), F.col("digest").alias("want"), "root", "blocks"), "near-wanted")
-    rooted = connected_components(deal(shingle_sets(docs, wanted), "digest", "root").mapInArrow(links_of_sets, "a long, b long"))
-    labels = materialize(texts.join(rooted, texts["digest"] == rooted["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "first_id"), "near-labels")
-    return known.select("doc_id", "digest"), labels, labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    """(doc_id, d1, d2) of every row, (d1, d2, root, read) of every text, and (root, least) of every group: least and read
+    are (whether the id is null, doc_id, key) of the row that comes first."""
+    rows = materialize(sketches(docs), "near-sketches")
+    read = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("read")
+    known = rows.groupBy("d1", "d2").agg(read, *(F.first(c).alias(c) for c in ("n", "n_words", *_LANES)))
+    known = materialize(known.withColumn("id", F.monotonically_increasing_id()), "near-texts")
+    rooted = verified(docs, known, connected_components(candidates(known.filter(F.col("n_words") >= SHINGLE))), SHINGLE)
+    labels = materialize(known.join(rooted, known["id"] == rooted["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("root"), "read"), "near-labels")
+    return rows.select("doc_id", "d1", "d2"), labels, labels.groupBy("root").agg(F.min("read").alias("least"))
 
 
 def group(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): one row per document, component_id the smallest doc_id of its group."""
-    known, labels, groups = _grouped(docs)
-    return known.join(labels.join(groups, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    rows, labels, groups = _grouped(docs)
+    return rows.join(labels.join(groups, "root").select("d1", "d2", F.col("least.doc_id").alias("component_id")), ["d1", "d2"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat that id, all stay."""
-    kept = _grouped(docs)[2].select(F.col("component_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group, and if ids repeat the text with the least hash; rows that repeat it
+    stay too."""
+    kept = _grouped(docs)[2].select(F.col("least.doc_id").alias("__kept"), F.col("least.key").alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
+    return docs.join(kept, same, "left_semi").select(*[docs[c] for c in docs.columns])
