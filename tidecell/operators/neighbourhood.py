@@ -2,8 +2,7 @@
 
 Stencils scatter a cell's value to its neighbours and aggregate once. The nearest source of each cell is found in two
 steps, whatever the distance: down the columns, the sources next above and next below each row (nothing farther in a
-column can be nearer); then along each row, outwards from the cell, until the columns passed are farther than the best
-source. That is two shuffles, one by column and one by row, and no group is larger than a row of the grid.
+column can be nearer); then along each row, down a tree of blocks of these, to those that can hold a nearer one. That is two shuffles, one by column and one by row, and no group is larger than a row of the grid.
 """
 
 from __future__ import annotations
@@ -183,13 +182,38 @@ METRICS = {
 
 #: Queries and offers that are searched at once: whole rows of cells, so many together or one alone.
 _TOGETHER = 1 << 17
+#: Queries that go down a row's blocks at a time.
+_QUERIES = 1 << 14
+
+
+#: Neighbouring sources of a row, or blocks of them, that make a block.
+_FAN = 8
+
+
+def _pyramid(of: np.ndarray, x: np.ndarray, dy: np.ndarray) -> list[dict]:
+    """Levels of blocks over the sources of each row, themselves first: how many a row has and where they begin, and of each
+    block its least and largest x, its least dy, and the source that has it."""
+    rows, count = np.unique(of, return_counts=True)
+    level = {"rows": rows, "count": count, "begin": np.cumsum(count) - count, "low": x, "high": x, "dy": dy, "best": np.arange(len(x))}
+    out = [level]
+    while len(x) and level["count"].max() > 1:
+        count = -(-level["count"] // _FAN)
+        begin = np.cumsum(count) - count
+        row = np.repeat(np.arange(len(rows)), count)
+        first = level["begin"][row] + (np.arange(count.sum()) - begin[row]) * _FAN
+        order = np.lexsort((level["dy"], np.repeat(first, np.diff(np.append(first, len(level["low"]))))))
+        least = level["best"][order[first]]
+        level = {"rows": rows, "count": count, "begin": begin, "low": np.minimum.reduceat(level["low"], first), "high": np.maximum.reduceat(level["high"], first), "dy": np.minimum.reduceat(level["dy"], first), "best": least}
+        out.append(level)
+    return out
 
 
 def _along_rows(rows: pd.DataFrame, metric: str, most: float) -> pd.DataFrame:
     """The nearest source of each query. rows: queries (srow null) and the sources that columns offer; of gives their row.
 
-    Sources are sorted by row and x. A query looks at the next one on its left and on its right, further out each time, until
-    both are farther along the row than its best one."""
+    The sources of a row, by x, are put together to blocks, and blocks to larger ones. A query goes down from the block that
+    holds its whole row, to the parts whose bound - the metric of the distance along the row and the least distance across -
+    is no farther than the best source it has seen. So it looks at a few blocks of each level, however far sources are."""
     here = rows["srow"].isna().to_numpy()
     q, s = rows[here], rows[~here]
     order = np.lexsort((s["srow"], s["x"], s["of"]))
@@ -197,25 +221,34 @@ def _along_rows(rows: pd.DataFrame, metric: str, most: float) -> pd.DataFrame:
     sof, sx, srow, scol, value = (column(s, c, order) for c in ("of", "x", "srow", "scol", "value"))
     dy = np.abs(column(s, "y", order) - column(s, "at", order))
     qof, qx = column(q, "of"), column(q, "x")
-    low = rows["x"].min() if len(rows) else 0.0
-    span = (rows["x"].max() - low + 1.0) if len(rows) else 1.0
-    start = np.searchsorted(sof * span + (sx - low), qof * span + (qx - low))
+    levels, measure = _pyramid(sof, sx, dy), METRICS[metric]
     best, place = np.full(len(q), np.inf), np.full(len(q), -1)
-    active, step = np.arange(len(q)), 0
-    while len(active) and len(s):
-        going = np.zeros(len(active), bool)
-        for at in (start[active] + step, start[active] - 1 - step):
-            k = np.clip(at, 0, len(sx) - 1)
-            there = (at == k) & (sof[k] == qof[active])
-            i, k = active[there], k[there]
-            dx = np.abs(qx[i] - sx[k])
-            d = np.round(METRICS[metric](dy[k], dx), 9)
-            old = place[i]
-            first = (srow[k] < srow[old]) | ((srow[k] == srow[old]) & (scol[k] < scol[old]))
-            better = (d <= most) & ((d < best[i]) | ((d == best[i]) & (old >= 0) & first))
-            best[i[better]], place[i[better]] = d[better], k[better]
-            going[there] |= dx <= np.minimum(best[i], most)
-        active, step = active[going], step + 1
+    row = np.searchsorted(levels[0]["rows"], qof) if len(s) else np.zeros(len(q), np.int64)
+    there = (levels[0]["rows"][np.minimum(row, len(levels[0]["rows"]) - 1)] == qof) if len(s) else np.zeros(len(q), bool)
+    every = np.flatnonzero(there)
+    for k in range(0, len(every), _QUERIES):
+        i = every[k : k + _QUERIES]
+        block = levels[-1]["begin"][row[i]]
+        for n in range(len(levels) - 1, -1, -1):
+            level = levels[n]
+            dx = np.maximum(np.maximum(level["low"][block] - qx[i], qx[i] - level["high"][block]), 0.0)
+            bound = measure(level["dy"][block], dx)
+            source = level["best"][block]
+            np.minimum.at(best, i, measure(dy[source], np.abs(qx[i] - sx[source])))
+            near = bound <= np.minimum(best[i], most) + 1e-8
+            i, block = i[near], block[near]
+            if n:  # on to the parts of these blocks
+                r, below = row[i], levels[n - 1]
+                first = (block - level["begin"][r]) * _FAN
+                size = np.minimum(below["count"][r] - first, _FAN)
+                i = np.repeat(i, size)
+                block = np.repeat(below["begin"][r] + first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        d = np.round(measure(dy[block], np.abs(qx[i] - sx[block])), 9)
+        ok = d <= most
+        i, block, d = i[ok], block[ok], d[ok]
+        first = np.lexsort((scol[block], srow[block], d, i))
+        first = first[np.concatenate([[True], i[first][1:] != i[first][:-1]])[: len(first)]]
+        best[i[first]], place[i[first]] = d[first], block[first]
     found = place >= 0
     k = place[found]
     return q[found].assign(dist=best[found], srow=srow[k].astype(np.int64), scol=scol[k].astype(np.int64), value=value[k])
