@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecell.functions.stage import discard, discard_since, mark
+from tidecell.functions.stage import discard, discard_but, tracked
 from tidecell.llm import decontam, langid, mixing, nearcopies, sharding
 from tidecell.llm.common import materialize, table
 
@@ -52,9 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        place = mark()
-        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard_since(place, kept)  # what the stage wrote on its way
+        with tracked() as written:
+            kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_but(written, kept)  # what the stage wrote on its way
         discard(docs)
         docs = kept
     return docs

@@ -828,6 +828,18 @@ def test_html_layouts_by_hand():
     assert right >= 0.95 * kept and right >= 0.95 * want
 
 
+def test_html_parses_broken_pages_in_one_pass():
+    """Elements that never end, inline ones before block starts among them."""
+    start = __import__("time").perf_counter()
+    n = 50_000
+    nodes = html.parse("<article>" + "<b>" * n + "<li>x" * n)
+    assert sum(x.tag == "li" for x in nodes) == n and __import__("time").perf_counter() - start < 5
+    assert not set(html._ENDS) & html.INLINE
+    plain = html.parse("<ul><li><b>one<li><i>two</i><p>three<b>four<p>five<span class=menu>six<li>seven</ul>eight")
+    assert [(x.tag, "".join(p for p in x.parts if isinstance(p, str))) for x in plain] == [("#root", "eight"), ("ul", ""), ("li", "one"), ("li", "two"), ("p", "threefour"), ("p", "five"), ("span", "six"), ("li", "seven")]
+    assert html._attr_words('data-id="menu" class="post"') == {"post"}
+
+
 def test_html_formulas_and_stray_ends():
     page = "<article><p>Let <math><mi>x</mi><mspace/><mo>=</mo><msup><mn>2</mn><mn>3</mn></msup><annotation>2^3</annotation></math> be two</p></article>"
     assert html.extract([page], html.model()) == ["Let x=23 be two"]

@@ -20,7 +20,10 @@ Text is compared in lower case, with white space runs as one blank. Keys and the
 which can only make them more alike; the edit distance reads the characters. Items are sent to the tasks in blocks of
 ITEM_BLOCK; each block is one pass over the documents, without a shuffle.
 
-Edge cases: a null or empty document holds no item; an item null, empty or under MIN_CHARS characters matches nothing;
+Items under MIN_CHARS characters have no room for samples, and as many characters of prose as there are would be similar by
+SIMILARITY somewhere, so these are found where they stand word for word.
+
+Edge cases: a null or empty document holds no item; an item that is null or without a character matches nothing;
 repeated rows are reported as often as they are there; an empty table on either side gives no match; a long text is cut
 into pieces that overlap by more than an item and its room.
 """
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 REPEATS, SEED = 2, 42
 #: Least item length in characters -> (steps of the walk, places of a sample, samples of a walk, a window at each nth word
 #: of a document).
-CLASSES = {16: (16, 10, 4, 1), 56: (40, 12, 6, 1), 160: (48, 12, 4, 2)}
+CLASSES = {16: (16, 10, 8, 1), 56: (40, 12, 6, 1), 160: (48, 12, 4, 2)}
 SIMILARITY, MIN_CHARS, ITEM_BLOCK = 0.8, min(CLASSES), 5_000
 _SLICE, _WINDOWS, _HITS, _PIECE, _MOST_STEPS = 1 << 22, 1 << 15, 1 << 21, 64, 64
 _U = np.uint64
@@ -66,6 +69,7 @@ class Index(NamedTuple):
     size: np.ndarray
     room: np.ndarray
     tables: list[Table]
+    short: dict[str, list[int]]  # items under MIN_CHARS, by text
     pieces: np.ndarray  # each item's first piece
     masks: np.ndarray  # of each piece, by character
 
@@ -142,7 +146,11 @@ def _table(chosen: list[int], texts: list[np.ndarray], steps: int, picks: int, s
 
 
 def build_index(items: list[tuple[int, str | None]]) -> Index:
-    kept = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= MIN_CHARS]
+    every = [(i, normal(t)) for i, t in items]
+    kept = [(i, t) for i, t in every if len(t) >= MIN_CHARS]
+    few, short = [(i, t) for i, t in every if 0 < len(t) < MIN_CHARS], defaultdict(list)
+    for n, (_, t) in enumerate(few, len(kept)):
+        short[t].append(n)
     texts = [folded(t) for _, t in kept]
     size = np.array([len(t) for t in texts], np.int64)
     least = np.array(sorted(CLASSES))
@@ -154,7 +162,17 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         for i in range(0, len(t), _PIECE):
             part = t[i : i + _PIECE]
             np.bitwise_or.at(masks[first[n] + i // _PIECE], part, _U(1) << np.arange(len(part), dtype=np.uint64))
-    return Index([i for i, _ in kept], [t for _, t in kept], size, ((1 - SIMILARITY) * size + 1e-9).astype(np.int64), tables, first, masks)
+    room = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+    return Index([i for i, _ in kept + few], [t for _, t in kept + few], size, room, tables, dict(short), first, masks)
+
+
+def short_items(text: str, index: Index) -> dict[int, int]:
+    """The items under MIN_CHARS that a normal text holds word for word, without edits."""
+    words, found = text.split(" "), {}
+    for n in {t.count(" ") + 1 for t in index.short}:
+        for item in index.short.keys() & (set(words) if n == 1 else {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}):
+            found |= dict.fromkeys(index.short[item], 0)
+    return found
 
 
 def edits(item: str, text: str) -> int:
@@ -291,10 +309,14 @@ def matches(texts: list[str | None], index: Index) -> Iterator[dict[int, int]]:
         for (n, _), best in zip(held, matches_of([t for _, t in held], index)):
             for item, d in best.items():
                 got[n][item] = min(d, got[n].get(item, d))
-        yield from (got[n] for n in range(done, upto))
+        for n in range(done, upto):
+            yield got[n] | few.pop(n, {})
 
+    few: dict[int, dict[int, int]] = {}
     for n, text in enumerate(texts):
         text = normal(text)
+        if index.short:
+            few[n] = short_items(text, index)
         held += [(n, text[i : i + _SLICE + overlap]) for i in range(0, max(len(text), 1), _SLICE)]
         size += len(text)
         if size > _SLICE:

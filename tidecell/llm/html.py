@@ -49,7 +49,7 @@ _WORDS = {w: k for k, names in AGAINST.items() for w in names.split()}
 ENDS = {"p": "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th tr", "th": "td th tr", "option": "option"}
 _ENDS = {k: frozenset(v.split()) for k, v in ENDS.items()}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SEED, PAGES = 42, 1200
 
@@ -80,12 +80,15 @@ def parse(page: str) -> list[Node]:
     root = Node("#root", None, frozenset())
     nodes, open_, links, at = [root], [(root, "#root")], 0, 0
     held: Counter = Counter()  # open elements by name
+    blocks: list[int] = []  # places of open elements that aren't inline
 
     def close(i: int) -> int:
         """Ends the open elements from the i-th on; how many links that ends."""
         names = [t for _, t in open_[i:]]
         held.subtract(names)
         del open_[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
         return names.count("a")
 
     def text(s: str) -> None:
@@ -121,13 +124,8 @@ def parse(page: str) -> list[Node]:
             if name == "hr":
                 nodes.append(Node("hr", open_[-1][0], frozenset()))
             continue
-        for i in range(len(open_) - 1, 0, -1):
-            tag = open_[i][1]
-            if name in _ENDS.get(tag, ()):
-                links -= close(i)
-                break
-            if tag not in INLINE:
-                break
+        if blocks and name in _ENDS.get(open_[blocks[-1]][1], ()):
+            links -= close(blocks[-1])
         attrs = m[3] or m[6] or ""
         words = _attr_words(attrs)
         if name in INLINE and not (name == "span" and any(w in _WORDS for w in words)):
@@ -139,6 +137,8 @@ def parse(page: str) -> list[Node]:
         else:
             node = Node(name, open_[-1][0], words)
             nodes.append(node)
+            if name not in INLINE:
+                blocks.append(len(open_))
             open_.append((node, name))
             held[name] += 1
     text(page[at:])

@@ -194,14 +194,19 @@ def key_plan(n: int) -> np.ndarray:
 def keyed(texts: DataFrame, plan: np.ndarray) -> DataFrame:
     """(key, id, w0, w1): a row for each text and key."""
     keys, bits = plan.shape
-    power, step = 1 << np.arange(bits, dtype=np.int64), max(1, (1 << 21) // plan.size)
+    wide = next(w for w in (16, 32, 64) if w >= bits)
+    # bits beyond a key's own are taken from a column of zeros behind the fingerprint
+    place = np.full((keys, wide), WORDS * 64)
+    place[:, :bits] = plan
+    step = max(1, (1 << 21) // place.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lanes = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
             for i in range(0, len(lanes), step):
-                part = np.unpackbits(np.ascontiguousarray(lanes[i : i + step]).view(np.uint8), axis=1, bitorder="little")
-                key = part[:, plan.ravel()].reshape(-1, keys, bits) @ power + (np.arange(keys, dtype=np.int64) << bits)
+                part = np.unpackbits(np.pad(np.ascontiguousarray(lanes[i : i + step]), ((0, 0), (0, 1))).view(np.uint8), axis=1, bitorder="little")
+                packed = np.ascontiguousarray(np.packbits(part[:, place.ravel()], axis=1, bitorder="little"))
+                key = packed.view(f"<u{wide // 8}").astype(np.int64) + (np.arange(keys, dtype=np.int64) << bits)
                 same = pa.array(np.repeat(np.arange(i, i + len(part)), keys))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(batch.column(k).take(same) for k in (0, 1, 2))], ["key", "id", "w0", "w1"])
 
