@@ -514,16 +514,22 @@ def test_normal_grids_and_clusters(spark):
 
 def test_stages_are_deleted_when_spent(spark):
     import os
+    from concurrent.futures import ThreadPoolExecutor
 
     from tidecell.functions import stage
 
     here = lambda df: os.path.exists(df.stage_path.removeprefix("file://").removeprefix("file:"))
-    place = stage.mark()
-    a, b, c = (stage.materialize(spark.range(n), "t") for n in (1, 2, 3))
+    with stage.tracked() as outer:
+        a = stage.materialize(spark.range(1), "t")
+        with ThreadPoolExecutor(1) as other:  # another thread's stages are its own
+            d = other.submit(lambda: stage.materialize(spark.range(4), "t")).result()
+        with stage.tracked() as inner:
+            b, c = (stage.materialize(spark.range(n), "t") for n in (2, 3))
+    assert outer == [a.stage_path, b.stage_path, c.stage_path] and inner == outer[1:]
     stage.discard(a, spark.range(1))
     assert not here(a) and here(b) and here(c)
-    stage.discard_since(place, c)
-    assert not here(b) and here(c) and c.count() == 3
+    stage.discard_but(inner, c)
+    assert not here(b) and here(c) and here(d) and c.count() == 3
 
 
 @pytest.mark.parametrize("together", [1, 50])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths of stages that this process has written and not deleted, in order.
-_written: list[str] = []
+#: Lists that get the paths of the stages which the current call writes; other threads' calls have lists of their own.
+_tracking: ContextVar[tuple[list[str], ...]] = ContextVar("tracking", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
-    _written.append(path)
+    for written in _tracking.get():
+        written.append(path)
     return back
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _written:
-        _written.remove(path)
 
 
 def discard(*stages: DataFrame) -> None:
@@ -54,20 +55,19 @@ def discard(*stages: DataFrame) -> None:
             _delete(df.sparkSession, df.stage_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects its
-    garbage, which a driver with little to do may put off until long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths of the stages that the block writes, in order; what other threads write is not among them."""
+    written: list[str] = []
+    before = _tracking.set((*_tracking.get(), written))
+    try:
+        yield written
+    finally:
+        _tracking.reset(before)
 
 
-def mark() -> int:
-    """The place in the order of stages from which ``discard_since`` deletes."""
-    return len(_written)
-
-
-def discard_since(place: int, kept: DataFrame) -> None:
-    """Delete every stage written since mark() but the one that is kept."""
-    for path in _written[place:]:
+def discard_but(written: list[str], kept: DataFrame) -> None:
+    """Delete the tracked stages but the one that is kept."""
+    for path in written:
         if path != kept.stage_path:
             _delete(kept.sparkSession, path)

@@ -39,8 +39,8 @@ def placed(counts: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(sizes, same).select(*by, "v", "n", (F.col("__here") + F.col("__earlier")).alias("before"), "total")
 
 
-def _at(share: float) -> Column:
-    """The quantile, interpolated between two ranks: each takes its weight from the value that holds it."""
+def quantile(share: float) -> Column:
+    """An aggregate over what ``placed`` gives: the quantile, interpolated between the values that hold the two ranks."""
     place = share * (F.col("total") - 1)
     low = F.floor(place)
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
@@ -51,7 +51,7 @@ def _at(share: float) -> Column:
 def order_statistics(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """(.., count, unique, q1, median, q3, iqr, minority, majority) of each group's values."""
     counts = materialize(counted(df, by, value), "rank-counts")
-    ranks = placed(counts, by).groupBy(*by).agg(_at(0.25).alias("q1"), _at(0.5).alias("median"), _at(0.75).alias("q3"))
+    ranks = placed(counts, by).groupBy(*by).agg(quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"))
     real = F.col("v").isNotNull()
     rest = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("count"), F.count("v").alias("unique"),
@@ -67,5 +67,5 @@ def order_statistics(df: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 def quantiles_by(df: DataFrame, by: list[str], value: Column, shares: list[float]) -> DataFrame:
     """(.., share, value): exact quantiles of each group, one row for each share."""
-    ranks = placed(counted(df, by, value), by).groupBy(*by).agg(F.array(*[F.struct(F.lit(s).alias("share"), _at(s).alias("value")) for s in shares]).alias("q"))
+    ranks = placed(counted(df, by, value), by).groupBy(*by).agg(F.array(*[F.struct(F.lit(s).alias("share"), quantile(s).alias("value")) for s in shares]).alias("q"))
     return ranks.select(*by, F.explode("q").alias("q")).select(*by, "q.share", "q.value")

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import materialize
+
+from . import ranks
 from .algebra import key
 
 
@@ -21,11 +24,22 @@ def sample(points: DataFrame, cells: DataFrame, x0: float = 0.0, y0: float = 0.0
 
 
 def edges(polygons: DataFrame) -> DataFrame:
-    """(poly_id, rings) -> (poly_id, x1, y1, x2, y2), each ring closed."""
+    """(poly_id, rings) -> (poly_id, x1, y1, x2, y2), each ring closed, without level edges, which no row crosses."""
+    return edges_with_level(polygons).filter("y1 <> y2")
+
+
+def edges_with_level(polygons: DataFrame) -> DataFrame:
     ring = polygons.select("poly_id", F.explode("rings").alias("ring"))
     follow = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
     e = ring.select("poly_id", F.explode(F.arrays_zip(F.col("ring").alias("a"), follow.alias("b"))).alias("e"))
-    return e.select("poly_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")).filter("y1 <> y2")
+    return e.select("poly_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def inside_of(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(poly_id, id) of the points (poly_id, id, x, y) that lie in their own polygons."""
+    met = points.select("poly_id", "id", "x", "y").join(edges(polygons), "poly_id")
+    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    return met.filter(cross).groupBy("poly_id", "id").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("poly_id", "id")
 
 
 def crossings(polygon_edges: DataFrame, y0: float = 0.0, res: float = 1.0) -> DataFrame:
@@ -74,10 +88,19 @@ def burn(cells: DataFrame, polygons: DataFrame, **where) -> DataFrame:
 
 
 def zonal_stats(cells: DataFrame, polygons: DataFrame, **where) -> DataFrame:
-    v = F.col("value")
-    return inside(cells, polygons, **where).groupBy("poly_id").agg(
-        F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.stddev_pop(v).alias("std"), F.median(v).alias("median")
-    )
+    """(poly_id, count, min, max, mean, sum, std, median) of the cells with data in each polygon. Equal values are counted
+    before anything else, so no buffer holds a polygon's values."""
+    counts = materialize(ranks.counted(inside(cells, polygons, **where), ["poly_id"], F.col("value")), "zonal-counts")
+    v, n = F.col("v"), F.when(F.col("v").isNotNull(), F.col("n"))
+    first = counts.groupBy("poly_id").agg(F.coalesce(F.sum(n), F.lit(0)).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.sum(v * n).alias("sum"))
+    spread = counts.join(first.select("poly_id", "mean"), "poly_id").groupBy("poly_id").agg(F.sqrt(F.sum(n * (v - F.col("mean")) ** 2) / F.sum(n)).alias("std"))
+    half = ranks.placed(counts, ["poly_id"]).groupBy("poly_id").agg(ranks.quantile(0.5).alias("median"))
+    return first.join(spread, "poly_id").join(half, "poly_id", "left").select("poly_id", "count", "min", "max", "mean", "sum", "std", "median")
+
+
+def zonal_order_statistics(cells: DataFrame, polygons: DataFrame, **where) -> DataFrame:
+    """(poly_id, count, unique, q1, median, q3, iqr, minority, majority) of the cells in each polygon."""
+    return ranks.order_statistics(inside(cells, polygons, **where), ["poly_id"], F.col("value"))
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,10 +222,16 @@ def select_by_location(points: DataFrame, polygons: DataFrame, predicate: str =
     return points.join(_point_pairs(points, polygons, res).select("id").distinct(), "id", how)
 
 
-def join_by_location(points: DataFrame, polygons: DataFrame, value: str, res: float = 1.0) -> DataFrame:
-    """(poly_id, count, sum, mean, min, max) of a column of the points within each polygon; polygons without any have count 0."""
+def join_by_location(points: DataFrame, polygons: DataFrame, value: str, res: float = 1.0, order: bool = False) -> DataFrame:
+    """(poly_id, count, sum, mean, min, max) of a column of the points within each polygon; polygons without any have count 0.
+    With order also unique, range, stddev, q1, median, q3, iqr, minority and majority."""
     at = _point_pairs(points, polygons, res).join(points.select("id", F.col(value).alias("v")), "id")
-    got = at.groupBy("poly_id").agg(F.count(F.lit(1)).alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    got = at.groupBy("poly_id").agg(F.count(F.lit(1)).alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("stddev"))
+    if order:
+        more = ranks.order_statistics(at, ["poly_id"], F.col("v")).drop("count")
+        got = got.withColumn("range", F.col("max") - F.col("min")).join(more, "poly_id")
+    else:
+        got = got.drop("stddev")
     return polygons.select("poly_id").join(got, "poly_id", "left").fillna(0, ["count"])
 
 

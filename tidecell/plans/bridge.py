@@ -35,3 +35,15 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as points; y grows downwards with the row."""
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_custkey") % WIDTH + 0.5).alias("x"), (-(F.floor(F.col("c_custkey") / WIDTH) + 0.5)).alias("y"), F.greatest(F.col("c_acctbal").cast("double") / 100, F.lit(0.0)).alias("water_depth"))
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as square polygons of whole sizes with a square hole near a corner, y down from 0 like the grids; name and
+    nation are attributes."""
+    s = table(spark, sf_dir, "supplier")
+    k, size = F.col("s_suppkey"), 6 + F.col("s_nationkey") % 5
+    x, y = (k * 37) % 90, -((k * 11) % 12) - 12
+    p = lambda a, b: F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y"))
+    ring = F.array(p(0, 0), p(size, 0), p(size, size), p(0, size))
+    hole = F.array(p(1, 1), p(1, 3), p(3, 3), p(3, 1))  # the other way round
+    return s.select(k.cast("long").alias("poly_id"), F.array(ring, hole).alias("rings"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"))

@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecell.operators import algebra, checks, drainage, methods, metrics, neighbourhood, outlines, resample, shaping, vector
+from tidecell.operators import algebra, checks, drainage, methods, metrics, neighbourhood, outlines, overlay, regression, relations, resample, shapes, shaping, vector
 from tidecell.functions import stage
-from tidecell.schemas import GRIDS
 from tidecell.sources import asc, geojson, synth, tables, tiles
 from tidecell.streaming import hwm
 
@@ -379,14 +378,82 @@ def join_by_location(s, d):
 
 @query
 def polygon_clip_area(s, d):
-    """The area of a pentagon cut to a box."""
-    return _r(vector.area_and_centroid(vector.clip_polygons(_ring(s, d), 8.0, -12.0, 60.0, -1.5)).select("poly_id", "area"))
+    """The areas of zones cut to a box."""
+    cut = vector.area_and_centroid(vector.clip_polygons(bridge.zones(s, d), 20.5, -19.25, 60.25, -9.5))
+    return _r(cut.filter("area > 1e-9").select("poly_id", "area"))
 
 
 @query
 def polygon_intersection(s, d):
-    """What a pentagon shares with a triangle."""
-    return _r(vector.area_and_centroid(vector.intersection_of(_ring(s, d), [[(0.0, -14.0), (80.0, -6.0), (30.0, 2.0)]])).select("poly_id", "area"))
+    """What zones share with each of two boxes at once."""
+    box = lambda a, b, c, e: [(a, b), (c, b), (c, e), (a, e)]
+    return _r(vector.area_and_centroid(vector.intersection_of(bridge.zones(s, d), [box(10.5, -20.5, 70.5, -8.5), box(30.25, -30.0, 90.0, -11.25)])).select("poly_id", "area"))
+
+
+@query
+def overlay_intersection(s, d):
+    """What each zone with an even number shares with each that has an odd one."""
+    z = bridge.zones(s, d)
+    return _r(overlay.areas(overlay.intersection(z.filter("poly_id % 2 = 0"), z.filter("poly_id % 2 = 1"), 8.0), "a", "b"))
+
+
+@query
+def overlay_symmetric_difference(s, d):
+    z = bridge.zones(s, d)
+    return _r(overlay.areas(overlay.symmetric_difference(z.filter("poly_id % 3 = 0"), z.filter("poly_id % 3 = 1"), 8.0), "side", "poly_id").select("side", "poly_id", "area"))
+
+
+@query
+def zone_relations(s, d):
+    """How zones with even and odd numbers lie to one another."""
+    z = bridge.zones(s, d)
+    return relations.relate(z.filter("poly_id % 2 = 0"), z.filter("poly_id % 2 = 1"), 8.0)
+
+
+@query
+def zones_that_overlap(s, d):
+    z = bridge.zones(s, d)
+    return relations.select_by_location(z.filter("poly_id % 2 = 0"), z.filter("poly_id % 2 = 1"), "overlaps", 8.0).select("poly_id")
+
+
+@query
+def hulls_of_nations(s, d):
+    """The area of the convex hull of each nation's customers."""
+    c = table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("poly_id"), (F.col("c_custkey") % WIDTH).cast("double").alias("x"), F.floor(F.col("c_custkey") / WIDTH).cast("double").alias("y"))
+    h = shapes.hulls(c)
+    nxt = h.join(h.groupBy("poly_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "poly_id").select("poly_id", ((F.col("seq") - 1 + F.col("n")) % F.col("n")).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    both = h.join(nxt, ["poly_id", "seq"])
+    return _r(both.groupBy("poly_id").agg((F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area"), F.count(F.lit(1)).alias("corners")))
+
+
+@query
+def dissolved_zones(s, d):
+    """The zones of each nation as one: area, and length of the outline."""
+    pieces = overlay.dissolve(bridge.zones(s, d), "nation", 8.0)
+    length = overlay.outline(pieces, "nation").groupBy("nation").agg(F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))).alias("length"))
+    return _r(overlay.areas(pieces, "nation").join(length, "nation").select("nation", "area", "length"))
+
+
+@query
+def zonal_order_statistics(s, d):
+    t = bridge.dem(s, d).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
+    return _r(vector.zonal_order_statistics(t, bridge.zones(s, d)))
+
+
+@query
+def location_summaries(s, d):
+    """Of the marks in each zone, with order statistics."""
+    p = bridge.marks(s, d).withColumn("water_depth", F.round("water_depth", 0))
+    return _r(vector.join_by_location(p, bridge.zones(s, d), "water_depth", order=True))
+
+
+@query
+def polygons_write_read(s, d):
+    """Zones written as GeoJSON with their attributes, and those of a box read again."""
+    path = _folder(s)
+    geojson.write_polygons(bridge.zones(s, d), path)
+    got = geojson.read_polygons(s, path, bbox=(20.5, -100.0, 40.5, 0.0), properties=True)
+    return got.select("poly_id", F.size("rings").alias("rings"), got["properties"]["name"].alias("name"), got["properties"]["nation"].cast("long").alias("nation"))
 
 
 @query
@@ -519,7 +586,7 @@ def distance_pairs(s, d):
 
 @query
 def polygon_centroid(s, d):
-    return _r(vector.area_and_centroid(_ring(s, d)))
+    return _r(vector.area_and_centroid(bridge.zones(s, d)))
 
 
 @query
@@ -560,9 +627,13 @@ def depth_stats(s, d):
 
 @query
 def resolution_ratio(s, d):
-    """The ratio that methods use where none is given, from the sizes of the cells."""
-    fine, low = ({"res": float(n)} for n in (1, K))
-    return s.range(1).select(F.lit(resample.resolution_ratio(low, fine)).alias("ratio"))
+    """Of the coarse grid over the terrain: the ratio that methods use where none is given, from the sizes of cells that the
+    same width has, and whether whole blocks fill the terrain."""
+    t = bridge.dem(s, d)
+    fine, low = (tables.profile(g).first() for g in (t, bridge.wse2(t)))
+    ratio = resample.resolution_ratio({"res": fine["width"] / low["width"]}, {"res": 1.0})
+    support = resample.support_ratio((low["height"] * K, fine["width"]), (low["height"], low["width"]))
+    return s.range(1).select(F.lit(ratio).alias("ratio"), F.lit(support).alias("support"), F.lit(resample.divisible((fine["height"], fine["width"]), K)).alias("divisible"))
 
 
 @query
@@ -727,16 +798,29 @@ def unknown_words(s, d):
 
 @query
 def grid_extents(s, d):
-    """The boxes of two grids, whether they agree, and whether their pixels have whole sizes."""
-    g = s.createDataFrame([("a", 3857, 9, 6, 0.0, 9.0, 1.0, -9999.0), ("b", 3857, 3, 2, 0.0, 9.0, 3.0, -9999.0)], GRIDS)
-    same = checks.same(g, checks.EXTENT).first()["same"]
-    return checks.bounds(g).join(checks.simple_pixels(g), "grid_id").select("grid_id", "xmin", "ymin", "xmax", "ymax", "simple", F.lit(same).alias("same_extent"))
+    """The boxes of the terrain and of the coarse grid, whether they agree, and whether their pixels have whole sizes."""
+    t = bridge.dem(s, d)
+    g = tables.profile(t.withColumn("grid_id", F.lit("dem")), 1.0, 100.0, 900.0, 3857).unionByName(tables.profile(bridge.wse2(t).withColumn("grid_id", F.lit("wse2")), float(K), 100.0, 900.0, 3857))
+    same = checks.same(g, ("crs_epsg", "xmin", "xmax")).first()["same"]
+    crs = checks.attributes_match(g, crs_epsg=3857).first()["match"]
+    return checks.bounds(g).join(checks.simple_pixels(g), "grid_id").select("grid_id", "xmin", "ymin", "xmax", "ymax", "simple", F.lit(same).alias("same_width"), F.lit(crs).alias("same_crs"))
+
+
+@query
+def layer_checks(s, d):
+    """Whether layers hold points alone."""
+    kind = lambda df, n, t: df.select(F.lit(n).alias("layer"), F.struct(F.lit(t).alias("type")).alias("geometry"))
+    layers = [kind(bridge.marks(s, d), "marks", "Point"), kind(bridge.zones(s, d), "zones", "Polygon")]
+    return layers[0].limit(0).unionAll(layers[0]).transform(checks.points_only).select(F.lit("marks").alias("layer"), "points_only").unionAll(checks.points_only(layers[0].unionAll(layers[1])).select(F.lit("both").alias("layer"), "points_only"))
 
 
 @query
 def random_points_in_box(s, d):
-    p = synth.random_points(s, (10.0, 20.0, 30.0, 60.0), 500)
-    return p.agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= 10).alias("left"), (F.max("x") <= 30).alias("right"), (F.min("y") >= 20).alias("low"), (F.max("y") <= 60).alias("high"), (F.countDistinct("x") > 490).alias("spread"))
+    """As many random points as there are marks, in the box of these."""
+    marks = bridge.marks(s, d)
+    b, n = vector.bbox(marks).first(), marks.count()
+    p = synth.random_points(s, (b["xmin"], b["ymin"], b["xmax"], b["ymax"]), n)
+    return p.agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= b["xmin"]).alias("left"), (F.max("x") <= b["xmax"]).alias("right"), (F.min("y") >= b["ymin"]).alias("low"), (F.max("y") <= b["ymax"]).alias("high"), (F.countDistinct("x") > 0.98 * n).alias("spread"))
 
 
 # no SQL
@@ -775,6 +859,34 @@ def regression_weak(s, d):
     return _r(metrics.with_pvalue(metrics.linear_regression(li, "x", "y", ["l_returnflag"])))
 
 
+@query
+def ols_with_dummies(s, d):
+    """Price by quantity, with an intercept for each flag."""
+    li = table(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"), "l_returnflag")
+    return _r(regression.least_squares(li, "y", ["x"], ["l_returnflag"]).table(s).select("name", "coef", "stderr", "t"))
+
+
+@query
+def logit_of_labels(s, d):
+    """Quality by toxicity: with one dummy the fit has a closed form."""
+    t = table(s, d, "labels").select(F.col("quality").cast("string").alias("q"), F.col("toxic").cast("double").alias("toxic"))
+    return _r(regression.multinomial(t, "q", ["toxic"]).table(s).select("name", "coef", "stderr"), digits=4)
+
+
+@query
+def results_wide(s, d):
+    """The scores of two simulations as a library of results, loaded, collected and laid out by simulation."""
+    t = bridge.dem(s, d)
+    long = []
+    for name, a, b in (("one", 7, 3), ("two", 3, 7)):
+        m = metrics.inundation_metrics(_true(s, d), algebra.wet_of_wse(bridge.wse1(t, K, a, b)))
+        rows = m.select(*[F.col(c).cast("double").alias(c) for c in m.columns]).unpivot([], m.columns, "var_name", "val")
+        long.append(shaping.with_level(rows, analysis="inun", data_type="metric", sim_name=name).select("analysis", "data_type", "sim_name", "var_name", F.round("val", 6).cast("string").alias("val")))
+    library = shaping.load(long[0].unionAll(long[1]), ["inun"])
+    got = shaping.wide(shaping.collect(library, data_type="metric"), ["var_name"], "sim_name", "val", ["one", "two"])
+    return got.select("var_name", F.col("one").cast("double").alias("one"), F.col("two").cast("double").alias("two"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_Q)
 

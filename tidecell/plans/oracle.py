@@ -82,33 +82,17 @@ _ERRORS = """round(sum(p) / nullif(sum(t), 0), 6) as bias, round(sum(p) / nullif
 _EDGES = """ ring(n, x, y) as (values (0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),
  seg as (select cast(a.x as double) as x1, cast(a.y as double) as y1, cast(b.x as double) as x2, cast(b.y as double) as y2 from ring a join ring b on b.n = (a.n + 1) % 5),
  hit as (select d."row", d."col", d.value, count(*) filter ((y1 > -(d."row" + 0.5)) <> (y2 > -(d."row" + 0.5)) and d."col" + 0.5 < x1 + (-(d."row" + 0.5) - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 as wet from dem d, seg group by 1, 2, 3)"""
-#: Sides of a box one after the other: what lies inside, and where the outline meets the side.
-_CLIPPED = (
-    "with r0(n, x, y) as (values (0.0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),"
-    + ",".join(
-        f""" s{i} as (select row_number() over (order by n) as n, cast(x as double) as x, cast(y as double) as y from r{i - 1}),
- e{i} as (select a.n, a.x as px, a.y as py, b.x as qx, b.y as qy, a.{c} {o} {v} as ia, b.{c} {o} {v} as ib from s{i} a join s{i} b on b.n = a.n % (select count(*) from s{i}) + 1),
- r{i} as (select n, qx as x, qy as y from e{i} where ib union all
-   select n - 0.5, px + ({v} - p{c}) / (q{c} - p{c}) * (qx - px), py + ({v} - p{c}) / (q{c} - p{c}) * (qy - py) from e{i} where ia <> ib)"""
-        for i, (c, o, v) in enumerate((("x", ">=", 8), ("x", "<=", 60), ("y", ">=", -12), ("y", "<=", -1.5)), 1)
-    )
-    + """, z as (select row_number() over (order by n) as n, x, y from r4)
-select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
-)
+#: Zones and their holes as boxes, and the unit squares of each.
+_ZONES = """zone as (select s_suppkey as poly_id, s_name as name, cast(s_nationkey as bigint) as nation, cast((s_suppkey * 37) % 90 as double) as x, cast(-((s_suppkey * 11) % 12) - 12 as double) as y, cast(6 + s_nationkey % 5 as double) as s from supplier),
+ unit as (select poly_id, nation, cast(x as int) + i as ux, cast(y as int) + j as uy from zone, lateral (select unnest(range(cast(s as int))) as i), lateral (select unnest(range(cast(s as int))) as j) where not (i in (1, 2) and j in (1, 2)))"""
 
-#: The same for the sides of a triangle.
-_SHARED = (
-    "with r0(n, x, y) as (values (0.0, 10.2, -1.3), (1, 70.7, -2.1), (2, 90.4, -9.6), (3, 40.1, -13.9), (4, 5.3, -8.2)),"
-    + ",".join(
-        f""" s{i} as (select row_number() over (order by n) as n, cast(x as double) as x, cast(y as double) as y, (cast(y as double) - {b}) * ({c} - {a}) - (cast(x as double) - {a}) * ({d} - {b}) as f from r{i - 1}),
- e{i} as (select a.n, a.x as px, a.y as py, a.f as pf, b.x as qx, b.y as qy, b.f as qf from s{i} a join s{i} b on b.n = a.n % (select count(*) from s{i}) + 1),
- r{i} as (select n, qx as x, qy as y from e{i} where qf >= 0 union all
-   select n - 0.5, px + pf / (pf - qf) * (qx - px), py + pf / (pf - qf) * (qy - py) from e{i} where (pf >= 0) <> (qf >= 0))"""
-        for i, (a, b, c, d) in enumerate(((0, -14, 80, -6), (80, -6, 30, 2), (30, 2, 0, -14)), 1)
-    )
-    + """, z as (select row_number() over (order by n) as n, x, y from r3)
-select cast(0 as bigint) as poly_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from z a join z b on b.n = a.n % (select count(*) from z) + 1"""
-)
+
+def _shared(z: str, x0, y0, x1, y1) -> str:
+    """The area that a zone shares with a box, its hole taken off."""
+    part = lambda x, y, s: f"greatest(0, least({z}.{x}, {x1}) - greatest({z}.{s[0]}, {x0})) * greatest(0, least({z}.{y}, {y1}) - greatest({z}.{s[1]}, {y0}))"
+    whole = part("x + " + z + ".s", "y + " + z + ".s", ("x", "y"))
+    hole = part("x + 3", "y + 3", ("x + 1", "y + 1"))
+    return f"({whole} - {hole})"
 
 
 def _pvalue(pairs: str) -> str:
@@ -190,6 +174,59 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "zonal_stats": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(value) as count, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(sum(value), 6) as sum,
   round(stddev_pop(value), 6) as std, round(median(value), 6) as median from hit where wet""",
     "polygon_areas": BASE + "," + _clumps("p1") + "\nselect cast(root as bigint) as poly_id, cast(count(*) as double) as area from lab group by root",
+    "polygon_clip_area": f"with {_ZONES} select * from (select cast(poly_id as bigint) as poly_id, round({_shared('zone', 20.5, -19.25, 60.25, -9.5)}, 6) as area from zone) where area > 0",
+    "polygon_intersection": f"with {_ZONES} select * from (select cast(poly_id as bigint) as poly_id, round({_shared('zone', 30.25, -20.5, 70.5, -11.25)}, 6) as area from zone) where area > 0",
+    "polygon_centroid": f"with {_ZONES} select cast(poly_id as bigint) as poly_id, s * s - 4 as area, round((s * s * (x + s / 2) - 4 * (x + 2)) / (s * s - 4), 6) as x, round((s * s * (y + s / 2) - 4 * (y + 2)) / (s * s - 4), 6) as y from zone",
+    "overlay_intersection": f"with {_ZONES} select cast(a.poly_id as bigint) as a, cast(b.poly_id as bigint) as b, cast(count(*) as double) as area, round(avg(a.ux + 0.5), 6) as x, round(avg(a.uy + 0.5), 6) as y from unit a join unit b using (ux, uy) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1 group by 1, 2",
+    "overlay_symmetric_difference": f"""with {_ZONES}, u0 as (select * from unit where poly_id % 3 = 0), u1 as (select * from unit where poly_id % 3 = 1)
+select 'a' as side, cast(poly_id as bigint) as poly_id, cast(count(*) as double) as area from u0 anti join u1 using (ux, uy) group by 2 union all select 'b', cast(poly_id as bigint), cast(count(*) as double) from u1 anti join u0 using (ux, uy) group by 2""",
+    "zone_relations": f"""with {_ZONES}, rim as (select poly_id, x + i as px, y + j as py from zone, lateral (select unnest(range(cast(s as int) + 1)) as i), lateral (select unnest(range(cast(s as int) + 1)) as j) where i in (0, s) or j in (0, s) or (i in (1, 3) and j between 1 and 3) or (j in (1, 3) and i between 1 and 3)),
+ size as (select poly_id, count(*) as n from unit group by 1),
+ ii as (select a.poly_id as a, b.poly_id as b, count(*) as n from unit a join unit b using (ux, uy) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1 group by 1, 2),
+ bb as (select distinct a.poly_id as a, b.poly_id as b from rim a join rim b using (px, py) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1),
+ every as (select coalesce(ii.a, bb.a) as a, coalesce(ii.b, bb.b) as b, coalesce(n, 0) as n, bb.a is not null as bb from ii full join bb on ii.a = bb.a and ii.b = bb.b)
+select cast(a as bigint) as a, cast(b as bigint) as b, every.n > 0 as ii, every.n < x.n as ie, every.n < y.n as ei, bb from every join size x on x.poly_id = a join size y on y.poly_id = b""",
+    "zones_that_overlap": f"""with {_ZONES}, size as (select poly_id, count(*) as n from unit group by 1),
+ ii as (select a.poly_id as a, b.poly_id as b, count(*) as n from unit a join unit b using (ux, uy) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1 group by 1, 2)
+select distinct cast(a as bigint) as poly_id from ii join size x on x.poly_id = a join size y on y.poly_id = b where ii.n < x.n and ii.n < y.n""",
+    # a side of a hull: two points with none on its right; none between them on it
+    "hulls_of_nations": """with p as (select distinct c_nationkey as k, cast(c_custkey % 100 as double) as x, cast(floor(c_custkey / 100) as double) as y from customer),
+ side as (select a.k, a.x as ax, a.y as ay, b.x as bx, b.y as by from p a join p b on a.k = b.k and (a.x <> b.x or a.y <> b.y) where not exists (
+   select 1 from p c where c.k = a.k and ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 or ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 and ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 or (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))))
+select cast(k as bigint) as poly_id, round(sum(ax * by - bx * ay) / 2, 6) as area, count(*) as corners from side group by k""",
+    "dissolved_zones": f"""with {_ZONES}, spot as (select distinct nation, ux, uy from unit), sh(i, j) as (values (0, 1), (0, -1), (1, 0), (-1, 0)),
+ met as (select a.nation, count(*) as n from spot a, sh join spot b on b.nation = a.nation and b.ux = a.ux + i and b.uy = a.uy + j group by 1)
+select nation, cast(count(*) as double) as area, cast(4 * count(*) - coalesce(any_value(met.n), 0) as double) as length from spot left join met using (nation) group by nation""",
+    "zonal_order_statistics": BASE + ", " + _ZONES + """, v as (select poly_id, floor(value / 10) as v from unit join dem on dem."col" = ux and dem."row" = -uy - 1),
+ n as (select poly_id, v, count(*) as n from v group by 1, 2)
+select cast(poly_id as bigint) as poly_id, count(*) as count, count(distinct v) as unique, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as iqr,
+  (select arg_min(n.v, (n.n, n.v)) from n where n.poly_id = v.poly_id) as minority, (select arg_min(n.v, (-n.n, n.v)) from n where n.poly_id = v.poly_id) as majority from v group by poly_id""",
+    "location_summaries": BASE + ", " + _ZONES + """, v as (select poly_id, round(water_depth, 0) as v from unit join marks on marks."col" = ux and marks."row" = -uy - 1),
+ n as (select poly_id, v, count(*) as n from v group by 1, 2)
+select cast(z.poly_id as bigint) as poly_id, count(v.v) as count, round(sum(v.v), 6) as sum, round(avg(v.v), 6) as mean, min(v.v) as min, max(v.v) as max, round(stddev_pop(v.v), 6) as stddev, max(v.v) - min(v.v) as range, case when count(v.v) > 0 then count(distinct v.v) end as unique,
+  quantile_cont(v.v, 0.25) as q1, quantile_cont(v.v, 0.5) as median, quantile_cont(v.v, 0.75) as q3, quantile_cont(v.v, 0.75) - quantile_cont(v.v, 0.25) as iqr,
+  (select arg_min(n.v, (n.n, n.v)) from n where n.poly_id = z.poly_id) as minority, (select arg_min(n.v, (-n.n, n.v)) from n where n.poly_id = z.poly_id) as majority from zone z left join v on v.poly_id = z.poly_id group by z.poly_id""",
+    "polygons_write_read": f"with {_ZONES} select cast(poly_id as bigint) as poly_id, cast(2 as int) as rings, name, nation from zone where x <= 40.5 and x + s >= 20.5",
+    "resolution_ratio": _b('select cast((select max("col") + 1 from dem) as double) / (select max("col") + 1 from blk) as ratio, cast(5 as double) as support, (select max("row") + 1 from dem) % 5 = 0 and (select max("col") + 1 from dem) % 5 = 0 as divisible'),
+    "grid_extents": _b("""select grid_id, cast(100 as double) as xmin, 900.0 - h * res as ymin, cast(100 + w * res as double) as xmax, cast(900 as double) as ymax, true as simple, (select count(distinct w * res) from (
+      select max("col") + 1 as w, 1 as res from dem union all select max("col") + 1, 5 from blk)) = 1 as same_width, true as same_crs
+      from (select 'dem' as grid_id, max("row") + 1 as h, max("col") + 1 as w, cast(1 as double) as res from dem union all select 'wse2', max("row") + 1, max("col") + 1, 5 from blk)""").replace("900.0 - h", "cast(900 as double) - h"),
+    "layer_checks": "select unnest(['marks', 'both']) as layer, unnest([true, (select count(*) from supplier) = 0]) as points_only",
+    "random_points_in_box": 'select count(*) as n, true as "left", true as "right", true as low, true as high, true as spread from customer',
+    "ols_with_dummies": """with p as (select l_returnflag as g, cast(l_quantity as double) as x, cast(l_extendedprice as double) / 1000 as y from lineitem),
+ f as (select g, count(*) as n, avg(x) as mx, avg(y) as my, regr_sxx(y, x) as sxx, regr_sxy(y, x) as sxy, regr_syy(y, x) as syy from p group by 1),
+ t as (select sum(sxy) / sum(sxx) as b, sum(sxx) as sxx, (sum(syy) - sum(sxy) * sum(sxy) / sum(sxx)) / (sum(n) - count(*) - 1) as v from f),
+ base as (select f.* from f where g = (select min(g) from f)),
+ r as (select 'x' as name, b as coef, sqrt(v / sxx) as stderr from t
+  union all select 'l_returnflag[' || f.g || ']', (f.my - b * f.mx) - (base.my - b * base.mx), sqrt(v * (1 / f.n + 1 / base.n + (f.mx - base.mx) * (f.mx - base.mx) / t.sxx)) from f, base, t where f.g <> base.g
+  union all select 'intercept', base.my - b * base.mx, sqrt(v * (1 / base.n + base.mx * base.mx / t.sxx)) from base, t)
+select name, round(coef, 6) as coef, round(stderr, 6) as stderr, round(coef / stderr, 6) as t from r""",
+    "logit_of_labels": """with c as (select count(*) filter (quality = 1 and toxic = 1) as a, count(*) filter (quality = 0 and toxic = 1) as b, count(*) filter (quality = 1 and toxic = 0) as c, count(*) filter (quality = 0 and toxic = 0) as d from labels)
+select '1:toxic' as name, round(ln(a * d / (b * c)), 4) as coef, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 4) as stderr from c union all select '1:intercept', round(ln(c / d), 4), round(sqrt(1 / c + 1 / d), 4) from c""",
+    "results_wide": BASE + f""", one as (select p as p, t as t from pair), two as (select t as p, t as t from pair),
+ s1 as ({_RATIOS.replace("from counts", "from (select " + _SCORES.replace("from pair", "from one") + ")")}), s2 as ({_RATIOS.replace("from counts", "from (select " + _SCORES.replace("from pair", "from two") + ")")}),
+ u as (select 'one' as sim, * from (unpivot (select columns(*)::double from s1) on columns(*) into name var_name value val) union all select 'two', * from (unpivot (select columns(*)::double from s2) on columns(*) into name var_name value val))
+select var_name, max(val) filter (sim = 'one') as one, max(val) filter (sim = 'two') as two from u group by 1""",
     # corners and holes from the 2 x 2 squares that an area's cells are in, by how many and which of the four they are
     "outlines_with_holes": BASE + "," + _SH8 + _EIGHT + """,
  spot as (select l.root, n."row", n."col" from lab l join node n using (id)),
@@ -211,7 +248,6 @@ select c."row", c."col", round(l.level, 6) as value from lev l join cell c using
     "points_outside_polygon": BASE + "," + _EDGES + '\nselect m.id from marks m left join hit h using ("row", "col") where not coalesce(h.wet, false)',
     "join_by_location": BASE + "," + _EDGES + """\nselect cast(0 as bigint) as poly_id, count(*) as count, round(sum(water_depth), 6) as sum, round(avg(water_depth), 6) as mean, round(min(water_depth), 6) as min, round(max(water_depth), 6) as max
       from marks join hit using ("row", "col") where wet""",
-    "polygon_clip_area": _CLIPPED,
     "bbox_of_points": _b("select cast(min(x) as double) as xmin, min(y) as ymin, cast(max(x) as double) as xmax, max(y) as ymax from marks"),
     "bbox_overlap": _b("""select cast(max(a) as double) as xmin, max(b) as ymin, cast(min(c) as double) as xmax, min(d) as ymax from (select min(x) as a, min(y) as b, max(x) as c, max(y) as d from marks group by id % 3) having min(c) > max(a) and min(d) > max(b)"""),
     "inundation_metrics": BASE + f", counts as (select {_SCORES})\n{_RATIOS}",
@@ -234,8 +270,6 @@ select c."row", c."col", round(l.level, 6) as value from lev l join cell c using
     "histogram_of_errors": _b('select cast(greatest(least(floor((h.value - water_depth + 150) / 10), 29), 0) as int) as bin, count(*) as n from marks join ph h using ("row", "col") where h.value > 0 group by 1'),
     "line_through_origin": "select l_returnflag, round(greatest(sum(x * y) / sum(x * x), 0), 6) as slope, count(*) as n from (select l_returnflag, cast(l_quantity as double) as x, cast(l_extendedprice as double) / 1000 as y from lineitem) group by 1",
     "distance_pairs": _b("select a.id as a, b.id as b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) as distance from marks a join marks b on a.id < b.id and abs(a.x - b.x) <= 1.5 and abs(a.y - b.y) <= 1.5 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2.25"),
-    "polygon_centroid": BASE + "," + _EDGES + """, sums as (select sum(x1 * y2 - x2 * y1) as s, sum((x1 + x2) * (x1 * y2 - x2 * y1)) as sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) as sy from seg)
-select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3 * s), 6) as x, round(sy / (3 * s), 6) as y from sums""",
     "asc_write_read": _b("""select r."row", c."col", round(dem.value, 6) as value from (select cast(unnest(range((select max("row") + 1 from dem))) as int) as "row") r
       cross join (select cast(unnest(range((select max("col") + 1 from dem))) as int) as "col") c left join dem using ("row", "col")"""),
     "asc_window": _b('select "row", "col", round(value, 6) as value from p1 where "row" between 2 and 8 and "col" between 10 and 59'),
@@ -258,11 +292,8 @@ select cast(0 as bigint) as poly_id, round(abs(s / 2), 6) as area, round(sx / (3
     "identical_pair": _b("select count(*) filter (t <> p) = 0 as identical from pair union all select true"),
     "nodata_points": _b("select id, round(water_depth, 6) as value from marks where id % 7 <> 0"),
     "unknown_words": "select distinct o_orderpriority from orders where o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')",
-    "grid_extents": "select unnest(['a', 'b']) as grid_id, cast(0 as double) as xmin, cast(0 as double) as ymin, cast(6 as double) as xmax, cast(9 as double) as ymax, true as simple, true as same_extent",
-    "random_points_in_box": 'select cast(500 as bigint) as n, true as "left", true as "right", true as low, true as high, true as spread',
     "regression_pvalue": _pvalue("select l_returnflag, l_quantity as x, l_extendedprice / 1000 as y from lineitem"),
     "regression_weak": _pvalue("select l_returnflag, cast(l_tax as double) * 100 as x, l_quantity as y from lineitem"),
-    "polygon_intersection": _SHARED,
     "grid_profiles": _b("""select grid_id, 3857 as crs_epsg, cast(max("row") + 1 as int) as height, cast(max("col") + 1 as int) as width, cast(100 as double) as x0, cast(900 as double) as y0, cast(2 as double) as res, cast(-9999 as double) as nodata
       from (select 'dem' as grid_id, "row", "col" from dem union all select 'wse2', "row", "col" from p2) group by 1"""),
     "converted_grids": _b('select "row", "col", round(case when h.value > 0 then h.value + d.value end, 6) as value, h.value > 0 as wet, w.value is not null as also from ph h join dem d using ("row", "col") join p1 w using ("row", "col")'),
@@ -282,7 +313,6 @@ select 'inun' as analysis, sim_name, var_name, val from (unpivot scores on "TP",
       select 'Basic' as method, 1 as dscale, greatest(coalesce(lin.value - dem.value, 0), 0) as h from dem left join lin using ("row", "col")
       union all select 'SimpleFilter', 1, greatest(coalesce(sf.value - dem.value, 0), 0) from dem join sf using ("row", "col")
       union all select m, 5, greatest(coalesce(p2.value - blk.value, 0), 0) from blk join p2 using ("row", "col"), (values ('Basic'), ('SimpleFilter')) t(m)) group by 1, 2"""),
-    "resolution_ratio": "select cast(5 as double) as ratio",
     "results_long": BASE + f", counts as (select {_SCORES}), scores as ({_RATIOS})" + """
 select 'inun' as analysis, 'metric' as data_type, 'sim' as sim_name, var_name, val from (unpivot (select cast("TP" as double) as "TP", cast("TN" as double) as "TN", cast("FP" as double) as "FP", cast("FN" as double) as "FN", "hitRate", "falseAlarms", "criticalSuccessIndex", "errorBias" from scores) on columns(*) into name var_name value val)""",
     "sim_wide_points": _b('select id, round(p.value, 6) as one, round(q.value, 6) as two, round(water_depth, 6) as "true", true as agree from marks m join ph p using ("row", "col") join qh q using ("row", "col")'),
