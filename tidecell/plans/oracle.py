@@ -191,9 +191,9 @@ select cast(a as bigint) as a, cast(b as bigint) as b, every.n > 0 as ii, every.
 select distinct cast(a as bigint) as poly_id from ii join size x on x.poly_id = a join size y on y.poly_id = b where ii.n < x.n and ii.n < y.n""",
     # a side of a hull: two points with none on its right; none between them on it
     "hulls_of_nations": """with p as (select distinct c_nationkey as k, cast(c_custkey % 100 as double) as x, cast(floor(c_custkey / 100) as double) as y from customer),
- side as (select a.k, a.x as ax, a.y as ay, b.x as bx, b.y as by from p a join p b on a.k = b.k and (a.x <> b.x or a.y <> b.y) where not exists (
+ side as (select a.k, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from p a join p b on a.k = b.k and (a.x <> b.x or a.y <> b.y) where not exists (
    select 1 from p c where c.k = a.k and ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 or ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 and ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 or (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))))
-select cast(k as bigint) as poly_id, round(sum(ax * by - bx * ay) / 2, 6) as area, count(*) as corners from side group by k""",
+select cast(k as bigint) as poly_id, round(sum(x1 * y2 - x2 * y1) / 2, 6) as area, count(*) as corners from side group by k""",
     "dissolved_zones": f"""with {_ZONES}, spot as (select distinct nation, ux, uy from unit), sh(i, j) as (values (0, 1), (0, -1), (1, 0), (-1, 0)),
  met as (select a.nation, count(*) as n from spot a, sh join spot b on b.nation = a.nation and b.ux = a.ux + i and b.uy = a.uy + j group by 1)
 select nation, cast(count(*) as double) as area, cast(4 * count(*) - coalesce(any_value(met.n), 0) as double) as length from spot left join met using (nation) group by nation""",
