@@ -828,6 +828,25 @@ def test_html_layouts_by_hand():
     assert right >= 0.95 * kept and right >= 0.95 * want
 
 
+def test_html_repeated_rows_and_clashing_columns(spark):
+    page = "<html><body><nav class=menu><a href=x>Home</a> <a href=y>More</a></nav><article><p>" + "A sentence of the article, with words. " * 12 + "</p></article></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (1, "u", page), (2, "u", None), (None, None, page), (3, "v", "")]
+    clash = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(None).cast("int") for c in ("text", "n_chars", "node", "score", "features")})
+    got = Counter((x.page_id, x.url, x.text, x.n_chars) for x in html.report(clash).collect())
+    article = ("A sentence of the article, with words. " * 12).strip()
+    assert got == {(1, "u", article, len(article)): 3, (2, "u", "", 0): 1, (None, None, article, len(article)): 1, (3, "v", "", 0): 1}
+
+
+def test_texts_of_megabytes(spark):
+    """Language and shard of texts of several megabytes, of one word or of many."""
+    long = [(90_001, "der und die nicht " * 250_000, "de", "s", 0), (90_002, "x" * 4_000_000, None, "s", 0), (90_003, "the and of with " * 250_000, None, "s", 0)]
+    some = [(i, " ".join(["der und die nicht eine von", "the and of with that for"][i % 2].split() * 5), ["de", "en"][i % 2], "s", 0) for i in range(300)]
+    got = {x.doc_id: x for x in langid.report(frame(spark, some + long)).collect()}
+    assert (got[90_001].lang_pred, got[90_003].lang_pred) == ("de", "en") and len(got) == 303
+    placed = {x.doc_id: x.shard for x in sharding.assign(frame(spark, long + [(None, long[1][1], None, None, None)])).collect()}
+    assert set(placed) == {90_001, 90_002, 90_003, None} and all(0 <= s < sharding.SHARDS for s in placed.values())
+
+
 def test_html_parses_broken_pages_in_one_pass():
     """Elements that never end, inline ones before block starts among them."""
     start = __import__("time").perf_counter()
