@@ -141,6 +141,19 @@ def test_decontam_finds_short_items():
 
 
 
+def test_decontam_finds_items_of_few_characters(spark):
+    """Items under MIN_CHARS are found where they stand word for word, and nowhere else."""
+    items = [(1, "short item"), (2, "Yes"), (3, "a  b c"), (4, "x" * 15), (5, "short item"), (6, " "), (7, prose(random.Random(1), 30))]
+    texts = ["this is a SHORT\n item, no", "a short item here", "yes", "yesterday a b cd", "a b c", "x" * 16, "x" * 15 + " end", "shortitem", items[6][1], None]
+    index = decontam.build_index(items)
+    got = [{index.ids[i] for i in g} for g in decontam.matches(texts, index)]
+    assert got == [set(), {1, 5}, {2}, set(), {3}, set(), {4}, set(), {7}, set()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    assert {(x.doc_id, x.item_id, x.edits) for x in decontam.report(docs, bench).collect()} == {(1, 1, 0), (1, 5, 0), (2, 2, 0), (4, 3, 0), (6, 4, 0), (8, 7, 0)}
+    assert {x.doc_id for x in decontam.clean(docs, bench.filter("item_id < 7")).collect()} == {0, 3, 5, 7, 8, 9}
+
+
 def edited(r, text, n):
     """text with n random character edits."""
     chars = list(text)
@@ -155,15 +168,15 @@ def edited(r, text, n):
     return decontam.normal("".join(chars))
 
 
-@pytest.mark.parametrize("words", [6, 8, 12, 20, 40, 60])
+@pytest.mark.parametrize("words", [4, 6, 8, 12, 20, 40, 60])
 def test_decontam_recall_by_length(words):
     """Random character edits up to the similarity that counts: at least 0.9 of the items are found at any rate."""
     r = random.Random(words)
     spell = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(2000)]
     say = lambda n: " ".join(r.choice(spell) for _ in range(n))
-    items = [(i, say(words)) for i in range(60)]
+    items = list(enumerate([t for t in (say(words) for _ in range(90)) if len(t) >= decontam.MIN_CHARS][:60]))
     index = decontam.build_index(items)
-    assert len(index.ids) == len(items)
+    assert len(index.ids) == len(items) == 60
     for rate in (0.05, 0.1, 0.15, 0.2):
         texts = [f"{say(20)} {edited(r, t, int(rate * len(t)))} {say(20)}" for _, t in items]
         want = [decontam.edits(t, x) for (_, t), x in zip(items, texts)]

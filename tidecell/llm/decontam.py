@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 REPEATS, SEED = 2, 42
 #: Least item length in characters -> (steps of the walk, places of a sample, samples of a walk, a window at each nth word
 #: of a document).
-CLASSES = {16: (16, 10, 8, 1), 56: (40, 12, 6, 1), 160: (48, 12, 4, 2)}
+CLASSES = {16: (16, 9, 10, 1), 56: (40, 12, 6, 1), 160: (48, 12, 4, 2)}
 SIMILARITY, MIN_CHARS, ITEM_BLOCK = 0.8, min(CLASSES), 5_000
 _SLICE, _WINDOWS, _HITS, _PIECE, _MOST_STEPS = 1 << 22, 1 << 15, 1 << 21, 64, 64
 _U = np.uint64
