@@ -122,3 +122,13 @@ def test_poles(spark):
         inside = [(x, y) for x in (r.uniform(-1, 27) for _ in range(60)) for y in (r.uniform(-1, 27) for _ in range(60)) if within(rings, x, y)]
         assert max(min(off(p, a, b) for a, b in segments(rings)) for p in inside) <= got[i].distance + 0.02
         assert within(rings, got[i].x, got[i].y) and min(off((got[i].x, got[i].y), a, b) for a, b in segments(rings)) == pytest.approx(got[i].distance)
+
+
+def test_reference_systems(spark):
+    from tidecell.sources import tables
+
+    g = spark.createDataFrame([("a", None), ("b", 3857)], "grid_id string, crs_epsg int")
+    assert {x.crs_epsg for x in tables.with_crs(g, 3857).collect()} == {3857} == {x.crs_epsg for x in tables.with_crs(g, 3857, replace=True).collect()}
+    assert {x.crs_epsg for x in tables.with_crs(g, 2953, replace=True).collect()} == {2953}
+    with pytest.raises(Exception, match="another reference system"):
+        tables.with_crs(g, 2953).collect()

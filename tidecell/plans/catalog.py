@@ -416,6 +416,31 @@ def zones_that_overlap(s, d):
     return relations.select_by_location(z.filter("poly_id % 2 = 0"), z.filter("poly_id % 2 = 1"), "overlaps", 8.0).select("poly_id")
 
 
+@query
+def simplified_zones(s, d):
+    """Outlines of zones with a point amid each side, which goes again."""
+    mid = lambda a, b: F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
+    dense = lambda r: F.flatten(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.array(a, mid(a, b))))
+    z = bridge.zones(s, d).withColumn("rings", F.transform("rings", dense))
+    return shapes.simplified(shapes.ring_points(z), 0.25)
+
+
+@query
+def poles_of_zones(s, d):
+    """The points farthest inside of zones without their holes."""
+    return _r(shapes.poles(bridge.zones(s, d).withColumn("rings", F.slice("rings", 1, 1)), 0.5))
+
+
+@query
+def metadata_write_read(s, d):
+    """Profiles of grids as metadata, written by kind and read again."""
+    path, t = _folder(s), bridge.dem(s, d)
+    grids = {"dem": t, "wse2": bridge.wse2(t)}
+    rows = [tables.profile(g).select(F.lit(n).alias("tab"), "height", "width") for n, g in grids.items()]
+    tables.write_meta(rows[0].unionByName(rows[1]), path)
+    return s.read.parquet(path).select("tab", "height", "width")
+
+
 @query
 def hulls_of_nations(s, d):
     """The area of the convex hull of each nation's customers."""
@@ -808,7 +833,8 @@ def unknown_words(s, d):
 def grid_extents(s, d):
     """The boxes of the terrain and of the coarse grid, whether they agree, and whether their pixels have whole sizes."""
     t = bridge.dem(s, d)
-    g = tables.profile(t.withColumn("grid_id", F.lit("dem")), 1.0, 100.0, 900.0, 3857).unionByName(tables.profile(bridge.wse2(t).withColumn("grid_id", F.lit("wse2")), float(K), 100.0, 900.0, 3857))
+    g = tables.profile(t.withColumn("grid_id", F.lit("dem")), 1.0, 100.0, 900.0).unionByName(tables.profile(bridge.wse2(t).withColumn("grid_id", F.lit("wse2")), float(K), 100.0, 900.0))
+    g = tables.with_crs(g, 3857)
     same = checks.same(g, ("crs_epsg", "xmin", "xmax")).first()["same"]
     crs = checks.attributes_match(g, crs_epsg=3857).first()["match"]
     return checks.bounds(g).join(checks.simple_pixels(g), "grid_id").select("grid_id", "xmin", "ymin", "xmax", "ymax", "simple", F.lit(same).alias("same_width"), F.lit(crs).alias("same_crs"))

@@ -180,6 +180,10 @@ select d."row", d."col", round(case when coalesce(n.value, f.value) > d.value th
     "overlay_intersection": f"with {_ZONES} select cast(a.poly_id as bigint) as a, cast(b.poly_id as bigint) as b, cast(count(*) as double) as area, round(avg(a.ux + 0.5), 6) as x, round(avg(a.uy + 0.5), 6) as y from unit a join unit b using (ux, uy) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1 group by 1, 2",
     "overlay_symmetric_difference": f"""with {_ZONES}, u0 as (select * from unit where poly_id % 3 = 0), u1 as (select * from unit where poly_id % 3 = 1)
 select 'a' as side, cast(poly_id as bigint) as poly_id, cast(count(*) as double) as area from u0 anti join u1 using (ux, uy) group by 2 union all select 'b', cast(poly_id as bigint), cast(count(*) as double) from u1 anti join u0 using (ux, uy) group by 2""",
+    "simplified_zones": f"""with {_ZONES}, corner(n, i, j) as (values (0, 0, 0), (2, 1, 0), (4, 1, 1), (6, 0, 1)), inner_(n, i, j) as (values (0, 1, 1), (2, 1, 3), (4, 3, 3), (6, 3, 1))
+select cast(poly_id as bigint) as poly_id, 0 as ring, n as seq, x + i * s as x, y + j * s as y from zone, corner union all select cast(poly_id as bigint), 1, n, x + i, y + j from zone, inner_""",
+    "poles_of_zones": f"with {_ZONES} select cast(poly_id as bigint) as poly_id, x + s / 2 as x, y + s / 2 as y, s / 2 as distance from zone",
+    "metadata_write_read": _b("""select 'dem' as tab, cast(max("row") + 1 as int) as height, cast(max("col") + 1 as int) as width from dem union all select 'wse2', cast(max("row") + 1 as int), cast(max("col") + 1 as int) from blk"""),
     "zone_relations": f"""with {_ZONES}, rim as (select poly_id, x + i as px, y + j as py from zone, lateral (select unnest(range(cast(s as int) + 1)) as i), lateral (select unnest(range(cast(s as int) + 1)) as j) where i in (0, s) or j in (0, s) or (i in (1, 3) and j between 1 and 3) or (j in (1, 3) and i between 1 and 3)),
  size as (select poly_id, count(*) as n from unit group by 1),
  ii as (select a.poly_id as a, b.poly_id as b, count(*) as n from unit a join unit b using (ux, uy) where a.poly_id % 2 = 0 and b.poly_id % 2 = 1 group by 1, 2),

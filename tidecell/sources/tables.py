@@ -60,6 +60,13 @@ def profile(cells: DataFrame, res: float = 1.0, x0: float = 0.0, y0: float = 0.0
     return size.select(name, F.lit(crs_epsg).cast("int").alias("crs_epsg"), "height", "width", F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(res).alias("res"), F.lit(nodata).alias("nodata"))
 
 
+def with_crs(grids: DataFrame, crs_epsg: int, replace: bool = False) -> DataFrame:
+    """Grids that are told their reference system; one that has another already is an error, unless it is to be replaced."""
+    own = F.col("crs_epsg")
+    other = F.raise_error(F.concat(F.lit("the grid has another reference system: "), own.cast("string"))).cast("int")
+    return grids.withColumn("crs_epsg", F.lit(crs_epsg) if replace else F.when(own.isNull() | (own == crs_epsg), F.lit(crs_epsg)).otherwise(other))
+
+
 def write_meta(meta: DataFrame, path: str) -> None:
     meta.write.partitionBy("tab").parquet(path)
 
