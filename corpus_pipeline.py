@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of texts that five-word similarities of 0.8 or more link;
-    rows that repeat that id stay together, null and empty texts are one group, and null ids stay only where a whole group
-    has none."""
+    rows that repeat it stay together, null and empty texts are one group, and null ids stay only where a whole group has
+    none, and then those with the text of the least hash."""
     return nearcopies.keep_one(docs)
 
 
