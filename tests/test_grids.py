@@ -561,3 +561,21 @@ def test_kinds_and_masks_that_are_refused(spark):
     assert checks.attributes_match(grids, height=9, width=6).first()["match"] and not checks.attributes_match(grids, crs_epsg=4326).first()["match"]
     away = vector.clip_polygons(spark.createDataFrame([(1, [ring]), (2, [[{"x": 5.0, "y": 5.0}, {"x": 6.0, "y": 5.0}, {"x": 6.0, "y": 6.0}]])], poly), 0.0, 0.0, 2.0, 0.5)
     assert [(x.poly_id, x.area) for x in vector.area_and_centroid(away).collect()] == [(1, 0.375)]
+
+
+def test_points_look_into_their_own_grid(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 0, 2.0), ("b", 0, 1, 3.0)], "grid_id string, row int, col int, value double")
+    points = spark.createDataFrame([("a", 1, 0.5, -0.5), ("b", 1, 0.5, -0.5), ("a", 2, 1.5, -0.5), ("b", 2, 1.5, -0.5)], "grid_id string, id long, x double, y double")
+    got = vector.sample(points, cells)
+    assert got.columns == ["grid_id", "id", "x", "y", "value"]
+    assert {(x.grid_id, x.id): x.value for x in got.collect()} == {("a", 1): 1.0, ("b", 1): 2.0, ("a", 2): None, ("b", 2): 3.0}
+    near = neighbourhood.idw(cells.select("grid_id", "row", "col", F.lit(0.0).alias("y"), F.lit(0.0).alias("x")).filter("col = 0"), spark.createDataFrame([("a", 1, 1.0, 0.0, 5.0), ("b", 1, 1.0, 0.0, 7.0)], "grid_id string, id long, x double, y double, value double"), 3.0)
+    assert {(x.grid_id, x.row, x.col): x.value for x in near.collect()} == {("a", 0, 0): 5.0, ("b", 0, 0): 7.0}
+
+
+def test_tails_of_many():
+    import numpy as np
+
+    t, dof = np.array([0.0, 2.0, 0.5, -2.0, 40.0, 1.0] * 300), np.array([5.0, 10, 3, 10, 100, 1] * 300)
+    got = metrics.student_tails(t, dof)
+    assert got[:6] == pytest.approx([1.0, 0.07339, 0.6514, 0.07339, 0.0, 0.5], abs=1e-3) and (got == np.tile(got[:6], 300)).all()

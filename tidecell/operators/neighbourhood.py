@@ -341,15 +341,17 @@ def knn_fill(queries: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
 
 
 def idw(queries: DataFrame, points: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
-    """Inverse-distance weights of the points (id, x, y, value) within the radius of each (row, col, y, x)."""
+    """Inverse-distance weights of the points (id, x, y, value) within the radius of each (row, col, y, x), of its own grid
+    if both have a grid_id."""
+    g = [c for c in grid_of(queries) if c in points.columns]
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = points.select(F.col("x").alias("px"), F.col("y").alias("py"), "value", F.explode(around).alias("n"))
-    p = p.select("px", "py", "value", (F.floor(F.col("py") / radius) + F.col("n.i")).alias("ty"), (F.floor(F.col("px") / radius) + F.col("n.j")).alias("tx"))
+    p = points.select(*g, F.col("x").alias("px"), F.col("y").alias("py"), "value", F.explode(around).alias("n"))
+    p = p.select(*g, "px", "py", "value", (F.floor(F.col("py") / radius) + F.col("n.i")).alias("ty"), (F.floor(F.col("px") / radius) + F.col("n.j")).alias("tx"))
     q = queries.withColumns({"ty": F.floor(F.col("y") / radius), "tx": F.floor(F.col("x") / radius)})
     d = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
     w = 1 / F.pow(F.greatest(d, F.lit(1e-9)), F.lit(power))
-    met = q.join(p, ["ty", "tx"]).filter(d <= radius)
-    return met.groupBy("row", "col").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
+    met = q.join(p, [*g, "ty", "tx"]).filter(d <= radius)
+    return met.groupBy(*g, "row", "col").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
 
 
 def to_points(cells: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from tidecell.functions.stage import materialize
 
 from . import ranks
-from .algebra import key
+from .algebra import grid_of, key
 
 
 def sample(points: DataFrame, cells: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0, name: str = "value") -> DataFrame:
-    """The value of the cell that holds each point; NULL outside the grid and on no-data."""
+    """The value of the cell that holds each point; NULL outside the grid and on no-data. Of many grids, points that have a
+    grid_id look into their own."""
+    g = [c for c in grid_of(cells) if c in points.columns]
     p = points.withColumns({"__r": F.floor((y0 - F.col("y")) / res).cast("int"), "__c": F.floor((F.col("x") - x0) / res).cast("int")})
-    c = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("value").alias(name))
-    return p.join(c, ["__r", "__c"], "left").drop("__r", "__c")
+    c = cells.select(*g, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("value").alias(name))
+    return p.join(c, [*g, "__r", "__c"], "left").select(*points.columns, name)
 
 
 def edges(polygons: DataFrame) -> DataFrame:
