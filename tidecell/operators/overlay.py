@@ -7,8 +7,8 @@ between the same two edges in slabs that touch are one. So the work of a band is
 kept comes as rows of trapezoids (``pieces``), disjoint and as many as needed: areas and centroids are sums over them.
 ``outline`` turns pieces into edges, dropping what two pieces share, and ``polygons`` chains these to rings.
 
-An intersection is grouped by pairs of polygons whose boxes meet, found by tiles of the plane; a difference by polygon, with
-all others that meet it; a dissolve by its key. Only edges of the same band come together.
+Intersections and differences are grouped by polygon, with all others whose boxes meet its own, found by tiles of the
+plane; a dissolve by its key. Only edges of the same band come together.
 
 Edge cases: polygons that only touch share no area and give no piece; a ring with fewer than three different points has none
 either; a null key is a key; rings may cross themselves (even-odd); an empty table gives an empty result.
@@ -78,12 +78,8 @@ def _told(rows: pd.DataFrame, by: list[str], n: int) -> dict[str, pd.Series]:
     return {c: pd.Series([rows[c].iloc[0]] * n, dtype=object) for c in by}
 
 
-def _slabs(rows: pd.DataFrame, by: list[str], band: float, keep: Callable) -> pd.DataFrame:
-    """rows: edges (own, poly, x1, y1, x2, y2) of a band -> pieces."""
-    x1, y1, x2, y2 = (rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-    own, poly = rows["own"].to_numpy(bool), rows["poly"].to_numpy(np.int64) * 2 + rows["own"].to_numpy(bool)
-    low = float(rows["band"].iloc[0]) * band
-    high = low + band
+def _cut(x1, y1, x2, y2, own, poly, low: float, high: float, keep: Callable) -> np.ndarray:
+    """Edges that cross the band from low to high -> the pieces kept there, a row each."""
     ends = np.clip(np.concatenate([y1, y2]), low, high)
     ys = np.unique(np.concatenate([ends, _crossing_ys(x1, y1, x2, y2, low, high)]))
     thin = _THIN * max(1.0, float(np.abs(ys).max(initial=0.0)), float(np.abs(x1).max(initial=0.0)))
@@ -95,27 +91,60 @@ def _slabs(rows: pd.DataFrame, by: list[str], band: float, keep: Callable) -> pd
         mid, last, open_ = (a + b) / 2, open_, {}
         if b - a > thin:
             k = np.flatnonzero((bottom < mid) & (top > mid))
-            k = k[np.argsort(at(k, mid), kind="stable")]
-            if len(k) > 1:
-                inside = keep(_inside(poly[k], own[k]), _inside(poly[k], ~own[k]))
-                # edges that lie on one another: only what is between different ones counts
-                same = np.concatenate([np.isclose(at(k[1:], mid), at(k[:-1], mid), rtol=0, atol=thin), [False]])
-                inside = inside[np.flatnonzero(~same)]
-                k = k[np.flatnonzero(~same)]
-                before = np.concatenate([[False], inside[:-1]])
-                for left, right in zip(k[inside & ~before].tolist(), k[~inside & before].tolist()):
-                    piece = last.pop((left, right), None)
-                    if piece is None:
-                        piece = [left, right, a, b]
-                        out.append(piece)
-                    piece[3] = b
-                    open_[(left, right)] = piece
+            if len(k) < 2:
+                continue
+            x = at(k, mid)
+            order = np.argsort(x, kind="stable")
+            k, x = k[order], x[order]
+            inside = keep(_inside(poly[k], own[k]), _inside(poly[k], ~own[k]))
+            # edges that lie on one another: only what is between different ones counts
+            apart = np.append(x[1:] - x[:-1] > thin, True)
+            inside, k = inside[apart], k[apart]
+            before = np.concatenate([[False], inside[:-1]])
+            for left, right in zip(k[inside & ~before].tolist(), k[~inside & before].tolist()):
+                piece = last.pop((left, right), None)
+                if piece is None:
+                    piece = [left, right, a, b]
+                    out.append(piece)
+                piece[3] = b
+                open_[(left, right)] = piece
     if not out:
-        return pd.DataFrame({c: pd.Series([], dtype=float) for c in (*by, *_PIECE)})
+        return np.zeros((0, len(_PIECE)))
     left, right = (np.array([p[i] for p in out]) for i in (0, 1))
     a, b = (np.array([p[i] for p in out]) for i in (2, 3))
-    told = _told(rows, by, len(out))
-    return pd.DataFrame(told | dict(zip(_PIECE, (a, b, at(left, a), at(right, a), at(left, b), at(right, b)))))
+    return np.column_stack([a, b, at(left, a), at(right, a), at(left, b), at(right, b)])
+
+
+def _edges_of(rows: pd.DataFrame, band: float) -> tuple:
+    own = rows["own"].to_numpy(bool)
+    low = float(rows["band"].iloc[0]) * band
+    return (*(rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")), own, rows["poly"].to_numpy(np.int64) * 2 + own, low, low + band)
+
+
+def _slabs(rows: pd.DataFrame, by: list[str], band: float, keep: Callable) -> pd.DataFrame:
+    """rows: edges (own, poly, x1, y1, x2, y2) of a band -> pieces."""
+    found = _cut(*_edges_of(rows, band), keep)
+    return pd.DataFrame(_told(rows, by, len(found)) | dict(zip(_PIECE, found.T)))
+
+
+def _slabs_of_pairs(rows: pd.DataFrame, band: float) -> pd.DataFrame:
+    """rows: edges of one polygon (own) and of all that may meet it in a band -> the pieces that it shares with each."""
+    x1, y1, x2, y2, own, poly, low, high = _edges_of(rows, band)
+    mine, rest = np.flatnonzero(own), np.flatnonzero(~own)
+    rest = rest[np.argsort(poly[rest], kind="stable")]
+    ids, begin = np.unique(poly[rest], return_index=True)
+    box = lambda k: (np.minimum(x1[k], x2[k]).min(), np.maximum(x1[k], x2[k]).max(), np.minimum(y1[k], y2[k]).min(), np.maximum(y1[k], y2[k]).max())
+    at = box(mine) if len(mine) else None
+    out, told = [np.zeros((0, len(_PIECE)))], [np.zeros(0, np.int64)]
+    for b, part in zip((ids // 2).tolist(), np.split(rest, begin[1:]) if len(rest) else []):
+        other = box(part)
+        if at and at[0] < other[1] and other[0] < at[1] and at[2] < other[3] and other[2] < at[3]:
+            k = np.concatenate([mine, part])
+            found = _cut(x1[k], y1[k], x2[k], y2[k], own[k], poly[k], low, high, _kept_by_both)
+            out.append(found)
+            told.append(np.full(len(found), b))
+    found = np.concatenate(out)
+    return pd.DataFrame(_told(rows, ["a"], len(found)) | {"b": np.concatenate(told)} | dict(zip(_PIECE, found.T)))
 
 
 def _banded(polygons: DataFrame, band: float, *more: str) -> DataFrame:
@@ -138,10 +167,10 @@ def _pairs(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
 def intersection(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
     """(a, b, pieces): what each polygon of a shares with each of b; pairs that share no area have no row."""
     pairs = _pairs(a, b, 4 * band)
-    mine = _banded(a, band).join(pairs, F.col("poly") == F.col("a")).withColumn("own", F.lit(True))
-    other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).withColumn("own", F.lit(False))
-    every = mine.unionByName(other)
-    return every.groupBy("a", "b", "band").applyInPandas(partial(_slabs, by=["a", "b"], band=band, keep=_kept_by_both), f"a long, b long, {_PIECES}")
+    mine = _banded(a, band).withColumns({"a": F.col("poly"), "own": F.lit(True)})
+    other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).drop("b").withColumn("own", F.lit(False))
+    met = other.join(mine.select("a", "band").distinct(), ["a", "band"], "left_semi")
+    return mine.unionByName(met).groupBy("a", "band").applyInPandas(partial(_slabs_of_pairs, band=band), f"a long, b long, {_PIECES}")
 
 
 def difference(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
