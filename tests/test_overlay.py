@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidecell.operators import overlay, vector
+from tidecell.operators import overlay, relations, vector
 
 KIND = "poly_id long, rings array<array<struct<x:double,y:double>>>, kind string"
 
@@ -97,3 +97,23 @@ def test_lattice(spark):
     none = frame(spark, [])
     assert overlay.intersection(a, none).count() == 0 == overlay.difference(none, b).count() and overlay.areas(overlay.difference(a, none), "a").count() == 5
     assert vector.area_and_centroid(a).filter("poly_id = 1").first().area == 25
+
+
+def test_copies_are_one_shape(spark):
+    """Copies are cut once, and the result has them all: rings in other rows or none, too."""
+    rows = [(i, [square(0, 0, 4)], "") for i in range(60)] + [(100 + i, [square(0, 0, 4), square(1, 1, 1)], "") for i in range(40)] + [(200, [square(0, 0, 4)], ""), (200, [square(1, 1, 1)], ""), (300, None, "")]
+    a = spark.createDataFrame([(i, rings and [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings], k) for i, rings, k in rows], KIND)
+    b = frame(spark, [(i, [square(2, 0, 4)], "") for i in range(50)])
+    members, one = overlay.alike(a)
+    shape = {x.poly_id: x.shape for x in members.collect()}
+    assert shape == {i: 0 if i < 100 else 100 if i < 200 else i for i in shape} and len(shape) == 102
+    assert sorted(x.poly_id for x in one.collect()) == [0, 100, 200, 200, 300]
+    got = overlay.shared_areas(a, b, 3.0)
+    assert got.count() == 101 * 50 == overlay.intersection(a, b, 3.0).select("a", "b").distinct().count()
+    assert all(x.area == pytest.approx(8.0) for x in got.collect())
+    less = {x.a: x.area for x in overlay.areas(overlay.difference(a, b, 3.0), "a").collect()}
+    assert less == {i: pytest.approx(8.0 if i < 100 else 7.0) for i in shape if i < 300}
+    met = relations.relate(a, b, 3.0)
+    assert met.count() == 101 * 50 and met.filter("not (ii and ie and ei and bb)").isEmpty()
+    assert relations.select_by_location(a, b, "overlaps", 3.0).count() == 102
+    assert [x.poly_id for x in relations.select_by_location(a, b, "disjoint", 3.0).collect()] == [300]

@@ -10,6 +10,9 @@ kept comes as rows of trapezoids (``pieces``), disjoint and as many as needed: a
 Intersections and differences are grouped by polygon, with all others whose boxes meet its own, found by tiles of the
 plane; a dissolve by its key. Only edges of the same band come together.
 
+Polygons with the same rings are one shape (``alike``): shapes alone are cut, and what is found is told of each polygon that
+has the shape (``each``). So copies cost a row of the result each and no more.
+
 Edge cases: polygons that only touch share no area and give no piece; a ring with fewer than three different points has none
 either; a null key is a key; rings may cross themselves (even-odd); an empty table gives an empty result.
 """
@@ -25,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecell.functions.stage import materialize
+
 from . import vector
 
 #: Height of bands, in units of the coordinates.
@@ -151,7 +156,7 @@ def _banded(polygons: DataFrame, band: float, *more: str) -> DataFrame:
     """(poly, ..., x1, y1, x2, y2, band): the edges of polygons, once for each band they cross."""
     e = vector.edges(polygons)
     if more:
-        e = e.join(polygons.select("poly_id", *more), "poly_id")
+        e = e.join(polygons.select("poly_id", *more).distinct(), "poly_id")  # a polygon may be in several rows
     low, high = F.floor(F.least("y1", "y2") / band), F.ceil(F.greatest("y1", "y2") / band) - 1
     return e.select(F.col("poly_id").cast("long").alias("poly"), *more, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.explode(F.sequence(low, F.greatest(low, high))).alias("band"))
 
@@ -164,22 +169,61 @@ def _pairs(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return met.filter("xmin_a < xmax_b and xmax_a > xmin_b and ymin_a < ymax_b and ymax_a > ymin_b").select("a", "b").distinct()
 
 
-def intersection(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
-    """(a, b, pieces): what each polygon of a shares with each of b; pairs that share no area have no row."""
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as there are partitions of a shuffle: small ones, which Spark would put together, can
+    be much work or become many."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def alike(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(poly_id, shape) of all polygons, and (poly_id, rings) of one polygon for each shape. Those with the same rings, however
+    many rows hold them, have one shape: the least poly_id among them."""
+    own = polygons.select(F.col("poly_id").cast("long").alias("poly_id"), "rings")
+    told = own.withColumn("one", F.sha2(F.to_json("rings"), 256)).groupBy("poly_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("one"))), 256).alias("told"))
+    first = told.groupBy("told").agg(F.min("poly_id").alias("shape"))
+    members = materialize(told.join(first, "told").select("poly_id", "shape"), "shapes")
+    return members, own.join(members.filter("poly_id = shape"), "poly_id", "left_semi")
+
+
+def each(rows: DataFrame, **of: DataFrame) -> DataFrame:
+    """Rows of shapes, once for each polygon that has the shape. of: for columns of shapes the members that ``alike`` tells."""
+    columns = rows.columns
+    out = _dealt(rows)  # by no column, or Spark would leave rows that are grouped by it where they are
+    for name, members in of.items():
+        out = out.withColumnRenamed(name, "shape").join(members.withColumnRenamed("poly_id", name), "shape").drop("shape")
+    return out.select(*columns)
+
+
+def shared(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
+    """(a, b, pieces) as ``intersection`` tells them, of polygons that are taken one by one."""
     pairs = _pairs(a, b, 4 * band)
     mine = _banded(a, band).withColumns({"a": F.col("poly"), "own": F.lit(True)})
     other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).drop("b").withColumn("own", F.lit(False))
     met = other.join(mine.select("a", "band").distinct(), ["a", "band"], "left_semi")
-    return mine.unionByName(met).groupBy("a", "band").applyInPandas(partial(_slabs_of_pairs, band=band), f"a long, b long, {_PIECES}")
+    return _dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs_of_pairs, band=band), f"a long, b long, {_PIECES}")
+
+
+def intersection(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
+    """(a, b, pieces): what each polygon of a shares with each of b; pairs that share no area have no row."""
+    (of_a, a), (of_b, b) = alike(a), alike(b)
+    return each(shared(a, b, band), a=of_a, b=of_b)
+
+
+def shared_areas(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
+    """(a, b, area, x, y): area and centroid of what each polygon of a shares with each of b, summed by shape."""
+    (of_a, a), (of_b, b) = alike(a), alike(b)
+    return each(areas(shared(a, b, band), "a", "b"), a=of_a, b=of_b)
 
 
 def difference(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
     """(a, pieces): what of each polygon of a lies in none of b."""
+    (of_a, a), (_, b) = alike(a), alike(b)
     pairs = _pairs(a, b, 4 * band)
     mine = _banded(a, band).withColumns({"a": F.col("poly"), "own": F.lit(True)})
     other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).drop("b").withColumn("own", F.lit(False))
     met = other.join(mine.select("a", "band").distinct(), ["a", "band"], "left_semi")
-    return mine.unionByName(met).groupBy("a", "band").applyInPandas(partial(_slabs, by=["a"], band=band, keep=_kept_by_own), f"a long, {_PIECES}")
+    found = _dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs, by=["a"], band=band, keep=_kept_by_own), f"a long, {_PIECES}")
+    return each(found, a=of_a)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
@@ -192,7 +236,7 @@ def dissolve(polygons: DataFrame, key: str, band: float = BAND) -> DataFrame:
     """(key, pieces): the union of the polygons with each value of a column."""
     kind = dict(polygons.dtypes)[key]
     rows = _banded(polygons, band, key).withColumn("own", F.lit(True))
-    return rows.groupBy(key, "band").applyInPandas(partial(_slabs, by=[key], band=band, keep=_kept_by_any), f"`{key}` {kind}, {_PIECES}")
+    return _dealt(rows, key, "band").groupBy(key, "band").applyInPandas(partial(_slabs, by=[key], band=band, keep=_kept_by_any), f"`{key}` {kind}, {_PIECES}")
 
 
 def areas(pieces: DataFrame, *by: str) -> DataFrame:

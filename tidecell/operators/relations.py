@@ -3,7 +3,8 @@
 For each pair whose boxes meet: whether the interiors share an area (ii), whether the first has area outside the second (ie)
 and the second outside the first (ei), both from the areas of ``overlay``, and whether the boundaries meet (bb), from a join of
 edges by tiles of the plane. All predicates between polygons follow from these four entries of the nine-intersection
-matrix; the others are those of any two polygons. Pairs that have no row are disjoint.
+matrix; the others are those of any two polygons. Pairs that have no row are disjoint. All this is found for shapes, as
+``overlay.alike`` tells them, and then told of the polygons that have them.
 
 Edge cases: areas that are a share of 1e-9 of the polygon's own count as none; boundaries meet within 1e-9 of the
 coordinates; two polygons never cross, as that is for shapes of different dimensions; a polygon that lies in another's hole
@@ -45,10 +46,10 @@ def boundaries_meet(a: DataFrame, b: DataFrame, tile: float = 64.0) -> DataFrame
     return met.filter(boxes & cross).select("a", "b").distinct()
 
 
-def relate(a: DataFrame, b: DataFrame, band: float = overlay.BAND) -> DataFrame:
-    """(a, b, ii, ie, ei, bb) of the pairs that aren't disjoint."""
-    size = lambda p, n: overlay.areas(overlay.dissolve(p.withColumn("poly_id", F.col("poly_id").cast("long")), "poly_id", band), "poly_id").select(F.col("poly_id").alias(n), F.col("area").alias(f"area_{n}"))
-    shared = overlay.areas(overlay.intersection(a, b, band), "a", "b").select("a", "b", F.col("area").alias("both"))
+def _related(a: DataFrame, b: DataFrame, band: float) -> DataFrame:
+    """(a, b, ii, ie, ei, bb) of shapes."""
+    size = lambda p, n: overlay.areas(overlay.dissolve(p, "poly_id", band), "poly_id").select(F.col("poly_id").alias(n), F.col("area").alias(f"area_{n}"))
+    shared = overlay.areas(overlay.shared(a, b, band), "a", "b").select("a", "b", F.col("area").alias("both"))
     every = shared.join(boundaries_meet(a, b, 4 * band).withColumn("bb", F.lit(True)), ["a", "b"], "full")
     every = every.join(size(a, "a"), "a", "left").join(size(b, "b"), "b", "left").withColumn("both", F.coalesce("both", F.lit(0.0)))
     own = lambda n: F.coalesce(f"area_{n}", F.lit(0.0))
@@ -58,6 +59,12 @@ def relate(a: DataFrame, b: DataFrame, band: float = overlay.BAND) -> DataFrame:
     return out.filter("ii or bb")
 
 
+def relate(a: DataFrame, b: DataFrame, band: float = overlay.BAND) -> DataFrame:
+    """(a, b, ii, ie, ei, bb) of the pairs that aren't disjoint."""
+    (of_a, a), (of_b, b) = overlay.alike(a), overlay.alike(b)
+    return overlay.each(_related(a, b, band), a=of_a, b=of_b)
+
+
 #: Each predicate by the entries of ``relate``.
 PREDICATES = {
     "intersects": "true", "touches": "not ii and bb", "contains": "ii and not ei", "within": "ii and not ie",
@@ -67,11 +74,10 @@ PREDICATES = {
 
 def select_by_location(a: DataFrame, b: DataFrame, predicate: str, band: float = overlay.BAND) -> DataFrame:
     """The polygons of a that have the relation to any of b, or, with disjoint, to none any."""
-    if predicate == "disjoint":
-        met = relate(a, b, band).select(F.col("a").alias("poly_id")).distinct()
-        return a.join(met, "poly_id", "left_anti").select(*a.columns)
-    met = relate(a, b, band).filter(PREDICATES[predicate]).select(F.col("a").alias("poly_id")).distinct()
-    return a.join(met, "poly_id", "left_semi").select(*a.columns)
+    (of_a, shapes), (_, others) = overlay.alike(a), overlay.alike(b)
+    met = _related(shapes, others, band).filter("true" if predicate == "disjoint" else PREDICATES[predicate])
+    met = overlay.each(met.select("a").distinct(), a=of_a).withColumnRenamed("a", "poly_id")
+    return a.join(met, "poly_id", "left_anti" if predicate == "disjoint" else "left_semi").select(*a.columns)
 
 
 def distances(points: DataFrame, polygons: DataFrame) -> DataFrame:
