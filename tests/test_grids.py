@@ -79,6 +79,17 @@ def test_growth(toy):
     assert sum(v is not None for v in values(out).values()) == 33
 
 
+def test_growth_goes_on_while_cells_are_filled(spark):
+    """A few cells a round, too few beside the dry ones to count as growth: a channel fills all the same, three rounds long."""
+    low, wide = {(0, c) for c in range(4)}, 60_000
+    cells = spark.range(4 * wide).select(F.floor(F.col("id") / wide).cast("int").alias("row"), (F.col("id") % wide).cast("int").alias("col"))
+    dem = cells.withColumn("value", F.when((F.col("row") == 0) & (F.col("col") < 4), 1.0).otherwise(9.0))
+    start = cells.withColumn("value", F.when((F.col("row") == 0) & (F.col("col") == 0), 5.0))
+    out, log = neighbourhood.buffer_grow(start, dem)
+    assert {(x.row, x.col) for x in out.filter("value is not null").collect()} == low
+    assert [x["pre_null"] - x["post_null"] for x in log] == [1, 1, 1, 0]
+
+
 def test_clumps(toy):
     labels = values(neighbourhood.clumps(toy["pred"], 6), "label")
     assert sorted(list(labels.values()).count(x) for x in set(labels.values())) == [1, 33]
