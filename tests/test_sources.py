@@ -188,3 +188,22 @@ def test_polygons_keep_their_properties(spark, tmp_path):
     back = got.select("poly_id", "rings", got["properties"]["name"].alias("name"), got["properties"]["level"].cast("double").alias("level"))
     assert sorted(back.collect()) == sorted(polygons.collect())
     assert sorted(x.poly_id for x in geojson.read_polygons(spark, path, bbox=(12, 1, 31, 2)).collect()) == [1, 2, 3]
+
+
+def test_geojson_is_read_by_lines(spark, tmp_path):
+    """A file of many features is split over tasks, and names that look like other lines are read as they were written."""
+    names = ["a,", "]}", "x\ny", '{"type":"Feature",', None]
+    rows = [(i if i % 5 else None, names[i % 5], float(i), 1.0) for i in range(2000)]
+    points = spark.createDataFrame(rows, "id long, name string, x double, y double").withColumn("water_depth", F.col("x") / 2)
+    geojson.write_points(points.coalesce(1), str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        got = geojson.read_points(spark, str(tmp_path / "p"))
+        assert got.rdd.getNumPartitions() > 8
+        assert sorted((-1 if x.id is None else x.id, x.x, x.water_depth) for x in got.collect()) == sorted((-1 if i is None else i, x, x / 2) for i, _, x, _ in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ring = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D), named_struct('x', 1D, 'y', 1D)))"
+    geojson.write_polygons(spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).withColumn("rings", F.expr(ring)), str(tmp_path / "q"))
+    back = geojson.read_polygons(spark, str(tmp_path / "q"), properties=True).collect()
+    assert {x.properties.get("name") for x in back} == set(names) and all(len(x.rings[0]) == 3 for x in back)

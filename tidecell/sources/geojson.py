@@ -24,35 +24,46 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from .store import drop, exists, opened, read_text
 from .tiles import morton
 
-_POINT = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<double>>>>"
-_POLYGON = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+_POINT = "properties:map<string,string>,geometry:struct<type:string,coordinates:array<double>>"
+_POLYGON = "properties:map<string,string>,geometry:struct<type:string,coordinates:string>"
 _CRS = ", crs struct<properties:struct<name:string>>"
 INDEX = "_index.json"
+#: What a feature's line begins with.
+_START = '{"type":"Feature",'
 #: Features of a file, at most.
 MOST = 1 << 20
 
 Box = tuple[float, float, float, float]
 
 
+def _index(path: str) -> dict | None:
+    text = read_text(f"{path.rstrip('/')}/{INDEX}")
+    return None if text is None else json.loads(text)
+
+
 def _files(path: str, bbox: Box | None) -> list[str] | str:
     """What to read: of a folder with an index the files whose boxes meet bbox."""
-    text = read_text(f"{path.rstrip('/')}/{INDEX}")
-    if text is None:
+    index = _index(path)
+    if index is None:
         return path
     meets = lambda b: bbox is None or (b[0] <= bbox[2] and b[2] >= bbox[0] and b[1] <= bbox[3] and b[3] >= bbox[1])
-    return [f"{path.rstrip('/')}/{name}" for name, _, box in json.loads(text)["files"] if bbox is None or box and meets(box)]
+    return [f"{path.rstrip('/')}/{name}" for name, _, box in index["files"] if bbox is None or box and meets(box)]
 
 
 def _features(spark: SparkSession, path: str, kind: str, bbox: Box | None) -> DataFrame:
+    """(pos, f): the place of each feature in its file, and the feature."""
     found = _files(path, bbox)
     if not found:
-        return spark.createDataFrame([], kind + _CRS)
-    return spark.read.schema(kind + _CRS).json(found, multiLine=True)
+        return spark.createDataFrame([], f"pos int, f struct<{kind}>")
+    if not (_index(path) or {}).get("lines"):
+        return spark.read.schema(f"features array<struct<{kind}>>{_CRS}").json(found, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
+    line = spark.read.text(found).filter(F.col("value").startswith(_START)).select(F.regexp_replace("value", ",$", "").alias("value"))
+    return line.select(F.from_json("value", f"struct<id:int,{kind}>").alias("f")).select(F.col("f.id").alias("pos"), "f")
 
 
 def read_points(spark: SparkSession, path: str, depth: str = "water_depth", bbox: Box | None = None) -> DataFrame:
     """(id, x, y, water_depth); only points may be there."""
-    f = _features(spark, path, _POINT, bbox).select(F.explode("features").alias("f"))
+    f = _features(spark, path, _POINT, bbox)
     kinds = F.when(F.col("f.geometry.type") == "Point", F.col("f.geometry.coordinates")).when(F.col("f.geometry").isNotNull(), F.raise_error(F.lit("not a point")).cast("array<double>"))
     out = f.select(F.col("f.properties")["id"].cast("long").alias("id"), kinds.alias("c"), F.col("f.properties")[depth].cast("double").alias(depth))
     out = out.select("id", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), depth)
@@ -62,7 +73,7 @@ def read_points(spark: SparkSession, path: str, depth: str = "water_depth", bbox
 def read_polygons(spark: SparkSession, path: str, bbox: Box | None = None, properties: bool = False) -> DataFrame:
     """(poly_id, rings), with properties also a map of these: rings of Polygon and MultiPolygon features, the closing point
     left out. poly_id is the property of that name, or else the feature's place in its file."""
-    f = _features(spark, path, _POLYGON, bbox).select(F.posexplode("features").alias("pos", "f"))
+    f = _features(spark, path, _POLYGON, bbox)
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
     rings = F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many)
@@ -166,7 +177,7 @@ class _Writer(DataSourceArrowWriter):
                     done.files.append([name, 0, None])
                     out, n, box = fs.open_output_stream(f"{top}/{name}"), 0, None
                     out.write(f'{{"type": "FeatureCollection"{named}, "features": [\n'.encode())
-                out.write((",\n" if n else "").encode() + feature.encode())
+                out.write(((",\n" if n else "") + f'{_START}"id":{n},' + feature.removeprefix(_START)).encode())
                 n += 1
                 if None not in own:
                     box = own if box is None else [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
@@ -185,7 +196,7 @@ class _Writer(DataSourceArrowWriter):
             if info.base_name not in kept:  # of an attempt that failed
                 fs.delete_file(info.path)
         with fs.open_output_stream(f"{top}/{INDEX}") as out:
-            out.write(json.dumps({"files": files}).encode())
+            out.write(json.dumps({"files": files, "lines": True}).encode())
         if exists(self.path):
             if not self.overwrite:
                 self.abort(messages)
