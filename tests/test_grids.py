@@ -79,6 +79,15 @@ def test_growth(toy):
     assert sum(v is not None for v in values(out).values()) == 33
 
 
+def test_neighbours_are_dealt_to_all_tasks(spark):
+    """However small Spark thinks the shuffled rows are, as each takes far more memory than bytes of the shuffle."""
+    cells = spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("value"))
+    assert neighbourhood.buffer_d4(cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = cells.select("row", "col", F.col("row").cast("double").alias("y"), F.col("col").cast("double").alias("x"))
+    got = neighbourhood.idw(at, at.select("x", "y", F.lit(2.0).alias("value")), 3.0)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and got.count() == 400 and got.filter("abs(value - 2) > 1e-9").isEmpty()
+
+
 def test_growth_goes_on_while_cells_are_filled(spark):
     """A few cells a round, too few beside the dry ones to count as growth: a channel fills all the same, three rounds long."""
     low, wide = {(0, c) for c in range(4)}, 60_000

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tidecell.functions.stage import materialize
 
 from . import vector
+from .algebra import dealt
 
 #: Height of bands, in units of the coordinates.
 BAND = 64.0
@@ -169,12 +170,6 @@ def _pairs(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return met.filter("xmin_a < xmax_b and xmax_a > xmin_b and ymin_a < ymax_b and ymax_a > ymin_b").select("a", "b").distinct()
 
 
-def _dealt(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt to as many tasks as there are partitions of a shuffle: small ones, which Spark would put together, can
-    be much work or become many."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-
-
 def alike(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(poly_id, shape) of all polygons, and (poly_id, rings) of one polygon for each shape. Those with the same rings, however
     many rows hold them, have one shape: the least poly_id among them."""
@@ -188,7 +183,7 @@ def alike(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
 def each(rows: DataFrame, **of: DataFrame) -> DataFrame:
     """Rows of shapes, once for each polygon that has the shape. of: for columns of shapes the members that ``alike`` tells."""
     columns = rows.columns
-    out = _dealt(rows)  # by no column, or Spark would leave rows that are grouped by it where they are
+    out = dealt(rows)  # by no column, or Spark would leave rows that are grouped by it where they are
     for name, members in of.items():
         out = out.withColumnRenamed(name, "shape").join(members.withColumnRenamed("poly_id", name), "shape").drop("shape")
     return out.select(*columns)
@@ -200,7 +195,7 @@ def shared(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
     mine = _banded(a, band).withColumns({"a": F.col("poly"), "own": F.lit(True)})
     other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).drop("b").withColumn("own", F.lit(False))
     met = other.join(mine.select("a", "band").distinct(), ["a", "band"], "left_semi")
-    return _dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs_of_pairs, band=band), f"a long, b long, {_PIECES}")
+    return dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs_of_pairs, band=band), f"a long, b long, {_PIECES}")
 
 
 def intersection(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
@@ -222,7 +217,7 @@ def difference(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
     mine = _banded(a, band).withColumns({"a": F.col("poly"), "own": F.lit(True)})
     other = _banded(b, band).join(pairs, F.col("poly") == F.col("b")).drop("b").withColumn("own", F.lit(False))
     met = other.join(mine.select("a", "band").distinct(), ["a", "band"], "left_semi")
-    found = _dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs, by=["a"], band=band, keep=_kept_by_own), f"a long, {_PIECES}")
+    found = dealt(mine.unionByName(met), "a", "band").groupBy("a", "band").applyInPandas(partial(_slabs, by=["a"], band=band, keep=_kept_by_own), f"a long, {_PIECES}")
     return each(found, a=of_a)
 
 
@@ -236,7 +231,7 @@ def dissolve(polygons: DataFrame, key: str, band: float = BAND) -> DataFrame:
     """(key, pieces): the union of the polygons with each value of a column."""
     kind = dict(polygons.dtypes)[key]
     rows = _banded(polygons, band, key).withColumn("own", F.lit(True))
-    return _dealt(rows, key, "band").groupBy(key, "band").applyInPandas(partial(_slabs, by=[key], band=band, keep=_kept_by_any), f"`{key}` {kind}, {_PIECES}")
+    return dealt(rows, key, "band").groupBy(key, "band").applyInPandas(partial(_slabs, by=[key], band=band, keep=_kept_by_any), f"`{key}` {kind}, {_PIECES}")
 
 
 def areas(pieces: DataFrame, *by: str) -> DataFrame:
