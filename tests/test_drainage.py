@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tidecell.functions import stage
 from tidecell.operators import drainage
 
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
@@ -120,3 +121,21 @@ def test_edges(spark):
     got = {(x.grid_id, x.row, x.col): x.value for x in drainage.breached(both, 2).collect()}
     want = {("a", *p): v for p, v in brute_breach(z).items()} | {("b", *p): v for p, v in brute_breach({p: v + 1 for p, v in z.items() if p[0] < 4}).items()}
     assert got == want
+
+
+def test_groups_of_a_long_narrow_grid_do_not_grow(spark, monkeypatch):
+    """Cells at the grid's own edge join nothing beyond it, so a region hands on no more of them the longer it is."""
+    most = {}
+
+    def noted(df, name):
+        back = stage.materialize(df, name)
+        if name == "flow-up":
+            most[n] = max(most.get(n, 0), *(x["count"] for x in back.groupBy("rr", "rc").count().collect()))
+        return back
+
+    monkeypatch.setattr(drainage, "materialize", noted)
+    r = random.Random(8)
+    for n in (32, 128):
+        z = {(i, j): float(r.randrange(1000)) for i in range(n) for j in range(3)}
+        assert values(drainage.filled(frame(spark, z), 4)) == flooded(z)
+    assert most[128] <= most[32] + 4

@@ -18,7 +18,6 @@ empty grid stays empty; with grid_id each grid has its own outside; rows and col
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
@@ -37,69 +36,91 @@ _EDGE = ["kz", "khi", "klo", "u", "v", "hu", "hv"]
 _EDGES = "kz double, khi long, klo long, u long, v long, hu long, hv long"
 
 
-def _tree(edges: list[tuple]) -> list[tuple]:
-    """The minimum spanning forest of edges (kz, khi, klo, u, v, hu, hv, ...) by their keys, the first three."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while (up := root.get(top, top)) != top:
-            top = up
-        while x != top:
-            root[x], x = top, root.get(x, x)
-        return top
-
-    out = []
-    for e in sorted(edges):
-        a, b = find(e[3]), find(e[4])
-        if a != b:
-            root[a] = b
-            out.append(e)
+def _edges(columns) -> np.ndarray:
+    """(kz, khi, klo, u, v, hu, hv[, tag]) as one array of records."""
+    columns = [np.asarray(c) for c in columns]
+    out = np.empty(len(columns[0]), [(c, float if c == "kz" else np.int64) for c in (*_EDGE, "tag")])
+    out["tag"] = -1
+    for name, values in zip((*_EDGE, "tag"), columns):
+        out[name] = values
     return out
 
 
-def _shrunk(tree: list[tuple], keep) -> list[tuple]:
+def _tree(edges: np.ndarray) -> np.ndarray:
+    """The minimum spanning forest of edges by their keys, the first three, in this order. Each part takes its least edge to
+    another, until none has any."""
+    edges = edges[np.lexsort((edges["klo"], edges["khi"], edges["kz"]))]
+    m = len(edges)
+    nodes, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    part, taken = np.arange(len(nodes)), np.zeros(m, bool)
+    left, a, b = np.arange(m), ends[:m], ends[m:]
+    while True:
+        pa, pb = part[a], part[b]
+        other = pa != pb
+        left, a, b, pa, pb = left[other], a[other], b[other], pa[other], pb[other]
+        if not len(left):
+            return edges[taken]
+        least = np.full(len(nodes), m)
+        np.minimum.at(least, pa, left), np.minimum.at(least, pb, left)
+        own = np.flatnonzero(least < m)
+        taken[least[own]] = True
+        at = np.searchsorted(left, least[own])
+        to = np.where(pa[at] == own, pb[at], pa[at])
+        up = np.arange(len(nodes))
+        up[own] = to
+        both = own[(up[to] == own) & (own < to)]  # two that took the same edge
+        up[both] = both
+        while not np.array_equal(more := up[up], up):
+            up = more
+        part = up[part]
+
+
+def _shrunk(tree: np.ndarray, keep) -> np.ndarray:
     """The tree between the nodes that keep tells, and branchings between them; an edge stands for a path, with its highest
-    key and, at both ends, the first cell on the way."""
-    edges, at = {}, defaultdict(dict)
-    for n, (*key, u, v, hu, hv) in enumerate(e[:7] for e in tree):
-        edges[n] = (tuple(key), {u: hu, v: hv})
-        at[u][n], at[v][n] = v, u
-    stack, n = [x for x in at if not keep(x)], len(edges)
-    while stack:
-        x = stack.pop()
-        if len(at[x]) == 1:
-            ((e, y),) = at[x].items()
-            del edges[e], at[y][e]
-            at[x].clear()
-            if not keep(y):
-                stack.append(y)
-        elif len(at[x]) == 2:
-            (e, y), (f, z) = at[x].items()
-            edges[n] = (max(edges[e][0], edges[f][0]), {y: edges[e][1][y], z: edges[f][1][z]})
-            del edges[e], edges[f], at[y][e], at[z][f]
-            at[x].clear()
-            at[y][n], at[z][n] = z, y
-            n += 1
-    return [(*key, *ends, *ends.values()) for key, ends in edges.values()]
-
-
-def _on_border(side: int):
-    """Of cells by number: whether they lie at the border of their square of that side; the outside counts."""
-
-    def told(cell: int) -> bool:
+    key and, at both ends, the first cell on the way. Leaves go and, of nodes with two edges, those before their neighbours
+    in an order at random, so rounds are few. The tree's edges are in the order of their keys."""
+    m = len(tree)
+    nodes, ends = np.unique(np.concatenate([tree["u"], tree["v"]]), return_inverse=True)
+    n, kept, draw = len(nodes), keep(nodes), np.random.default_rng(0)
+    u, v, hu, hv, top = ends[:m], ends[m:], tree["hu"], tree["hv"], np.arange(m)
+    while True:
+        leaf = (np.bincount(np.concatenate([u, v]), minlength=n) == 1) & ~kept
+        stay = ~(leaf[u] | leaf[v])
+        u, v, hu, hv, top = u[stay], v[stay], hu[stay], hv[stay], top[stay]
+        both = np.concatenate([u, v])
+        size = np.bincount(both, minlength=n)
+        free = (size == 2) & ~kept
+        mid = np.flatnonzero(free)
+        if not len(mid):
+            if leaf.any():
+                continue
+            return _edges([*(tree[k][top] for k in ("kz", "khi", "klo")), nodes[u], nodes[v], hu, hv])
+        half, begin = np.argsort(both, kind="stable"), np.cumsum(size) - size
+        far, here, there = np.concatenate([v, u]), np.concatenate([hu, hv]), np.concatenate([hv, hu])
+        x, y = half[begin[mid]], half[begin[mid] + 1]
+        turn = np.where(free, draw.permutation(n), -1)
+        ok = (turn[mid] > turn[far[x]]) & (turn[mid] > turn[far[y]])
+        x, y = x[ok], y[ok]
+        old = np.ones(len(u), bool)
+        old[x % len(u)] = old[y % len(u)] = False
+        over = np.maximum(top[x % len(u)], top[y % len(u)])
+        u, v, hu, hv, top = (np.concatenate([c[old], d]) for c, d in ((u, far[x]), (v, far[y]), (hu, there[x]), (hv, there[y]), (top, over)))
+
+
+def _on_border(side: int, bounds: tuple[int, int, int, int]):
+    """Of cells by number: whether their square of that side has neighbours beside them within the bounds (first row, last
+    row, first col, last col) of the grid; the outside counts."""
+    r0, r1, c0, c1 = bounds
+
+    def told(cell: np.ndarray) -> np.ndarray:
         r, c = cell // _WIDE, cell % _WIDE
-        return cell == _OUT or r % side in (0, side - 1) or c % side in (0, side - 1)
+        low, high = ((r % side == 0) & (r > r0)) | ((c % side == 0) & (c > c0)), ((r % side == side - 1) & (r < r1)) | ((c % side == side - 1) & (c < c1))
+        return (cell == _OUT) | low | high
 
     return told
 
 
-def _key(z: dict, a: int, b: int) -> tuple:
-    hi, lo = (a, b) if (z[a], a) > (z[b], b) else (b, a)
-    return z[hi], hi, lo
-
-
-def _tile_edges(rows: pd.DataFrame, tr: int, tc: int, tile: int) -> tuple[list[tuple], list[tuple]]:
+def _tile_edges(rows: pd.DataFrame, tr: int, tc: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells of a tile and its frame -> the tile's own edges and ways out, and the edges from it on to later tiles."""
     r, c = rows["row"].to_numpy(np.int64), rows["col"].to_numpy(np.int64)
     at = np.full((tile + 4, tile + 4), -1, np.int64)
@@ -108,61 +129,58 @@ def _tile_edges(rows: pd.DataFrame, tr: int, tc: int, tile: int) -> tuple[list[t
     at[y, x] = np.arange(len(r))
     ids = r * _WIDE + c
     core = (r // tile == tr) & (c // tile == tc)
-    own, cross = [], []
     alone = np.zeros(len(r), bool)
     for i in (-1, 0, 1):
         for j in (-1, 0, 1):
             alone |= at[np.clip(y + i, 0, tile + 3), np.clip(x + j, 0, tile + 3)] < 0
-    for k in np.flatnonzero(core & alone).tolist():
-        own.append((float(z[k]), int(ids[k]), _OUT, int(ids[k]), _OUT, _OUT, int(ids[k])))
+    k = np.flatnonzero(core & alone)
+    out = np.full(len(k), _OUT)
+    own, cross = [_edges([z[k], ids[k], out, ids[k], out, out, ids[k]])], []
     for i, j in _HALF:
         b = at[np.clip(y + i, 0, tile + 3), np.clip(x + j, 0, tile + 3)]
         a = np.flatnonzero((b >= 0) & (core | core[b]))
         b = b[a]
         up = (z[a] > z[b]) | ((z[a] == z[b]) & (ids[a] > ids[b]))
         hi, lo = np.where(up, a, b), np.where(up, b, a)
-        both = core[a] & core[b]
-        for inside, kz, khi, klo, u, v, mine in zip(both.tolist(), z[hi].tolist(), ids[hi].tolist(), ids[lo].tolist(), ids[a].tolist(), ids[b].tolist(), core[a].tolist()):
-            if inside:
-                own.append((kz, khi, klo, u, v, v, u))
-            elif mine:  # the tile of the first cell tells the edge
-                cross.append((kz, khi, klo, u, v, v, u))
-    return own, cross
+        found = _edges([z[hi], ids[hi], ids[lo], ids[a], ids[b], ids[b], ids[a]])
+        own.append(found[core[a] & core[b]])
+        cross.append(found[core[a] & ~core[b]])  # the tile of the first cell tells the edge
+    return np.concatenate(own), np.concatenate(cross)
 
 
-def _met(u: int, v: int, tile: int) -> int:
+def _met(u: np.ndarray, v: np.ndarray, tile: int) -> np.ndarray:
     """The level at which two cells' regions are the same."""
-    a, b = u // _WIDE // tile, v // _WIDE // tile
-    c, d = u % _WIDE // tile, v % _WIDE // tile
-    return max((a ^ b).bit_length(), (c ^ d).bit_length())
+    apart = (u // _WIDE // tile ^ v // _WIDE // tile) | (u % _WIDE // tile ^ v % _WIDE // tile)
+    return np.frexp(apart.astype(float))[1]
+
+
+def _table(edges: np.ndarray, **more) -> pd.DataFrame:
+    return pd.DataFrame({c: edges[c] for c in _EDGE}).assign(**more)
 
 
-def _first(rows: pd.DataFrame, tile: int) -> pd.DataFrame:
+def _first(rows: pd.DataFrame, tile: int, bounds: tuple[int, int, int, int]) -> pd.DataFrame:
     tr, tc = int(rows["tr"].iloc[0]), int(rows["tc"].iloc[0])
     own, cross = _tile_edges(rows, tr, tc, tile)
-    out = [(0, tr, tc, *e) for e in _shrunk(_tree(own), _on_border(tile))]
-    for e in cross:
-        k = _met(e[3], e[4], tile)
-        out.append((k, tr >> k, tc >> k, *e))
-    return pd.DataFrame(out, columns=["level", "rr", "rc", *_EDGE])
+    k = _met(cross["u"], cross["v"], tile)
+    out = _table(_shrunk(_tree(own), _on_border(tile, bounds)), level=0, rr=tr, rc=tc)
+    return pd.concat([out, _table(cross, level=k, rr=tr >> k, rc=tc >> k)], ignore_index=True)
 
 
-def _up(rows: pd.DataFrame, side: int) -> pd.DataFrame:
-    tree = _tree(list(rows[_EDGE].itertuples(index=False, name=None)))
-    out = _shrunk(tree, _on_border(side))
-    return pd.DataFrame(out, columns=_EDGE).assign(rr=rows["rr"].iloc[0], rc=rows["rc"].iloc[0])
+def _up(rows: pd.DataFrame, side: int, bounds: tuple[int, int, int, int]) -> pd.DataFrame:
+    tree = _tree(_edges([rows[c] for c in _EDGE]))
+    return _table(_shrunk(tree, _on_border(side, bounds)), rr=rows["rr"].iloc[0], rc=rows["rc"].iloc[0])
 
 
-def _down(rows: pd.DataFrame, side: int) -> pd.DataFrame:
+def _down(rows: pd.DataFrame, side: int, bounds: tuple[int, int, int, int]) -> pd.DataFrame:
     """tag: the part that an edge comes from, 0 to 3, or -1. side: that of the parts."""
-    tree = _tree(list(rows[[*_EDGE, "tag"]].itertuples(index=False, name=None)))
+    tree = _tree(_edges([rows[c] for c in (*_EDGE, "tag")]))
     rr, rc, parts = int(rows["rr"].iloc[0]), int(rows["rc"].iloc[0]), sorted({*rows["tag"]} - {-1})
-    told, out = _on_border(side), []
+    told, out = _on_border(side, bounds), []
     for part in parts:
         r, c = 2 * rr + part // 2, 2 * rc + part % 2
-        keep = lambda x: x == _OUT or (x // _WIDE // side == r and x % _WIDE // side == c and told(x))  # noqa: B023, E731
-        out += [(r, c, *e) for e in _shrunk([e for e in tree if e[7] != part], keep)]
-    return pd.DataFrame(out, columns=["rr", "rc", *_EDGE])
+        keep = lambda x: (x == _OUT) | ((x // _WIDE // side == r) & (x % _WIDE // side == c) & told(x))  # noqa: B023, E731
+        out.append(_table(_shrunk(tree[tree["tag"] != part], keep), rr=r, rc=c))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["rr", "rc", *_EDGE])
 
 
 def _directed(rows: pd.DataFrame, outer: pd.DataFrame, tile: int) -> pd.DataFrame:
@@ -171,20 +189,23 @@ def _directed(rows: pd.DataFrame, outer: pd.DataFrame, tile: int) -> pd.DataFram
         return pd.DataFrame(columns=["row", "col", "value", "level", "next"])
     tr, tc = int(rows["tr"].iloc[0]), int(rows["tc"].iloc[0])
     own, _ = _tile_edges(rows, tr, tc, tile)
-    near = defaultdict(list)
-    for kz, _, _, u, v, hu, hv in _tree(own + list(outer[_EDGE].itertuples(index=False, name=None))):
-        near[u].append((v, hu, kz)), near[v].append((u, hv, kz))
-    way, level, stack = {_OUT: _OUT}, {_OUT: -np.inf}, [_OUT]
+    tree = _tree(np.concatenate([own, _edges([outer[c] for c in _EDGE])]))
+    nodes, ends = np.unique(np.concatenate([[_OUT], tree["u"], tree["v"]]), return_inverse=True)
+    a, b = np.split(ends[1:], 2)
+    order = np.argsort(both := np.concatenate([a, b]), kind="stable")
+    begin = np.searchsorted(both[order], np.arange(len(nodes) + 1)).tolist()
+    far, here, high = (np.concatenate(c)[order].tolist() for c in ((b, a), (tree["hv"], tree["hu"]), (tree["kz"], tree["kz"])))
+    way, level, stack = [None] * len(nodes), [-np.inf] * len(nodes), [0]  # the outside has the least number
+    way[0] = _OUT
     while stack:
         x = stack.pop()
-        for y, _, kz in near[x]:
-            if y not in way:
-                way[y] = next(h for v, h, _ in near[y] if v == x)
-                level[y] = max(level[x], kz)
+        for e in range(begin[x], begin[x + 1]):
+            if way[y := far[e]] is None:
+                way[y], level[y] = here[e], max(level[x], high[e])
                 stack.append(y)
     core = rows[(rows["row"] // tile == tr) & (rows["col"] // tile == tc)]
-    ids = (core["row"].to_numpy(np.int64) * _WIDE + core["col"].to_numpy(np.int64)).tolist()
-    return core[["row", "col", "value"]].assign(level=[level[i] for i in ids], next=[way[i] for i in ids])
+    at = np.searchsorted(nodes, core["row"].to_numpy(np.int64) * _WIDE + core["col"].to_numpy(np.int64)).tolist()
+    return core[["row", "col", "value"]].assign(level=[level[i] for i in at], next=[way[i] for i in at])
 
 
 def _grouped(df: DataFrame, g: list[str], by: list[str], f, schema: str) -> DataFrame:
@@ -211,9 +232,9 @@ def flow(cells: DataFrame, tile: int = TILE) -> DataFrame:
     # a frame alone, beside the grid, is no tile
     real = data.select(*g, F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).distinct()
     sent = materialize(sent.join(real, [*g, "tr", "tc"], "left_semi"), "flow-tiles")
-    most = data.agg(F.greatest(F.max("row"), F.max("col"))).first()[0] or 0
-    top = (most // tile).bit_length()
-    first = materialize(_grouped(sent, g, ["tr", "tc"], lambda rows: _first(rows, tile), f"level int, rr long, rc long, {_EDGES}"), "flow-first")
+    bounds = tuple(x or 0 for x in data.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first())
+    top = (max(bounds) // tile).bit_length()
+    first = materialize(_grouped(sent, g, ["tr", "tc"], partial(_first, tile=tile, bounds=bounds), f"level int, rr long, rc long, {_EDGES}"), "flow-first")
     spots = [*g, "rr", "rc"]
     parts = [first.filter("level = 0").drop("level")]
     half = lambda df: df.withColumns({"rr": F.shiftright("rr", 1), "rc": F.shiftright("rc", 1)})
@@ -223,11 +244,11 @@ def flow(cells: DataFrame, tile: int = TILE) -> DataFrame:
         met = half(parts[-1].withColumn("tag", tag)).unionByName(first.filter(F.col("level") == k).drop("level").withColumn("tag", F.lit(-1)))
         items.append(met)
         if k < top:
-            parts.append(materialize(_grouped(met, g, ["rr", "rc"], partial(_up, side=tile << k), f"{_EDGES}, rr long, rc long"), "flow-up"))
+            parts.append(materialize(_grouped(met, g, ["rr", "rc"], partial(_up, side=tile << k, bounds=bounds), f"{_EDGES}, rr long, rc long"), "flow-up"))
     outer = None
     for k in range(top, 0, -1):
         every = items[k - 1] if outer is None else items[k - 1].unionByName(outer.withColumn("tag", F.lit(-1)))
-        outer = materialize(_grouped(every, g, ["rr", "rc"], partial(_down, side=tile << (k - 1)), f"rr long, rc long, {_EDGES}"), "flow-down")
+        outer = materialize(_grouped(every, g, ["rr", "rc"], partial(_down, side=tile << (k - 1), bounds=bounds), f"rr long, rc long, {_EDGES}"), "flow-down")
     out = "row long, col long, value double, level double, next long"
     if outer is None:
         outer = parts[0].limit(0)
