@@ -91,6 +91,27 @@ def test_suffix_long_text_in_pieces(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows)
 
 
+def test_suffix_writes_bytes_of_shared_middles_only(spark, monkeypatch):
+    """Contexts are written without their bytes, but for those that share a middle with others. Also null ids, of rows that
+    repeat and beside an id of 0."""
+    stages = {}
+
+    def noted(df, name):
+        stages[name] = materialize(df, name)
+        return stages[name]
+
+    materialize = suffix.materialize
+    monkeypatch.setattr(suffix, "materialize", noted)
+    r = random.Random(4)
+    passage, twin = prose(r, 400), prose(r, 80)
+    rows = [(i + 1, prose(r, 30) + passage + prose(r, 30), None, None, None) for i in range(4)]
+    rows += [(None, twin, None, None, None)] * 2 + [(0, twin, None, None, None), (None, prose(r, 20) + twin, None, None, None)]
+    got = suffix.report(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows)
+    written = {k: df.count() for k, df in stages.items() if {"l", "r"} & {*df.columns}}
+    assert 0 < sum(written.values()) < 0.5 * stages["suffix-spans"].count()
+
+
 def test_decontam_recall_and_edits(spark):
     r = random.Random(1)
     items = [(i, prose(r, 40)) for i in range(40)] + [(90, None), (91, ""), (92, "short")]

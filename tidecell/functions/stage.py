@@ -43,6 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Like materialize, in as many buckets by the columns as a shuffle has partitions: joins on all of these columns leave
+    the table where it is, and what a join on them returns is written without another shuffle."""
+    spark = df.sparkSession
+    path, known = f"{shared_dir(spark)}/tidecell/{name}-{uuid.uuid4().hex}", f"stage_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *by).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(known)
+    back = spark.table(known)
+    back.stage_path = path
+    for written in _tracking.get():
+        written.append(path)
+    return back
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,8 @@ the others, strings are taken by SPAN starts: they share a middle of 200 - SPAN
 bytes to its left and right. Contexts that are equal are one context with a count. Where one middle has several
 contexts, each is a string (left, the middle as one symbol, right); shards of these strings have Burrows-Wheeler
 transforms, which are merged by interleave refinement (``bwt``); after SPAN symbols the blocks of the merged order are
-the repeated 200-byte strings. A middle with more than GROUP contexts is refined first: halves of the span have longer
+the repeated 200-byte strings. Up to there contexts are known by hashes alone, and only those that share a middle with
+others are cut out of their texts, which lie in buckets that no later join moves. A middle with more than GROUP contexts is refined first: halves of the span have longer
 middles, down to a single start, where equal contexts are equal strings. So no group grows with the corpus.
 
 Copies of a whole text are one text. Texts and middles are compared by 128-bit hashes; grams, by 64, only lead strings
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecell.functions.stage import discard
+from tidecell.functions.stage import bucketed, discard
 
 from . import bwt
 from .common import materialize, slices, utf8_of
@@ -37,6 +38,7 @@ MIDDLE = LENGTH - SPAN + 1
 _U, _PLACE = np.uint64, 24
 _PIECE, _BATCH, _TASK = 1 << 22, 4096, 8192
 _TEXT = ["tid", "tid2"]
+_PLACED = [*_TEXT, "nid"]
 
 
 class Hasher:
@@ -166,22 +168,44 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ITEM = ["m1", "m2", "lo", "hi"]
+_WANTED = ["eid", "m1", "m2", "c", "n"]
 
 
-def _masks(contexts: DataFrame) -> DataFrame:
-    """Distinct contexts (cid, m1, m2, l, r, c) -> (cid, root, mask), root the context's m1. l ends at the middle, r
-    starts behind it. eid names what is distinct at each level; at the first these are the contexts themselves."""
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, contexts by place and lengths) -> the contexts with their left and right bytes."""
+    for batch in batches:
+        for text, wanted in zip(batch.column(0), batch.column(1)):
+            raw, rows = text.as_py().encode(), wanted.values
+            at = [rows.field(c).to_pylist() for c in ("middle", "ll", "rl")]
+            left = [raw[m - a : m] for m, a, _ in zip(*at)]
+            right = [raw[m + MIDDLE : m + MIDDLE + b] for m, _, b in zip(*at)]
+            yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in _WANTED), pa.array(left, pa.binary()), pa.array(right, pa.binary())], [*_WANTED, "l", "r"])
+
+
+def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Joins rows of a uid each to the text; these are led to the buckets of the texts."""
+    return rows.join(texts.select("uid", *_PLACED), "uid").drop("uid").join(texts.drop("uid", "runs"), _PLACED)
+
+
+def _masks(contexts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct contexts (cid, m1, m2, ll, rl, c, and uid and middle, one of the places) -> (cid, root, mask), root the
+    context's m1. Of a context l ends at the middle, r starts behind it; ll and rl are their lengths. eid names what is
+    distinct at each level; at the first these are the contexts themselves."""
     each = contexts.withColumnRenamed("cid", "eid").withColumns({"lo": F.lit(0), "hi": F.lit(SPAN - 1)})
     items, out, span = None, None, SPAN
     while True:
         sizes = materialize(each.groupBy(*_ITEM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-sizes")
         several = each.join(sizes, _ITEM)
+        if items is None:
+            wanted = several.groupBy("uid").agg(F.collect_list(F.struct(*_WANTED, "middle", "ll", "rl")).alias("wanted"))
+            cut = _with_text(wanted, texts).select("text", "wanted").mapInArrow(_cut_out, "eid long, m1 long, m2 long, c long, n long, l binary, r binary")
+            several = materialize(cut.withColumns({"lo": F.lit(0), "hi": F.lit(SPAN - 1)}), "suffix-several")
         # so many tasks that none merges much more than _TASK contexts, whatever they weigh
         tasks = 1 + (sizes.filter(f"n <= {GROUP}").agg(F.sum("n")).first()[0] or 0) // _TASK
         dealt = several.filter(f"n <= {GROUP}").select(*_ITEM, "l", "r", "c", "eid").repartition(tasks, *_ITEM).sortWithinPartitions(*_ITEM)
         merged = dealt.mapInArrow(_merged, "eid long, m1 long, mask long").filter("mask <> 0")
         # a context that occurs twice is repeated wherever its bytes reach
-        reach = F.expr("shiftleft(1L, least(hi, lo + length(l)) + 1) - shiftleft(1L, greatest(lo, hi - length(r)))")
+        reach = F.expr("shiftleft(1L, least(hi, lo + ll) + 1) - shiftleft(1L, greatest(lo, hi - rl))")
         known = merged.unionByName(each.filter("c > 1").select("eid", "m1", reach.alias("mask")))
         if items is None:
             part = known.select(F.col("eid").alias("cid"), F.col("m1").alias("root"), "mask")
@@ -193,7 +217,7 @@ def _masks(contexts: DataFrame) -> DataFrame:
         if span == 1 or not large.limit(1).count():
             return out.groupBy("cid", "root").agg(F.bit_or("mask").alias("mask"))
         span = -(-span // 2)
-        mine = each.select("*", F.col("eid").alias("cid"), F.col("m1").alias("root")) if items is None else items
+        mine = several.drop("n").select("*", F.col("eid").alias("cid"), F.col("m1").alias("root")) if items is None else items
         mid = F.expr("int((lo + hi) div 2)")
         halves = mine.join(large, _ITEM).withColumn("__half", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b")))))
         # of l the bytes up to a go into the middle, those beyond b go; of r the other way round
@@ -205,7 +229,7 @@ def _masks(contexts: DataFrame) -> DataFrame:
             "substring(r, hi - __half.b + 1, __half.b - __half.a) as r")
         longer = cut.select("cid", "root", F.xxhash64("m1", "l_in", "r_in").alias("m1"), F.xxhash64("m2", "r_in", "l_in", F.lit(1)).alias("m2"), "l", "r", "c", "lo", "hi")
         items = materialize(longer.withColumn("eid", F.xxhash64("m2", "lo", "hi", "l", "r")), "suffix-items")
-        each = materialize(items.groupBy("eid", *_ITEM, "l", "r").agg(F.sum("c").alias("c")), "suffix-each")
+        each = materialize(items.groupBy("eid", *_ITEM, "l", "r").agg(F.sum("c").alias("c")).withColumns({"ll": F.length("l"), "rl": F.length("r")}), "suffix-each")
 
 
 def _hashes(text) -> list:
@@ -221,19 +245,24 @@ def removals(docs: DataFrame) -> DataFrame:
     found = materialize(long.select(*_TEXT, "text").mapInArrow(_anchor_rows, "key long, tid long, tid2 long, run long"), "suffix-anchors")
     keys = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-keys")
     runs = found.join(keys, "key").groupBy(*_TEXT).agg(F.collect_set("run").alias("runs"))
-    first = long.groupBy(*_TEXT).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # a text stands at the first of its rows, found by its hashes and its id; a null id counts as 0 there
+    nid = F.coalesce("doc_id", F.lit(0).cast("long"))
+    first = long.groupBy(*_TEXT).agg(F.min(nid).alias("nid"), F.count(F.lit(1)).alias("copies"))
     need = materialize(runs.join(first, _TEXT), "suffix-need")
     discard(found, keys)
-    there = (long["tid"] == need["tid"]) & (long["tid2"] == need["tid2"]) & long["doc_id"].eqNullSafe(need["first_id"])
-    texts = materialize(long.join(need, there).select(need["tid"], need["tid2"], "text", "runs", "copies").withColumn("uid", F.monotonically_increasing_id()), "suffix-texts")
+    one = long.select(*_TEXT, nid.alias("nid"), "text").join(need.hint("merge"), _PLACED)
+    once = one.groupBy(*_PLACED).agg(*[F.first(c).alias(c) for c in ("text", "runs", "copies")])
+    texts = bucketed(once.withColumn("uid", F.monotonically_increasing_id()), "suffix-texts", _PLACED)
     discard(need)
     rows = texts.select("uid", "text", "runs").mapInArrow(_contexts, "m1 long, m2 long, uid long, middle int, l binary, r binary")
-    spans = materialize(rows.withColumn("cid", F.xxhash64("m2", "l", "r")), "suffix-spans")
-    contexts = materialize(spans.groupBy("cid", "m1", "m2", "l", "r").agg(F.count(F.lit(1)).alias("c")), "suffix-contexts")
-    masks = materialize(_masks(contexts), "suffix-masks")
+    lengths = {"ll": F.length("l").cast("byte"), "rl": F.length("r").cast("byte")}
+    spans = materialize(rows.withColumns({"cid": F.xxhash64("m2", "l", "r"), **lengths}).drop("l", "r"), "suffix-spans")
+    counted = spans.groupBy("cid", "m1", "m2", "ll", "rl").agg(F.count(F.lit(1)).alias("c"), F.first("uid").alias("uid"), F.first("middle").alias("middle"))
+    contexts = materialize(counted, "suffix-contexts")
+    masks = materialize(_masks(contexts, texts), "suffix-masks")
     discard(contexts)
     hits = spans.select("uid", "middle", "cid", F.col("m1").alias("root")).join(masks, ["cid", "root"]).groupBy("uid").agg(F.collect_list(F.struct("middle", "mask")).alias("hits"))
-    return texts.filter("copies = 1").select("uid", *_TEXT, "text").join(hits, "uid").drop("uid")
+    return _with_text(hits, texts.filter("copies = 1")).select(*_TEXT, "text", "hits")
 
 
 def keep(raw: bytes, hits) -> list[tuple[int, int]]:
